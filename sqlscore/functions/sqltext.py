@@ -1,12 +1,14 @@
 """Column functions over SQL and prompt texts (all JVM-side, no UDFs).
 
-The SQL keyword tokenizer is lexical, not a parser: string literals,
-quoted names and comments are blanked in one left-to-right regex pass (so
-whichever construct opens first wins, as in a lexer), the text is cut at
+The SQL keyword tokenizer is lexical, not a parser.  String literals,
+quoted names and comments are blanked in one left-to-right regex pass
+(whichever construct opens first wins, as in a lexer), the text is cut at
 the first ``;`` (first statement only), every run of non-word characters
-becomes a separator, multi-word keywords are fused, and the remaining
-word tokens are upper-cased.  The same steps run in DuckDB, which the
-oracle relies on; no look-around, no back-references, ASCII classes only.
+becomes a double separator, the text is upper-cased (only ASCII word
+characters remain), multi-word keywords are fused by literal replaces, and
+tokens come from a one-character split (Java's non-regex fast path).  No lambdas, so the whole chain stays in
+generated code.  The same steps run in DuckDB for the oracle; no
+look-around, no back-references, ASCII classes only.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ MULTIWORD = [
 
 LEXICON = KEYWORDS + MULTIWORD
 
-# Literals, quoted names, line and block comments, in one alternation.
+# Literals, quoted names, line and block comments.
 LITERALS_RE = r"'[^']*'" + '|"[^"]*"' + r"|`[^`]*`|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
-NONWORD_RE = r"[^A-Za-z0-9_]+"
-TOKEN_RE = r"[A-Z0-9_#]+"
-SEP = "  "  # two spaces: a fused phrase consumes one, its neighbour keeps one
+NONWORD_RE = r"[^A-Za-z0-9_;]+"  # ';' kept for the statement cut
+SEP1 = "\u0001"           # token separator (never in the output text)
+SEP = SEP1 + SEP1         # a run becomes two: a fused phrase consumes one, its neighbour keeps one
 
 
 def strip_literals(sql: Column) -> Column:
@@ -51,26 +53,33 @@ def first_statement(sql: Column) -> Column:
     return F.substring_index(sql, ";", 1)
 
 
+def fused(phrase: str) -> tuple[str, str]:
+    """(search, replacement) literals that fuse one multi-word keyword."""
+    words = phrase.split(" ")
+    return SEP1 + SEP.join(words) + SEP1, SEP1 + " ".join(words) + SEP1
+
+
 def normalised(sql: Column, only_first_statement: bool = True) -> Column:
-    """Upper-case word stream, words separated by two spaces, phrases fused with '#'."""
+    """Upper-case word stream, words separated by SEP, phrases fused with blanks."""
     x = strip_literals(sql)
     if only_first_statement:
         x = first_statement(x)
-    x = F.concat(F.lit(SEP), F.upper(F.regexp_replace(x, NONWORD_RE, SEP)), F.lit(SEP))
+    x = F.regexp_replace(x, NONWORD_RE, SEP)
+    x = F.concat(F.lit(SEP), F.upper(F.replace(x, F.lit(";"), F.lit(SEP))), F.lit(SEP))
     for phrase in MULTIWORD:
-        words = phrase.split(" ")
-        x = F.replace(x, F.lit(" " + SEP.join(words) + " "), F.lit(" " + "#".join(words) + " "))
+        search, repl = fused(phrase)
+        x = F.replace(x, F.lit(search), F.lit(repl))
     return x
 
 
 def sql_tokens(sql: Column, only_first_statement: bool = True) -> Column:
-    """array<string> of upper-case word tokens; fused phrases come back with blanks."""
-    toks = F.regexp_extract_all(normalised(sql, only_first_statement), F.lit(TOKEN_RE), 0)
-    return F.transform(toks, lambda t: F.replace(t, F.lit("#"), F.lit(" ")))
+    """array<string> of upper-case tokens; fused phrases contain blanks.  Empty
+    strings between separators are kept (they never match a keyword)."""
+    return F.split(normalised(sql, only_first_statement), SEP1)
 
 
 def sql_keywords(sql: Column, only_first_statement: bool = True) -> Column:
-    """Only the lexicon tokens, in text order (filtered before any explode)."""
+    """Only the lexicon tokens, in text order (row form; uses a lambda)."""
     return F.filter(sql_tokens(sql, only_first_statement), lambda t: t.isin(LEXICON))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscore.functions.sqltext import message_id, strip_heading
+from sqlscore.operators.parallel import spread
 
 
 def user_questions(conv: DataFrame, limit: int | None = None) -> DataFrame:
@@ -58,7 +59,9 @@ def sectionise(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     One shuffle: the running heading count is a window partitioned by page,
     and the following group-bys on (page, ...) reuse that partitioning.
     """
-    els = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ELEMENT_RE), 0)).alias("pos", "el"))
+    els = (spread(pages, keys=(key,))
+           .select(key, F.posexplode_outer(F.regexp_extract_all(F.col(html), F.lit(ELEMENT_RE), 0)).alias("pos", "el"))
+           .filter(F.col("el").isNotNull()))  # _outer: no inferred filter re-running the regex below the shuffle
     is_h = F.col("el").startswith("<h")
     txt = F.trim(F.regexp_replace(F.col("el"), "<[^>]*>", ""))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlscore.operators.parallel import spread
+
 
 def number_cycles(df: DataFrame, run: str = "run_id", started: str = "started_at",
                   out: str = "cycle") -> DataFrame:
@@ -71,9 +73,9 @@ def token_diff(texts: DataFrame, run: str, cycle: str, text: str) -> DataFrame:
     w = Window.partitionBy(run).orderBy(cycle)
     numbered = (texts.withColumn("__ord", F.dense_rank().over(w))
                 .withColumn("__last", F.max("__ord").over(Window.partitionBy(run))))
-    toks = numbered.select(run, cycle, "__ord", "__last",
-                           F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[^ \t\n\r]+"), 0))
-                           .alias("token"))
+    toks = spread(numbered).select(run, cycle, "__ord", "__last",
+                           F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[^ \t\n\r]+"), 0))
+                           .alias("token")).filter(F.col("token").isNotNull())
     counts = toks.groupBy(run, "__ord", "__last", "token").agg(F.count(F.lit(1)).alias("n"))
     cur = counts.select(run, "__ord", "token", F.col("n").alias("curr_n"), F.lit(0).cast("long").alias("prev_n"))
     nxt = counts.filter(F.col("__ord") < F.col("__last")).select(

@@ -1,17 +1,19 @@
 """Keyword-distribution scorer: per-text keyword histograms, their
 difference over the union of keys (missing = 0) and the verdict.
 
-Long form throughout: tokens are filtered to the lexicon inside the row
-(higher-order ``filter``), exploded, and counted with a partial+final hash
-aggregate, so only (id, side, keyword, n) rows are shuffled.
+Long form: tokens are exploded and filtered to the lexicon with an
+``IN`` set (an InSet in generated code), then counted with a partial+final
+hash aggregate, so only (id, side, keyword, n) rows are shuffled.  The
+row-form verdict (``keywords_equal``) compares sorted keyword lists and
+needs no shuffle at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscore.functions.sqltext import sql_keywords
+from sqlscore.functions.sqltext import LEXICON, sql_keywords, sql_tokens
 
 PASS = "Keyword counts of the candidate and the gold query are equal."
 FAIL = "Keyword counts differ; see metadata (gold minus candidate, per keyword)."
@@ -20,7 +22,12 @@ FAIL = "Keyword counts differ; see metadata (gold minus candidate, per keyword).
 def keyword_histogram(df: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataFrame:
     """(id, side, keyword, n) for each text column; ``text_cols`` maps side -> column."""
     parts = [df.select(F.col(id_col), F.lit(side).alias("side"),
-                       F.explode(sql_keywords(F.col(col))).alias("keyword"))
+                       # explode_outer: a plain explode makes the optimiser infer
+                       # size(tokens) > 0 and push it under the repartition,
+                       # tokenizing every text twice; nulls fail the IN below
+                       F.explode_outer(F.col(col + "__tokens") if col + "__tokens" in df.columns
+                                       else sql_tokens(F.col(col))).alias("keyword"))
+             .filter(F.col("keyword").isin(LEXICON))
              for side, col in text_cols.items()]
     exploded = parts[0]
     for p in parts[1:]:
@@ -53,3 +60,10 @@ def keyword_verdict(evals: DataFrame, diff: DataFrame, id_col: str) -> DataFrame
         F.coalesce(F.col("n_diff_keywords"), F.lit(0)).alias("n_diff_keywords"),
         F.when(value, F.lit(None)).otherwise(F.col("difference")).alias("metadata"),
         F.when(value, F.lit(PASS)).otherwise(F.lit(FAIL)).alias("rationale"))
+
+
+def keywords_equal(gold_tokens: Column, cand_tokens: Column) -> Column:
+    """Row form of the verdict: equal histograms <=> equal sorted keyword lists."""
+    kg = F.array_sort(F.filter(gold_tokens, lambda t: t.isin(LEXICON)))
+    kc = F.array_sort(F.filter(cand_tokens, lambda t: t.isin(LEXICON)))
+    return F.coalesce(kg, F.array()) == F.coalesce(kc, F.array())

@@ -16,32 +16,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlscore.operators.parallel import spread
+
 
 def apply_model(df: DataFrame, input_col: str, fn: Callable[[pd.Series], pd.Series],
                 output_col: str = "output", max_retries: int = 3, delay: float = 0.0,
                 partitions: int | None = None, batch_size: int | None = None) -> DataFrame:
-    """``output_col`` = fn(input_col) per row; ``error`` set on final failure."""
+    """``output_col`` = fn(input_col) per row; ``error`` set on final failure.
+    Rows whose input is null are passed through (null output) without a call."""
     schema = T.StructType(df.schema.fields + [T.StructField(output_col, T.StringType()),
                                               T.StructField("error", T.StringType())])
-    src = df.repartition(partitions) if partitions else df
+    src = df.repartition(partitions) if partitions else spread(df)
 
     def run(batches):
         for pdf in batches:
             steps = [pdf] if not batch_size else [pdf.iloc[i:i + batch_size] for i in range(0, len(pdf), batch_size)]
             for part in steps:
-                out, err = None, None
-                for attempt in range(max_retries + 1):
-                    try:
-                        out = pd.Series(fn(part[input_col]), index=part.index).astype("object")
-                        err = None
-                        break
-                    except Exception as exc:  # noqa: BLE001 - user code
-                        err = f"{type(exc).__name__}: {exc}"
-                        if attempt < max_retries and delay:
-                            time.sleep(delay * (attempt + 1))
                 part = part.copy()
-                part[output_col] = None if out is None else out.where(out.notna(), None)
-                part["error"] = err
+                part[output_col] = None
+                part["error"] = None
+                todo = part[input_col].notna()
+                if todo.any():
+                    out, err = None, None
+                    for attempt in range(max_retries + 1):
+                        try:
+                            out = pd.Series(fn(part.loc[todo, input_col]), index=part.index[todo]).astype("object")
+                            err = None
+                            break
+                        except Exception as exc:  # noqa: BLE001 - user code
+                            err = f"{type(exc).__name__}: {exc}"
+                            if attempt < max_retries and delay:
+                                time.sleep(delay * (attempt + 1))
+                    if out is not None:
+                        part.loc[todo, output_col] = out.where(out.notna(), None)
+                    else:
+                        part.loc[todo, "error"] = err
                 yield part
 
     return src.mapInPandas(run, schema)
@@ -57,14 +66,18 @@ def ai_query(df: DataFrame, column: str, instruction: str, fn: Callable[[pd.Seri
 def answer_followups(replies: DataFrame, evals: DataFrame, fn: Callable[[pd.Series], pd.Series],
                      template: str = "Question: {question}\nReference SQL: {gold_sql}") -> DataFrame:
     """Replies that asked a follow-up get re-answered from a prompt built
-    of the question and its gold SQL; all other replies pass through."""
+    of the question and its gold SQL; all other replies pass through.
+
+    One pass: every reply is looked up (left join), only follow-ups get a
+    prompt, and the model is called for non-null prompts only, so the reply
+    table is parsed once instead of once per branch of a filter + union."""
     from sqlscore.functions.sqltext import render
     from sqlscore.operators.evalset import gold_lookup
-    follow = replies.filter(F.col("status") == "followup").drop("candidate_sql")
-    rest = replies.filter(~F.col("status").eqNullSafe(F.lit("followup")))
-    ctx = gold_lookup(follow, evals).withColumn(
-        "__prompt", render(template, {"question": F.col("question"), "gold_sql": F.col("gold_sql")}))
-    answered = (apply_model(ctx, "__prompt", fn, "candidate_sql")
-                .withColumn("status", F.when(F.col("error").isNull(), F.lit("answered")).otherwise(F.lit("model_error")))
-                .drop("__prompt", "error", "gold_eval_id", "gold_sql"))
-    return rest.unionByName(answered, allowMissingColumns=True)
+    follow = F.col("status") == "followup"
+    ctx = gold_lookup(replies, evals).withColumn(
+        "__prompt", F.when(follow, render(template, {"question": F.col("question"), "gold_sql": F.col("gold_sql")})))
+    out = apply_model(ctx, "__prompt", fn, "__answer")
+    return (out.withColumn("candidate_sql", F.when(follow, F.col("__answer")).otherwise(F.col("candidate_sql")))
+            .withColumn("status", F.when(follow & F.col("error").isNull(), F.lit("answered"))
+                        .when(follow, F.lit("model_error")).otherwise(F.col("status")))
+            .drop("__prompt", "__answer", "error", "gold_eval_id", "gold_sql"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlscore.operators.parallel import spread
+
 REPLY_SCHEMA = T.StructType([
     T.StructField("conversation_id", T.StringType()),
     T.StructField("created_timestamp", T.LongType()),
@@ -31,8 +33,8 @@ def parse_json(df: DataFrame, col: str, schema: T.StructType, out: str = "parsed
     parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
     all_null = F.lit(True)
     for f in schema.fields:
-        all_null = all_null & parsed[f.name].isNull()
-    return df.withColumn(out, parsed).withColumn("parse_error", F.col(col).isNotNull() & all_null)
+        all_null = all_null & F.col(out)[f.name].isNull()
+    return spread(df).withColumn(out, parsed).withColumn("parse_error", F.col(col).isNotNull() & all_null)
 
 
 def classify(df: DataFrame, reply: str = "reply") -> DataFrame:

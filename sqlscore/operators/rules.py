@@ -1,7 +1,9 @@
 """Deterministic guideline rules on (gold, candidate) SQL text pairs.
 
 Each rule is a Column expression over the lexical token stream (literals
-and comments removed), so a whole eval set is scored in one projection.
+and comments removed).  ``tokenize`` adds the token arrays once, so a plan
+that applies several rules (or the keyword scorer) splits each text once;
+the rules themselves avoid lambdas and stay in generated code.
 """
 
 from __future__ import annotations
@@ -9,58 +11,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscore.functions.sqltext import normalised, sql_tokens, strip_literals
+from sqlscore.functions.sqltext import SEP1, normalised, sql_tokens, strip_literals
+from sqlscore.operators.parallel import spread
 
 # Names after FROM / JOIN (lexical; CTE names are removed separately).
 TABLE_RE = r"(?i)(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_.]*)"
 CTE_RE = r"(?i)(?:WITH|,)\s*([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\("
 
+SUFFIX = "__tokens"
+
+
+def tokenize(df: DataFrame, *cols: str) -> DataFrame:
+    """Add ``<col>__tokens`` (array of upper-case tokens) for each text column.
+    Regex work is CPU-heavy: a narrow input is spread over the cluster first."""
+    return spread(df).select("*", *[sql_tokens(F.col(c)).alias(c + SUFFIX) for c in cols])
+
+
+def tokens_of(df: DataFrame, col: str) -> Column:
+    return F.col(col + SUFFIX) if col + SUFFIX in df.columns else sql_tokens(F.col(col))
+
+
+def join_count_tokens(tokens: Column) -> Column:
+    """Tokens ending in JOIN (JOIN, LEFT JOIN, ...): count of 'JOIN<sep>' in the
+    re-joined stream, a substring count instead of a lambda."""
+    s = F.concat(F.array_join(tokens, SEP1), F.lit(SEP1))
+    return ((F.length(s) - F.length(F.replace(s, F.lit("JOIN" + SEP1), F.lit("")))) / 5).cast("int")
+
 
 def join_count(sql: Column) -> Column:
-    """Number of join keywords (JOIN, LEFT JOIN, ...)."""
-    return F.size(F.filter(sql_tokens(sql), lambda t: t.endswith("JOIN")))
+    return join_count_tokens(sql_tokens(sql))
+
+
+def has_select_tokens(tokens: Column) -> Column:
+    return F.coalesce(F.array_contains(tokens, "SELECT"), F.lit(False))
 
 
 def has_select(sql: Column) -> Column:
-    return F.coalesce(F.array_contains(sql_tokens(sql), "SELECT"), F.lit(False))
+    return has_select_tokens(sql_tokens(sql))
 
 
 def tables_used(sql: Column) -> Column:
     """Distinct lower-case table names after FROM/JOIN, minus CTE names."""
-    text = strip_literals(sql)
-    found = F.transform(F.regexp_extract_all(text, F.lit(TABLE_RE), 1), lambda x: F.lower(x))
-    ctes = F.transform(F.regexp_extract_all(text, F.lit(CTE_RE), 1), lambda x: F.lower(x))
+    text = F.lower(strip_literals(sql))
+    found = F.regexp_extract_all(text, F.lit(TABLE_RE), 1)
+    ctes = F.regexp_extract_all(text, F.lit(CTE_RE), 1)
     return F.array_sort(F.array_distinct(F.array_except(found, ctes)))
 
 
-def identifiers(sql: Column) -> Column:
-    return F.transform(sql_tokens(sql), lambda t: F.lower(t))
+def missing_dims(tokens: Column, dims: list[str]) -> Column:
+    """Required identifiers absent from the token stream, comma-joined (lower case)."""
+    req = F.array(*[F.lit(d.upper()) for d in dims])
+    return F.lower(F.array_join(F.array_except(req, tokens), ","))
 
 
 def rule_count_joins(df: DataFrame, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
-    return df.withColumn("gold_joins", join_count(F.col(gold))).withColumn(
-        "cand_joins", join_count(F.col(cand))).withColumn(
+    return df.withColumn("gold_joins", join_count_tokens(tokens_of(df, gold))).withColumn(
+        "cand_joins", join_count_tokens(tokens_of(df, cand))).withColumn(
         "value", F.col("gold_joins") == F.col("cand_joins"))
 
 
 def rule_has_select(df: DataFrame, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
-    return df.withColumn("gold_has_select", has_select(F.col(gold))).withColumn(
-        "cand_has_select", has_select(F.col(cand))).withColumn("value", F.col("gold_has_select"))
+    return df.withColumn("gold_has_select", has_select_tokens(tokens_of(df, gold))).withColumn(
+        "cand_has_select", has_select_tokens(tokens_of(df, cand))).withColumn("value", F.col("gold_has_select"))
 
 
 def rule_tables(df: DataFrame, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
-    g, c = tables_used(F.col(gold)), tables_used(F.col(cand))
-    return (df.withColumn("missing_tables", F.array_join(F.array_except(g, c), ","))
-            .withColumn("extra_tables", F.array_join(F.array_except(c, g), ","))
-            .withColumn("value", (F.col("missing_tables") == "") & (F.col("extra_tables") == "")))
+    t = spread(df).select("*", tables_used(F.col(gold)).alias("__gt"), tables_used(F.col(cand)).alias("__ct"))
+    return (t.withColumn("missing_tables", F.array_join(F.array_except("__gt", "__ct"), ","))
+            .withColumn("extra_tables", F.array_join(F.array_except("__ct", "__gt"), ","))
+            .withColumn("value", (F.col("missing_tables") == "") & (F.col("extra_tables") == ""))
+            .drop("__gt", "__ct"))
 
 
 def rule_required_dims(df: DataFrame, dims: list[str], cand: str = "candidate_sql") -> DataFrame:
-    ids = identifiers(F.col(cand))
-    req = F.array(*[F.lit(d.lower()) for d in dims])
-    return df.withColumn("missing_dims", F.array_join(F.array_except(req, ids), ",")).withColumn(
+    return df.withColumn("missing_dims", missing_dims(tokens_of(df, cand), dims)).withColumn(
         "value", F.col("missing_dims") == "")
 
 
-__all__ = ["join_count", "has_select", "tables_used", "identifiers", "normalised",
+__all__ = ["tokenize", "tokens_of", "join_count", "has_select", "tables_used", "normalised",
            "rule_count_joins", "rule_has_select", "rule_tables", "rule_required_dims"]

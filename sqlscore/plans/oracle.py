@@ -7,7 +7,7 @@ steps and scorers are restated here in DuckDB's dialect (lambda syntax,
 
 from __future__ import annotations
 
-from sqlscore.functions.sqltext import LITERALS_RE, MULTIWORD, NONWORD_RE, TOKEN_RE, LEXICON
+from sqlscore.functions.sqltext import LEXICON, LITERALS_RE, MULTIWORD, NONWORD_RE, SEP1, fused
 from sqlscore.operators.keywords import FAIL, PASS
 from sqlscore.operators.rules import CTE_RE, TABLE_RE
 from sqlscore.operators.corpus import ELEMENT_RE
@@ -90,18 +90,31 @@ RUNS = f"""runs AS (
 
 # ------------------------------------------------------------ tokenizer
 
+def sq(s: str) -> str:
+    """SQL text for a string that may contain the separator character."""
+    parts = s.split(SEP1)
+    out = []
+    for i, part in enumerate(parts):
+        if i:
+            out.append("chr(1)")
+        if part:
+            out.append(lit(part))
+    return "(" + " || ".join(out) + ")"
+
+
 def norm(x: str) -> str:
     s = f"regexp_replace({x}, {lit(LITERALS_RE)}, ' ', 'g')"
     s = f"split_part({s}, ';', 1)"
-    s = f"('  ' || upper(regexp_replace({s}, {lit(NONWORD_RE)}, '  ', 'g')) || '  ')"
+    s = f"regexp_replace({s}, {lit(NONWORD_RE)}, chr(1) || chr(1), 'g')"
+    s = f"(chr(1) || chr(1) || upper(replace({s}, ';', chr(1) || chr(1))) || chr(1) || chr(1))"
     for phrase in MULTIWORD:
-        w = phrase.split(" ")
-        s = f"replace({s}, {lit(' ' + '  '.join(w) + ' ')}, {lit(' ' + '#'.join(w) + ' ')})"
+        search, repl = fused(phrase)
+        s = f"replace({s}, {sq(search)}, {sq(repl)})"
     return s
 
 
 def tokens(x: str) -> str:
-    return f"list_transform(regexp_extract_all({norm(x)}, {lit(TOKEN_RE)}), lambda t: replace(t, '#', ' '))"
+    return f"string_split({norm(x)}, chr(1))"
 
 
 LEX = "(" + ", ".join(lit(k) for k in LEXICON) + ")"

@@ -110,8 +110,13 @@ def q_user_questions(spark, sf):
 
 # ---------------------------------------------------------------- keywords / rules
 
+def _cands(spark, sf):
+    """Candidates with each SQL text tokenized once for all scorers in the plan."""
+    return rules.tokenize(S.candidates(spark, sf), "gold_sql", "candidate_sql")
+
+
 def _hist(spark, sf):
-    c = S.candidates(spark, sf)
+    c = _cands(spark, sf)
     return c, keywords.keyword_histogram(c, "eval_id", {"gold": "gold_sql", "candidate": "candidate_sql"})
 
 
@@ -129,11 +134,11 @@ def q_keyword_verdict(spark, sf):
 
 
 def q_rule_count_joins(spark, sf):
-    return rules.rule_count_joins(S.candidates(spark, sf)).select("eval_id", "gold_joins", "cand_joins", "value")
+    return rules.rule_count_joins(_cands(spark, sf)).select("eval_id", "gold_joins", "cand_joins", "value")
 
 
 def q_rule_has_select(spark, sf):
-    return rules.rule_has_select(S.candidates(spark, sf)).select("eval_id", "gold_has_select", "cand_has_select", "value")
+    return rules.rule_has_select(_cands(spark, sf)).select("eval_id", "gold_has_select", "cand_has_select", "value")
 
 
 def q_rule_tables(spark, sf):
@@ -141,20 +146,29 @@ def q_rule_tables(spark, sf):
 
 
 def q_rule_required_dims(spark, sf):
-    return rules.rule_required_dims(S.candidates(spark, sf), REQUIRED_DIMS).select("eval_id", "missing_dims", "value")
+    return rules.rule_required_dims(_cands(spark, sf), REQUIRED_DIMS).select("eval_id", "missing_dims", "value")
+
+
+SCORERS = ["sql_clauses_distribution_equivalence", "count_joins", "has_select", "dimension_ambiguity",
+           "required_dims"]
 
 
 def _feedback(spark, sf) -> DataFrame:
-    """All deterministic scorers as one long feedback table."""
-    c, h = _hist(spark, sf)
-    kv = keywords.keyword_verdict(c, keywords.keyword_diff(h, "eval_id"), "eval_id").select(
-        "eval_id", F.lit("sql_clauses_distribution_equivalence").alias("scorer"), "value", "rationale")
-    fb = [kv,
-          rules.rule_count_joins(c).select("eval_id", F.lit("count_joins").alias("scorer"), "value"),
-          rules.rule_has_select(c).select("eval_id", F.lit("has_select").alias("scorer"), "value"),
-          rules.rule_tables(c).select("eval_id", F.lit("dimension_ambiguity").alias("scorer"), "value"),
-          rules.rule_required_dims(c, REQUIRED_DIMS).select("eval_id", F.lit("required_dims").alias("scorer"), "value")]
-    return metrics.union_feedback(*fb)
+    """All deterministic scorers of a row computed in ONE projection over
+    the tokens (each text split once, no shuffle), then unpivoted to the long
+    feedback form (eval_id, scorer, value)."""
+    c = _cands(spark, sf)
+    gt, ct = F.col("gold_sql__tokens"), F.col("candidate_sql__tokens")
+    tg, tc = rules.tables_used(F.col("gold_sql")), rules.tables_used(F.col("candidate_sql"))
+    wide = c.select(
+        "eval_id",
+        keywords.keywords_equal(gt, ct).alias(SCORERS[0]),
+        (rules.join_count_tokens(gt) == rules.join_count_tokens(ct)).alias(SCORERS[1]),
+        rules.has_select_tokens(gt).alias(SCORERS[2]),
+        ((F.array_join(F.array_except(tg, tc), ",") == "") & (F.array_join(F.array_except(tc, tg), ",") == ""))
+        .alias(SCORERS[3]),
+        (rules.missing_dims(ct, REQUIRED_DIMS) == "").alias(SCORERS[4]))
+    return wide.unpivot("eval_id", SCORERS, "scorer", "value")
 
 
 def q_evaluate_all(spark, sf):

@@ -314,7 +314,9 @@ def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag",
 
 
 def fingerprint_verdicts(spark: SparkSession, pairs: list[Pair]) -> DataFrame:
-    """Per pair: gold/candidate fingerprints and whether they match (no row shuffle)."""
+    """Per pair: gold/candidate fingerprints and whether they match (no row
+    shuffle: each side is one partial+final aggregate).  Each text is analysed
+    once; texts that fail analysis give (NULL, NULL, false)."""
     out = None
     for p in pairs:
         try:

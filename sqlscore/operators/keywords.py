@@ -20,18 +20,22 @@ FAIL = "Keyword counts differ; see metadata (gold minus candidate, per keyword).
 
 
 def keyword_histogram(df: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataFrame:
-    """(id, side, keyword, n) for each text column; ``text_cols`` maps side -> column."""
-    parts = [df.select(F.col(id_col), F.lit(side).alias("side"),
-                       # explode_outer: a plain explode makes the optimiser infer
-                       # size(tokens) > 0 and push it under the repartition,
-                       # tokenizing every text twice; nulls fail the IN below
-                       F.explode_outer(F.col(col + "__tokens") if col + "__tokens" in df.columns
-                                       else sql_tokens(F.col(col))).alias("keyword"))
-             .filter(F.col("keyword").isin(LEXICON))
-             for side, col in text_cols.items()]
-    exploded = parts[0]
-    for p in parts[1:]:
-        exploded = exploded.unionByName(p)
+    """(id, side, keyword, n) for each text column; ``text_cols`` maps side -> column.
+
+    One pass over the input: the sides' token arrays are packed into one
+    array of (side, tokens) structs and exploded twice, so the rows are read,
+    spread and tokenized once whatever the number of sides."""
+    def toks(col: str):
+        return F.col(col + "__tokens") if col + "__tokens" in df.columns else sql_tokens(F.col(col))
+
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), toks(col).alias("toks"))
+                      for side, col in text_cols.items()])
+    per_side = df.select(F.col(id_col), F.inline(sides))
+    # explode_outer: a plain explode makes the optimiser infer size(toks) > 0
+    # and push it under the repartition, tokenizing every text twice; the
+    # null rows it keeps fail the IN filter.
+    exploded = (per_side.select(id_col, "side", F.explode_outer("toks").alias("keyword"))
+                .filter(F.col("keyword").isin(LEXICON)))
     return exploded.groupBy(id_col, "side", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -47,17 +51,23 @@ def keyword_diff(hist: DataFrame, id_col: str, gold: str = "gold", cand: str = "
 
 
 def keyword_verdict(evals: DataFrame, diff: DataFrame, id_col: str) -> DataFrame:
-    """(id, value, n_diff_keywords, rationale) for every eval row (texts with no
-    keywords at all are equal).  The metadata map keeps all keys, zeros
-    included, only when the verdict is false."""
-    per_id = diff.groupBy(id_col).agg(
-        F.count_if(F.col("diff") != 0).alias("n_diff_keywords"),
-        F.map_from_entries(F.collect_list(F.struct("keyword", F.col("diff").cast("int")))).alias("difference"))
-    out = evals.select(id_col).join(per_id, id_col, "left")
-    value = F.coalesce(F.col("n_diff_keywords"), F.lit(0)) == 0
-    return out.select(
-        id_col, value.alias("value"),
-        F.coalesce(F.col("n_diff_keywords"), F.lit(0)).alias("n_diff_keywords"),
+    """(id, value, n_diff_keywords, metadata, rationale) for every eval row
+    (texts with no keywords at all are equal).  The metadata map keeps all
+    keys, zeros included, only when the verdict is false.
+
+    Every id enters the final aggregate as a sentinel row next to its
+    keyword rows, so ids without keywords need no outer join: one aggregate
+    on the id instead of an aggregate plus a join."""
+    rows = diff.select(id_col, (F.col("diff") != 0).alias("d"),
+                       F.struct("keyword", F.col("diff").cast("int").alias("diff")).alias("kv"))
+    sentinels = evals.select(id_col, F.lit(None).cast("boolean").alias("d"),
+                             F.lit(None).cast("struct<keyword:string,diff:int>").alias("kv"))
+    per_id = rows.unionByName(sentinels).groupBy(id_col).agg(
+        F.count_if(F.col("d")).alias("n_diff_keywords"),
+        F.map_from_entries(F.collect_list("kv")).alias("difference"))
+    value = F.col("n_diff_keywords") == 0
+    return per_id.select(
+        id_col, value.alias("value"), "n_diff_keywords",
         F.when(value, F.lit(None)).otherwise(F.col("difference")).alias("metadata"),
         F.when(value, F.lit(PASS)).otherwise(F.lit(FAIL)).alias("rationale"))
 

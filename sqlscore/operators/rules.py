@@ -88,5 +88,17 @@ def rule_required_dims(df: DataFrame, dims: list[str], cand: str = "candidate_sq
         "value", F.col("missing_dims") == "")
 
 
-__all__ = ["tokenize", "tokens_of", "join_count", "has_select", "tables_used", "normalised",
+def rule_limit_without_order(df: DataFrame, cols=("gold_sql", "candidate_sql")) -> DataFrame:
+    """Flag texts whose result is not deterministic: a LIMIT with no ORDER BY
+    anywhere in the (first) statement.  Such pairs should not be scored in
+    ordered mode, and a bag verdict on them may flip between runs."""
+    out = df
+    for c in cols:
+        t = tokens_of(df, c)
+        out = out.withColumn(f"{c}_unordered_limit",
+                             F.array_contains(t, "LIMIT") & ~F.array_contains(t, "ORDER BY"))
+    return out
+
+
+__all__ = ["rule_limit_without_order", "tokenize", "tokens_of", "join_count", "has_select", "tables_used", "normalised",
            "rule_count_joins", "rule_has_select", "rule_tables", "rule_required_dims"]

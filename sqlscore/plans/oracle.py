@@ -249,6 +249,11 @@ def oracle_sql() -> dict[str, str]:
         "rule_tables": f"{WC}, {RULES} SELECT eval_id, missing_tables, extra_tables, "
                        "(missing_tables = '') AND (extra_tables = '') AS value FROM r_tables",
         "rule_required_dims": f"{WC}, {RULES} SELECT eval_id, missing_dims, missing_dims = '' AS value FROM r_dims",
+        "rule_limit_without_order": f"{WC} SELECT eval_id, "
+                                    f"list_contains({tokens('gold_sql')}, 'LIMIT') AND NOT list_contains({tokens('gold_sql')}, 'ORDER BY') "
+                                    "AS gold_sql_unordered_limit, "
+                                    f"list_contains({tokens('candidate_sql')}, 'LIMIT') AND NOT list_contains({tokens('candidate_sql')}, 'ORDER BY') "
+                                    "AS candidate_sql_unordered_limit FROM cands",
         "evaluate_all": f"{WC}, {HIST}, {DIFF}, {VERDICT}, {RULES}, fb AS ("
                         "SELECT 'sql_clauses_distribution_equivalence' AS scorer, value FROM kverdict "
                         "UNION ALL SELECT 'count_joins', gold_joins = cand_joins FROM r_joins "

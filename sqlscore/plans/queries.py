@@ -149,6 +149,11 @@ def q_rule_required_dims(spark, sf):
     return rules.rule_required_dims(_cands(spark, sf), REQUIRED_DIMS).select("eval_id", "missing_dims", "value")
 
 
+def q_rule_limit_without_order(spark, sf):
+    r = rules.rule_limit_without_order(_cands(spark, sf))
+    return r.select("eval_id", "gold_sql_unordered_limit", "candidate_sql_unordered_limit")
+
+
 SCORERS = ["sql_clauses_distribution_equivalence", "count_joins", "has_select", "dimension_ambiguity",
            "required_dims"]
 
@@ -391,6 +396,7 @@ QUERIES = {
     "rule_has_select": q_rule_has_select,
     "rule_tables": q_rule_tables,
     "rule_required_dims": q_rule_required_dims,
+    "rule_limit_without_order": q_rule_limit_without_order,
     "evaluate_all": q_evaluate_all,
     "metric_means": q_metric_means,
     "label_means": q_label_means,

@@ -71,3 +71,12 @@ def test_rules(spark):
     assert t[1]["value"] is True and t[1]["missing_tables"] == ""
     d = {r["eval_id"]: r for r in rules.rule_required_dims(df, ["o_custkey", "o_orderpriority"]).collect()}
     assert d[1]["value"] is True and d[2]["missing_dims"] == "o_custkey,o_orderpriority"
+
+
+def test_limit_without_order(spark):
+    df = spark.createDataFrame([(1, "SELECT a FROM t LIMIT 5", "SELECT a FROM t ORDER BY a LIMIT 5"),
+                                (2, "SELECT a FROM t -- LIMIT 5", "SELECT a FROM t")],
+                               "eval_id int, gold_sql string, candidate_sql string")
+    r = {x["eval_id"]: x for x in rules.rule_limit_without_order(df).collect()}
+    assert r[1]["gold_sql_unordered_limit"] is True and r[1]["candidate_sql_unordered_limit"] is False
+    assert r[2]["gold_sql_unordered_limit"] is False

@@ -103,3 +103,25 @@ def gold_lookup(cands: DataFrame, evals: DataFrame, on: str = "question") -> Dat
             .agg(F.min_by(F.struct("eval_id", "gold_sql"), F.col("eval_id")).alias("g"))
             .select(on, F.col("g.eval_id").alias("gold_eval_id"), F.col("g.gold_sql").alias("gold_sql")))
     return cands.join(gold, on, "left")
+
+
+def batches(df: DataFrame, size: int, order_by: str = "eval_id", out: str = "batch") -> DataFrame:
+    """Consecutive batches of ``size`` rows in ``order_by`` order.  The
+    position comes from a distributed zip-with-index over the sorted rows
+    (range-partitioned sort, per-partition offsets), never a global
+    ``row_number`` window in one partition."""
+    from sqlscore.operators.equivalence import dense_index
+    if size <= 0:
+        raise ValueError("size must be > 0")
+    ranked = dense_index(df.orderBy(order_by), "__pos")
+    return ranked.withColumn(out, F.floor(F.col("__pos") / F.lit(size)).cast("long")).drop("__pos")
+
+
+def guideline_requests(df: DataFrame, guidelines: dict[str, str], first_only: bool = True) -> DataFrame:
+    """One judge request per (row, guideline).  The guidelines are a small
+    parameter (a literal array exploded per row), so no join is involved.
+    Versioned guideline lists keep only their first text, as the reference does."""
+    items = F.array(*[F.struct(F.lit(k).alias("guideline"),
+                               F.lit(v[0] if first_only and isinstance(v, (list, tuple)) else v).alias("guideline_text"))
+                      for k, v in guidelines.items()])
+    return df.select("*", F.inline(items))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlscore.operators import equivalence, keywords, metrics, rules
+from sqlscore.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
 _REGISTRY: dict[str, Scorer] = {}
@@ -76,7 +77,7 @@ def score_results(spark: SparkSession, df: DataFrame, group_size: int = 50, mode
     control plane: each needs its own plan); rows come back by a join."""
     key = F.xxhash64(F.coalesce(F.col("gold_sql"), F.lit("\u0000")), F.lit("\u0001"),
                      F.coalesce(F.col("candidate_sql"), F.lit("\u0000"))).cast("string")
-    keyed = df.withColumn("pair_id", key)
+    keyed = materialize(df.withColumn("pair_id", key))  # read twice: pair list, then the join
     distinct = keyed.select("pair_id", "gold_sql", "candidate_sql").dropDuplicates(["pair_id"])
     pairs = [equivalence.Pair(r["pair_id"], r["gold_sql"], r["candidate_sql"])
              for r in distinct.toLocalIterator()]

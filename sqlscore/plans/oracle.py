@@ -236,6 +236,11 @@ def oracle_sql() -> dict[str, str]:
                         "issues AS guideline, gold_sql AS expected_response FROM evals",
         "eval_prepare": f"{W} SELECT eval_id, question, CAST(r AS INTEGER) AS replica FROM "
                         "(SELECT eval_id, question FROM evals ORDER BY eval_id LIMIT 500) e, range(2) t(r)",
+        "eval_batches": f"{W} SELECT eval_id, CAST(floor((row_number() OVER (ORDER BY eval_id) - 1) / 64) AS BIGINT) AS batch FROM evals",
+        "guideline_requests": f"{WC}, g(guideline, guideline_text) AS (VALUES "
+                              + ", ".join(f"({lit(k)}, {lit(v)})" for k, v in Q.GUIDELINES.items())
+                              + ") SELECT eval_id, guideline, concat_ws(chr(10), guideline_text, question, candidate_sql) AS request "
+                              "FROM cands, g",
         "gold_lookup": f"{WC}, g AS (SELECT original_question AS question, min(eval_id) AS gold_eval_id FROM evals GROUP BY 1) "
                        "SELECT c.eval_id, c.question, g.gold_eval_id, e.gold_sql FROM cands c LEFT JOIN g USING (question) "
                        "LEFT JOIN evals e ON e.eval_id = g.gold_eval_id",
@@ -307,6 +312,8 @@ def oracle_sql() -> dict[str, str]:
                       "(SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY quality DESC, cycle) AS rn FROM q) WHERE rn = 1",
         "best_cycles_top10": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality FROM q "
                              "ORDER BY quality DESC, run_id, cycle LIMIT 10",
+        "cycle_numbering": f"WITH {RUNS} SELECT run_id, root_run_id, CAST(dense_rank() OVER (PARTITION BY root_run_id "
+                           "ORDER BY substr(run_name, 7, 8)) AS INTEGER) AS cycle FROM runs WHERE mode = 'cycle'",
         "runs_parent_name": f"WITH {RUNS} SELECT r.run_id, r.parent_run_id, r.run_name, p.run_name AS parent_run_name "
                             "FROM runs r LEFT JOIN runs p ON r.parent_run_id = p.run_id",
         "runs_under_roots": f"WITH {RUNS} SELECT run_id, root_run_id, mode FROM runs WHERE root_run_id IN "

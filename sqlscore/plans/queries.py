@@ -99,6 +99,28 @@ def q_eval_prepare(spark, sf):
     return evalset.prepare(S.eval_set(spark, sf).select("eval_id", "question"), 500, 2)
 
 
+GUIDELINES = {
+    "count_joins": "The candidate query uses the same number of joins as the expected query.",
+    "has_select": "The expected response contains a SELECT statement.",
+    "dimension_ambiguity": "The candidate query reads the same tables as the expected query.",
+}
+
+
+def q_eval_batches(spark, sf):
+    return evalset.batches(S.eval_set(spark, sf).select("eval_id"), 64)
+
+
+def q_guideline_requests(spark, sf):
+    e = S.candidates(spark, sf).select("eval_id", "question", "candidate_sql")
+    return evalset.guideline_requests(e, GUIDELINES).select(
+        "eval_id", "guideline", F.concat_ws("\n", "guideline_text", "question", "candidate_sql").alias("request"))
+
+
+def q_cycle_numbering(spark, sf):
+    r = S.runs(spark, sf).filter(F.col("mode") == "cycle").withColumn("started_at", F.substring("run_name", 7, 8))
+    return cycles.number_cycles(r, run="root_run_id", started="started_at").select("run_id", "root_run_id", "cycle")
+
+
 def q_gold_lookup(spark, sf):
     c = S.candidates(spark, sf).select("eval_id", "question")
     return evalset.gold_lookup(c, S.eval_set(spark, sf)).select("eval_id", "question", "gold_eval_id", "gold_sql")
@@ -387,6 +409,8 @@ QUERIES = {
     "eval_split": q_eval_split,
     "eval_request": q_eval_request,
     "eval_prepare": q_eval_prepare,
+    "eval_batches": q_eval_batches,
+    "guideline_requests": q_guideline_requests,
     "gold_lookup": q_gold_lookup,
     "user_questions": q_user_questions,
     "keyword_hist": q_keyword_hist,
@@ -411,6 +435,7 @@ QUERIES = {
     "prompt_token_diff": q_prompt_token_diff,
     "latest_instruction": q_latest_instruction,
     "best_cycle": q_best_cycle,
+    "cycle_numbering": q_cycle_numbering,
     "best_cycles_top10": q_best_cycles_top10,
     "runs_parent_name": q_runs_parent_name,
     "runs_under_roots": q_runs_under_roots,

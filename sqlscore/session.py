@@ -57,3 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
     import uuid
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Cut lineage for a frame that several actions reuse: a reliable
+    ``checkpoint()`` into the shared checkpoint folder (never a local one),
+    so a lost executor costs a re-read, not a recomputation of the plan."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

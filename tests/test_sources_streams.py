@@ -71,3 +71,18 @@ def test_stream_dedup_and_late_rows(spark):
     r2 = {r["window_start"].day: r for r in means.run_to_parquet(spark, agg, od, ck).collect()}
     assert r2[1]["n"] == 2 and r2[1]["mean"] == 1.0  # the late row for day 1 is dropped
     assert r2[3]["n"] == 2 and r2[3]["mean"] == 6.0  # within the watermark, kept
+
+
+def test_score_results_dedups_and_joins_back(spark):
+    from sqlscore.operators.evaluate import evaluate, load_scorers, score_results
+    spark.createDataFrame([(1,), (2,)], "a int").createOrReplaceTempView("t_sr")
+    df = spark.createDataFrame([
+        (1, "SELECT a FROM t_sr", "SELECT a FROM t_sr ORDER BY a"),
+        (2, "SELECT a FROM t_sr", "SELECT a FROM t_sr ORDER BY a"),
+        (3, "SELECT a FROM t_sr", "SELECT a + 1 FROM t_sr"),
+        (4, None, "SELECT 1")], "eval_id int, gold_sql string, candidate_sql string")
+    r = {x["eval_id"]: x for x in score_results(spark, df).collect()}
+    assert r[1]["value"] and r[2]["value"] and not r[3]["value"]
+    assert r[3]["only_in_gold"] == 1 and r[4]["error"] == "gold:no_gold"
+    fb = evaluate(df, load_scorers(["count_joins", "has_select"])).collect()
+    assert len(fb) == 8

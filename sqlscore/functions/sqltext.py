@@ -3,10 +3,10 @@
 The SQL keyword tokenizer is lexical, not a parser.  String literals,
 quoted names and comments are blanked in one left-to-right regex pass
 (whichever construct opens first wins, as in a lexer), the text is cut at
-the first ``;`` (first statement only), every run of non-word characters
-becomes a double separator, the text is upper-cased (only ASCII word
-characters remain), multi-word keywords are fused by literal replaces, and
-tokens come from a one-character split (Java's non-regex fast path).  No lambdas, so the whole chain stays in
+the first ``;`` (first statement only), every run of separator characters
+(ASCII non-word characters and Unicode blanks) becomes a double separator,
+the text is upper-cased, multi-word keywords are fused by literal replaces,
+and tokens come from a one-character split (Java's non-regex fast path).  No lambdas, so the whole chain stays in
 generated code.  The same steps run in DuckDB for the oracle; no
 look-around, no back-references, ASCII classes only.
 """
@@ -40,13 +40,23 @@ LEXICON = KEYWORDS + MULTIWORD
 
 # Literals, quoted names, line and block comments.
 LITERALS_RE = r"'[^']*'" + '|"[^"]*"' + r"|`[^`]*`|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
-NONWORD_RE = r"[^A-Za-z0-9_;]+"  # ';' kept for the statement cut
+# Separator characters: ASCII non-word characters (';' is handled by the
+# statement cut) and the Unicode blanks.  Mapped one-to-one by translate.
+SEPARATORS = ("".join(chr(i) for i in range(128) if not (chr(i).isalnum() or chr(i) in "_;"))
+              + "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b"
+              + "\u2028\u2029\u3000\ufeff")
+LITERAL_OPENERS = ("'", '"', "`", "--", "/*")
 SEP1 = "\u0001"           # token separator (never in the output text)
 SEP = SEP1 + SEP1         # a run becomes two: a fused phrase consumes one, its neighbour keeps one
 
 
 def strip_literals(sql: Column) -> Column:
-    return F.regexp_replace(sql, LITERALS_RE, " ")
+    """Blank literals and comments; the regex runs only on texts that contain
+    a possible opener (cheap literal checks first)."""
+    has = None
+    for o in LITERAL_OPENERS:
+        has = sql.contains(o) if has is None else has | sql.contains(o)
+    return F.when(has, F.regexp_replace(sql, LITERALS_RE, " ")).otherwise(sql)
 
 
 def first_statement(sql: Column) -> Column:
@@ -60,12 +70,21 @@ def fused(phrase: str) -> tuple[str, str]:
 
 
 def normalised(sql: Column, only_first_statement: bool = True) -> Column:
-    """Upper-case word stream, words separated by SEP, phrases fused with blanks."""
+    """Upper-case word stream, words separated by SEP, phrases fused with blanks.
+
+    Separator characters are mapped by ``translate`` (a per-character table
+    lookup); only runs of two or more separators need the regex, which
+    therefore matches rarely; a literal replace then doubles every separator
+    so that adjacent fused phrases each find their own."""
     x = strip_literals(sql)
+    seps = SEPARATORS
     if only_first_statement:
         x = first_statement(x)
-    x = F.regexp_replace(x, NONWORD_RE, SEP)
-    x = F.concat(F.lit(SEP), F.upper(F.replace(x, F.lit(";"), F.lit(SEP))), F.lit(SEP))
+    else:
+        seps = seps + ";"
+    x = F.translate(x, seps, SEP1 * len(seps))
+    x = F.regexp_replace(x, SEP1 + SEP1 + "+", SEP1)
+    x = F.concat(F.lit(SEP), F.upper(F.replace(x, F.lit(SEP1), F.lit(SEP))), F.lit(SEP))
     for phrase in MULTIWORD:
         search, repl = fused(phrase)
         x = F.replace(x, F.lit(search), F.lit(repl))

@@ -7,7 +7,7 @@ steps and scorers are restated here in DuckDB's dialect (lambda syntax,
 
 from __future__ import annotations
 
-from sqlscore.functions.sqltext import LEXICON, LITERALS_RE, MULTIWORD, NONWORD_RE, SEP1, fused
+from sqlscore.functions.sqltext import LEXICON, LITERAL_OPENERS, LITERALS_RE, MULTIWORD, SEP1, SEPARATORS, fused
 from sqlscore.operators.keywords import FAIL, PASS
 from sqlscore.operators.rules import CTE_RE, TABLE_RE
 from sqlscore.operators.corpus import ELEMENT_RE
@@ -102,11 +102,32 @@ def sq(s: str) -> str:
     return "(" + " || ".join(out) + ")"
 
 
+def chars(s: str) -> str:
+    """SQL text for any string: printable runs as literals, the rest as chr(n)."""
+    out, run = [], ""
+    for ch in s:
+        if 32 <= ord(ch) < 127:
+            run += ch
+        else:
+            if run:
+                out.append(lit(run))
+                run = ""
+            out.append(f"chr({ord(ch)})")
+    if run:
+        out.append(lit(run))
+    return "(" + " || ".join(out) + ")"
+
+
+def strip(x: str) -> str:
+    has = " OR ".join(f"contains({x}, {lit(o)})" for o in LITERAL_OPENERS)
+    return f"(CASE WHEN {has} THEN regexp_replace({x}, {lit(LITERALS_RE)}, ' ', 'g') ELSE {x} END)"
+
+
 def norm(x: str) -> str:
-    s = f"regexp_replace({x}, {lit(LITERALS_RE)}, ' ', 'g')"
-    s = f"split_part({s}, ';', 1)"
-    s = f"regexp_replace({s}, {lit(NONWORD_RE)}, chr(1) || chr(1), 'g')"
-    s = f"(chr(1) || chr(1) || upper(replace({s}, ';', chr(1) || chr(1))) || chr(1) || chr(1))"
+    s = f"split_part({strip(x)}, ';', 1)"
+    s = f"translate({s}, {chars(SEPARATORS)}, {chars(SEP1 * len(SEPARATORS))})"
+    s = f"regexp_replace({s}, chr(1) || chr(1) || '+', chr(1), 'g')"
+    s = f"(chr(1) || chr(1) || upper(replace({s}, chr(1), chr(1) || chr(1))) || chr(1) || chr(1))"
     for phrase in MULTIWORD:
         search, repl = fused(phrase)
         s = f"replace({s}, {sq(search)}, {sq(repl)})"
@@ -147,7 +168,7 @@ def has_select(x: str) -> str:
 
 
 def tables_used(x: str) -> str:
-    text = f"regexp_replace({x}, {lit(LITERALS_RE)}, ' ', 'g')"
+    text = strip(x)
     found = f"list_transform(regexp_extract_all({text}, {lit(TABLE_RE)}, 1), lambda y: lower(y))"
     ctes = f"list_transform(regexp_extract_all({text}, {lit(CTE_RE)}, 1), lambda z: lower(z))"
     return f"list_sort(list_distinct(list_filter({found}, lambda y: NOT list_contains({ctes}, y))))"

@@ -14,6 +14,7 @@ rows, equal ones are confirmed by the exact diff when asked.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -106,21 +107,43 @@ def common_type(a: T.DataType, b: T.DataType, strict: bool = False) -> T.DataTyp
     return T.StringType()
 
 
-def align(gold: DataFrame, cand: DataFrame, strict_types: bool = False):
-    """Positional columns with one common type per position (None if widths differ)."""
-    g, c = positional(gold), positional(cand)
-    if len(g.columns) != len(c.columns):
+def _aligned(gold: DataFrame, cand: DataFrame, strict_types: bool = False):
+    """(gold_src, gold_exprs, cand_src, cand_exprs) producing _c0.._cn with one
+    common type per position, or None if widths (or strict types) differ.
+    Columns are renamed through ``toDF`` only when a side has duplicate names;
+    otherwise the casts and renames are one projection per side, which keeps
+    the number of analysed plans per pair small."""
+    if len(gold.columns) != len(cand.columns):
         return None
-    gcols, ccols = [], []
-    for name, gf, cf in zip(g.columns, g.schema.fields, c.schema.fields):
-        gcol, gdt = _comparable(F.col(name), gf.dataType)
-        ccol, cdt = _comparable(F.col(name), cf.dataType)
+
+    def src(df):
+        names = df.columns
+        if len(set(names)) == len(names):
+            return df, [F.col(f"`{n}`") for n in names]
+        p = positional(df)
+        return p, [F.col(n) for n in p.columns]
+
+    gsrc, gin = src(gold)
+    csrc, cin = src(cand)
+    gexprs, cexprs = [], []
+    for i, (gc, cc, gf, cf) in enumerate(zip(gin, cin, gold.schema.fields, cand.schema.fields)):
+        gcol, gdt = _comparable(gc, gf.dataType)
+        ccol, cdt = _comparable(cc, cf.dataType)
         dt = common_type(gdt, cdt, strict_types)
         if dt is None:  # strict and types differ: never equal
             return None
-        gcols.append((gcol if gdt == dt else gcol.cast(dt)).alias(name))
-        ccols.append((ccol if cdt == dt else ccol.cast(dt)).alias(name))
-    return g.select(*gcols), c.select(*ccols)
+        gexprs.append((gcol if gdt == dt else gcol.cast(dt)).alias(f"_c{i}"))
+        cexprs.append((ccol if cdt == dt else ccol.cast(dt)).alias(f"_c{i}"))
+    return gsrc, gexprs, csrc, cexprs
+
+
+def align(gold: DataFrame, cand: DataFrame, strict_types: bool = False):
+    """Positional columns with one common type per position (None if widths differ)."""
+    a = _aligned(gold, cand, strict_types)
+    if a is None:
+        return None
+    gsrc, gexprs, csrc, cexprs = a
+    return gsrc.select(*gexprs), csrc.select(*cexprs)
 
 
 # ------------------------------------------------------------ exact diff
@@ -175,7 +198,13 @@ def diff_counts(gold: DataFrame, cand: DataFrame, mode: str = "bag") -> DataFram
     elif mode == "ordered":
         gold, cand = dense_index(gold), dense_index(cand)
         cols = [IDX] + cols
-    both = gold.withColumn(SIGN, F.lit(1)).unionByName(cand.withColumn(SIGN, F.lit(-1)))
+    both = gold.select("*", F.lit(1).alias(SIGN)).union(cand.select("*", F.lit(-1).alias(SIGN)))
+    return _count_columns(both, cols)
+
+
+def _count_columns(both: DataFrame, cols: list[str]) -> DataFrame:
+    """Signed rows grouped by every column -> one row of counts.  Partial sums
+    collapse repeated rows on the map side before the shuffle."""
     grouped = both.groupBy(*cols).agg(
         F.sum(SIGN).alias("n"),
         F.count_if(F.col(SIGN) > 0).alias("g"),
@@ -189,22 +218,26 @@ def diff_counts(gold: DataFrame, cand: DataFrame, mode: str = "bag") -> DataFram
 
 def results_equal(gold: DataFrame, cand: DataFrame, mode: str = "bag",
                   strict_types: bool = False) -> DataFrame:
-    """Verdict row for two result DataFrames (lazy, one row)."""
-    pair = align(gold, cand, strict_types)
-    if pair is None:  # widths differ: every row differs
+    """Verdict row for two result DataFrames (lazy, one row):
+    gold_rows, cand_rows, only_in_gold, only_in_candidate, value."""
+    a = _aligned(gold, cand, strict_types)
+    if a is None:  # widths differ: every row differs
         counts = _side_counts(gold.agg(F.count(F.lit(1)).alias("n")), cand.agg(F.count(F.lit(1)).alias("n")))
         counts = counts.select(F.col("g_n").alias("gold_rows"), F.col("c_n").alias("cand_rows"),
                                F.col("g_n").alias("only_in_gold"), F.col("c_n").alias("only_in_candidate"))
+    elif mode == "bag":  # fast path: casts, renames and the sign in one projection per side
+        gsrc, gexprs, csrc, cexprs = a
+        both = gsrc.select(*gexprs, F.lit(1).alias(SIGN)).union(csrc.select(*cexprs, F.lit(-1).alias(SIGN)))
+        counts = _count_columns(both, [f"_c{i}" for i in range(len(gexprs))])
     else:
-        counts = diff_counts(*pair, mode=mode)
-    return counts.withColumn(
-        "value", (F.col("only_in_gold") == 0) & (F.col("only_in_candidate") == 0))
+        counts = diff_counts(*align(gold, cand, strict_types), mode=mode)
+    return counts.select("*", ((F.col("only_in_gold") == 0) & (F.col("only_in_candidate") == 0)).alias("value"))
 
 
 def _side_counts(g: DataFrame, c: DataFrame) -> DataFrame:
     """Put two one-row aggregates side by side (g_*, c_*) without a join."""
     cols = g.columns
-    both = g.withColumn(SIGN, F.lit(1)).unionByName(c.withColumn(SIGN, F.lit(-1)))
+    both = g.select("*", F.lit(1).alias(SIGN)).union(c.select(*cols, F.lit(-1).alias(SIGN)))
     return both.agg(*[F.max(F.when(F.col(SIGN) > 0, F.col(x))).alias(f"g_{x}") for x in cols],
                     *[F.max(F.when(F.col(SIGN) < 0, F.col(x))).alias(f"c_{x}") for x in cols])
 
@@ -287,11 +320,10 @@ def _error_row(spark: SparkSession, pair_id: str, error: str) -> DataFrame:
 def verdicts(spark: SparkSession, pairs: list[Pair], mode: str = "bag",
              strict_types: bool = False) -> DataFrame:
     """All pair verdicts as one lazy DataFrame (one job when collected)."""
-    out = None
-    for p in pairs:
-        v = pair_verdict(spark, p, mode, strict_types)
-        out = v if out is None else out.unionByName(v)
-    return out if out is not None else spark.createDataFrame([], VERDICT_SCHEMA)
+    parts = [pair_verdict(spark, p, mode, strict_types) for p in pairs]
+    if not parts:
+        return spark.createDataFrame([], VERDICT_SCHEMA)
+    return functools.reduce(DataFrame.union, parts)  # same column order in every part
 
 
 def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag",
@@ -317,7 +349,7 @@ def fingerprint_verdicts(spark: SparkSession, pairs: list[Pair]) -> DataFrame:
     """Per pair: gold/candidate fingerprints and whether they match (no row
     shuffle: each side is one partial+final aggregate).  Each text is analysed
     once; texts that fail analysis give (NULL, NULL, false)."""
-    out = None
+    parts = []
     for p in pairs:
         try:
             gold, cand = run_query(spark, p.gold_sql), run_query(spark, p.cand_sql)
@@ -331,5 +363,5 @@ def fingerprint_verdicts(spark: SparkSession, pairs: list[Pair]) -> DataFrame:
         except Exception:  # noqa: BLE001
             row = spark.createDataFrame([(p.pair_id, None, None, False)],
                                         "pair_id string, gold_rows long, cand_rows long, fp_match boolean")
-        out = row if out is None else out.unionByName(row)
-    return out
+        parts.append(row)
+    return functools.reduce(DataFrame.union, parts)

@@ -379,22 +379,41 @@ def _event_stream(spark, sf):
     ev = load(spark, sf, "events")
     # file source over the table's folder; the glob keeps the other tables out
     src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    # watermarks need TIMESTAMP; the wall-clock values are read as UTC (see _utc)
     return src.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+class _utc:
+    """Run a stream with the session time zone pinned to UTC (restored after):
+    the NTZ -> TIMESTAMP cast and day windows then follow wall-clock days
+    whatever zone the caller's session uses."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.session.timeZone")
+        self.spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.session.timeZone", self.old)
+
+
 def q_stream_dedup(spark, sf):
     checkpoint_root(spark)
-    s = SM.dedup_stream(_event_stream(spark, sf), "event_id", "ts", "1 hour").select(
-        "event_id", "user_id", "event_type")
-    return SM.run_to_parquet(spark, s, scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ckpt"))
+    with _utc(spark):
+        s = SM.dedup_stream(_event_stream(spark, sf), "event_id", "ts", "1 hour").select(
+            "event_id", "user_id", "event_type")
+        return SM.run_to_parquet(spark, s, scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ckpt"))
 
 
 def q_stream_scorer_means(spark, sf):
     checkpoint_root(spark)
-    s = SM.running_means(_event_stream(spark, sf), "ts", "event_type", "value", "1 day", "1 hour")
-    out = SM.run_to_parquet(spark, s, scratch_path(spark, "means-out"), scratch_path(spark, "means-ckpt"))
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type",
-                      F.round("mean", R).alias("mean"), "n")
+    with _utc(spark):
+        s = SM.running_means(_event_stream(spark, sf), "ts", "event_type", "value", "1 day", "1 hour").select(
+            F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type",
+            F.round("mean", R).alias("mean"), "n")
+        return SM.run_to_parquet(spark, s, scratch_path(spark, "means-out"), scratch_path(spark, "means-ckpt"))
 
 
 QUERIES = {

@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "sqlscore") -> SparkSession:
-    """Session with the settings every job here assumes (UTC, AQE, Arrow, no UI)."""
+              app_name: str = "sqlscore", driver_memory: str | None = None) -> SparkSession:
+    """Session with the settings every job here assumes (UTC, AQE, Arrow, no UI).
+    ``driver_memory`` only matters in local mode, where the driver JVM is the
+    executor too (it must be set before the JVM starts)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -53,14 +52,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint root for one job's output."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:") or "://" not in root:
-        local = root[len("file:"):] if root.startswith("file:") else root
-        os.makedirs(local, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
+    """A fresh, not yet existing path under the checkpoint root for one job's
+    output or stream checkpoint (unique name, so reruns never collide)."""
     import uuid
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df):

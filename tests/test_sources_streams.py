@@ -86,3 +86,37 @@ def test_score_results_dedups_and_joins_back(spark):
     assert r[3]["only_in_gold"] == 1 and r[4]["error"] == "gold:no_gold"
     fb = evaluate(df, load_scorers(["count_joins", "has_select"])).collect()
     assert len(fb) == 8
+
+
+def test_parquet_and_table_readers(spark):
+    base = scratch_path(spark, "ev")
+    spark.createDataFrame([("q", "SELECT 1", None)], "question string, ground_truth_query string, issues string") \
+        .write.parquet(base)
+    e = evalsets.read_eval_parquet(spark, base).first()
+    assert e["gold_sql"] == "SELECT 1" and e["original_question"] == "q" and e["eval_id"]
+    import pytest
+    with pytest.raises(ValueError):
+        evalsets.read_eval_table(spark, "just_a_name")
+
+
+def test_to_rows_batches_entities(spark):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Feedback:
+        name: str
+        value: bool
+        rationale: str | None
+
+    df = evalsets.to_rows(spark, [Feedback("a", True, None), Feedback("b", False, "x")])
+    assert df.count() == 2 and df.columns == ["name", "value", "rationale"]
+
+
+def test_log_rows_schema(spark):
+    from sqlscore.streaming import logs
+    ev = spark.createDataFrame([("2024-01-01 00:00:00", "svc", 5.0)], "ts string, who string, v double")
+    out = logs.log_rows(ev, "ts", "who", F.lit("INFO"), F.lit("hello"))
+    assert out.columns == ["timestamp", "logger_name", "level", "message"]
+    assert logs.log_levels(out).first()["n"] == 1
+    bad = logs.log_rows(ev, "ts", "who", F.lit("LOUD"), F.lit("x"))
+    assert bad.count() == 0

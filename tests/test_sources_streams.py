@@ -120,3 +120,16 @@ def test_log_rows_schema(spark):
     assert logs.log_levels(out).first()["n"] == 1
     bad = logs.log_rows(ev, "ts", "who", F.lit("LOUD"), F.lit("x"))
     assert bad.count() == 0
+
+
+def test_stream_means_equal_batch_on_closed_windows(spark):
+    from conftest import SF
+    from sqlscore.plans.queries import q_stream_scorer_means
+    stream = {(r["day"], r["event_type"]): (r["mean"], r["n"]) for r in q_stream_scorer_means(spark, SF).collect()}
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    last = ev.agg(F.max("ts")).first()[0]
+    import datetime as dt
+    batch = {(r["day"], r["event_type"]): (round(r["mean"], 9), r["n"]) for r in
+             ev.groupBy("day", "event_type").agg(F.avg("value").alias("mean"), F.count("*").alias("n")).collect()
+             if dt.datetime.fromisoformat(r["day"]) + dt.timedelta(days=1) <= last - dt.timedelta(hours=1)}
+    assert stream == batch and len(stream) > 0

@@ -153,10 +153,14 @@ def dense_index(df: DataFrame, name: str = IDX) -> DataFrame:
 
     Distributed zip-with-index: per-partition row counts (one row per
     partition, a proven small size) give offsets that are broadcast back.
-    No single-partition window.
+    No single-partition window.  The input is materialised first (reliable
+    checkpoint in the shared folder): the counts and the rows must see the
+    very same partitions, which two independent reads of a shuffle with
+    adaptive coalescing do not promise, and the input is computed once.
     """
-    tagged = df.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__mid", F.monotonically_increasing_id())
+    from sqlscore.session import materialize
+    tagged = materialize(df).select("*", F.spark_partition_id().alias("__pid"),
+                                    F.monotonically_increasing_id().alias("__mid"))
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__base"))
     from pyspark.sql import Window
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

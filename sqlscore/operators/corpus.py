@@ -21,12 +21,15 @@ def user_questions(conv: DataFrame, limit: int | None = None) -> DataFrame:
     return q.orderBy("conv_id", "turn").limit(limit) if limit else q
 
 
-def group_count(docs: DataFrame, target_chars: int, text: str = "text") -> int:
+def group_count(docs: DataFrame, target_chars: int, text: str = "text", length_col: str | None = None) -> int:
     """Number of groups so that a group holds about ``target_chars`` (one
-    scalar aggregate; the group count is what bounds each group's size)."""
+    scalar aggregate; the group count is what bounds each group's size).
+    ``length_col`` names a stored character count, so the sizing pass reads
+    one integer column instead of the texts."""
     if target_chars <= 0:
         raise ValueError("target_chars must be > 0")
-    total = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first()["n"]
+    size = F.col(length_col) if length_col else F.length(text)
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     return max(1, math.ceil(total / target_chars))
 
 

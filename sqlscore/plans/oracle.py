@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
         "runs_under_roots": f"WITH {RUNS} SELECT run_id, root_run_id, mode FROM runs WHERE root_run_id IN "
                             "(SELECT 'u' || CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error')",
         "runs_clean_columns": f"WITH {RUNS} SELECT run_id, run_name, mode AS run_mode, CAST(length(run_name) AS INTEGER) AS name_length FROM runs",
-        "pack_documents": f"WITH n AS (SELECT CAST(greatest(1, ceil(sum(length(text)) / {float(Q.PACK_TARGET_CHARS)!r})) AS BIGINT) AS n "
+        "pack_documents": f"WITH n AS (SELECT CAST(greatest(1, ceil(sum(n_chars) / {float(Q.PACK_TARGET_CHARS)!r})) AS BIGINT) AS n "
                           "FROM documents) SELECT doc_id % n AS group_id, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, "
                           "string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents, n GROUP BY 1",
         "sectionise": f"WITH x AS (SELECT page_id, regexp_extract_all(html, {lit(ELEMENT_RE)}) AS els FROM pages), "

@@ -315,7 +315,7 @@ def q_runs_clean_columns(spark, sf):
 
 def q_pack_documents(spark, sf):
     docs = load(spark, sf, "documents")
-    n = corpus.group_count(docs, PACK_TARGET_CHARS)
+    n = corpus.group_count(docs, PACK_TARGET_CHARS, length_col="n_chars")
     return corpus.pack_documents(docs, n, group_expr=F.pmod(F.col("doc_id"), F.lit(n)))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscore.functions.sqltext import LEXICON, sql_keywords, sql_tokens
+from sqlscore.functions.sqltext import LEXICON, sql_tokens
 
 PASS = "Keyword counts of the candidate and the gold query are equal."
 FAIL = "Keyword counts differ; see metadata (gold minus candidate, per keyword)."

@@ -165,3 +165,22 @@ def test_property_shuffle_invariance(spark):
     assert verdict(spark, df, shuffled)["value"] is True
     assert verdict(spark, shuffled, df)["value"] is True
     assert not math.isnan(1.0)
+
+
+def test_fingerprint_verdicts_sql_path(spark):
+    from sqlscore.operators.equivalence import fingerprint_verdicts
+    spark.sql("SELECT * FROM VALUES (CAST('NaN' AS DOUBLE), 1, map('a', 1)), (-0.0D, NULL, map('b', 2)) "
+              "AS t(d, i, m)").createOrReplaceTempView("fp_a")
+    spark.sql("SELECT * FROM VALUES (0.0D, CAST(NULL AS BIGINT), map('b', 2)), (CAST('NaN' AS DOUBLE), 1L, map('a', 1)) "
+              "AS t(x, y, z)").createOrReplaceTempView("fp_b")
+    spark.sql("SELECT * FROM VALUES (1, CAST(NULL AS INT)), (CAST(NULL AS INT), 1) AS t(a, b)").createOrReplaceTempView("fp_c")
+    spark.sql("SELECT * FROM VALUES (1, CAST(NULL AS INT)), (1, CAST(NULL AS INT)) AS t(a, b)").createOrReplaceTempView("fp_d")
+    rows = {r["pair_id"]: r for r in fingerprint_verdicts(spark, [
+        Pair("same", "SELECT * FROM fp_a", "SELECT * FROM fp_b"),
+        Pair("nulls", "SELECT * FROM fp_c", "SELECT * FROM fp_d"),
+        Pair("width", "SELECT * FROM fp_c", "SELECT a FROM fp_c"),
+        Pair("bad", "SELECT * FROM fp_c", "SELECT nope FROM fp_c")]).collect()}
+    assert rows["same"]["fp_match"] is True and rows["same"]["gold_rows"] == 2
+    assert rows["nulls"]["fp_match"] is False
+    assert rows["width"]["fp_match"] is False
+    assert rows["bad"]["fp_match"] is False and rows["bad"]["gold_rows"] is None

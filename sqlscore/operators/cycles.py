@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscore.operators.parallel import spread
+from sqlscore.session import materialize
 
 
 def number_cycles(df: DataFrame, run: str = "run_id", started: str = "started_at",
@@ -62,27 +63,51 @@ def best_overall(df: DataFrame, score: str, k: int, run: str = "run_id", cycle:
     return df.orderBy(F.col(score).desc(), F.col(run).asc(), F.col(cycle).asc()).limit(k)
 
 
+def lag_safe(df: DataFrame, key: str, order: str, cols: list[str], prefix: str = "prev_",
+             partitions: int | None = None) -> DataFrame:
+    """``lag(c, 1)`` over (partition by key order by order) for each of
+    ``cols``, without putting a whole key into one task.
+
+    The rows are range-partitioned on (key, order) and checkpointed, so a hot
+    key is spread over consecutive partitions ("chunks").  Lag is taken inside
+    each (key, chunk) - groups no larger than a partition - and the first row
+    of a chunk takes the last row of the key's previous chunk from a small
+    table of chunk tails (one row per chunk).  ``order`` must be unique per key.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = materialize(df.repartitionByRange(n, key, order)).withColumn("__chunk", F.spark_partition_id())
+    packed = F.struct(*[F.col(c) for c in cols])
+    inner = m.withColumn("__prev", F.lag(packed, 1).over(Window.partitionBy(key, "__chunk").orderBy(order)))
+    tails = (m.groupBy(key, "__chunk").agg(F.max_by(packed, F.col(order)).alias("__tail"))
+             .withColumn("__tail_prev", F.lag("__tail", 1).over(Window.partitionBy(key).orderBy("__chunk")))
+             .select(key, "__chunk", "__tail_prev"))
+    out = inner.join(tails, [key, "__chunk"], "left").withColumn(
+        "__prev", F.coalesce(F.col("__prev"), F.col("__tail_prev")))
+    return out.select(*df.columns, *[F.col("__prev")[c].alias(prefix + c) for c in cols])
+
+
 def token_diff(texts: DataFrame, run: str, cycle: str, text: str) -> DataFrame:
     """Word-token count change between consecutive texts of a run.
 
-    Cycles are re-numbered densely first (gaps allowed in the input).  Each
-    text's counts are emitted twice - as the current counts of its own cycle
-    and as the previous counts of the next cycle - and summed in one
-    aggregate: a full outer join without the join.
+    The previous text of each text comes from ``lag_safe`` (no window holds a
+    whole run).  Each text's counts are emitted as the current counts of its
+    own cycle and, re-keyed through the (run, previous cycle) -> cycle link,
+    as the previous counts of its successor; one aggregate sums both - a full
+    outer join without the join.  Texts without a predecessor are skipped.
     """
-    w = Window.partitionBy(run).orderBy(cycle)
-    numbered = (texts.withColumn("__ord", F.dense_rank().over(w))
-                .withColumn("__last", F.max("__ord").over(Window.partitionBy(run))))
-    toks = spread(numbered).select(run, cycle, "__ord", "__last",
-                           F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[^ \t\n\r]+"), 0))
-                           .alias("token")).filter(F.col("token").isNotNull())
-    counts = toks.groupBy(run, "__ord", "__last", "token").agg(F.count(F.lit(1)).alias("n"))
-    cur = counts.select(run, "__ord", "token", F.col("n").alias("curr_n"), F.lit(0).cast("long").alias("prev_n"))
-    nxt = counts.filter(F.col("__ord") < F.col("__last")).select(
-        run, (F.col("__ord") + 1).alias("__ord"), "token", F.lit(0).cast("long").alias("curr_n"),
-        F.col("n").alias("prev_n"))
-    both = cur.unionByName(nxt).filter(F.col("__ord") >= 2)
-    return (both.groupBy(run, F.col("__ord").alias("ord"), "token")
+    linked = lag_safe(texts.select(run, cycle, text), run, cycle, [cycle], prefix="prev_")
+    succ = linked.filter(F.col("prev_" + cycle).isNotNull()).select(
+        run, F.col("prev_" + cycle).alias("__from"), F.col(cycle).alias("__to"))
+    toks = spread(texts).select(run, cycle, F.explode_outer(
+        F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[^ \t\n\r]+"), 0)).alias("token")
+    ).filter(F.col("token").isNotNull())
+    counts = toks.groupBy(run, cycle, "token").agg(F.count(F.lit(1)).alias("n"))
+    cur = (counts.join(succ.select(run, F.col("__to").alias(cycle)), [run, cycle], "left_semi")
+           .select(run, cycle, "token", F.col("n").alias("curr_n"), F.lit(0).cast("long").alias("prev_n")))
+    prev = (counts.join(succ, (counts[run] == succ[run]) & (counts[cycle] == succ["__from"]))
+            .select(counts[run].alias(run), F.col("__to").alias(cycle), "token",
+                    F.lit(0).cast("long").alias("curr_n"), F.col("n").alias("prev_n")))
+    return (cur.unionByName(prev).groupBy(run, cycle, "token")
             .agg(F.sum("curr_n").alias("curr_n"), F.sum("prev_n").alias("prev_n"))
             .withColumn("diff", F.col("curr_n") - F.col("prev_n"))
             .filter(F.col("diff") != 0))

@@ -317,16 +317,17 @@ def oracle_sql() -> dict[str, str]:
         "cycle_drift": f"WITH {CM}, d AS (SELECT *, lag(value) OVER (PARTITION BY run_id, metric ORDER BY cycle) AS prev_value FROM cm) "
                        "SELECT run_id, cycle, metric, round(value, {R}) AS value, round(prev_value, {R}) AS prev_value, "
                        "round(value - prev_value, {R}) AS diff, round((value - prev_value) / NULLIF(prev_value, 0), {R}) AS rel_change FROM d",
-        "prompt_token_diff": "WITH a AS (SELECT conv_id, turn, text, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS ord "
+        "prompt_token_diff": "WITH a AS (SELECT conv_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_turn "
                              "FROM conversations WHERE role = 'assistant'), "
-                             "a2 AS (SELECT *, max(ord) OVER (PARTITION BY conv_id) AS last FROM a), "
-                             "t AS (SELECT conv_id, ord, last, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM a2), "
-                             "c AS (SELECT conv_id, ord, last, token, count(*) AS n FROM t GROUP BY ALL), "
-                             "b AS (SELECT conv_id, ord, token, n AS curr_n, 0 AS prev_n FROM c "
-                             "UNION ALL SELECT conv_id, ord + 1, token, 0, n FROM c WHERE ord < last) "
-                             "SELECT conv_id, CAST(ord AS INTEGER) AS ord, token, CAST(sum(curr_n) AS BIGINT) AS curr_n, "
-                             "CAST(sum(prev_n) AS BIGINT) AS prev_n, CAST(sum(curr_n) - sum(prev_n) AS BIGINT) AS diff "
-                             "FROM b WHERE ord >= 2 GROUP BY ALL HAVING sum(curr_n) <> sum(prev_n)",
+                             "t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM a), "
+                             "c AS (SELECT conv_id, turn, token, count(*) AS n FROM t GROUP BY ALL), "
+                             "s AS (SELECT conv_id, prev_turn AS f, turn AS t FROM a WHERE prev_turn IS NOT NULL), "
+                             "b AS (SELECT c.conv_id, c.turn, c.token, c.n AS curr_n, 0 AS prev_n FROM c JOIN s "
+                             "ON c.conv_id = s.conv_id AND c.turn = s.t "
+                             "UNION ALL SELECT c.conv_id, s.t AS turn, c.token, 0 AS curr_n, c.n AS prev_n FROM c JOIN s "
+                             "ON c.conv_id = s.conv_id AND c.turn = s.f) "
+                             "SELECT conv_id, turn, token, CAST(sum(curr_n) AS BIGINT) AS curr_n, CAST(sum(prev_n) AS BIGINT) AS prev_n, "
+                             "CAST(sum(curr_n) - sum(prev_n) AS BIGINT) AS diff FROM b GROUP BY ALL HAVING sum(curr_n) <> sum(prev_n)",
         "latest_instruction": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations "
                               "WHERE role = 'assistant' GROUP BY conv_id",
         "best_cycle": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality FROM "

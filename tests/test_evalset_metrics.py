@@ -117,11 +117,25 @@ def test_cycles_first_cycle_and_gaps(cm):
 
 def test_token_diff(spark):
     t = spark.createDataFrame([("r", 1, "a a b"), ("r", 3, "a c")], "run string, cyc int, txt string")
-    d = {(r["ord"], r["token"]): r["diff"] for r in cycles.token_diff(t, "run", "cyc", "txt").collect()}
-    assert d == {(2, "a"): -1, (2, "b"): -1, (2, "c"): 1}
+    d = {(r["cyc"], r["token"]): r["diff"] for r in cycles.token_diff(t, "run", "cyc", "txt").collect()}
+    assert d == {(3, "a"): -1, (3, "b"): -1, (3, "c"): 1}  # keyed by the later text's cycle (gaps allowed)
 
 
 def test_ordered_text(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "z")], "k int, o int, t string")
     r = {x["k"]: x["text"] for x in metrics.ordered_text(df, ["k"], "o", "t").collect()}
     assert r == {1: "a\nb", 2: "z"}
+
+
+def test_lag_safe_matches_window_lag_on_hot_key(spark):
+    from pyspark.sql import Window
+    # key 0 holds a third of the rows; 13 partitions split it into several chunks
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
+        F.col("id").alias("o"), (F.col("id") * 7 % 101).alias("v"))
+    got = cycles.lag_safe(df, "k", "o", ["v", "o"], partitions=13)
+    want = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("o"))) \
+             .withColumn("prev_o", F.lag("o").over(Window.partitionBy("k").orderBy("o")))
+    assert got.count() == 3000
+    assert got.exceptAll(want.select(got.columns)).count() == 0
+    assert got.filter("k = 0").select("prev_o").distinct().count() > 900

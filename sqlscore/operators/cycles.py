@@ -17,8 +17,11 @@ def number_cycles(df: DataFrame, run: str = "run_id", started: str = "started_at
 
 
 def previous_current(df: DataFrame, cols, run: str = "run_id", cycle: str = "cycle",
-                     by=()) -> DataFrame:
-    """``prev_<c>`` next to each column (null in the first cycle)."""
+                     by=(), skew_safe: bool = False) -> DataFrame:
+    """``prev_<c>`` next to each column (null in the first cycle).
+    ``skew_safe`` uses ``lag_safe`` (no run is held by one task)."""
+    if skew_safe:
+        return lag_safe(df, [run, *by], cycle, list(cols))
     w = Window.partitionBy(run, *by).orderBy(cycle)
     for c in cols:
         df = df.withColumn(f"prev_{c}", F.lag(c, 1).over(w))
@@ -26,11 +29,13 @@ def previous_current(df: DataFrame, cols, run: str = "run_id", cycle: str = "cyc
 
 
 def drift(df: DataFrame, value: str = "value", run: str = "run_id", cycle: str = "cycle",
-          by=("metric",)) -> DataFrame:
+          by=("metric",), skew_safe: bool = False) -> DataFrame:
     """Difference to the previous cycle and relative change."""
-    w = Window.partitionBy(run, *by).orderBy(cycle)
-    prev = F.lag(value, 1).over(w)
-    return (df.withColumn("prev_value", prev)
+    if skew_safe:
+        df = lag_safe(df, [run, *by], cycle, [value], prefix="__p_").withColumnRenamed("__p_" + value, "prev_value")
+    else:
+        df = df.withColumn("prev_value", F.lag(value, 1).over(Window.partitionBy(run, *by).orderBy(cycle)))
+    return (df
             .withColumn("diff", F.col(value) - F.col("prev_value"))
             .withColumn("rel_change", F.try_divide(F.col("diff"), F.col("prev_value"))))
 
@@ -63,10 +68,11 @@ def best_overall(df: DataFrame, score: str, k: int, run: str = "run_id", cycle:
     return df.orderBy(F.col(score).desc(), F.col(run).asc(), F.col(cycle).asc()).limit(k)
 
 
-def lag_safe(df: DataFrame, key: str, order: str, cols: list[str], prefix: str = "prev_",
+def lag_safe(df: DataFrame, key, order: str, cols: list[str], prefix: str = "prev_",
              partitions: int | None = None) -> DataFrame:
     """``lag(c, 1)`` over (partition by key order by order) for each of
-    ``cols``, without putting a whole key into one task.
+    ``cols``, without putting a whole key into one task.  ``key`` is a column
+    name or a list of names.
 
     The rows are range-partitioned on (key, order) and checkpointed, so a hot
     key is spread over consecutive partitions ("chunks").  Lag is taken inside
@@ -74,14 +80,15 @@ def lag_safe(df: DataFrame, key: str, order: str, cols: list[str], prefix: str =
     of a chunk takes the last row of the key's previous chunk from a small
     table of chunk tails (one row per chunk).  ``order`` must be unique per key.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = materialize(df.repartitionByRange(n, key, order)).withColumn("__chunk", F.spark_partition_id())
+    m = materialize(df.repartitionByRange(n, *keys, order)).withColumn("__chunk", F.spark_partition_id())
     packed = F.struct(*[F.col(c) for c in cols])
-    inner = m.withColumn("__prev", F.lag(packed, 1).over(Window.partitionBy(key, "__chunk").orderBy(order)))
-    tails = (m.groupBy(key, "__chunk").agg(F.max_by(packed, F.col(order)).alias("__tail"))
-             .withColumn("__tail_prev", F.lag("__tail", 1).over(Window.partitionBy(key).orderBy("__chunk")))
-             .select(key, "__chunk", "__tail_prev"))
-    out = inner.join(tails, [key, "__chunk"], "left").withColumn(
+    inner = m.withColumn("__prev", F.lag(packed, 1).over(Window.partitionBy(*keys, "__chunk").orderBy(order)))
+    tails = (m.groupBy(*keys, "__chunk").agg(F.max_by(packed, F.col(order)).alias("__tail"))
+             .withColumn("__tail_prev", F.lag("__tail", 1).over(Window.partitionBy(*keys).orderBy("__chunk")))
+             .select(*keys, "__chunk", "__tail_prev"))
+    out = inner.join(tails, [*keys, "__chunk"], "left").withColumn(
         "__prev", F.coalesce(F.col("__prev"), F.col("__tail_prev")))
     return out.select(*df.columns, *[F.col("__prev")[c].alias(prefix + c) for c in cols])
 

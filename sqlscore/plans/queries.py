@@ -259,13 +259,13 @@ def q_cycle_lookback(spark, sf):
 
 
 def q_cycle_prev_curr(spark, sf):
-    pc = cycles.previous_current(_quality(spark, sf), ["quality"])
+    pc = cycles.previous_current(_quality(spark, sf), ["quality"], skew_safe=True)
     return pc.select("run_id", "cycle", F.round("quality", R).alias("quality"),
                      F.round("prev_quality", R).alias("prev_quality"))
 
 
 def q_cycle_drift(spark, sf):
-    d = cycles.drift(S.cycle_metrics(spark, sf))
+    d = cycles.drift(S.cycle_metrics(spark, sf), skew_safe=True)
     return d.select("run_id", "cycle", "metric", F.round("value", R).alias("value"),
                     F.round("prev_value", R).alias("prev_value"), F.round("diff", R).alias("diff"),
                     F.round("rel_change", R).alias("rel_change"))

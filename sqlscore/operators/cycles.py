@@ -93,6 +93,24 @@ def lag_safe(df: DataFrame, key, order: str, cols: list[str], prefix: str = "pre
     return out.select(*df.columns, *[F.col("__prev")[c].alias(prefix + c) for c in cols])
 
 
+def cumsum_safe(df: DataFrame, key, order: str, col: str, out: str = "cum") -> DataFrame:
+    """Running sum of ``col`` per key in ``order`` (inclusive), with the same
+    chunking as ``lag_safe``: sums inside each (key, chunk) plus the totals of
+    the key's earlier chunks from a table with one row per chunk."""
+    keys = [key] if isinstance(key, str) else list(key)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = materialize(df.repartitionByRange(n, *keys, order)).withColumn("__chunk", F.spark_partition_id())
+    inner = m.withColumn("__in", F.sum(col).over(
+        Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    offsets = (m.groupBy(*keys, "__chunk").agg(F.sum(col).alias("__tot"))
+               .withColumn("__off", F.coalesce(F.sum("__tot").over(
+                   Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)))
+               .select(*keys, "__chunk", "__off"))
+    return (inner.join(offsets, [*keys, "__chunk"], "left")
+            .select(*df.columns, (F.col("__in") + F.col("__off")).alias(out)))
+
+
 def token_diff(texts: DataFrame, run: str, cycle: str, text: str) -> DataFrame:
     """Word-token count change between consecutive texts of a run.
 

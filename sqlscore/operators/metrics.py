@@ -85,9 +85,24 @@ def composite_score(metrics: DataFrame, core_weights: dict[str, float] | None =
 
 
 def ordered_text(df: DataFrame, keys, order: str, text: str, sep: str = "\n",
-                 out: str = "text") -> DataFrame:
-    """Texts of a group joined in ``order``.  Groups are feedback items of
-    one run/cycle or turns of one conversation: bounded by design."""
+                 out: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Texts of a group joined in ``order``.
+
+    With ``max_chars`` a group is cut into consecutive parts (``part`` =
+    0, 1, ...) at text boundaries, each starting a new part once the texts
+    before it reach a multiple of ``max_chars``: every text is kept, no task
+    collects more than about ``max_chars`` (plus one text), and the running
+    lengths come from a skew-safe running sum, so a hot group is split too."""
+    keys = list(keys)
+    if max_chars is not None:
+        from sqlscore.operators.cycles import cumsum_safe
+        if max_chars <= 0:
+            raise ValueError("max_chars must be > 0")
+        sized = df.withColumn("__len", F.coalesce(F.length(text), F.lit(0)))
+        key = keys if len(keys) > 1 else keys[0]
+        df = cumsum_safe(sized, key, order, "__len", "__cum").withColumn(
+            "part", F.floor((F.col("__cum") - F.col("__len")) / F.lit(max_chars)).cast("long"))
+        keys = keys + ["part"]
     return df.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
                                                                        F.col(text).alias("t")))),

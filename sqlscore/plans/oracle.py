@@ -302,8 +302,11 @@ def oracle_sql() -> dict[str, str]:
                            "CASE WHEN n_custom = 0 THEN 0.0 ELSE 0.3 * (custom_sum / n_custom / n_metrics) END AS custom_score FROM c) "
                            "SELECT run_id, cycle, n_metrics, n_custom, round(core_score, {R}) AS core_score, "
                            "round(custom_score, {R}) AS custom_score, round(core_score + custom_score, {R}) AS composite FROM s",
-        "feedback_text": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n_items "
-                         "FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
+        "feedback_text": "WITH a AS (SELECT conv_id, turn, text, coalesce(length(text), 0) AS l FROM conversations "
+                         "WHERE role = 'assistant'), b AS (SELECT *, CAST(floor((sum(l) OVER (PARTITION BY conv_id ORDER BY turn "
+                         f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - l) / {Q.TEXT_PART_CHARS}) AS BIGINT) AS part FROM a) "
+                         "SELECT conv_id, part, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n_items "
+                         "FROM b GROUP BY conv_id, part",
         "quality_gate": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality, quality >= {Q.GATE!r} AS passes FROM q",
         "runs_vs_baseline": f"WITH {CM}, b AS (SELECT run_id, metric, arg_min(value, cycle) AS baseline FROM cm GROUP BY ALL) "
                             "SELECT run_id, cycle, metric, round(value, {R}) AS value, round(baseline, {R}) AS baseline, "

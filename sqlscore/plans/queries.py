@@ -29,6 +29,7 @@ REQUIRED_DIMS = ["o_custkey", "o_orderpriority"]
 PROMPT = "Question: {question}\nReference SQL: {gold_sql}\nIssues: {issues}"
 PACK_TARGET_CHARS = 1_000_000
 GATE = 15.0
+TEXT_PART_CHARS = 2000  # bound on one joined feedback text (parts keep every text)
 
 
 def stub_model(q: pd.Series) -> pd.Series:
@@ -233,7 +234,7 @@ def q_composite_score(spark, sf):
 
 def q_feedback_text(spark, sf):
     conv = load(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    return metrics.ordered_text(conv, ["conv_id"], "turn", "text")
+    return metrics.ordered_text(conv, ["conv_id"], "turn", "text", max_chars=TEXT_PART_CHARS)
 
 
 def q_quality_gate(spark, sf):

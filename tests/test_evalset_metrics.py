@@ -139,3 +139,13 @@ def test_lag_safe_matches_window_lag_on_hot_key(spark):
     assert got.count() == 3000
     assert got.exceptAll(want.select(got.columns)).count() == 0
     assert got.filter("k = 0").select("prev_o").distinct().count() > 900
+
+
+def test_ordered_text_parts_keep_every_text(spark):
+    rows = [(1, i, "x" * 10) for i in range(10)] + [(2, 0, "y")]
+    df = spark.createDataFrame(rows, "k int, o int, t string")
+    parts = metrics.ordered_text(df, ["k"], "o", "t", sep="|", max_chars=25).collect()
+    k1 = sorted((r["part"], r["text"]) for r in parts if r["k"] == 1)
+    assert [p for p, _ in k1] == [0, 1, 2, 3]
+    assert "|".join(t for _, t in k1) == "|".join(["x" * 10] * 10)
+    assert all(len(t) <= 25 + 11 for _, t in k1)

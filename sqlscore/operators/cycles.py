@@ -58,9 +58,12 @@ def latest(df: DataFrame, content: str, run: str = "run_id", cycle: str = "cycle
 
 
 def best_per_run(df: DataFrame, score: str, run: str = "run_id", cycle: str = "cycle") -> DataFrame:
-    """best cycle of each run; ties go to the earliest cycle."""
-    w = Window.partitionBy(run).orderBy(F.col(score).desc(), F.col(cycle).asc())
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    """best cycle of each run; ties go to the earliest cycle.  An
+    aggregate (max_by ordered by (score, -cycle)) with map-side partials,
+    not a window: a run with many cycles is never held by one task."""
+    others = [c for c in df.columns if c != run]
+    best = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(score), -F.col(cycle)))
+    return df.groupBy(run).agg(best.alias("__b")).select(run, *[F.col("__b")[c].alias(c) for c in others])
 
 
 def best_overall(df: DataFrame, score: str, k: int, run: str = "run_id", cycle: str = "cycle") -> DataFrame:

@@ -11,8 +11,12 @@ from sqlscore.session import materialize
 
 
 def number_cycles(df: DataFrame, run: str = "run_id", started: str = "started_at",
-                  out: str = "cycle") -> DataFrame:
-    """Cycles 1..n per run in start order."""
+                  out: str = "cycle", skew_safe: bool = False) -> DataFrame:
+    """Cycles 1..n per run in start order.  ``skew_safe`` (start times
+    unique per run) numbers by a chunked running count instead of a window."""
+    if skew_safe:
+        counted = cumsum_safe(df.withColumn("__one", F.lit(1)), run, started, "__one", out)
+        return counted.drop("__one").withColumn(out, F.col(out).cast("int"))
     return df.withColumn(out, F.dense_rank().over(Window.partitionBy(run).orderBy(started)))
 
 
@@ -41,15 +45,40 @@ def drift(df: DataFrame, value: str = "value", run: str = "run_id", cycle: str =
 
 
 def lookback(df: DataFrame, k: int, value: str = "value", run: str = "run_id",
-             cycle: str = "cycle") -> DataFrame:
+             cycle: str = "cycle", skew_safe: bool = False) -> DataFrame:
     """The last k cycles (current included) as an ordered array of
-    (cycle, value) plus their mean."""
+    (cycle, value) plus their mean.  ``skew_safe`` builds the frame from
+    range-partitioned chunks instead of one window per run: the in-chunk frame
+    comes from a window over (run, chunk), and the rows missing at a chunk's
+    start come from the last k-1 items of the run's previous chunks (a table
+    with one row per chunk, at most k-1 items each)."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    w = Window.partitionBy(run).orderBy(cycle).rowsBetween(-(k - 1), 0)
-    return (df.withColumn("context", F.collect_list(F.struct(F.col(cycle).alias("cycle"),
-                                                              F.col(value).alias("value"))).over(w))
-            .withColumn("context_mean", F.avg(value).over(w)))
+    item = F.struct(F.col(cycle).alias("cycle"), F.col(value).alias("value"))
+    if not skew_safe:
+        w = Window.partitionBy(run).orderBy(cycle).rowsBetween(-(k - 1), 0)
+        return (df.withColumn("context", F.collect_list(item).over(w))
+                .withColumn("context_mean", F.avg(value).over(w)))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = materialize(df.repartitionByRange(n, run, cycle)).withColumn("__chunk", F.spark_partition_id())
+    inner = m.withColumn("__in", F.collect_list(item).over(
+        Window.partitionBy(run, "__chunk").orderBy(cycle).rowsBetween(-(k - 1), 0)))
+    last = (m.withColumn("__rn", F.row_number().over(Window.partitionBy(run, "__chunk").orderBy(F.col(cycle).desc())))
+            .filter(F.col("__rn") <= k - 1)
+            .groupBy(run, "__chunk").agg(F.array_sort(F.collect_list(item)).alias("__tail")))
+    carried = (last.withColumn("__prev", F.flatten(F.collect_list("__tail").over(
+        Window.partitionBy(run).orderBy("__chunk").rowsBetween(-(k - 1), -1))))
+        .select(run, "__chunk", "__prev"))
+    j = inner.join(carried, [run, "__chunk"], "left").withColumn(
+        "__prev", F.coalesce(F.col("__prev"), F.array().cast(inner.schema["__in"].dataType)))
+    need = F.lit(k) - F.size("__in")
+    take = F.least(need, F.size("__prev"))
+    head = F.when(take > 0, F.slice("__prev", F.size("__prev") - take + 1, take)).otherwise(
+        F.array().cast(inner.schema["__in"].dataType))
+    ctx = F.concat(head, F.col("__in"))
+    total = F.aggregate(ctx, F.lit(0.0), lambda acc, x: acc + x["value"].cast("double"))
+    return (j.withColumn("context", ctx).withColumn("context_mean", total / F.size("context"))
+            .select(*df.columns, "context", "context_mean"))
 
 
 def latest(df: DataFrame, content: str, run: str = "run_id", cycle: str = "cycle") -> DataFrame:

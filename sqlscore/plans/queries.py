@@ -119,7 +119,8 @@ def q_guideline_requests(spark, sf):
 
 def q_cycle_numbering(spark, sf):
     r = S.runs(spark, sf).filter(F.col("mode") == "cycle").withColumn("started_at", F.substring("run_name", 7, 8))
-    return cycles.number_cycles(r, run="root_run_id", started="started_at").select("run_id", "root_run_id", "cycle")
+    return cycles.number_cycles(r, run="root_run_id", started="started_at", skew_safe=True).select(
+        "run_id", "root_run_id", "cycle")
 
 
 def q_gold_lookup(spark, sf):
@@ -253,7 +254,7 @@ def q_runs_vs_baseline(spark, sf):
 # ---------------------------------------------------------------- cycles
 
 def q_cycle_lookback(spark, sf):
-    lb = cycles.lookback(_quality(spark, sf), 3, value="quality")
+    lb = cycles.lookback(_quality(spark, sf), 3, value="quality", skew_safe=True)
     return lb.select("run_id", "cycle", F.round("quality", R).alias("quality"),
                      F.array_join(F.transform("context", lambda x: x["cycle"].cast("string")), ",").alias("context_cycles"),
                      F.round("context_mean", R).alias("context_mean"))

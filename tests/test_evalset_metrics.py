@@ -149,3 +149,21 @@ def test_ordered_text_parts_keep_every_text(spark):
     assert [p for p, _ in k1] == [0, 1, 2, 3]
     assert "|".join(t for _, t in k1) == "|".join(["x" * 10] * 10)
     assert all(len(t) <= 25 + 11 for _, t in k1)
+
+
+def test_lookback_safe_matches_window_on_hot_key(spark):
+    df = spark.range(0, 2000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40).alias("run_id"),
+        F.col("id").alias("cycle"), (F.col("id") * 13 % 97).cast("double").alias("value"))
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = cycles.lookback(df, 3, skew_safe=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = cycles.lookback(df, 3)
+    cols = ["run_id", "cycle", "context"]
+    assert got.count() == 2000
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0
+    g = {(r["run_id"], r["cycle"]): r["context_mean"] for r in got.collect()}
+    w = {(r["run_id"], r["cycle"]): r["context_mean"] for r in want.collect()}
+    assert all(abs(g[x] - w[x]) < 1e-9 for x in w)

@@ -129,3 +129,21 @@ def union_feedback(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def run_feedback(feedback: DataFrame, run_ids: DataFrame | list, run: str = "run_id") -> DataFrame:
+    """All feedback rows of the given runs (a literal list is a filter that
+    reaches the scan; a DataFrame of run ids is a semi join)."""
+    if isinstance(run_ids, DataFrame):
+        return feedback.join(run_ids.select(F.col(run_ids.columns[0]).alias(run)), run, "left_semi")
+    return feedback.filter(F.col(run).isin(list(run_ids)))
+
+
+def flatten_assessments(traces: DataFrame, col: str = "assessments", keys=("trace_id",)) -> DataFrame:
+    """D3: per-trace lists of assessments -> one long feedback table (one row per
+    assessment, struct fields as columns).  ``explode`` keeps the work on the
+    executors instead of concatenating lists on the driver."""
+    keys = list(keys)
+    exploded = traces.select(*keys, F.explode(col).alias("__a"))
+    fields = traces.schema[col].dataType.elementType.fieldNames()
+    return exploded.select(*keys, *[F.col("__a")[f].alias(f) for f in fields])

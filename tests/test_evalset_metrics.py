@@ -167,3 +167,19 @@ def test_lookback_safe_matches_window_on_hot_key(spark):
     g = {(r["run_id"], r["cycle"]): r["context_mean"] for r in got.collect()}
     w = {(r["run_id"], r["cycle"]): r["context_mean"] for r in want.collect()}
     assert all(abs(g[x] - w[x]) < 1e-9 for x in w)
+
+
+def test_run_feedback_and_flatten(spark):
+    fb = spark.createDataFrame([("r1", "s", True), ("r2", "s", False), ("r3", "s", True)],
+                               "run_id string, scorer string, value boolean")
+    assert metrics.run_feedback(fb, ["r1", "r3"]).count() == 2
+    roots = spark.createDataFrame([("r2",)], "id string")
+    assert metrics.run_feedback(fb, roots).first()["run_id"] == "r2"
+    traces = spark.createDataFrame(
+        [("t1", [("a", True, "ok"), ("b", False, "no")]), ("t2", [("a", True, None)]), ("t3", [])],
+        "trace_id string, assessments array<struct<name:string,value:boolean,rationale:string>>")
+    flat = metrics.flatten_assessments(traces).collect()
+    assert len(flat) == 3 and {r["name"] for r in flat} == {"a", "b"}
+    long = metrics.union_feedback(metrics.flatten_assessments(traces),
+                                  spark.range(2).select(F.lit("x").alias("name")))  # range input selected first
+    assert long.count() == 5

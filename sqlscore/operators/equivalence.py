@@ -18,10 +18,12 @@ import functools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlscore.session import materialize
+
 SIGN = "__sign"
 IDX = "__pos"
 
@@ -158,11 +160,10 @@ def dense_index(df: DataFrame, name: str = IDX) -> DataFrame:
     very same partitions, which two independent reads of a shuffle with
     adaptive coalescing do not promise, and the input is computed once.
     """
-    from sqlscore.session import materialize
     tagged = materialize(df).select("*", F.spark_partition_id().alias("__pid"),
                                     F.monotonically_increasing_id().alias("__mid"))
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__base"))
-    from pyspark.sql import Window
+    # over one row per partition: a proven small input
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
     return (tagged.join(F.broadcast(offsets.select("__pid", "__base", "__off")), "__pid")

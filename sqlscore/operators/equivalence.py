@@ -40,6 +40,9 @@ _FORBIDDEN = re.compile(
 _STRIP_LITERALS = re.compile(r"'[^']*'|\"[^\"]*\"|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/")
 
 
+_ERROR_CLASS = re.compile(r"\[([A-Z][A-Z0-9_]+)(?:\.[A-Z0-9_]+)?\]")
+
+
 class UnsafeQuery(ValueError):
     """Text is not a single read-only query."""
 
@@ -76,7 +79,8 @@ def classify_error(exc: Exception) -> str:
         return "unresolved"
     if "TABLE_OR_VIEW_NOT_FOUND" in msg:
         return "unknown_table"
-    return "error"
+    m = _ERROR_CLASS.search(msg)  # e.g. [CAST_INVALID_INPUT], [DIVIDE_BY_ZERO]
+    return m.group(1).lower() if m else "error"
 
 
 # ---------------------------------------------------------- normalisation

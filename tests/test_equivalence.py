@@ -156,7 +156,7 @@ def test_score_pairs_isolates_runtime_errors(spark):
              Pair("boom", "SELECT CAST(s AS INT) FROM t_rt", "SELECT 1")]
     rows = {r["pair_id"]: r for r in score_pairs(spark, pairs).collect()}
     assert rows["ok"]["value"] is True
-    assert rows["boom"]["value"] is False and rows["boom"]["error"].startswith("runtime:")
+    assert rows["boom"]["value"] is False and rows["boom"]["error"] == "runtime:cast_invalid_input"
 
 
 def test_property_shuffle_invariance(spark):

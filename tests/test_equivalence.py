@@ -184,3 +184,12 @@ def test_fingerprint_verdicts_sql_path(spark):
     assert rows["nulls"]["fp_match"] is False
     assert rows["width"]["fp_match"] is False
     assert rows["bad"]["fp_match"] is False and rows["bad"]["gold_rows"] is None
+
+
+def test_runtime_error_class_is_reported(spark):
+    spark.createDataFrame([(1,), (0,)], "a int").createOrReplaceTempView("t_div")
+    rows = score_pairs(spark, [Pair("div", "SELECT a FROM t_div", "SELECT 10 / a FROM t_div")]).collect()
+    ansi = spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert rows[0]["value"] is False
+    if ansi:
+        assert rows[0]["error"] == "runtime:divide_by_zero"

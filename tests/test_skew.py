@@ -38,3 +38,14 @@ def test_hot_keyword_counts(spark):
     h = keywords.keyword_histogram(df, "eval_id", {"gold": "gold_sql"})
     tot = {r["keyword"]: r["t"] for r in h.groupBy("keyword").agg(F.sum("n").alias("t")).collect()}
     assert tot["SELECT"] == 900 + 300 and tot["FROM"] == 600 and tot["IN"] == 300 and tot["WHERE"] == 300
+
+
+def test_spread_is_noop_on_wide_input(spark):
+    from sqlscore.operators.parallel import spread
+    wide = spark.range(0, 1000, numPartitions=32)
+    same = spread(wide)
+    plan = same._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and same.rdd.getNumPartitions() == 32
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(narrow, keys=("id",)).count() == 1000

@@ -39,16 +39,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and materialised tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a private temporary folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset a
+    private temporary folder is used, but only in local mode, where driver and
+    executors are one process; on a cluster that would be the driver's own
+    disk, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sqlscore-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -61,6 +62,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stash(df, name: str):
+    """Cut lineage with a table written once into the shared folder and read
+    back: several jobs then reuse the stored rows, and a lost executor costs a
+    re-read.  Unlike ``checkpoint()`` the file is columnar, so later steps read
+    only the columns they need."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Cut lineage for a frame that several actions reuse: a reliable
     ``checkpoint()`` into the shared checkpoint folder (never a local one),

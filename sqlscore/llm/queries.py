@@ -3,11 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sqlscore.llm.exact_dedup import exact_dedup
+from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_lines, line_dedup
+from sqlscore.llm.mixing import pfair_mix
 from sqlscore.llm.sharding import shard_by_bytes
+from sqlscore.llm.warc import read_archive, write_archive
+from sqlscore.session import scratch_path
 from sqlscore.sources.tables import load
 
+# target weights in parts: the dominant source is held down, two curated ones are raised
+MIX_PARTS = {f"src{i}": {0: 12, 1: 8, 2: 8}.get(i, 4) for i in range(20)}
+MIX_BLOCK_ROWS = 16
+
+
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_archive(load(spark, sf, "pages"), path)
+    return read_archive(spark, path).select(
+        F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload_digest", "record_type", "refers_to")
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "source")
+    mixed = pfair_mix(docs, MIX_PARTS, rest_parts=4, block_rows=MIX_BLOCK_ROWS)
+    return mixed.select("row.doc_id", "row.source", "block", "slot", "place")
+
+
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    pages = load(spark, sf, "pages")
+    return line_dedup(pages, "page_id", host_of(F.col("url")), html_lines(F.col("html")))
+
 
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_by_bytes(load(spark, sf, "documents"), n_shards=24)
@@ -18,11 +46,43 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op5_warc": op5_warc,
+    "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 LLM_ORACLE = {
+    "op5_warc": r"""
+        WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+             h AS (SELECT page_id, p, strlen(p) AS payload_bytes, sha1(p) AS s FROM t),
+             b AS (SELECT page_id, p, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+                     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                       (CAST('0x' || substr(s, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31
+                       AS INTEGER), 1)), '') AS payload_digest FROM h),
+             g AS (SELECT p, min(page_id) AS first FROM t GROUP BY p)
+        SELECT b.page_id, b.payload_bytes, b.payload_digest,
+               CASE WHEN b.page_id = g.first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN b.page_id = g.first THEN NULL ELSE g.first END AS refers_to
+        FROM b JOIN g USING (p)""",
+    "op8_line_dedup": rf"""
+        WITH raw AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
+                            regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', ' ', 'g'),
+                              '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g') AS t FROM pages),
+             cut AS (SELECT page_id, host, list_filter(coalesce(string_split(trim(regexp_replace(regexp_replace(
+                              t, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' '), chr(10)), []),
+                              lambda x: x <> '') AS lines FROM raw),
+             seen AS (SELECT page_id, host, unnest(list_distinct(lines)) AS line FROM cut WHERE host IS NOT NULL),
+             totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY host),
+             often AS (SELECT host, line, count(*) AS n FROM seen GROUP BY host, line),
+             boiler AS (SELECT o.host, list(o.line) AS boiler FROM often o JOIN totals USING (host)
+                        WHERE o.n >= 3 AND o.n / totals.pages > 0.3 GROUP BY o.host),
+             kept AS (SELECT page_id, cut.host, lines, list_filter(lines,
+                        lambda x: NOT list_contains(coalesce(boiler, []), x)) AS kept
+                      FROM cut LEFT JOIN boiler ON cut.host = boiler.host)
+        SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped,
+               array_to_string(kept, chr(10)) AS text FROM kept""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
                    FROM documents),

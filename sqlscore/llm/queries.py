@@ -9,6 +9,7 @@ from sqlscore.llm.exact_dedup import exact_dedup
 from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_lines, line_dedup
 from sqlscore.llm.mixing import pfair_mix
 from sqlscore.llm.sharding import shard_by_bytes
+from sqlscore.llm.simhash import simhash_dedup
 from sqlscore.llm.warc import read_archive, write_archive
 from sqlscore.session import scratch_path
 from sqlscore.sources.tables import load
@@ -18,6 +19,10 @@ MIX_PARTS = {f"src{i}": {0: 12, 1: 8, 2: 8}.get(i, 4) for i in range(20)}
 MIX_BLOCK_ROWS = 16
 
 
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_dedup(load(spark, sf, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archive(load(spark, sf, "pages"), path)
@@ -46,6 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op3_simhash": op3_simhash,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,

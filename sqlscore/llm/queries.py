@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlscore.llm.exact_dedup import exact_dedup
+from sqlscore.llm.langid import language_id
 from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_lines, line_dedup
 from sqlscore.llm.mixing import pfair_mix
 from sqlscore.llm.sharding import shard_by_bytes
@@ -19,6 +20,16 @@ MIX_PARTS = {f"src{i}": {0: 12, 1: 8, 2: 8}.get(i, 4) for i in range(20)}
 MIX_BLOCK_ROWS = 16
 
 
+def held_out():
+    """Fold rule of language identification: crc32 of the identifier's text, modulo 5."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    return language_id(docs, may_learn=~held_out()).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_dedup(load(spark, sf, "documents"))
 
@@ -51,6 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,

@@ -11,6 +11,7 @@ from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_line
 from sqlscore.llm.mixing import pfair_mix
 from sqlscore.llm.sharding import shard_by_bytes
 from sqlscore.llm.simhash import simhash_dedup
+from sqlscore.llm.toxicity import toxicity_chain
 from sqlscore.llm.warc import read_archive, write_archive
 from sqlscore.session import scratch_path
 from sqlscore.sources.tables import load
@@ -30,6 +31,16 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id(docs, may_learn=~held_out()).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def toxicity_categories() -> dict:
+    """The two given labels make three categories, in the order of the chain."""
+    toxic, low_quality = F.col("toxic") == 1, F.col("quality") == 0
+    return {"low_quality": low_quality, "toxic": toxic, "toxic_low_quality": toxic & low_quality}
+
+
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity_chain(load(spark, sf, "documents"), load(spark, sf, "labels"), toxicity_categories())
+
+
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_dedup(load(spark, sf, "documents"))
 
@@ -63,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,

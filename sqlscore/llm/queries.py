@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlscore.llm.decontaminate import decontaminate
 from sqlscore.llm.exact_dedup import exact_dedup
 from sqlscore.llm.langid import language_id
 from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_lines, line_dedup
@@ -45,6 +46,10 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_dedup(load(spark, sf, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archive(load(spark, sf, "pages"), path)
@@ -76,6 +81,7 @@ LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
@@ -84,6 +90,25 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLE = {
+    # all item-sized windows that start at a shingle of the item, without fingerprints
+    "op4_decontaminate": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+             b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+             d AS (SELECT doc_id, len(w) - 4 AS n, unnest(range(len(w) - 4)) AS p, w FROM w WHERE len(w) >= 5),
+             ds AS (SELECT doc_id, n, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS s FROM d),
+             i AS (SELECT item_id, len(w) - 4 AS m, unnest(range(len(w) - 4)) AS p, w FROM b WHERE len(w) >= 5),
+             its AS (SELECT item_id, m, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS s, count(*) AS k
+                     FROM i GROUP BY ALL),
+             hit AS (SELECT DISTINCT doc_id, n, p, item_id, m, s, k FROM ds JOIN its USING (s)),
+             held AS (SELECT a.doc_id, a.item_id, a.p AS start, a.m, least(a.m, a.n - a.p) AS size, h.s, h.k,
+                             count(*) AS c
+                      FROM hit a JOIN hit h ON a.doc_id = h.doc_id AND a.item_id = h.item_id
+                       AND h.p >= a.p AND h.p < a.p + a.m GROUP BY ALL),
+             win AS (SELECT doc_id, item_id, start, m, size, sum(least(c, k)) AS common FROM held GROUP BY ALL),
+             sim AS (SELECT doc_id, item_id, start, CAST(common AS DOUBLE) / (m + size - common) AS similarity FROM win)
+        SELECT doc_id, item_id, max(similarity) AS similarity,
+               CAST(min_by(start, (-similarity, start)) AS INTEGER) AS start_word
+        FROM sim WHERE similarity >= 0.8 GROUP BY doc_id, item_id""",
     "op5_warc": r"""
         WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
              h AS (SELECT page_id, p, strlen(p) AS payload_bytes, sha1(p) AS s FROM t),

@@ -12,6 +12,7 @@ from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_line
 from sqlscore.llm.mixing import pfair_mix
 from sqlscore.llm.sharding import shard_by_bytes
 from sqlscore.llm.simhash import simhash_dedup
+from sqlscore.llm.suffix_dedup import suffix_dedup
 from sqlscore.llm.toxicity import toxicity_chain
 from sqlscore.llm.warc import read_archive, write_archive
 from sqlscore.session import scratch_path
@@ -73,6 +74,12 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_by_bytes(load(spark, sf, "documents"), n_shards=24)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix_dedup(load(spark, sf, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(load(spark, sf, "documents"))
 
@@ -86,6 +93,7 @@ LLM_QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -6,8 +6,8 @@ training, those earlier probabilities come from models that had not seen the
 row (out-of-fold), so later models learn from the quality of prediction they
 will meet; for use, each category is then fitted on all training rows.
 
-Features are word stems: a word (letters, lower case) and its beginnings of 4
-to 7 letters, hashed; a text's value for a feature is a damped density,
+Features are word stems: a word (lower case, a run of ASCII letters and
+non-ASCII characters) and its beginnings of 4 to 8 bytes, hashed; a text's value for a feature is a damped density,
 log(1 + 200 n / (words + 20)).  Five style values join them (length, shares of
 symbols, digits, repeated words and one-letter words).  Per category the ``n_features`` with the
 largest chi-square are kept, and the model is logistic regression.
@@ -27,20 +27,22 @@ result; columns beyond the named ones are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6, 7)
+# every ASCII character but a to z ends a word
+SPLIT = bytes(i if 97 <= i <= 122 or i > 127 else 32 for i in range(256))
+GAP = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]")
+STEMS = (4, 5, 6, 7, 8)
 HASH_BITS = 20
 PIECE_CHARS = 1 << 20
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 FOLDS = 5
 
 
@@ -51,17 +53,23 @@ def words_of(text: str) -> Counter:
     while at < len(text):
         end = at + PIECE_CHARS
         if end < len(text):
-            gap = re.compile(r"[\W\d_]").search(text, end)
+            gap = GAP.search(text, end)
             end = gap.start() if gap else len(text)
-        found.update(WORD.findall(text[at:end].lower()))
+        found.update(text[at:end].lower().encode("utf-8", "replace").translate(SPLIT).split())
         at = end
     return found
 
 
-def features_of(word: str) -> list[int]:
-    """Hashed features of a word: itself, and its beginnings."""
-    names = ["=" + word, *("<" + word[:n] for n in STEMS if len(word) >= n)]
-    return [xxhash.xxh32_intdigest(x) >> (32 - HASH_BITS) for x in names]
+def features_of(word: bytes) -> list[int]:
+    """Hashed features of a word: its beginnings, and itself."""
+    out, crc, done = [], 0, 0
+    for n in STEMS:
+        if len(word) < n:
+            break
+        crc, done = zlib.crc32(word[done:n], crc), n
+        out.append((crc * 2654435761 & 0xFFFFFFFF) >> (32 - HASH_BITS))
+    out.append((zlib.crc32(word[done:] + b"=", crc) * 2654435761 & 0xFFFFFFFF) >> (32 - HASH_BITS))
+    return out
 
 
 def damped(count: np.ndarray, words: int) -> np.ndarray:
@@ -70,10 +78,10 @@ def damped(count: np.ndarray, words: int) -> np.ndarray:
 
 def style(text: str, words: Counter) -> np.ndarray:
     """Dense features of a text, 0 to about 1 each."""
-    n, letters = sum(words.values()), sum(len(w) * c for w, c in words.items())
+    n, letters = sum(words.values()), sum(len(w.decode()) * c for w, c in words.items())
     blanks = sum(map(text.count, " \n\t"))
     digits = sum(map(text.count, "0123456789"))
-    return np.array([np.log1p(n) / 10, (len(text) - letters - blanks - digits) / (len(text) + 1),
+    return np.array([np.log1p(n) / 10, max(0, len(text) - letters - blanks - digits) / (len(text) + 1),
                      digits / (len(text) + 1), 1 - len(words) / (n + 1),
                      sum(c for w, c in words.items() if len(w) == 1) / (n + 1)], dtype=np.float32)
 
@@ -90,15 +98,17 @@ def sparse_row(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         style(text, words)
 
 
-def labelled_sample(labelled: DataFrame, categories: list[str], per_class: int):
-    """Feature rows, labels and weights of the training sample."""
+def labelled_sample(texts: DataFrame, known: DataFrame, categories: list[str], per_class: int):
+    """Feature rows, labels and weights of the training sample; only identifiers
+    and labels are shuffled, texts are hashed where they are read."""
     labels = F.concat_ws(",", *(F.col(c).cast("string") for c in categories))
-    pool = labelled.dropna(subset=["text", *categories]).withColumn("labels", labels)
+    pool = (known.dropna(subset=categories).withColumn("labels", labels)
+            .join(texts.filter("text IS NOT NULL").select("row_id"), "row_id").select("row_id", "labels"))
     shares = {r["labels"]: r["n"] for r in pool.groupBy("labels").agg(F.count("*").alias("n")).collect()}
     order = Window.partitionBy("labels").orderBy(F.xxhash64("row_id", F.lit(3)), "row_id")
-    drawn = (pool.select("row_id", "labels").withColumn("nth", F.row_number().over(order))
-             .filter(F.col("nth") <= per_class).select("row_id", "labels").distinct())
-    texts = pool.select("row_id", "labels", "text").join(drawn, ["row_id", "labels"], "left_semi")
+    drawn = pool.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).select("row_id", "labels")
+    # at most per_class rows for each of the 2 ** categories classes
+    chosen = texts.filter("text IS NOT NULL").join(F.broadcast(drawn.distinct()), "row_id").select("labels", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +118,7 @@ def labelled_sample(labelled: DataFrame, categories: list[str], per_class: int):
                 ["labels", "at", "value", "style"])
 
     rows = sorted((r["labels"], bytes(r["at"]), bytes(r["value"]), bytes(r["style"])) for r in
-                  texts.mapInArrow(hashed, "labels string, at binary, value binary, style binary").collect())
+                  chosen.mapInArrow(hashed, "labels string, at binary, value binary, style binary").collect())
     drawn_of = Counter(r[0] for r in rows)
     x = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), np.frombuffer(s, np.float32)) for _, a, v, s in rows]
     y = np.array([[float(c) > 0 for c in r[0].split(",")] for r in rows])
@@ -202,7 +212,7 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
     names = list(categories)
     known = labels.select(F.col(id_col).alias("row_id"), *(c.cast("int").alias(n) for n, c in categories.items()))
     texts = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    x, y, weight = labelled_sample(texts.join(known, "row_id"), names, per_class)
+    x, y, weight = labelled_sample(texts, known, names, per_class)
     chain = fit_chain(x, y, weight, n_features, ridge) if x else []
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -211,7 +221,7 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
         chosen = np.unique(np.concatenate([c[0] for c in chain])) if chain else np.empty(0, np.int64)
         place = {int(f): i for i, f in enumerate(chosen)}
         own = [np.searchsorted(chosen, c[0]) for c in chain]
-        cache: dict[str, tuple[int, ...]] = {}
+        cache: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             out = np.zeros((len(names), batch.num_rows))
             for i, text in enumerate(batch.column("text")):

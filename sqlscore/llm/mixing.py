@@ -89,11 +89,11 @@ def pfair_mix(rows: DataFrame, parts: dict[str, int], rest_parts: int = 1, block
         raise ValueError("parts are whole numbers from 1")
     own = spark.createDataFrame([*enumerate(names)], "mix_source int, name string")
     columns = [F.col(f"`{c}`") for c in rows.columns]
-    base = stash(rows.select(F.struct(*columns).alias("row"), F.col(source_col).cast("string").alias("name"),
-                             F.xxhash64(F.col(id_col), F.lit(seed)).alias("u"), F.col(id_col).alias("mix_id"))
-                 .join(F.broadcast(own), "name", "left")  # as long as the parameter
-                 .select("row", "mix_id", "u", F.coalesce("mix_source", F.lit(len(names))).alias("mix_source")), "mix-rows")
-    n_chunks = base.count() // CHUNK_ROWS + 1
+    base = (rows.select(F.struct(*columns).alias("row"), F.col(source_col).cast("string").alias("name"),
+                        F.xxhash64(F.col(id_col), F.lit(seed)).alias("u"), F.col(id_col).alias("mix_id"))
+            .join(F.broadcast(own), "name", "left")  # as long as the parameter
+            .select("row", "mix_id", "u", F.coalesce("mix_source", F.lit(len(names))).alias("mix_source")))
+    n_chunks = rows.count() // CHUNK_ROWS + 1
     chunk = F.shiftright(F.shiftrightunsigned(F.col("u").bitwiseXOR(F.lit(-1 << 63)), 33) * n_chunks, 31)
     base = base.withColumn("chunk", chunk)
     sizes = stash(base.groupBy("mix_source", "chunk").agg(F.count("*").alias("n")), "mix-sizes")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sqlscore.llm.decontaminate import decontaminate
 from sqlscore.llm.exact_dedup import exact_dedup
 from sqlscore.llm.langid import language_id
 from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_lines, line_dedup
 from sqlscore.llm.mixing import pfair_mix
+from sqlscore.llm.settings import MIX_BLOCK_ROWS, MIX_PARTS, MIX_REST_PARTS, N_SHARDS, toxicity_categories
 from sqlscore.llm.sharding import shard_by_bytes
 from sqlscore.llm.simhash import simhash_dedup
 from sqlscore.llm.suffix_dedup import suffix_dedup
@@ -18,10 +20,6 @@ from sqlscore.llm.warc import read_archive, write_archive
 from sqlscore.session import scratch_path
 from sqlscore.sources.tables import load
 
-# target weights in parts: the dominant source is held down, two curated ones are raised
-MIX_PARTS = {f"src{i}": {0: 12, 1: 8, 2: 8}.get(i, 4) for i in range(20)}
-MIX_BLOCK_ROWS = 16
-
 
 def held_out():
     """Fold rule of language identification: crc32 of the identifier's text, modulo 5."""
@@ -33,12 +31,6 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id(docs, may_learn=~held_out()).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def toxicity_categories() -> dict:
-    """The two given labels make three categories, in the order of the chain."""
-    toxic, low_quality = F.col("toxic") == 1, F.col("quality") == 0
-    return {"low_quality": low_quality, "toxic": toxic, "toxic_low_quality": toxic & low_quality}
-
-
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity_chain(load(spark, sf, "documents"), load(spark, sf, "labels"), toxicity_categories())
 
@@ -61,7 +53,7 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "source")
-    mixed = pfair_mix(docs, MIX_PARTS, rest_parts=4, block_rows=MIX_BLOCK_ROWS)
+    mixed = pfair_mix(docs, MIX_PARTS, rest_parts=MIX_REST_PARTS, block_rows=MIX_BLOCK_ROWS)
     return mixed.select("row.doc_id", "row.source", "block", "slot", "place")
 
 
@@ -71,7 +63,7 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    return shard_by_bytes(load(spark, sf, "documents"), n_shards=24)
+    return shard_by_bytes(load(spark, sf, "documents"), n_shards=N_SHARDS)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +76,10 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(load(spark, sf, "documents"))
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +91,7 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": pipeline,
 }
 
 LLM_ORACLE = {

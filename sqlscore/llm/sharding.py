@@ -65,17 +65,20 @@ def splitters(rows: DataFrame, wanted: dict[int, int], sizes: dict[int, int], se
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-                   seed: int = 7, ranges: int | None = None) -> DataFrame:
+                   seed: int = 7, ranges: int | None = None, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: identifier, ``size``, ``text_crc32``, ``law``,
     ``shard`` (0 to n_shards - 1), ``slot`` (gapless from 0 in each shard) and
-    ``grown_shard`` (null under this law)."""
+    ``grown_shard`` (null under this law).  With ``carry`` a struct ``row`` of all
+    columns of ``docs`` stands for the identifier."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     tie = (1 << TIE_BITS) - 1
     key = F.xxhash64(text).bitwiseAND(F.lit(~tie)).bitwiseOR(F.xxhash64(id_col).bitwiseAND(F.lit(tie)))
-    rows = stash(docs.select(F.col(id_col).alias("row_id"),
-                             (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
-                             F.crc32(text.cast("binary")).alias("crc"), key.alias("key")), "shard-rows")
+    narrow = [F.col(id_col).alias("row_id"), (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
+              F.crc32(text.cast("binary")).alias("crc"), key.alias("key")]
+    rows = stash(docs.select(*narrow), "shard-rows")
+    whole = docs.select(*narrow, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")) if carry else rows
+    own = "row" if carry else "row_id"
     n_ranges = ranges or max(4 * n_shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     bounds: list[int] = []
@@ -96,14 +99,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     w = Window.partitionBy("range").orderBy("key", "row_id", "crc", "size")
     end = F.col("before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     place = F.floor((2 * end - F.col("size")) * n_shards / F.lit(2 * max(total, 1)))
-    placed = stash(rows.withColumn("range", range_of(F.col("key"), bounds)).join(F.broadcast(offsets), "range")
-                   .select("row_id", "size", "crc", "range", F.least(place, F.lit(n_shards - 1)).cast("int").alias("shard"),
+    placed = stash(whole.withColumn("range", range_of(F.col("key"), bounds)).join(F.broadcast(offsets), "range")
+                   .select(own, "size", "crc", "range", F.least(place, F.lit(n_shards - 1)).cast("int").alias("shard"),
                            F.row_number().over(w).cast("long").alias("nth")), "shard-placed")
     # at most one row per range and shard that meet: ranges + shards rows
     meet = placed.groupBy("range", "shard").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
     starts = meet.select("range", "shard", "first", (F.sum("n").over(
         Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("earlier"))
     return placed.join(F.broadcast(starts), ["range", "shard"]).select(
-        F.col("row_id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col(own).alias("row" if carry else id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
         "shard", (F.col("earlier") + F.col("nth") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))

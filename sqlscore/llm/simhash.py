@@ -35,7 +35,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscore.llm.components import components
@@ -86,16 +86,18 @@ def fingerprint(data: bytes, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``row_id`` and ``fp`` of every row."""
-    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text"))
+    """``row_id``, ``fp`` and a hash of the text of every row."""
+    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text"),
+                       F.xxhash64(text_col).alias("text_key"))
     id_type = rows.schema["row_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x.as_py() or b"", shingle_words) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(fps, pa.int64())], ["row_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(fps, pa.int64()), batch.column("text_key")],
+                                             ["row_id", "fp", "text_key"])
 
-    return rows.mapInArrow(run, f"row_id {id_type}, fp bigint")
+    return rows.mapInArrow(run, f"row_id {id_type}, fp bigint, text_key bigint")
 
 
 # ---------------------------------------------------------------- buckets
@@ -228,17 +230,29 @@ def compare_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                   hot: int = HOT_BUCKET) -> DataFrame:
-    """One row per row of ``docs``: identifier, ``fingerprint`` (16 hex digits)
-    and ``component_id``."""
+    """One row per row of ``docs``: identifier, ``fingerprint`` (16 hex digits),
+    ``component_id``, ``root`` (least fingerprint of the component) and ``text_key``
+    (hash of the text, which tells apart rows that share an identifier)."""
     rows = stash(fingerprints(docs, id_col, text_col, shingle_words), "simhash-rows")
     classes = stash(rows.groupBy("fp").agg(F.min("row_id").alias("first_id")), "simhash-classes")
     dealt = buckets(classes.select("fp"), hot).repartition("tab", "key").sortWithinPartitions("tab", "key", "fp")
     members = stash(components(dealt.mapInArrow(compare_buckets, "u bigint, v bigint")), "simhash-members")
-    linked = members.join(classes, members.node == classes.fp).select("fp", "root", "first_id")
-    ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = linked.join(ids, "root").select("fp", "component_id")
-    of_class = stash(classes.join(found, "fp", "left").select(
-        "fp", F.when(F.col("component_id").isNull(), F.col("first_id")).otherwise(F.col("component_id"))
-        .alias("component_id")), "simhash-classes")
+    rooted = stash(classes.join(members.withColumnRenamed("node", "fp"), "fp", "left")
+                   .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_class = stash(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-ids")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return rows.join(of_class, "fp").select(
-        F.col("row_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        F.col("row_id").alias(id_col), digits("fp").alias("fingerprint"), "component_id", digits("root").alias("root"), "text_key")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group in ``groups`` (as from
+    ``simhash_dedup``): one for each, with the smallest identifier."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("of_id"), F.col("text_key").alias("of_key")))
+    chosen = groups.groupBy("root").agg(first.alias("first")).select("first.of_id", "first.of_key").distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"))
+    kept = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_key") == F.col("of_key")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_key").orderBy(F.lit(1)))  # repeated rows
+    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")

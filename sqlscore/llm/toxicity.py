@@ -12,8 +12,8 @@ log(1 + 200 n / (words + 20)).  Five style values join them (length, shares of
 symbols, digits, repeated words and one-letter words).  Per category the ``n_features`` with the
 largest chi-square are kept, and the model is logistic regression.
 
-Training rows are at most ``per_class`` labelled texts for each combination of
-labels, drawn by a hash of the identifier and weighted back to the class's
+Training rows are about ``per_class`` labelled texts for each combination of
+labels (all of a rarer one), drawn by a hash of the identifier and weighted back to the class's
 true share; the sample's size is the documented bound on what reaches the
 driver (hashed features, not texts).  Scoring reads every whole text.
 
@@ -33,8 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # every ASCII character but a to z ends a word
 SPLIT = bytes(i if 97 <= i <= 122 or i > 127 else 32 for i in range(256))
@@ -105,9 +106,11 @@ def labelled_sample(texts: DataFrame, known: DataFrame, categories: list[str], p
     pool = (known.dropna(subset=categories).withColumn("labels", labels)
             .join(texts.filter("text IS NOT NULL").select("row_id"), "row_id").select("row_id", "labels"))
     shares = {r["labels"]: r["n"] for r in pool.groupBy("labels").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("labels").orderBy(F.xxhash64("row_id", F.lit(3)), "row_id")
-    drawn = pool.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).select("row_id", "labels")
-    # at most per_class rows for each of the 2 ** categories classes
+    rates = [(k, min(1.0, per_class / n)) for k, n in sorted(shares.items())]  # at most 2 ** categories
+    classes = known.sparkSession.createDataFrame(rates, "labels string, rate double")
+    u = F.shiftrightunsigned(F.xxhash64("row_id", F.lit(3)), 11) / F.lit(float(1 << 53))
+    drawn = pool.join(F.broadcast(classes), "labels").filter(u < F.col("rate")).select("row_id", "labels")
+    # about per_class rows for each class
     chosen = texts.filter("text IS NOT NULL").join(F.broadcast(drawn.distinct()), "row_id").select("labels", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +209,10 @@ def fit_chain(x: list, y: np.ndarray, weight: np.ndarray, n_features: int, ridge
 
 def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id",
                    text_col: str = "text", per_class: int = 2000, n_features: int = 1000,
-                   ridge: float = 1e-4) -> DataFrame:
+                   ridge: float = 1e-4, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: identifier, and for each category (in chain
-    order; a column over ``labels`` that is 1 or 0) its probability and ``is_<category>``."""
+    order; a column over ``labels`` that is 1 or 0) its probability and ``is_<category>``.
+    With ``carry`` a struct ``row`` of all columns of ``docs`` stands for the identifier."""
     names = list(categories)
     known = labels.select(F.col(id_col).alias("row_id"), *(c.cast("int").alias(n) for n, c in categories.items()))
     texts = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
@@ -246,5 +250,8 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
                 [batch.column("row_id"), *map(pa.array, out), *map(pa.array, flags)],
                 ["row_id", *names, *("is_" + n for n in names)])
 
-    schema = [f"row_id {dict(texts.dtypes)['row_id']}", *(f"`{n}` double" for n in names), *(f"`is_{n}` boolean" for n in names)]
-    return texts.mapInArrow(score, ", ".join(schema)).withColumnRenamed("row_id", id_col)
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col(id_col)
+    scored = docs.select(own.alias("row_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([scored.schema["row_id"], *(T.StructField(n, T.DoubleType()) for n in names),
+                           *(T.StructField("is_" + n, T.BooleanType()) for n in names)])
+    return scored.mapInArrow(score, schema).withColumnRenamed("row_id", "row" if carry else id_col)

@@ -74,7 +74,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     drawn = (pool.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("row_id"), F.xxhash64(id_col, F.lit(5)).alias("draw"))
              .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("row_id").distinct())
     texts = (pool.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-             .join(drawn, "row_id", "left_semi"))
+             .join(F.broadcast(drawn), "row_id", "left_semi"))  # at most languages x per_lang identifiers
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(GRAMS, dtype=bool)

@@ -39,7 +39,8 @@ MULTIWORD = [
 LEXICON = KEYWORDS + MULTIWORD
 
 # Literals, quoted names, line and block comments.
-LITERALS_RE = r"'[^']*'" + '|"[^"]*"' + r"|`[^`]*`|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+_TEXT_RE = r"'(?:[^'\\]|\\.)*'" + r'|"(?:[^"\\]|\\.)*"' + r"|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+LITERALS_RE = _TEXT_RE + "|`[^`]*`"
 # Separator characters: ASCII non-word characters (';' is handled by the
 # statement cut) and the Unicode blanks.  Mapped one-to-one by translate.
 SEPARATORS = ("".join(chr(i) for i in range(128) if not (chr(i).isalnum() or chr(i) in "_;"))
@@ -59,6 +60,13 @@ def strip_literals(sql: Column) -> Column:
     return F.when(has, F.regexp_replace(sql, LITERALS_RE, " ")).otherwise(sql)
 
 
+def strip_texts(sql: Column) -> Column:
+    """Blank literals and comments but keep quoted names, without their
+    back-quotes and with no blanks around the dots between their parts."""
+    kept = F.regexp_replace(sql, f"{_TEXT_RE}|(`[^`]*`)", "$1 ")
+    return F.translate(F.regexp_replace(kept, r"\s*\.\s*", "."), "`", "")
+
+
 def first_statement(sql: Column) -> Column:
     return F.substring_index(sql, ";", 1)
 
@@ -69,14 +77,15 @@ def fused(phrase: str) -> tuple[str, str]:
     return SEP1 + SEP.join(words) + SEP1, SEP1 + " ".join(words) + SEP1
 
 
-def normalised(sql: Column, only_first_statement: bool = True) -> Column:
+def normalised(sql: Column, only_first_statement: bool = True, quoted_names: bool = False) -> Column:
     """Upper-case word stream, words separated by SEP, phrases fused with blanks.
+    ``quoted_names`` keeps the words of back-quoted names (else they are blanked).
 
     Separator characters are mapped by ``translate`` (a per-character table
     lookup); only runs of two or more separators need the regex, which
     therefore matches rarely; a literal replace then doubles every separator
     so that adjacent fused phrases each find their own."""
-    x = strip_literals(sql)
+    x = strip_texts(sql) if quoted_names else strip_literals(sql)
     seps = SEPARATORS
     if only_first_statement:
         x = first_statement(x)
@@ -91,10 +100,10 @@ def normalised(sql: Column, only_first_statement: bool = True) -> Column:
     return x
 
 
-def sql_tokens(sql: Column, only_first_statement: bool = True) -> Column:
+def sql_tokens(sql: Column, only_first_statement: bool = True, quoted_names: bool = False) -> Column:
     """array<string> of upper-case tokens; fused phrases contain blanks.  Empty
     strings between separators are kept (they never match a keyword)."""
-    return F.split(normalised(sql, only_first_statement), SEP1)
+    return F.split(normalised(sql, only_first_statement, quoted_names), SEP1)
 
 
 def sql_keywords(sql: Column, only_first_statement: bool = True) -> Column:
@@ -104,7 +113,12 @@ def sql_keywords(sql: Column, only_first_statement: bool = True) -> Column:
 
 def keyword_count_map(sql: Column) -> Column:
     """Row form of the histogram: map<keyword, count> (for per-row scorers)."""
-    kws = sql_keywords(sql)
+    return count_map(sql_tokens(sql))
+
+
+def count_map(tokens: Column) -> Column:
+    """map<keyword, count> of a token array; null tokens have an empty map."""
+    kws = F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isin(LEXICON))
     distinct = F.array_sort(F.array_distinct(kws))
     return F.map_from_arrays(
         distinct, F.transform(distinct, lambda k: F.size(F.filter(kws, lambda t: t == k)).cast("int")))
@@ -139,7 +153,8 @@ def message_id(url: Column) -> Column:
 
 
 def is_three_part_name(name: Column) -> Column:
-    return F.size(F.split(name, r"\.")) == 3
+    parts = F.split(name, r"\.")
+    return (F.size(parts) == 3) & F.forall(parts, lambda p: F.trim(p) != "")
 
 
 def strip_heading(h: Column) -> Column:
@@ -159,7 +174,7 @@ def render(template: str, bindings: dict[str, Column]) -> Column:
     missing = names - set(bindings)
     if missing:
         raise KeyError(f"unbound template variables: {sorted(missing)}")
-    out = F.lit(template)
-    for name in sorted(names):
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(bindings[name].cast("string"), F.lit("")))
-    return out
+    # the template is cut once, so braces inside a value stay as they are
+    pieces = re.split(r"\{([A-Za-z_][A-Za-z0-9_]*)\}", template)
+    return F.concat(*(F.coalesce(bindings[x].cast("string"), F.lit("")) if i % 2 else F.lit(x)
+                      for i, x in enumerate(pieces)))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscore.functions.sqltext import message_id, strip_heading
-from sqlscore.operators.parallel import spread
 
 
 def user_questions(conv: DataFrame, limit: int | None = None) -> DataFrame:
@@ -51,22 +50,35 @@ def pack_documents(docs: DataFrame, num_groups: int, key: str = "doc_id", text:
                               sep).alias("text")))
 
 
-ELEMENT_RE = r"<h[1-6][^>]*>.*?</h[1-6]>|<li[^>]*>.*?</li>"
+# (?s): an element may span lines; a blank or > must follow the name, so <link> is no <li>
+ELEMENT_RE = r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>|<li(?:\s[^>]*)?>.*?</li\s*>"
+# Markdown lines: # headings; -, * and 1. bullets
+LINE_RE = r"(?m)^[ \t]*(?:#{1,6}[ \t]+[^\r\n]*|(?:[-*]|[0-9]+\.)[ \t]+[^\r\n]*)"
 
 
-def sectionise(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Heading -> bullets per page.  Headings are h1..h6 (':' trimmed),
-    bullets are list items (trimmed, tags removed).  Bullets before the first
-    heading are dropped; a repeated heading keeps only its last section.
+def sectionise(pages: DataFrame, key: str = "page_id", html: str = "html", form: str = "html") -> DataFrame:
+    """Heading -> bullets per page.  ``form`` says what the text is: ``html``
+    (headings h1..h6, bullets are list items) or ``lines`` (Markdown: ``#``
+    headings, ``-``, ``*`` and ``1.`` bullets).  Texts are trimmed, a heading's
+    ``:`` too, tags are removed and line breaks inside an element are blanks.
+    Bullets before the first heading are dropped; a repeated heading keeps only
+    its last section.
 
     One shuffle: the running heading count is a window partitioned by page,
     and the following group-bys on (page, ...) reuse that partitioning.
     """
-    els = (spread(pages, keys=(key,))
-           .select(key, F.posexplode_outer(F.regexp_extract_all(F.col(html), F.lit(ELEMENT_RE), 0)).alias("pos", "el"))
-           .filter(F.col("el").isNotNull()))  # _outer: no inferred filter re-running the regex below the shuffle
-    is_h = F.col("el").startswith("<h")
-    txt = F.trim(F.regexp_replace(F.col("el"), "<[^>]*>", ""))
+    if form not in ("html", "lines"):
+        raise ValueError(f"unknown form {form!r}")
+    found = F.regexp_extract_all(F.col(html), F.lit(ELEMENT_RE if form == "html" else LINE_RE), F.lit(0))
+    els = (pages.select(key, F.posexplode_outer(found).alias("pos", "el"))
+           .filter(F.col("el").isNotNull()))  # _outer: no inferred filter that runs the regex again
+    if form == "html":
+        is_h = F.lower(F.col("el")).startswith("<h")
+        bare = F.regexp_replace("el", "<[^>]*>", "")
+    else:
+        is_h = F.trim(F.translate("el", "\t", " ")).startswith("#")
+        bare = F.regexp_replace("el", r"^[ \t]*(?:#{1,6}|[-*]|[0-9]+\.)[ \t]+", "")
+    txt = F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = (els.withColumn("is_h", is_h)
               .withColumn("txt", F.when(is_h, strip_heading(txt)).otherwise(txt))

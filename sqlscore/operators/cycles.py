@@ -6,17 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlscore.operators.parallel import spread
 from sqlscore.session import materialize
 
 
+def _join_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which a null equals a null."""
+    renamed = right.select(*[F.col(k).alias("__r_" + k) if k in keys else F.col(k) for k in right.columns])
+    on = [left[k].eqNullSafe(renamed["__r_" + k]) for k in keys]
+    return left.join(renamed, on, "left").drop(*["__r_" + k for k in keys])
+
+
 def number_cycles(df: DataFrame, run: str = "run_id", started: str = "started_at",
                   out: str = "cycle", skew_safe: bool = False) -> DataFrame:
-    """Cycles 1..n per run in start order.  ``skew_safe`` (start times
-    unique per run) numbers by a chunked running count instead of a window."""
+    """Cycles 1..n per run in start order; equal start times share a number.
+    ``skew_safe`` numbers the distinct start times of a run by a chunked running
+    count instead of a window over the whole run."""
     if skew_safe:
-        counted = cumsum_safe(df.withColumn("__one", F.lit(1)), run, started, "__one", out)
-        return counted.drop("__one").withColumn(out, F.col(out).cast("int"))
+        starts = df.select(run, started).distinct().withColumn("__one", F.lit(1))
+        counted = cumsum_safe(starts, run, started, "__one", out).select(run, started, F.col(out).cast("int").alias(out))
+        return _join_safe(df, counted, [run, started]).select(*df.columns, out)
     return df.withColumn(out, F.dense_rank().over(Window.partitionBy(run).orderBy(started)))
 
 
@@ -69,7 +77,7 @@ def lookback(df: DataFrame, k: int, value: str = "value", run: str = "run_id",
     carried = (last.withColumn("__prev", F.flatten(F.collect_list("__tail").over(
         Window.partitionBy(run).orderBy("__chunk").rowsBetween(-(k - 1), -1))))
         .select(run, "__chunk", "__prev"))
-    j = inner.join(carried, [run, "__chunk"], "left").withColumn(
+    j = _join_safe(inner, carried, [run, "__chunk"]).withColumn(
         "__prev", F.coalesce(F.col("__prev"), F.array().cast(inner.schema["__in"].dataType)))
     need = F.lit(k) - F.size("__in")
     take = F.least(need, F.size("__prev"))
@@ -120,7 +128,7 @@ def lag_safe(df: DataFrame, key, order: str, cols: list[str], prefix: str = "pre
     tails = (m.groupBy(*keys, "__chunk").agg(F.max_by(packed, F.col(order)).alias("__tail"))
              .withColumn("__tail_prev", F.lag("__tail", 1).over(Window.partitionBy(*keys).orderBy("__chunk")))
              .select(*keys, "__chunk", "__tail_prev"))
-    out = inner.join(tails, [*keys, "__chunk"], "left").withColumn(
+    out = _join_safe(inner, tails, [*keys, "__chunk"]).withColumn(
         "__prev", F.coalesce(F.col("__prev"), F.col("__tail_prev")))
     return out.select(*df.columns, *[F.col("__prev")[c].alias(prefix + c) for c in cols])
 
@@ -139,7 +147,7 @@ def cumsum_safe(df: DataFrame, key, order: str, col: str, out: str = "cum") -> D
                    Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)))
                .select(*keys, "__chunk", "__off"))
-    return (inner.join(offsets, [*keys, "__chunk"], "left")
+    return (_join_safe(inner, offsets, [*keys, "__chunk"])
             .select(*df.columns, (F.col("__in") + F.col("__off")).alias(out)))
 
 
@@ -152,16 +160,18 @@ def token_diff(texts: DataFrame, run: str, cycle: str, text: str) -> DataFrame:
     as the previous counts of its successor; one aggregate sums both - a full
     outer join without the join.  Texts without a predecessor are skipped.
     """
-    linked = lag_safe(texts.select(run, cycle, text), run, cycle, [cycle], prefix="prev_")
+    linked = lag_safe(texts.select(run, cycle), run, cycle, [cycle], prefix="prev_")  # no texts in the checkpoint
     succ = linked.filter(F.col("prev_" + cycle).isNotNull()).select(
         run, F.col("prev_" + cycle).alias("__from"), F.col(cycle).alias("__to"))
-    toks = spread(texts).select(run, cycle, F.explode_outer(
-        F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[^ \t\n\r]+"), 0)).alias("token")
+    toks = texts.select(run, cycle, F.explode_outer(
+        F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[^ \t\n\r]+"), F.lit(0))).alias("token")
     ).filter(F.col("token").isNotNull())
     counts = toks.groupBy(run, cycle, "token").agg(F.count(F.lit(1)).alias("n"))
-    cur = (counts.join(succ.select(run, F.col("__to").alias(cycle)), [run, cycle], "left_semi")
+    of = succ.withColumnRenamed(run, "__run")
+    same = counts[run].eqNullSafe(of["__run"])
+    cur = (counts.join(of, same & (counts[cycle] == of["__to"]), "left_semi")
            .select(run, cycle, "token", F.col("n").alias("curr_n"), F.lit(0).cast("long").alias("prev_n")))
-    prev = (counts.join(succ, (counts[run] == succ[run]) & (counts[cycle] == succ["__from"]))
+    prev = (counts.join(of, same & (counts[cycle] == of["__from"]))
             .select(counts[run].alias(run), F.col("__to").alias(cycle), "token",
                     F.lit(0).cast("long").alias("curr_n"), F.col("n").alias("prev_n")))
     return (cur.unionByName(prev).groupBy(run, cycle, "token")

@@ -33,46 +33,89 @@ _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 # ---------------------------------------------------------------- SQL texts
 
-_FORBIDDEN = re.compile(
-    r"\b(reflect|java_method|try_reflect)\s*\(|\b(parquet|csv|json|orc|text|binaryfile|delta)\s*\.\s*`",
-    re.IGNORECASE,
-)
-_STRIP_LITERALS = re.compile(r"'[^']*'|\"[^\"]*\"|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/")
-
-
 _ERROR_CLASS = re.compile(r"\[([A-Z][A-Z0-9_]+)(?:\.[A-Z0-9_]+)?\]")
 
+# Leaves of an analysed plan that read nothing from outside it.
+_INNER_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+_WITH_PLAN = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+_REFLECTION = {"CallMethodViaReflection", "TryReflect"}
+
 
 class UnsafeQuery(ValueError):
     """Text is not a single read-only query."""
 
 
+class TypeMismatch(ValueError):
+    """Two columns at the same position have no type in common that keeps every value."""
+
+
 def wrap_query(text: str | None) -> str:
     """Make a model- or user-written text safe to hand to ``spark.sql``.
 
     The text is nested as a sub-query, so INSERT / DROP / SET / multi-statement
     texts fail to parse instead of running; CTEs, comments and a top-level
-    ORDER BY still work.  Path reads and reflection calls are refused.
+    ORDER BY still work.  What the query may read is checked on its analysed
+    plan (``check_plan``), not on the text.
     """
     if text is None or not text.strip():
         raise UnsafeQuery("no_query")
+    return f"SELECT * FROM (\n{_body(text)}\n) AS __q"
+
+
+def _body(text: str) -> str:
     body = text.strip()
     while body.endswith(";"):
         body = body[:-1].rstrip()
-    if _FORBIDDEN.search(_STRIP_LITERALS.sub(" ", body)):
-        raise UnsafeQuery("forbidden_construct")
-    return f"SELECT * FROM (\n{body}\n) AS __q"
+    return body
 
 
-def run_query(spark: SparkSession, text: str | None) -> DataFrame:
+def _elements(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def check_plan(df: DataFrame, views: set[str] | None = None) -> None:
+    """Refuse an analysed query that calls methods by reflection or reads
+    anything but views (of the names in ``views``, if given): no paths, no
+    tables of a catalog.  Nothing is run; a view's own plan is trusted."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "View":
+            name = node.desc().identifier().table()
+            if views is not None and name not in views:
+                raise UnsafeQuery("forbidden_relation")
+            continue
+        children = _elements(node.children())
+        if not children and kind not in _INNER_LEAVES:
+            raise UnsafeQuery("forbidden_relation")
+        todo += children
+        if kind == "WithCTE":
+            todo += _elements(node.cteDefs())
+        exprs = _elements(node.expressions())
+        while exprs:
+            e = exprs.pop()
+            kind = e.getClass().getSimpleName()
+            if kind in _REFLECTION:
+                raise UnsafeQuery("forbidden_construct")
+            if kind in _WITH_PLAN:
+                todo.append(e.plan())
+            exprs += _elements(e.children())
+
+
+def run_query(spark: SparkSession, text: str | None, views: set[str] | None = None) -> DataFrame:
     """Analyse a query text (eagerly, on the driver); raises on any error."""
-    return spark.sql(wrap_query(text))
+    df = spark.sql(wrap_query(text))
+    check_plan(df, views)
+    return df
 
 
 def classify_error(exc: Exception) -> str:
     msg = str(exc)
     if isinstance(exc, UnsafeQuery):
         return str(exc)
+    if isinstance(exc, TypeMismatch):
+        return "type_mismatch"
     if "PARSE_SYNTAX_ERROR" in msg or "ParseException" in type(exc).__name__:
         return "not_a_query_or_unparsable"
     if "UNRESOLVED_COLUMN" in msg or "UNRESOLVED_ROUTINE" in msg:
@@ -90,27 +133,74 @@ def positional(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
+def _has_map(dt: T.DataType) -> bool:
+    if isinstance(dt, T.ArrayType):
+        return _has_map(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(_has_map(f.dataType) for f in dt.fields)
+    return isinstance(dt, T.MapType)
+
+
 def _comparable(c: Column, dt: T.DataType) -> tuple[Column, T.DataType]:
-    """Maps cannot be grouped or hashed: turn them into sorted entry arrays."""
+    """Maps cannot be grouped or hashed: turn them, at any depth, into sorted entry arrays."""
+    if not _has_map(dt):
+        return c, dt
+    if isinstance(dt, T.ArrayType):
+        inner = _comparable_type(dt.elementType)
+        return F.transform(c, lambda x: _comparable(x, dt.elementType)[0]), T.ArrayType(inner)
+    if isinstance(dt, T.StructType):
+        fields = [_comparable(c[f.name], f.dataType)[0].alias(f.name) for f in dt.fields]
+        return F.when(c.isNotNull(), F.struct(*fields)), _comparable_type(dt)
+    entries = F.transform(F.map_entries(c), lambda e: F.struct(
+        _comparable(e["key"], dt.keyType)[0].alias("key"), _comparable(e["value"], dt.valueType)[0].alias("value")))
+    return F.array_sort(entries), _comparable_type(dt)
+
+
+def _comparable_type(dt: T.DataType) -> T.DataType:
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(_comparable_type(dt.elementType))
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, _comparable_type(f.dataType)) for f in dt.fields])
     if isinstance(dt, T.MapType):
-        return F.array_sort(F.map_entries(c)), T.ArrayType(
-            T.StructType([T.StructField("key", dt.keyType), T.StructField("value", dt.valueType)]))
-    return c, dt
+        return T.ArrayType(T.StructType([T.StructField("key", _comparable_type(dt.keyType)),
+                                         T.StructField("value", _comparable_type(dt.valueType))]))
+    return dt
+
+
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}  # decimal digits of integral types
 
 
 def common_type(a: T.DataType, b: T.DataType, strict: bool = False) -> T.DataType | None:
+    """The type both columns are compared in.  Exact numbers widen exactly; only
+    where a side is a float is it DOUBLE.  None: no such type (or ``strict``)."""
     if a == b:
         return a
     if strict:
         return None
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return b if isinstance(a, T.NullType) else a
     if isinstance(a, _INTEGRAL) and isinstance(b, _INTEGRAL):
         return T.LongType()
     if isinstance(a, _INTEGRAL + _FRACTIONAL) and isinstance(b, _INTEGRAL + _FRACTIONAL):
-        return T.DoubleType()
-    if isinstance(a, (T.TimestampType, T.TimestampNTZType, T.DateType)) and \
-            isinstance(b, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        if isinstance(a, (T.FloatType, T.DoubleType)) or isinstance(b, (T.FloatType, T.DoubleType)):
+            return T.DoubleType()
+        (wa, sa), (wb, sb) = ((x.precision - x.scale, x.scale) if isinstance(x, T.DecimalType)
+                              else (_DIGITS[type(x)], 0) for x in (a, b))
+        whole, scale = max(wa, wb), max(sa, sb)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+    times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    if isinstance(a, times) and isinstance(b, times):
         return T.TimestampNTZType()
-    return T.StringType()
+    if isinstance(a, T.StringType) and isinstance(b, T.StringType):
+        return T.StringType()
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        inner = common_type(a.elementType, b.elementType)
+        return inner and T.ArrayType(inner)
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType) and len(a.fields) == len(b.fields):
+        inner = [common_type(x.dataType, y.dataType) for x, y in zip(a.fields, b.fields)]
+        if all(inner):
+            return T.StructType([T.StructField(f.name, t) for f, t in zip(a.fields, inner)])
+    return None
 
 
 def _aligned(gold: DataFrame, cand: DataFrame, strict_types: bool = False):
@@ -136,8 +226,10 @@ def _aligned(gold: DataFrame, cand: DataFrame, strict_types: bool = False):
         gcol, gdt = _comparable(gc, gf.dataType)
         ccol, cdt = _comparable(cc, cf.dataType)
         dt = common_type(gdt, cdt, strict_types)
-        if dt is None:  # strict and types differ: never equal
+        if dt is None and strict_types:  # never equal
             return None
+        if dt is None:
+            raise TypeMismatch(f"column {i}: {gdt.simpleString()} and {cdt.simpleString()}")
         gexprs.append((gcol if gdt == dt else gcol.cast(dt)).alias(f"_c{i}"))
         cexprs.append((ccol if cdt == dt else ccol.cast(dt)).alias(f"_c{i}"))
     return gsrc, gexprs, csrc, cexprs
@@ -175,39 +267,45 @@ def dense_index(df: DataFrame, name: str = IDX) -> DataFrame:
             .drop("__pid", "__mid", "__base", "__off"))
 
 
-def signed_diff(gold: DataFrame, cand: DataFrame, mode: str = "bag") -> DataFrame:
-    """Rows whose multiplicity differs: columns _c*, ``n`` (>0 gold has more)
-    and ``side``.  Inputs must already be aligned (same width and types).
-
-    mode: ``bag`` (duplicates count), ``set`` (distinct rows), ``ordered``
-    (position is part of the row; inputs must carry their intended order).
-    """
-    cols = list(gold.columns)
+def _by_mode(gold: DataFrame, cand: DataFrame, mode: str, order_key: str | None):
+    """Both sides and the columns that make up a row in ``mode``."""
     if mode == "set":
         gold, cand = gold.distinct(), cand.distinct()
     elif mode == "ordered":
-        gold, cand = dense_index(gold), dense_index(cand)
-        cols = [IDX] + cols
+        if order_key is None:
+            raise ValueError("ordered mode needs an order_key")
+        sides = []
+        for df in (gold, cand):  # rows with equal keys share a place
+            keys = dense_index(df.select(order_key).distinct().orderBy(order_key)).withColumnRenamed(order_key, "__key")
+            sides.append(df.join(keys, df[order_key].eqNullSafe(keys["__key"])).drop("__key", order_key))
+        gold, cand = sides
     elif mode != "bag":
         raise ValueError(f"unknown mode {mode!r}")
+    return gold, cand, list(gold.columns)
+
+
+def signed_diff(gold: DataFrame, cand: DataFrame, mode: str = "bag", order_key: str | None = None) -> DataFrame:
+    """Rows whose multiplicity differs: columns _c*, ``n`` (>0 gold has more)
+    and ``side``.  Inputs must already be aligned (same width and types).
+
+    mode: ``bag`` (duplicates count), ``set`` (distinct rows), ``ordered`` (a
+    row's place is part of it).  In ordered mode ``order_key`` names the column
+    (``_c0``, ...) that orders both results; the place is its dense rank and
+    stands for the key's own value."""
+    gold, cand, cols = _by_mode(gold, cand, mode, order_key)
     both = gold.withColumn(SIGN, F.lit(1)).unionByName(cand.withColumn(SIGN, F.lit(-1)))
     return (both.groupBy(*cols).agg(F.sum(SIGN).alias("n"))
             .filter(F.col("n") != 0)
             .withColumn("side", F.when(F.col("n") > 0, F.lit("gold")).otherwise(F.lit("candidate"))))
 
 
-def diff_counts(gold: DataFrame, cand: DataFrame, mode: str = "bag") -> DataFrame:
+def diff_counts(gold: DataFrame, cand: DataFrame, mode: str = "bag", order_key: str | None = None) -> DataFrame:
     """One row: gold_rows, cand_rows, only_in_gold, only_in_candidate.
 
     Counts ride along the same grouping as the diff, so a pair costs one shuffle.
     """
-    cols = list(gold.columns)
-    if mode == "set":
-        gold, cand = gold.distinct(), cand.distinct()
-    elif mode == "ordered":
-        gold, cand = dense_index(gold), dense_index(cand)
-        cols = [IDX] + cols
-    both = gold.select("*", F.lit(1).alias(SIGN)).union(cand.select("*", F.lit(-1).alias(SIGN)))
+    gold, cand, cols = _by_mode(gold, cand, mode, order_key)
+    both = gold.select(*cols, F.lit(1).alias(SIGN)).union(cand.select(*cols, F.lit(-1).alias(SIGN)))
     return _count_columns(both, cols)
 
 
@@ -226,7 +324,7 @@ def _count_columns(both: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def results_equal(gold: DataFrame, cand: DataFrame, mode: str = "bag",
-                  strict_types: bool = False) -> DataFrame:
+                  strict_types: bool = False, order_key: str | None = None) -> DataFrame:
     """Verdict row for two result DataFrames (lazy, one row):
     gold_rows, cand_rows, only_in_gold, only_in_candidate, value."""
     a = _aligned(gold, cand, strict_types)
@@ -239,7 +337,7 @@ def results_equal(gold: DataFrame, cand: DataFrame, mode: str = "bag",
         both = gsrc.select(*gexprs, F.lit(1).alias(SIGN)).union(csrc.select(*cexprs, F.lit(-1).alias(SIGN)))
         counts = _count_columns(both, [f"_c{i}" for i in range(len(gexprs))])
     else:
-        counts = diff_counts(*align(gold, cand, strict_types), mode=mode)
+        counts = diff_counts(*align(gold, cand, strict_types), mode=mode, order_key=order_key)
     return counts.select("*", ((F.col("only_in_gold") == 0) & (F.col("only_in_candidate") == 0)).alias("value"))
 
 
@@ -308,13 +406,6 @@ _SIMPLE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.
            T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 
-def _body(text: str) -> str:
-    body = text.strip()
-    while body.endswith(";"):
-        body = body[:-1].rstrip()
-    return body
-
-
 def _verdict_sql(pair: Pair, gold: DataFrame, cand: DataFrame, strict_types: bool) -> str | None:
     """One statement computing a bag verdict for two analysed texts, or None
     when the DataFrame path is needed (widths or strict types differ, or a
@@ -331,12 +422,12 @@ def _verdict_sql(pair: Pair, gold: DataFrame, cand: DataFrame, strict_types: boo
                 exprs.append((f"c{i}", f.dataType))
             elif (isinstance(f.dataType, T.MapType) and isinstance(f.dataType.keyType, _SIMPLE)
                   and isinstance(f.dataType.valueType, _SIMPLE)):
-                exprs.append((f"array_sort(map_entries(c{i}))", _comparable(F.lit(None), f.dataType)[1]))
+                exprs.append((f"array_sort(map_entries(c{i}))", _comparable_type(f.dataType)))
             else:
                 return None
         (ge, gdt), (ce, cdt) = exprs
         dt = common_type(gdt, cdt, strict_types)
-        if dt is None or not isinstance(dt, _SIMPLE + (T.ArrayType,)):
+        if dt is None:  # the DataFrame path tells why
             return None
         gsel.append(ge if gdt == dt else f"CAST({ge} AS {dt.simpleString()})")
         csel.append(ce if cdt == dt else f"CAST({ce} AS {dt.simpleString()})")
@@ -359,58 +450,98 @@ SELECT '{pid}' AS pair_id, gold_rows, cand_rows, only_in_gold, only_in_candidate
   (only_in_gold = 0 AND only_in_candidate = 0) AS value, CAST(NULL AS STRING) AS error FROM tot"""
 
 
-def pair_verdict(spark: SparkSession, pair: Pair, mode: str = "bag",
-                 strict_types: bool = False) -> DataFrame:
+def pair_verdict(spark: SparkSession, pair: Pair, mode: str = "bag", strict_types: bool = False,
+                 order_key: str | None = None, views: set[str] | None = None) -> DataFrame:
     """Lazy one-row verdict for a pair; analysis errors become ``error`` rows."""
+    side = "gold:"
     try:
         if pair.gold_sql is None:
             raise UnsafeQuery("no_gold")
-        gold = run_query(spark, pair.gold_sql)
-    except Exception as exc:  # noqa: BLE001 - any failure is a verdict
-        return _error_row(spark, pair.pair_id, "gold:" + classify_error(exc))
-    try:
-        cand = run_query(spark, pair.cand_sql)
-    except Exception as exc:  # noqa: BLE001
-        return _error_row(spark, pair.pair_id, "candidate:" + classify_error(exc))
-    if mode == "bag":
-        sql = _verdict_sql(pair, gold, cand, strict_types)
+        gold = run_query(spark, pair.gold_sql, views)
+        side = "candidate:"
+        cand = run_query(spark, pair.cand_sql, views)
+        side = ""  # from here on it is about both
+        sql = _verdict_sql(pair, gold, cand, strict_types) if mode == "bag" else None
         if sql is not None:
             return spark.sql(sql)
-    v = results_equal(gold, cand, mode=mode, strict_types=strict_types)
-    return v.select(F.lit(pair.pair_id).alias("pair_id"), "gold_rows", "cand_rows", "only_in_gold",
-                    "only_in_candidate", "value", F.lit(None).cast("string").alias("error"))
+        v = results_equal(gold, cand, mode=mode, strict_types=strict_types, order_key=order_key)
+        return v.select(F.lit(pair.pair_id).alias("pair_id"), "gold_rows", "cand_rows", "only_in_gold",
+                        "only_in_candidate", "value", F.lit(None).cast("string").alias("error"))
+    except Exception as exc:  # noqa: BLE001 - any failure is a verdict
+        return _error_row(spark, pair.pair_id, side + classify_error(exc))
 
 
 def _error_row(spark: SparkSession, pair_id: str, error: str) -> DataFrame:
     return spark.createDataFrame([(pair_id, None, None, None, None, False, error)], VERDICT_SCHEMA)
 
 
-def verdicts(spark: SparkSession, pairs: list[Pair], mode: str = "bag",
-             strict_types: bool = False) -> DataFrame:
+def verdicts(spark: SparkSession, pairs: list[Pair], mode: str = "bag", strict_types: bool = False,
+             order_key: str | None = None, views: set[str] | None = None) -> DataFrame:
     """All pair verdicts as one lazy DataFrame (one job when collected)."""
-    parts = [pair_verdict(spark, p, mode, strict_types) for p in pairs]
+    parts = [pair_verdict(spark, p, mode, strict_types, order_key, views) for p in pairs]
     if not parts:
         return spark.createDataFrame([], VERDICT_SCHEMA)
     return functools.reduce(DataFrame.union, parts)  # same column order in every part
 
 
-def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag",
-                group_size: int = 50, strict_types: bool = False) -> DataFrame:
-    """Execute verdicts in groups of ``group_size`` plans per job; a runtime
-    error in a group re-runs that group one pair at a time so one bad query
-    cannot fail its neighbours.  Verdict rows are small (one per pair)."""
+def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag", group_size: int = 50,
+                strict_types: bool = False, order_key: str | None = None, views: set[str] | None = None) -> list[tuple]:
+    """Verdict rows of ``pairs``, executed in groups of ``group_size`` plans per
+    job; a runtime error in a group re-runs that group one pair at a time so one
+    bad query cannot fail its neighbours.  One small row per given pair."""
     rows = []
     for i in range(0, len(pairs), group_size):
         group = pairs[i:i + group_size]
         try:
-            rows += verdicts(spark, group, mode, strict_types).collect()
+            rows += verdicts(spark, group, mode, strict_types, order_key, views).collect()
         except Exception:  # noqa: BLE001 - fall back to singles
             for p in group:
                 try:
-                    rows += pair_verdict(spark, p, mode, strict_types).collect()
+                    rows += pair_verdict(spark, p, mode, strict_types, order_key, views).collect()
                 except Exception as exc:  # noqa: BLE001
                     rows.append((p.pair_id, None, None, None, None, False, "runtime:" + classify_error(exc)))
-    return spark.createDataFrame(rows, VERDICT_SCHEMA)
+    return rows
+
+
+VERDICT_TEXT = T.StructType([*VERDICT_SCHEMA.fields, T.StructField("rationale", T.StringType()),
+                             T.StructField("sample_gold", T.ArrayType(T.StringType())),
+                             T.StructField("sample_candidate", T.ArrayType(T.StringType()))])
+
+
+def _samples(spark: SparkSession, pair: Pair, views: set[str] | None, k: int) -> dict[str, list[str]]:
+    """At most ``k`` differing rows of each side, as JSON texts."""
+    gold, cand = run_query(spark, pair.gold_sql, views), run_query(spark, pair.cand_sql, views)
+    if len(gold.columns) != len(cand.columns):
+        sides = [positional(gold).limit(k).select(F.lit("gold").alias("side"), F.to_json(F.struct("*")).alias("row")),
+                 positional(cand).limit(k).select(F.lit("candidate").alias("side"), F.to_json(F.struct("*")).alias("row"))]
+        found = sides[0].union(sides[1])
+    else:
+        d = diff_sample(gold, cand, k)
+        found = d.select("side", F.to_json(F.struct(*[c for c in d.columns if c.startswith("_c")])).alias("row"))
+    out: dict[str, list[str]] = {"gold": [], "candidate": []}
+    for r in found.collect():  # 2 k rows
+        out[r["side"]].append(r["row"])
+    return out
+
+
+def with_rationale(spark: SparkSession, pairs: list[Pair], rows: list[tuple], views: set[str] | None,
+                   samples: int) -> DataFrame:
+    """Verdict rows with a sentence that says why, and sample rows where results differ."""
+    by_id = {p.pair_id: p for p in pairs}
+    out = []
+    for r in rows:
+        pair_id, g, c, only_g, only_c, value, error = tuple(r)
+        some = {"gold": [], "candidate": []}
+        if error:
+            why = f"Not compared: {error}."
+        elif value:
+            why = f"Both queries return the same {g} rows."
+        else:
+            why = f"{only_g} of {g} gold rows and {only_c} of {c} candidate rows have no partner."
+            if samples:
+                some = _samples(spark, by_id[pair_id], views, samples)
+        out.append((pair_id, g, c, only_g, only_c, value, error, why, some["gold"], some["candidate"]))
+    return spark.createDataFrame(out, VERDICT_TEXT)
 
 
 def _fingerprint_sql(pair: Pair, gold: DataFrame, cand: DataFrame) -> str | None:
@@ -421,25 +552,20 @@ def _fingerprint_sql(pair: Pair, gold: DataFrame, cand: DataFrame) -> str | None
         return None
     parts = {"g": [], "c": []}
     for i, (a, b) in enumerate(zip(gf, cf)):
-        for side, f in (("g", a), ("c", b)):
-            if isinstance(f.dataType, _SIMPLE):
-                e, dt = f"c{i}", f.dataType
-            elif (isinstance(f.dataType, T.MapType) and isinstance(f.dataType.keyType, _SIMPLE)
-                  and isinstance(f.dataType.valueType, _SIMPLE)):
-                e, dt = f"array_sort(map_entries(c{i}))", None
-            else:
-                return None
-            parts[side].append((e, dt))
-        dt = common_type(parts["g"][-1][1] or T.NullType(), parts["c"][-1][1] or T.NullType())
-        if parts["g"][-1][1] is not None and parts["c"][-1][1] is not None and not isinstance(dt, _SIMPLE):
+        if any(isinstance(f.dataType, (T.ArrayType, T.StructType)) or _has_map(f.dataType) and not (
+                isinstance(f.dataType, T.MapType) and isinstance(f.dataType.keyType, _SIMPLE)
+                and isinstance(f.dataType.valueType, _SIMPLE)) for f in (a, b)):
             return None
-        for side in ("g", "c"):
-            e, own = parts[side][-1]
-            if own is not None and own != dt:
+        dt = common_type(_comparable_type(a.dataType), _comparable_type(b.dataType))
+        if dt is None:
+            return None
+        for side, f in (("g", a), ("c", b)):
+            e = f"array_sort(map_entries(c{i}))" if isinstance(f.dataType, T.MapType) else f"c{i}"
+            if _comparable_type(f.dataType) != dt:
                 e = f"CAST({e} AS {dt.simpleString()})"
             if isinstance(dt, (T.FloatType, T.DoubleType)):
                 e = f"CASE WHEN {e} = 0 THEN CAST(0.0 AS {dt.simpleString()}) ELSE {e} END"
-            parts[side][-1] = (e, own)
+            parts[side].append((e, dt))
     cols = ", ".join(f"c{i}" for i in range(len(gf)))
 
     def h(side):

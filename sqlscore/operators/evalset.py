@@ -56,7 +56,9 @@ def split(df: DataFrame, test_fraction: float = 0.30, seed: int = 42, key: str =
     ordering.  ``key_expr`` may supply the bucket (0..999) explicitly."""
     if not 0.0 <= test_fraction <= 1.0:
         raise ValueError("test_fraction must be in [0, 1]")
-    bucket = key_expr if key_expr is not None else F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
+    # eight hex digits of an MD5: every engine has it, and it never overflows
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8)
+    bucket = key_expr if key_expr is not None else F.conv(digits, 16, 10).cast("long") % 1000
     return df.withColumn("split", F.when(bucket < int(round(test_fraction * 1000)), F.lit("test"))
                          .otherwise(F.lit("train")))
 

@@ -1,86 +1,136 @@
-"""Scorer registry and ``evaluate``: every scorer is a function
-``DataFrame -> feedback DataFrame`` (eval_id, scorer, value, rationale, ...);
-their outputs are unioned by name and rolled up by ``metric_means``.
-
-``score_results`` is the executed-result scorer for a whole eval set: the
-texts to run are de-duplicated first (replicas and repeated questions run
-once), executed in groups of plans, and verdicts are joined back to rows.
+"""Scorer registry and ``evaluate``.
+
+A column scorer names the parts it needs of a row's texts, and gives a value
+and a rationale as columns over these parts.  Tokens, parts and values of all
+chosen scorers are three projections of one pass, so a text is read and
+tokenized once however many scorers there are; the result is unpivoted to the
+long feedback form.  A frame scorer (such as the executed-result scorer) makes its feedback
+rows with jobs of its own; ``evaluate`` unions both kinds by name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlscore.operators import equivalence, keywords, metrics, rules
-from sqlscore.session import materialize
+from sqlscore.session import scratch_path, stash
 
-Scorer = Callable[[DataFrame], DataFrame]
-_REGISTRY: dict[str, Scorer] = {}
+ColumnScorer = Callable[[dict], tuple[dict[str, Column], Column, Column]]  # options -> parts, value, rationale
+FrameScorer = Callable[[DataFrame, dict], DataFrame]    # rows, options -> eval_id, value, rationale
+_COLUMNS: dict[str, ColumnScorer] = {}
+_FRAMES: dict[str, FrameScorer] = {}
 
 
-def scorer(name: str):
+def scorer(name: str, frame: bool = False):
     """Register a scorer under ``name`` (decorator)."""
-    def deco(fn: Scorer) -> Scorer:
-        _REGISTRY[name] = fn
+    def deco(fn):
+        (_FRAMES if frame else _COLUMNS)[name] = fn
         return fn
     return deco
 
 
-def registered() -> dict[str, Scorer]:
-    return dict(_REGISTRY)
+def registered() -> list[str]:
+    return [*_COLUMNS, *_FRAMES]
 
 
-def load_scorers(names: list[str]) -> dict[str, Scorer]:
+def load_scorers(names: list[str]) -> list[str]:
     """Scorers chosen by name (e.g. from a config list)."""
-    missing = [n for n in names if n not in _REGISTRY]
+    missing = [n for n in names if n not in registered()]
     if missing:
         raise KeyError(f"unknown scorers: {missing}")
-    return {n: _REGISTRY[n] for n in names}
+    return list(names)
+
+
+def _gold(suffix: str = rules.SUFFIX) -> Column:
+    return F.col("gold_sql" + suffix)
+
+
+def _cand(suffix: str = rules.SUFFIX) -> Column:
+    return F.col("candidate_sql" + suffix)
 
 
 @scorer("sql_clauses_distribution_equivalence")
-def keyword_scorer(df: DataFrame) -> DataFrame:
-    h = keywords.keyword_histogram(df, "eval_id", {"gold": "gold_sql", "candidate": "candidate_sql"})
-    v = keywords.keyword_verdict(df, keywords.keyword_diff(h, "eval_id"), "eval_id")
-    return v.select("eval_id", "value", "rationale")
+def keyword_scorer(options: dict):
+    same = F.col("same_keywords")
+    return ({"same_keywords": keywords.keywords_equal(_gold(), _cand())}, same,
+            F.when(same, F.lit(keywords.PASS)).otherwise(F.lit(keywords.FAIL)))
 
 
 @scorer("count_joins")
-def count_joins_scorer(df: DataFrame) -> DataFrame:
-    return rules.rule_count_joins(df).select("eval_id", "value")
+def count_joins_scorer(options: dict):
+    g, c = F.col("gold_joins"), F.col("cand_joins")
+    return ({"gold_joins": rules.join_count_tokens(_gold()), "cand_joins": rules.join_count_tokens(_cand())}, g == c,
+            F.concat_ws(" ", F.lit("joins:"), g.cast("string"), F.lit("and"), c.cast("string")))
 
 
 @scorer("has_select")
-def has_select_scorer(df: DataFrame) -> DataFrame:
-    return rules.rule_has_select(df).select("eval_id", "value")
+def has_select_scorer(options: dict):
+    return {"gold_has_select": rules.has_select_tokens(_gold())}, F.col("gold_has_select"), F.lit(None).cast("string")
 
 
 @scorer("dimension_ambiguity")
-def tables_scorer(df: DataFrame) -> DataFrame:
-    return rules.rule_tables(df).select(
-        "eval_id", "value", F.concat_ws(" ", F.lit("missing:"), "missing_tables", F.lit("extra:"),
-                                        "extra_tables").alias("rationale"))
-
-
-def evaluate(df: DataFrame, scorers: dict[str, Scorer]) -> DataFrame:
-    """Run every scorer over the rows; long feedback (eval_id, scorer, value, ...)."""
-    outs = [fn(df).withColumn("scorer", F.lit(name)) for name, fn in scorers.items()]
+def tables_scorer(options: dict):
+    parts = {"gold_tables": rules.tables_used(F.col("gold_sql")), "cand_tables": rules.tables_used(F.col("candidate_sql"))}
+    less = lambda a, b: F.array_join(F.array_except(a, b), ",")
+    missing, extra = less("gold_tables", "cand_tables"), less("cand_tables", "gold_tables")
+    return (parts, (missing == "") & (extra == ""),
+            F.concat_ws(" ", F.lit("missing:"), missing, F.lit("extra:"), extra))
+
+
+@scorer("required_dims")
+def required_dims_scorer(options: dict):
+    missing = F.col("missing_dims")
+    return ({"missing_dims": rules.missing_dims(rules.dims_tokens(F.col("candidate_sql")), options.get("required_dims", []))},
+            missing == "", F.when(missing != "", F.concat(F.lit("missing: "), missing)))
+
+
+@scorer("sql_results_equivalence", frame=True)
+def results_scorer(df: DataFrame, options: dict) -> DataFrame:
+    keep = {k: options[k] for k in ("group_size", "mode", "order_key", "views", "samples") if k in options}
+    return score_results(df.sparkSession, df, **keep).select("eval_id", "value", "rationale")
+
+
+def evaluate(df: DataFrame, names: list[str], **options) -> DataFrame:
+    """Long feedback (eval_id, scorer, value, rationale) of the named scorers."""
+    load_scorers(names)
+    outs = []
+    columns = [n for n in names if n in _COLUMNS]
+    if columns:
+        made = [(n, *_COLUMNS[n](options)) for n in columns]
+        parts = rules.tokenize(df, "gold_sql", "candidate_sql").select(
+            "eval_id", *(c.alias(name) for _, own, _, _ in made for name, c in own.items()))
+        wide = parts.select("eval_id", F.array(*(
+            F.struct(F.lit(n).alias("scorer"), v.alias("value"), r.alias("rationale")) for n, _, v, r in made)).alias("f"))
+        # the outer form: no filter on the array's size that would work out everything again
+        outs.append(wide.select("eval_id", F.inline_outer("f")))
+    outs += [_FRAMES[n](df, options).withColumn("scorer", F.lit(n)) for n in names if n in _FRAMES]
     return metrics.union_feedback(*outs)
 
 
-def score_results(spark: SparkSession, df: DataFrame, group_size: int = 50, mode: str = "bag") -> DataFrame:
+def score_results(spark: SparkSession, df: DataFrame, group_size: int = 50, mode: str = "bag",
+                  order_key: str | None = None, views: set[str] | None = None, samples: int = 5) -> DataFrame:
     """Executed-result verdict for every row of an eval set with gold_sql and
-    candidate_sql.  Only the distinct text pairs travel to the driver (the
-    control plane: each needs its own plan); rows come back by a join."""
-    key = F.xxhash64(F.coalesce(F.col("gold_sql"), F.lit("\u0000")), F.lit("\u0001"),
-                     F.coalesce(F.col("candidate_sql"), F.lit("\u0000"))).cast("string")
-    keyed = materialize(df.withColumn("pair_id", key))  # read twice: pair list, then the join
-    distinct = keyed.select("pair_id", "gold_sql", "candidate_sql").dropDuplicates(["pair_id"])
-    pairs = [equivalence.Pair(r["pair_id"], r["gold_sql"], r["candidate_sql"])
-             for r in distinct.toLocalIterator()]
-    v = equivalence.score_pairs(spark, pairs, mode=mode, group_size=group_size)
-    return (keyed.join(v, "pair_id", "left")
-            .select(*df.columns, "value", "gold_rows", "cand_rows", "only_in_gold", "only_in_candidate", "error"))
+    candidate_sql, with a rationale and up to ``samples`` differing rows a side.
+
+    Equal pairs of texts run once.  The driver (each pair needs a plan of its
+    own) holds ``group_size`` pairs at a time; their verdicts are appended to a
+    table in the shared folder and joined back to the rows."""
+    text = lambda c: F.coalesce(F.sha2(F.col(c), 256), F.lit("-"))
+    keyed = stash(df.withColumn("pair_id", F.sha2(F.concat_ws(":", text("gold_sql"), text("candidate_sql")), 256)), "pairs")
+    distinct = keyed.select("pair_id", "gold_sql", "candidate_sql").dropDuplicates(["pair_id"]).toLocalIterator()
+    path = scratch_path(spark, "verdicts")
+    spark.createDataFrame([], VERDICT_TEXT).write.parquet(path)
+    while rows := list(islice(distinct, group_size)):
+        group = [equivalence.Pair(r["pair_id"], r["gold_sql"], r["candidate_sql"]) for r in rows]
+        found = equivalence.score_pairs(spark, group, mode=mode, group_size=group_size, order_key=order_key, views=views)
+        told = equivalence.with_rationale(spark, group, found, views, samples if mode == "bag" else 0)
+        told.write.mode("append").parquet(path)
+    v = spark.read.schema(VERDICT_TEXT).parquet(path)
+    return keyed.join(v, "pair_id", "left").select(*df.columns, *[c for c in v.columns if c != "pair_id"])
+
+
+VERDICT_TEXT = equivalence.VERDICT_TEXT

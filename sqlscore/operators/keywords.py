@@ -1,11 +1,9 @@
 """Keyword-distribution scorer: per-text keyword histograms, their
 difference over the union of keys (missing = 0) and the verdict.
 
-Long form: tokens are exploded and filtered to the lexicon with an
-``IN`` set (an InSet in generated code), then counted with a partial+final
-hash aggregate, so only (id, side, keyword, n) rows are shuffled.  The
-row-form verdict (``keywords_equal``) compares sorted keyword lists and
-needs no shuffle at all.
+Counting is inside one row: each side's tokens become a map keyword -> count,
+and only the results are exploded, so no job here shuffles.  Row ids are to be
+unique, as nothing is summed over rows.
 """
 
 from __future__ import annotations
@@ -13,60 +11,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscore.functions.sqltext import LEXICON, sql_tokens
+from sqlscore.functions.sqltext import LEXICON, count_map, sql_tokens
 
 PASS = "Keyword counts of the candidate and the gold query are equal."
 FAIL = "Keyword counts differ; see metadata (gold minus candidate, per keyword)."
 
 
-def keyword_histogram(df: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataFrame:
-    """(id, side, keyword, n) for each text column; ``text_cols`` maps side -> column.
+def _counts(df: DataFrame, col: str) -> Column:
+    return count_map(F.col(col + "__tokens") if col + "__tokens" in df.columns else sql_tokens(F.col(col)))
 
-    One pass over the input: the sides' token arrays are packed into one
-    array of (side, tokens) structs and exploded twice, so the rows are read,
-    spread and tokenized once whatever the number of sides."""
-    def toks(col: str):
-        return F.col(col + "__tokens") if col + "__tokens" in df.columns else sql_tokens(F.col(col))
 
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), toks(col).alias("toks"))
+def keyword_histogram(df: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataFrame:
+    """(id, side, keyword, n) for each text column; ``text_cols`` maps side -> column."""
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), _counts(df, col).alias("counts"))
                       for side, col in text_cols.items()])
-    per_side = df.select(F.col(id_col), F.inline(sides))
-    # explode_outer: a plain explode makes the optimiser infer size(toks) > 0
-    # and push it under the repartition, tokenizing every text twice; the
-    # null rows it keeps fail the IN filter.
-    exploded = (per_side.select(id_col, "side", F.explode_outer("toks").alias("keyword"))
-                .filter(F.col("keyword").isin(LEXICON)))
-    return exploded.groupBy(id_col, "side", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    return (df.select(F.col(id_col), F.inline(sides))
+            .select(id_col, "side", F.explode_outer("counts").alias("keyword", "n"))
+            .filter(F.col("keyword").isNotNull()).withColumn("n", F.col("n").cast("long")))
+
 
+def keyword_differences(df: DataFrame, id_col: str, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
+    """Row form: id and ``d``, a map keyword -> (gold_n, cand_n) over the union of keys."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    counted = df.select(id_col, _counts(df, gold).alias("g"), _counts(df, cand).alias("c"))
+    return counted.select(id_col, F.map_zip_with("g", "c", lambda _, g, c: F.struct(
+        zero(g).alias("gold_n"), zero(c).alias("cand_n"))).alias("d"))
 
-def keyword_diff(hist: DataFrame, id_col: str, gold: str = "gold", cand: str = "candidate") -> DataFrame:
-    """(id, keyword, gold_n, cand_n, diff) over the union of keywords.
 
-    Pivoting the two sides in one aggregate replaces the full outer join:
-    one shuffle on (id, keyword) instead of two."""
-    return (hist.groupBy(id_col, "keyword").agg(
-        F.coalesce(F.sum(F.when(F.col("side") == gold, F.col("n"))), F.lit(0)).alias("gold_n"),
-        F.coalesce(F.sum(F.when(F.col("side") == cand, F.col("n"))), F.lit(0)).alias("cand_n"))
-        .withColumn("diff", F.col("gold_n") - F.col("cand_n")))
+def keyword_diff(df: DataFrame, id_col: str, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
+    """(id, keyword, gold_n, cand_n, diff) over the union of keywords."""
+    return (keyword_differences(df, id_col, gold, cand)
+            .select(id_col, F.explode_outer("d").alias("keyword", "n")).filter(F.col("keyword").isNotNull())
+            .select(id_col, "keyword", "n.gold_n", "n.cand_n", (F.col("n.gold_n") - F.col("n.cand_n")).alias("diff")))
 
 
-def keyword_verdict(evals: DataFrame, diff: DataFrame, id_col: str) -> DataFrame:
+def keyword_verdict(df: DataFrame, id_col: str, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
     """(id, value, n_diff_keywords, metadata, rationale) for every eval row
     (texts with no keywords at all are equal).  The metadata map keeps all
-    keys, zeros included, only when the verdict is false.
-
-    Every id enters the final aggregate as a sentinel row next to its
-    keyword rows, so ids without keywords need no outer join: one aggregate
-    on the id instead of an aggregate plus a join."""
-    rows = diff.select(id_col, (F.col("diff") != 0).alias("d"),
-                       F.struct("keyword", F.col("diff").cast("int").alias("diff")).alias("kv"))
-    sentinels = evals.select(id_col, F.lit(None).cast("boolean").alias("d"),
-                             F.lit(None).cast("struct<keyword:string,diff:int>").alias("kv"))
-    per_id = rows.unionByName(sentinels).groupBy(id_col).agg(
-        F.count_if(F.col("d")).alias("n_diff_keywords"),
-        F.map_from_entries(F.collect_list("kv")).alias("difference"))
+    keys, zeros included, only when the verdict is false."""
+    diffs = keyword_differences(df, id_col, gold, cand).select(
+        id_col, F.transform_values("d", lambda _, n: (n["gold_n"] - n["cand_n"]).cast("int")).alias("difference"))
+    n = F.size(F.filter(F.map_values("difference"), lambda x: x != 0)).cast("long")
     value = F.col("n_diff_keywords") == 0
-    return per_id.select(
+    return diffs.withColumn("n_diff_keywords", n).select(
         id_col, value.alias("value"), "n_diff_keywords",
         F.when(value, F.lit(None)).otherwise(F.col("difference")).alias("metadata"),
         F.when(value, F.lit(PASS)).otherwise(F.lit(FAIL)).alias("rationale"))

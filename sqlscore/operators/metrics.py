@@ -142,8 +142,9 @@ def run_feedback(feedback: DataFrame, run_ids: DataFrame | list, run: str = "run
 def flatten_assessments(traces: DataFrame, col: str = "assessments", keys=("trace_id",)) -> DataFrame:
     """D3: per-trace lists of assessments -> one long feedback table (one row per
     assessment, struct fields as columns).  ``explode`` keeps the work on the
-    executors instead of concatenating lists on the driver."""
+    executors instead of concatenating lists on the driver.  A trace without
+    assessments keeps one row of nulls."""
     keys = list(keys)
-    exploded = traces.select(*keys, F.explode(col).alias("__a"))
+    exploded = traces.select(*keys, F.explode_outer(col).alias("__a"))
     fields = traces.schema[col].dataType.elementType.fieldNames()
     return exploded.select(*keys, *[F.col("__a")[f].alias(f) for f in fields])

@@ -1,9 +1,10 @@
 """User model functions applied to rows in Arrow batches.
 
 ``apply_model`` runs a user-given ``fn(pd.Series) -> pd.Series`` inside
-``mapInPandas``: Spark partitions the rows, each task calls the function
-batch by batch with retries and back-off, and a batch that still fails
-yields null outputs with an ``error`` text instead of failing the job.
+``mapInPandas``: Spark partitions the rows and each task calls the function
+batch by batch.  Answers are taken by position and their number is checked.
+A call that still fails after its attempts is halved, down to single rows, so
+only the rows that fail on their own get a null output and an ``error``.
 """
 
 from __future__ import annotations
@@ -16,44 +17,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlscore.operators.parallel import spread
+
+def call_rows(fn: Callable[[pd.Series], pd.Series], values: pd.Series, attempts: int,
+              delay: float) -> list[tuple[object, str | None]]:
+    """(answer, error) for each value, in order."""
+    error = ""
+    for attempt in range(attempts):
+        try:
+            out = list(fn(values))
+            if len(out) != len(values):
+                raise ValueError(f"{len(out)} answers for {len(values)} rows")
+            return [(None if pd.isna(x) else x, None) for x in out]
+        except Exception as exc:  # noqa: BLE001 - user code
+            error = f"{type(exc).__name__}: {exc}"
+            if attempt + 1 < attempts and delay:
+                time.sleep(delay * (attempt + 1))
+    if len(values) == 1:
+        return [(None, error)]
+    half = len(values) // 2
+    return call_rows(fn, values.iloc[:half], attempts, delay) + call_rows(fn, values.iloc[half:], attempts, delay)
 
 
 def apply_model(df: DataFrame, input_col: str, fn: Callable[[pd.Series], pd.Series],
-                output_col: str = "output", max_retries: int = 3, delay: float = 0.0,
+                output_col: str = "output", attempts: int = 3, delay: float = 0.0,
                 partitions: int | None = None, batch_size: int | None = None) -> DataFrame:
     """``output_col`` = fn(input_col) per row; ``error`` set on final failure.
-    Rows whose input is null are passed through (null output) without a call."""
+    Rows whose input is null are passed through (null output) without a call.
+    ``partitions`` spreads the rows over so many tasks first (a shuffle)."""
     schema = T.StructType(df.schema.fields + [T.StructField(output_col, T.StringType()),
                                               T.StructField("error", T.StringType())])
-    src = df.repartition(partitions) if partitions else spread(df)
 
     def run(batches):
         for pdf in batches:
-            steps = [pdf] if not batch_size else [pdf.iloc[i:i + batch_size] for i in range(0, len(pdf), batch_size)]
-            for part in steps:
-                part = part.copy()
-                part[output_col] = None
-                part["error"] = None
-                todo = part[input_col].notna()
-                if todo.any():
-                    out, err = None, None
-                    for attempt in range(max_retries + 1):
-                        try:
-                            out = pd.Series(fn(part.loc[todo, input_col]), index=part.index[todo]).astype("object")
-                            err = None
-                            break
-                        except Exception as exc:  # noqa: BLE001 - user code
-                            err = f"{type(exc).__name__}: {exc}"
-                            if attempt < max_retries and delay:
-                                time.sleep(delay * (attempt + 1))
-                    if out is not None:
-                        part.loc[todo, output_col] = out.where(out.notna(), None)
-                    else:
-                        part.loc[todo, "error"] = err
+            size = batch_size or max(1, len(pdf))
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at:at + size].reset_index(drop=True)
+                todo = part[input_col][part[input_col].notna()]
+                answers = call_rows(fn, todo, max(1, attempts), delay) if len(todo) else []
+                found = dict(zip(todo.index, answers))
+                part[output_col] = pd.Series([found.get(i, (None, None))[0] for i in part.index], dtype="object")
+                part["error"] = pd.Series([found.get(i, (None, None))[1] for i in part.index], dtype="object")
                 yield part
 
-    return src.mapInPandas(run, schema)
+    return (df.repartition(partitions) if partitions else df).mapInPandas(run, schema)
 
 
 def ai_query(df: DataFrame, column: str, instruction: str, fn: Callable[[pd.Series], pd.Series],
@@ -63,21 +69,29 @@ def ai_query(df: DataFrame, column: str, instruction: str, fn: Callable[[pd.Seri
     return apply_model(prompt, "__prompt", fn, output_col).drop("__prompt", "error")
 
 
-def answer_followups(replies: DataFrame, evals: DataFrame, fn: Callable[[pd.Series], pd.Series],
-                     template: str = "Question: {question}\nReference SQL: {gold_sql}") -> DataFrame:
-    """Replies that asked a follow-up get re-answered from a prompt built
-    of the question and its gold SQL; all other replies pass through.
+def answer_followups(replies: DataFrame, evals: DataFrame, helper: Callable[[pd.Series], pd.Series],
+                     model: Callable[[pd.Series], pd.Series],
+                     help_template: str = "Question: {question}\nThe service asks: {followup}\nReference SQL: {gold_sql}",
+                     ask_template: str = "{question}\n{answer}") -> DataFrame:
+    """Replies that asked a follow-up are asked again.
 
-    One pass: every reply is looked up (left join), only follow-ups get a
-    prompt, and the model is called for non-null prompts only, so the reply
-    table is parsed once instead of once per branch of a filter + union."""
+    ``helper`` sees the question, the service's follow-up text (column
+    ``followup``) and the gold SQL and answers the follow-up; ``model``, the
+    service under test, then gets the question with that answer, never the
+    gold, and its output is the candidate.  All other replies pass through:
+    only follow-ups get a prompt, and functions are called for non-null
+    prompts only.  A failed call of either gives status ``model_error``."""
     from sqlscore.functions.sqltext import render
     from sqlscore.operators.evalset import gold_lookup
     follow = F.col("status") == "followup"
-    ctx = gold_lookup(replies, evals).withColumn(
-        "__prompt", F.when(follow, render(template, {"question": F.col("question"), "gold_sql": F.col("gold_sql")})))
-    out = apply_model(ctx, "__prompt", fn, "__answer")
-    return (out.withColumn("candidate_sql", F.when(follow, F.col("__answer")).otherwise(F.col("candidate_sql")))
-            .withColumn("status", F.when(follow & F.col("error").isNull(), F.lit("answered"))
+    ctx = gold_lookup(replies, evals).withColumn("__prompt", F.when(follow, render(
+        help_template, {c: F.col(c) for c in ("question", "followup", "gold_sql")})))
+    helped = apply_model(ctx, "__prompt", helper, "__answer").withColumnRenamed("error", "__error")
+    asked = helped.withColumn("__ask", F.when(follow & F.col("__error").isNull(), render(
+        ask_template, {"question": F.col("question"), "answer": F.col("__answer")})))
+    out = apply_model(asked, "__ask", model, "__sql")
+    failed = F.coalesce("__error", "error").isNotNull()
+    return (out.withColumn("candidate_sql", F.when(follow, F.col("__sql")).otherwise(F.col("candidate_sql")))
+            .withColumn("status", F.when(follow & ~failed, F.lit("answered"))
                         .when(follow, F.lit("model_error")).otherwise(F.col("status")))
-            .drop("__prompt", "__answer", "error", "gold_eval_id", "gold_sql"))
+            .drop("__prompt", "__answer", "__error", "__ask", "__sql", "error", "gold_eval_id", "gold_sql", "followup"))

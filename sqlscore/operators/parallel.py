@@ -1,23 +1,23 @@
-"""Parallelism guard for CPU-heavy per-row work (regex tokenizing, HTML
-sectioning, model calls).
-
-A small input file is read as one partition, which would run all of that
-work in a single task.  ``spread`` round-robins the rows over the cluster's
-default parallelism, but only when the plan has fewer partitions than that;
-on large inputs (thousands of file splits) it is a no-op, so no shuffle is
-added where the scan is already wide.
+"""Parallelism of CPU-heavy per-row work (tokenizing, sectioning, model calls).
+
+A small input file is read as one partition, which runs all of that work in
+one task.  Whoever knows the input says how many partitions the rows are to
+be spread over; nothing is decided from the plan and no job is run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SETTING = "spark.sqlscore.inputPartitions"
+
+
+def spread(df: DataFrame, partitions: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Round-robin (or hash on ``keys``) over ``partitions``; without a number, ``df`` as it is."""
+    return df.repartition(partitions, *keys) if partitions else df
+
 
-def spread(df: DataFrame, keys: tuple[str, ...] = (), min_partitions: int | None = None) -> DataFrame:
-    """Round-robin (or hash on ``keys``, so a following window or aggregate on
-    those keys reuses the partitioning) when the plan is narrower than the
-    default parallelism."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+def asked_partitions(spark) -> int | None:
+    """The number of input partitions that the session asks for (unset: none, no shuffle)."""
+    n = spark.conf.get(SETTING, None)
+    return int(n) if n else None

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlscore.operators.parallel import spread
-
 REPLY_SCHEMA = T.StructType([
     T.StructField("conversation_id", T.StringType()),
     T.StructField("created_timestamp", T.LongType()),
@@ -27,14 +25,18 @@ INSTRUCTION_SCHEMA = T.StructType([
 ])
 
 
+CORRUPT = "_corrupt_record"
+
+
 def parse_json(df: DataFrame, col: str, schema: T.StructType, out: str = "parsed") -> DataFrame:
-    """H8: parse a model's JSON reply; unparsable text yields an all-null
-    struct and ``parse_error`` = true."""
-    parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
-    all_null = F.lit(True)
-    for f in schema.fields:
-        all_null = all_null & F.col(out)[f.name].isNull()
-    return spread(df).withColumn(out, parsed).withColumn("parse_error", F.col(col).isNotNull() & all_null)
+    """H8: parse a model's JSON reply; ``parse_error`` is true only for text that is
+    no JSON object of the schema.  Valid JSON without the keys is no error."""
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(F.col(col), whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # blank text gives a null struct, text that is no object keeps the corrupt record
+    bad = F.col(col).isNotNull() & (F.col(out).isNull() | F.col(out)[CORRUPT].isNotNull())
+    return (df.withColumn(out, parsed).withColumn("parse_error", bad)
+            .withColumn(out, F.col(out).dropFields(CORRUPT)))
 
 
 def classify(df: DataFrame, reply: str = "reply") -> DataFrame:
@@ -64,4 +66,5 @@ def telemetry(df: DataFrame, reply: str = "reply", ts_unit: str = "ms") -> DataF
         F.when(ok, att["query"]["query"]).alias("candidate_sql"),
         F.when(ok, att["query"]["description"]).alias("description"),
         F.when(ok, att["row_count"]).alias("row_count"),
+        F.when(F.col("status") == "followup", att["text"]).alias("followup"),
         F.timestamp_seconds(secs).alias("created_ts"))

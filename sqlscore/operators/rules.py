@@ -11,31 +11,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscore.functions.sqltext import SEP1, normalised, sql_tokens, strip_literals
-from sqlscore.operators.parallel import spread
+from sqlscore.functions.sqltext import SEP1, normalised, sql_tokens, strip_texts
 
-# Names after FROM / JOIN (lexical; CTE names are removed separately).
-TABLE_RE = r"(?i)(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_.]*)"
-CTE_RE = r"(?i)(?:WITH|,)\s*([A-Za-z_][A-Za-z0-9_]*)\s+AS\s*\("
+# Lexical, over lower-cased text without literals, comments and back-quotes.
+# FROM inside a function call or a comparison names no table.
+_NOT_A_TABLE_RE = r"\b(?:extract|trim|substring|substr|overlay)\s*\([^()]*\)|\bdistinct\s+from\b"
+_ITEM_RE = r"[a-z_][\w.]*(?:\s+(?:as\s+)?[a-z_]\w*)?"
+TABLE_RE = rf"\b(?:from|join)\s+({_ITEM_RE}(?:\s*,\s*{_ITEM_RE})*)"
+CTE_RE = r"(?:\bwith(?:\s+recursive)?|,)\s*([a-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*\("
+# words that can stand after FROM, JOIN or a comma and name no table
+_NO_TABLES = ["lateral", "unnest", "values", "select", "explode", "table"]
 
 SUFFIX = "__tokens"
 
 
-def tokenize(df: DataFrame, *cols: str) -> DataFrame:
-    """Add ``<col>__tokens`` (array of upper-case tokens) for each text column.
-    Regex work is CPU-heavy: a narrow input is spread over the cluster first."""
-    return spread(df).select("*", *[sql_tokens(F.col(c)).alias(c + SUFFIX) for c in cols])
+def tokenize(df: DataFrame, *cols: str, only_first_statement: bool = True) -> DataFrame:
+    """Add ``<col>__tokens`` (array of upper-case tokens) for each text column,
+    of its first statement or of all."""
+    return df.select("*", *[sql_tokens(F.col(c), only_first_statement).alias(c + SUFFIX) for c in cols])
 
 
 def tokens_of(df: DataFrame, col: str) -> Column:
-    return F.col(col + SUFFIX) if col + SUFFIX in df.columns else sql_tokens(F.col(col))
+    """Tokens made by ``tokenize``, else those of the whole text."""
+    return F.col(col + SUFFIX) if col + SUFFIX in df.columns else sql_tokens(F.col(col), only_first_statement=False)
 
 
 def join_count_tokens(tokens: Column) -> Column:
-    """Tokens ending in JOIN (JOIN, LEFT JOIN, ...): count of 'JOIN<sep>' in the
-    re-joined stream, a substring count instead of a lambda."""
-    s = F.concat(F.array_join(tokens, SEP1), F.lit(SEP1))
-    return ((F.length(s) - F.length(F.replace(s, F.lit("JOIN" + SEP1), F.lit("")))) / 5).cast("int")
+    """Tokens that are JOIN or end in the word JOIN (LEFT JOIN, ...): substring
+    counts in the re-joined stream instead of a lambda."""
+    s = F.concat(F.lit(SEP1), F.array_join(tokens, SEP1 + SEP1), F.lit(SEP1))
+    times = lambda x: (F.length(s) - F.length(F.replace(s, F.lit(x), F.lit("")))) / len(x)
+    return (times(SEP1 + "JOIN" + SEP1) + times(" JOIN" + SEP1)).cast("int")
 
 
 def join_count(sql: Column) -> Column:
@@ -51,11 +57,14 @@ def has_select(sql: Column) -> Column:
 
 
 def tables_used(sql: Column) -> Column:
-    """Distinct lower-case table names after FROM/JOIN, minus CTE names."""
-    text = F.lower(strip_literals(sql))
-    found = F.regexp_extract_all(text, F.lit(TABLE_RE), 1)
-    ctes = F.regexp_extract_all(text, F.lit(CTE_RE), 1)
-    return F.array_sort(F.array_distinct(F.array_except(found, ctes)))
+    """Distinct lower-case names of the tables after FROM (comma lists too) and
+    JOIN, minus CTE names."""
+    text = F.regexp_replace(F.lower(strip_texts(sql)), _NOT_A_TABLE_RE, " ")
+    lists = F.regexp_extract_all(text, F.lit(TABLE_RE), F.lit(1))
+    items = F.split(F.array_join(lists, ","), r"\s*,\s*")
+    found = F.filter(F.transform(items, lambda x: F.substring_index(F.regexp_replace(x, r"\s", " "), " ", 1)), lambda x: x != "")
+    ctes = F.regexp_extract_all(text, F.lit(CTE_RE), F.lit(1))
+    return F.array_sort(F.array_distinct(F.array_except(found, F.concat(ctes, F.array(*map(F.lit, _NO_TABLES))))))
 
 
 def missing_dims(tokens: Column, dims: list[str]) -> Column:
@@ -76,15 +85,20 @@ def rule_has_select(df: DataFrame, gold: str = "gold_sql", cand: str = "candidat
 
 
 def rule_tables(df: DataFrame, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
-    t = spread(df).select("*", tables_used(F.col(gold)).alias("__gt"), tables_used(F.col(cand)).alias("__ct"))
+    t = df.select("*", tables_used(F.col(gold)).alias("__gt"), tables_used(F.col(cand)).alias("__ct"))
     return (t.withColumn("missing_tables", F.array_join(F.array_except("__gt", "__ct"), ","))
             .withColumn("extra_tables", F.array_join(F.array_except("__ct", "__gt"), ","))
             .withColumn("value", (F.col("missing_tables") == "") & (F.col("extra_tables") == ""))
             .drop("__gt", "__ct"))
 
 
+def dims_tokens(sql: Column) -> Column:
+    """Tokens with the words of back-quoted names, of all statements."""
+    return sql_tokens(sql, only_first_statement=False, quoted_names=True)
+
+
 def rule_required_dims(df: DataFrame, dims: list[str], cand: str = "candidate_sql") -> DataFrame:
-    return df.withColumn("missing_dims", missing_dims(tokens_of(df, cand), dims)).withColumn(
+    return df.withColumn("missing_dims", missing_dims(dims_tokens(F.col(cand)), dims)).withColumn(
         "value", F.col("missing_dims") == "")
 
 
@@ -100,5 +114,5 @@ def rule_limit_without_order(df: DataFrame, cols=("gold_sql", "candidate_sql"))
     return out
 
 
-__all__ = ["rule_limit_without_order", "tokenize", "tokens_of", "join_count", "has_select", "tables_used", "normalised",
+__all__ = ["rule_limit_without_order", "tokenize", "tokens_of", "join_count", "has_select", "tables_used", "dims_tokens", "normalised",
            "rule_count_joins", "rule_has_select", "rule_tables", "rule_required_dims"]

@@ -1,16 +1,16 @@
 """DuckDB SQL for every registered query (the correctness oracle).
 
-Written independently of the Spark plans: the stand-in rules, tokenizer
-steps and scorers are restated here in DuckDB's dialect (lambda syntax,
-``'g'`` regex flag, HUGEINT sums cast back to BIGINT).
+The stand-in rules, tokenizer steps and scorers are restated here in DuckDB's
+dialect (lambda syntax, 'g' regex flag, HUGEINT sums cast back to BIGINT).
+The lexicon, separators and rationales are shared constants; the patterns for
+literals, tables, CTE names and page elements are written anew here, and
+literal answers for fixed texts are in the tests.
 """
 
 from __future__ import annotations
 
-from sqlscore.functions.sqltext import LEXICON, LITERAL_OPENERS, LITERALS_RE, MULTIWORD, SEP1, SEPARATORS, fused
+from sqlscore.functions.sqltext import LEXICON, MULTIWORD, SEP1, SEPARATORS, fused
 from sqlscore.operators.keywords import FAIL, PASS
-from sqlscore.operators.rules import CTE_RE, TABLE_RE
-from sqlscore.operators.corpus import ELEMENT_RE
 from sqlscore.plans import pairs as P
 from sqlscore.plans import queries as Q
 
@@ -50,9 +50,14 @@ EVALS = f"""evals AS (
 
 CANDS = f"""cands AS (
   SELECT eval_id, original_question AS question, gold_sql,
-    CASE eval_id % 3 WHEN 0 THEN g
+    CASE eval_id % 5 WHEN 0 THEN g
       WHEN 1 THEN lower(g) || ' -- group by customer; order by nothing'
-      ELSE 'SELECT t.* FROM (' || g || ') t JOIN customer c ON c.c_custkey = ' || regexp_extract(g, 'o_custkey = ([0-9]+)', 1) || ' WHERE c.c_name <> ''GROUP BY x''' END AS candidate_sql
+      WHEN 2 THEN 'SELECT t.* FROM (' || g || ') t JOIN customer c ON c.c_custkey = ' || regexp_extract(g, 'o_custkey = ([0-9]+)', 1)
+        || ' WHERE c.c_name <> ' || chr(39) || 'GROUP BY x' || chr(39)
+      WHEN 3 THEN 'SELECT `o_custkey`, last_join FROM `db`.`orders` o, customer AS c WHERE c_name = ' || chr(39) || 'it' || chr(92) || chr(39)
+        || 's GROUP BY' || chr(39) || ' AND `o_custkey` = ' || CAST(eval_id AS VARCHAR)
+      ELSE 'WITH RECURSIVE y (a, b) AS (SELECT EXTRACT(YEAR FROM o_orderdate), o_custkey FROM orders) SELECT * FROM y WHERE a IS DISTINCT FROM b AND b = '
+        || CAST(eval_id AS VARCHAR) END AS candidate_sql
   FROM (SELECT *, coalesce(gold_sql, 'SELECT 1') AS g FROM evals))"""
 
 _ONE = ("'{\"conversation_id\": \"c' || CAST(eval_id AS VARCHAR) || '\", \"created_timestamp\": ' || "
@@ -62,7 +67,8 @@ REPLIES = f"""replies AS (
   SELECT eval_id AS reply_id, question, CASE eval_id % 5
     WHEN 0 THEN '{{"conversation_id": "c' || CAST(eval_id AS VARCHAR) || '", "created_timestamp": 0, "attachments": [{{"text": "Which customer do you mean?"}}]}}'
     WHEN 1 THEN '{{"conversation_id": "c' || CAST(eval_id AS VARCHAR) || '", "created_timestamp": 0, "attachments": [{{"query": {{"query": "SELECT 1"}}}}, {{"text": "x"}}]}}'
-    WHEN 2 THEN 'service unavailable for ' || CAST(eval_id AS VARCHAR)
+    WHEN 2 THEN CASE eval_id % 3 WHEN 0 THEN '{{}}' WHEN 1 THEN NULL
+      ELSE 'service unavailable for ' || CAST(eval_id AS VARCHAR) END
     ELSE {_ONE} END AS reply
   FROM cands)"""
 
@@ -118,13 +124,23 @@ def chars(s: str) -> str:
     return "(" + " || ".join(out) + ")"
 
 
+# quoted text with backslash escapes, line comment, block comment
+QUOTED = r"""('([^'\\]|\\.)*'|"([^"\\]|\\.)*"|--[^\n]*|/\*([^*]|\*+[^*/])*\*+/)"""
+
+
 def strip(x: str) -> str:
-    has = " OR ".join(f"contains({x}, {lit(o)})" for o in LITERAL_OPENERS)
-    return f"(CASE WHEN {has} THEN regexp_replace({x}, {lit(LITERALS_RE)}, ' ', 'g') ELSE {x} END)"
+    return f"regexp_replace({x}, {lit(QUOTED + '|`[^`]*`')}, ' ', 'g')"
+
 
+def bare(x: str) -> str:
+    """Quoted texts and comments out, quoted names without their quotes."""
+    marked = f"regexp_replace({x}, {lit(QUOTED + '|(`[^`]*`)')}, {lit(chr(92) + '5 ')}, 'g')"
+    return f"replace(regexp_replace({marked}, ' *[.] *', '.', 'g'), '`', '')"
 
-def norm(x: str) -> str:
-    s = f"split_part({strip(x)}, ';', 1)"
+
+def norm(x: str, whole: bool = False) -> str:
+    """``whole``: all statements, and the words of quoted names."""
+    s = f"replace({bare(x)}, ';', ' ')" if whole else f"split_part({strip(x)}, ';', 1)"
     s = f"translate({s}, {chars(SEPARATORS)}, {chars(SEP1 * len(SEPARATORS))})"
     s = f"regexp_replace({s}, chr(1) || chr(1) || '+', chr(1), 'g')"
     s = f"(chr(1) || chr(1) || upper(replace({s}, chr(1), chr(1) || chr(1))) || chr(1) || chr(1))"
@@ -134,8 +150,8 @@ def norm(x: str) -> str:
     return s
 
 
-def tokens(x: str) -> str:
-    return f"string_split({norm(x)}, chr(1))"
+def tokens(x: str, whole: bool = False) -> str:
+    return f"string_split({norm(x, whole)}, chr(1))"
 
 
 LEX = "(" + ", ".join(lit(k) for k in LEXICON) + ")"
@@ -160,7 +176,7 @@ VERDICT = f"""kverdict AS (
 
 
 def join_count(x: str) -> str:
-    return f"CAST(len(list_filter({tokens(x)}, lambda t: ends_with(t, 'JOIN'))) AS INTEGER)"
+    return f"CAST(len(list_filter({tokens(x)}, lambda t: t = 'JOIN' OR ends_with(t, ' JOIN'))) AS INTEGER)"
 
 
 def has_select(x: str) -> str:
@@ -168,9 +184,13 @@ def has_select(x: str) -> str:
 
 
 def tables_used(x: str) -> str:
-    text = strip(x)
-    found = f"list_transform(regexp_extract_all({text}, {lit(TABLE_RE)}, 1), lambda y: lower(y))"
-    ctes = f"list_transform(regexp_extract_all({text}, {lit(CTE_RE)}, 1), lambda z: lower(z))"
+    """After FROM or JOIN a name, and one after each comma that follows a name and its alias."""
+    no_calls = f"regexp_replace(lower({bare(x)}), 'extract *[(][^()]*[)]|is distinct from', ' ', 'g')"
+    chains = (f"regexp_extract_all(' ' || {no_calls}, '[^a-z0-9_](from|join) +([a-z_][a-z0-9_.]*"
+              "( +as)?( +[a-z_][a-z0-9_]*)?( *, *[a-z_][a-z0-9_.]*( +as)?( +[a-z_][a-z0-9_]*)?)*)', 2)")
+    found = f"flatten(list_transform({chains}, lambda c: list_transform(string_split(c, ','), lambda y: split_part(trim(y), ' ', 1))))"
+    ctes = (f"regexp_extract_all(' ' || {no_calls}, '(?:[^a-z0-9_]with|[^a-z0-9_]with +recursive|,) *([a-z_][a-z0-9_]*)"
+            " *(?:[(][^()]*[)] *)?as *[(]', 1)")
     return f"list_sort(list_distinct(list_filter({found}, lambda y: NOT list_contains({ctes}, y))))"
 
 
@@ -184,7 +204,7 @@ RULES = f"""r_joins AS (SELECT eval_id, {join_count('gold_sql')} AS gold_joins,
 r_select AS (SELECT eval_id, {has_select('gold_sql')} AS gold_has_select, {has_select('candidate_sql')} AS cand_has_select FROM cands),
 r_tab0 AS (SELECT eval_id, {tables_used('gold_sql')} AS gt, {tables_used('candidate_sql')} AS ct FROM cands),
 r_tables AS (SELECT eval_id, {except_text('gt', 'ct')} AS missing_tables, {except_text('ct', 'gt')} AS extra_tables FROM r_tab0),
-r_dims AS (SELECT eval_id, array_to_string(list_filter({DIMS}, lambda d: NOT list_contains(list_transform({tokens('candidate_sql')}, lambda t: lower(t)), d)), ',') AS missing_dims FROM cands)"""
+r_dims AS (SELECT eval_id, array_to_string(list_filter({DIMS}, lambda d: NOT list_contains(list_transform({tokens('candidate_sql', True)}, lambda t: lower(t)), d)), ',') AS missing_dims FROM cands)"""
 
 
 # ------------------------------------------------------------ results
@@ -221,6 +241,19 @@ def _pair_rows(kind: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _result_scores() -> str:
+    names = sorted(P.PAIRS)
+    pick = " ".join(f"WHEN {i} THEN {lit(n)}" for i, n in enumerate(names))
+    return (f"WITH v AS ({_pair_rows('verdict')}), p AS (SELECT o_orderkey AS eval_id, CASE o_orderkey % {len(names)} {pick} END AS pair FROM orders) "
+            "SELECT eval_id, pair, value, only_in_gold, only_in_candidate, error, "
+            "CAST(CASE WHEN value OR error IS NOT NULL THEN 0 ELSE least(5, only_in_gold) END AS INTEGER) AS n_sample_gold, "
+            "CAST(CASE WHEN value OR error IS NOT NULL THEN 0 ELSE least(5, only_in_candidate) END AS INTEGER) AS n_sample_candidate, "
+            "CASE WHEN error IS NOT NULL THEN 'Not compared: ' || error || '.' "
+            "WHEN value THEN 'Both queries return the same ' || gold_rows || ' rows.' "
+            "ELSE only_in_gold || ' of ' || gold_rows || ' gold rows and ' || only_in_candidate || ' of ' || cand_rows "
+            "|| ' candidate rows have no partner.' END AS rationale FROM p JOIN v ON p.pair = v.pair_id")
+
+
 def _diff_rows(sample: bool) -> str:
     sides = []
     for side, a, b in (("gold", "g", "c"), ("candidate", "c", "g")):
@@ -238,7 +271,6 @@ def oracle_sql() -> dict[str, str]:
     W = f"WITH {EVALS}"
     WC = f"WITH {EVALS}, {CANDS}"
     prompt = Q.PROMPT
-    followup_prompt = "Question: {question}\nReference SQL: {gold_sql}"
     lvl = ("CASE WHEN value < 50 THEN 'DEBUG' WHEN value < 150 THEN 'INFO' "
            "WHEN value < 300 THEN 'WARNING' ELSE 'ERROR' END")
     sql = {
@@ -252,7 +284,9 @@ def oracle_sql() -> dict[str, str]:
         "eval_replace_terms": f"{W} SELECT eval_id, gold_sql, "
                               + "regexp_replace(regexp_replace(gold_sql, 'orders', 'orders_v2', 'g'), 'o_custkey', 'o_customer_key', 'g') "
                               + "AS updated_gold_sql FROM evals",
-        "eval_split": f"{W} SELECT eval_id, CASE WHEN (eval_id * 2654435761 + 42) % 1000 < 300 THEN 'test' ELSE 'train' END AS split FROM evals",
+        "eval_split": f"{W} SELECT eval_id, CASE WHEN CAST('0x' || substr(md5(CAST(eval_id AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 1000 < 300 "
+                      "THEN 'test' ELSE 'train' END AS split FROM evals",
+        "eval_questions": f"{W} SELECT eval_id, question, original_question FROM evals",
         "eval_request": f"{W} SELECT eval_id, question, CAST(CASE WHEN issues IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_guidelines, "
                         "issues AS guideline, gold_sql AS expected_response FROM evals",
         "eval_prepare": f"{W} SELECT eval_id, question, CAST(r AS INTEGER) AS replica FROM "
@@ -269,6 +303,8 @@ def oracle_sql() -> dict[str, str]:
                           "FROM conversations WHERE role = 'user' AND text IS NOT NULL AND trim(text) <> ''",
         "keyword_hist": f"{WC}, {HIST} SELECT * FROM hist",
         "keyword_diff": f"{WC}, {HIST}, {DIFF} SELECT eval_id, keyword, gold_n, cand_n, gold_n - cand_n AS diff FROM diff",
+        "keyword_metadata": f"{WC}, {HIST}, {DIFF} SELECT eval_id, keyword, CAST(gold_n - cand_n AS INTEGER) AS diff FROM diff "
+                            "WHERE eval_id IN (SELECT eval_id FROM diff WHERE gold_n <> cand_n)",
         "keyword_verdict": f"{WC}, {HIST}, {DIFF}, {VERDICT} SELECT * FROM kverdict",
         "rule_count_joins": f"{WC}, {RULES} SELECT eval_id, gold_joins, cand_joins, gold_joins = cand_joins AS value FROM r_joins",
         "rule_has_select": f"{WC}, {RULES} SELECT eval_id, gold_has_select, cand_has_select, gold_has_select AS value FROM r_select",
@@ -302,11 +338,8 @@ def oracle_sql() -> dict[str, str]:
                            "CASE WHEN n_custom = 0 THEN 0.0 ELSE 0.3 * (custom_sum / n_custom / n_metrics) END AS custom_score FROM c) "
                            "SELECT run_id, cycle, n_metrics, n_custom, round(core_score, {R}) AS core_score, "
                            "round(custom_score, {R}) AS custom_score, round(core_score + custom_score, {R}) AS composite FROM s",
-        "feedback_text": "WITH a AS (SELECT conv_id, turn, text, coalesce(length(text), 0) AS l FROM conversations "
-                         "WHERE role = 'assistant'), b AS (SELECT *, CAST(floor((sum(l) OVER (PARTITION BY conv_id ORDER BY turn "
-                         f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - l) / {Q.TEXT_PART_CHARS}) AS BIGINT) AS part FROM a) "
-                         "SELECT conv_id, part, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n_items "
-                         "FROM b GROUP BY conv_id, part",
+        "feedback_text": "SELECT conv_id, role, coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS text, count(*) AS n_items "
+                         "FROM conversations GROUP BY conv_id, role",
         "quality_gate": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality, quality >= {Q.GATE!r} AS passes FROM q",
         "runs_vs_baseline": f"WITH {CM}, b AS (SELECT run_id, metric, arg_min(value, cycle) AS baseline FROM cm GROUP BY ALL) "
                             "SELECT run_id, cycle, metric, round(value, {R}) AS value, round(baseline, {R}) AS baseline, "
@@ -320,19 +353,19 @@ def oracle_sql() -> dict[str, str]:
         "cycle_drift": f"WITH {CM}, d AS (SELECT *, lag(value) OVER (PARTITION BY run_id, metric ORDER BY cycle) AS prev_value FROM cm) "
                        "SELECT run_id, cycle, metric, round(value, {R}) AS value, round(prev_value, {R}) AS prev_value, "
                        "round(value - prev_value, {R}) AS diff, round((value - prev_value) / NULLIF(prev_value, 0), {R}) AS rel_change FROM d",
-        "prompt_token_diff": "WITH a AS (SELECT conv_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_turn "
-                             "FROM conversations WHERE role = 'assistant'), "
-                             "t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM a), "
-                             "c AS (SELECT conv_id, turn, token, count(*) AS n FROM t GROUP BY ALL), "
-                             "s AS (SELECT conv_id, prev_turn AS f, turn AS t FROM a WHERE prev_turn IS NOT NULL), "
-                             "b AS (SELECT c.conv_id, c.turn, c.token, c.n AS curr_n, 0 AS prev_n FROM c JOIN s "
-                             "ON c.conv_id = s.conv_id AND c.turn = s.t "
-                             "UNION ALL SELECT c.conv_id, s.t AS turn, c.token, 0 AS curr_n, c.n AS prev_n FROM c JOIN s "
-                             "ON c.conv_id = s.conv_id AND c.turn = s.f) "
-                             "SELECT conv_id, turn, token, CAST(sum(curr_n) AS BIGINT) AS curr_n, CAST(sum(prev_n) AS BIGINT) AS prev_n, "
+        "prompt_token_diff": "WITH v AS (SELECT concat_ws('/', conv_id, role) AS thread, turn, text FROM conversations), "
+                             "a AS (SELECT thread, turn, text, lag(turn) OVER (PARTITION BY thread ORDER BY turn) AS prev_turn FROM v), "
+                             "t AS (SELECT thread, turn, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')) AS token FROM a), "
+                             "c AS (SELECT thread, turn, token, count(*) AS n FROM t GROUP BY ALL), "
+                             "s AS (SELECT thread, prev_turn AS f, turn AS t FROM a WHERE prev_turn IS NOT NULL), "
+                             "b AS (SELECT c.thread, c.turn, c.token, c.n AS curr_n, 0 AS prev_n FROM c JOIN s "
+                             "ON c.thread = s.thread AND c.turn = s.t "
+                             "UNION ALL SELECT c.thread, s.t AS turn, c.token, 0 AS curr_n, c.n AS prev_n FROM c JOIN s "
+                             "ON c.thread = s.thread AND c.turn = s.f) "
+                             "SELECT thread, turn, token, CAST(sum(curr_n) AS BIGINT) AS curr_n, CAST(sum(prev_n) AS BIGINT) AS prev_n, "
                              "CAST(sum(curr_n) - sum(prev_n) AS BIGINT) AS diff FROM b GROUP BY ALL HAVING sum(curr_n) <> sum(prev_n)",
-        "latest_instruction": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations "
-                              "WHERE role = 'assistant' GROUP BY conv_id",
+        "latest_instruction": "SELECT concat_ws('/', conv_id, role) AS thread, max(turn) AS turn, arg_max(text, turn) AS text "
+                              "FROM conversations GROUP BY 1",
         "best_cycle": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality FROM "
                       "(SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY quality DESC, cycle) AS rn FROM q) WHERE rn = 1",
         "best_cycles_top10": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality FROM q "
@@ -347,9 +380,11 @@ def oracle_sql() -> dict[str, str]:
         "pack_documents": f"WITH n AS (SELECT CAST(greatest(1, ceil(sum(n_chars) / {float(Q.PACK_TARGET_CHARS)!r})) AS BIGINT) AS n "
                           "FROM documents) SELECT doc_id % n AS group_id, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, "
                           "string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents, n GROUP BY 1",
-        "sectionise": f"WITH x AS (SELECT page_id, regexp_extract_all(html, {lit(ELEMENT_RE)}) AS els FROM pages), "
+        "sectionise": "WITH x AS (SELECT page_id, regexp_extract_all(html, "
+                      "'(?is)(?:<h[1-6]>|<h[1-6]\\s[^>]*>).*?</h[1-6]\\s*>|(?:<li>|<li\\s[^>]*>).*?</li\\s*>') AS els FROM pages), "
                       "e AS (SELECT page_id, generate_subscripts(els, 1) - 1 AS pos, unnest(els) AS el FROM x), "
-                      "m AS (SELECT page_id, pos, starts_with(el, '<h') AS is_h, trim(regexp_replace(el, '<[^>]*>', '', 'g')) AS txt0 FROM e), "
+                      "m AS (SELECT page_id, pos, starts_with(lower(el), '<h') AS is_h, trim(regexp_replace(regexp_replace("
+                      "el, '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS txt0 FROM e), "
                       "m2 AS (SELECT page_id, pos, is_h, CASE WHEN is_h THEN regexp_replace(trim(txt0), '^:+|:+$', '', 'g') ELSE txt0 END AS txt, "
                       "sum(CAST(is_h AS INTEGER)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM m), "
                       "s AS (SELECT page_id, section, max(CASE WHEN is_h THEN txt END) AS heading, "
@@ -363,9 +398,7 @@ def oracle_sql() -> dict[str, str]:
         "reply_parse": "WITH p AS (SELECT event_id, props, json_valid(props) AS ok FROM events) "
                        "SELECT event_id, CASE WHEN ok THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, "
                        "CASE WHEN ok THEN json_extract_string(props, '$.ai_system_instruction') END AS instruction, "
-                       "props IS NOT NULL AND (NOT ok OR (json_extract(props, '$.k') IS NULL "
-                       "AND json_extract(props, '$.ai_system_instruction') IS NULL AND json_extract(props, '$.rationale') IS NULL)) "
-                       "AS parse_error FROM p",
+                       "props IS NOT NULL AND NOT ok AS parse_error FROM p",
         "reply_status": f"{WC}, {REPLIES}, {_STATUS} SELECT reply_id, status FROM st",
         "telemetry_flatten": f"{WC}, {REPLIES}, {_STATUS} SELECT reply_id, status, "
                              "CASE WHEN ok THEN json_extract_string(reply, '$.conversation_id') END AS conversation_id, "
@@ -373,13 +406,25 @@ def oracle_sql() -> dict[str, str]:
                              "CASE WHEN status = 'ok' THEN CAST(json_extract(reply, '$.attachments[0].row_count') AS BIGINT) END AS row_count, "
                              "CASE WHEN ok THEN CAST(floor(CAST(json_extract(reply, '$.created_timestamp') AS BIGINT) / 1000) AS BIGINT) END AS created_s "
                              "FROM st",
-        "model_apply": f"{W} SELECT eval_id, 'SELECT ' || CAST(length(question) AS VARCHAR) || ' AS n' AS output, "
-                       "CAST(NULL AS VARCHAR) AS error FROM evals",
-        "followup_answers": f"{WC}, {REPLIES}, {_STATUS}, g AS (SELECT original_question AS question, min(eval_id) AS gold_eval_id FROM evals GROUP BY 1) "
-                            "SELECT st.reply_id, CASE WHEN status = 'followup' THEN 'answered' ELSE status END AS status, "
-                            "CASE WHEN status = 'followup' THEN 'SELECT ' || CAST(length(" + _render_sql(followup_prompt, "st.question", "e.gold_sql")
-                            + ") AS VARCHAR) || ' AS n' WHEN status = 'ok' THEN json_extract_string(reply, '$.attachments[0].query.query') END AS candidate_sql "
-                            "FROM st LEFT JOIN g ON st.question = g.question LEFT JOIN evals e ON e.eval_id = g.gold_eval_id",
+        "model_apply": f"{W} SELECT eval_id, CASE WHEN eval_id % 53 = 0 OR eval_id % 101 = 0 THEN NULL "
+                       "ELSE 'SELECT ' || CAST(length(question) AS VARCHAR) || ' AS n' END AS output, "
+                       "CASE WHEN eval_id % 53 <> 0 AND eval_id % 101 = 0 THEN 'ValueError: cannot answer' END AS error FROM evals",
+        "model_ai_query": f"{W} SELECT eval_id, 'SELECT ' || CAST(length('Answer briefly: ' || question) AS VARCHAR) || ' AS n' AS answer FROM evals",
+        "followup_answers": f"{WC}, {REPLIES}, {_STATUS}, g AS (SELECT original_question AS question, min(eval_id) AS gold_eval_id FROM evals GROUP BY 1), "
+                            "h AS (SELECT st.*, length('Question: ' || coalesce(st.question, '') || chr(10) || 'The service asks: ' "
+                            "|| coalesce(CASE WHEN ok THEN json_extract_string(reply, '$.attachments[0].text') END, '') || chr(10) || 'Reference SQL: ' "
+                            "|| coalesce(e.gold_sql, '')) AS helped FROM st LEFT JOIN g ON st.question = g.question "
+                            "LEFT JOIN evals e ON e.eval_id = g.gold_eval_id) "
+                            "SELECT reply_id, CASE WHEN status = 'followup' THEN 'answered' ELSE status END AS status, "
+                            "CASE WHEN status = 'followup' THEN 'SELECT ' || CAST(length(question || chr(10) || 'answer ' || CAST(helped AS VARCHAR)) "
+                            "AS VARCHAR) || ' AS n' WHEN status = 'ok' THEN json_extract_string(reply, '$.attachments[0].query.query') END AS candidate_sql "
+                            "FROM h",
+        "trace_assessments": "SELECT doc_id AS trace_id, scorer, value FROM labels UNPIVOT (value FOR scorer IN (quality, toxic)) "
+                             "WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality <> 0) "
+                             "UNION ALL SELECT doc_id, NULL, NULL FROM labels WHERE quality = 0",
+        "run_feedback": "SELECT user_id AS run_id, event_id AS item_id, event_type AS scorer, value >= 100 AS value FROM events "
+                        "WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')",
+        "evaluate_results": _result_scores(),
         "log_levels": f"SELECT event_type AS logger_name, {lvl} AS level, count(*) AS n FROM events "
                       "WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL",
         "stream_dedup": "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS rn "

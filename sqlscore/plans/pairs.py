@@ -128,9 +128,7 @@ PAIRS: dict[str, tuple[str | None, str | None]] = {
     # one duplicate row missing on the candidate side (bag vs set)
     "m18_dup_missing": (
         "SELECT o_orderpriority FROM orders",
-        "SELECT DISTINCT o_orderpriority FROM orders UNION ALL "
-        "SELECT o_orderpriority FROM (SELECT o_orderpriority, ROW_NUMBER() OVER (PARTITION BY o_orderpriority "
-        "ORDER BY o_orderkey) AS rn FROM orders) t WHERE rn > 1 AND NOT (o_orderpriority = '1-URGENT' AND rn = 2)",
+        "SELECT o_orderpriority FROM orders WHERE NOT (o_orderkey = (SELECT MIN(o_orderkey) FROM orders))",
     ),
 }
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlscore.operators import corpus, cycles, equivalence, evalset, keywords, metrics, model, replies, rules, runs
+from sqlscore.operators import corpus, cycles, equivalence, evalset, evaluate, keywords, metrics, model, replies, rules, runs
 from sqlscore.plans import pairs as P
 from sqlscore.plans import standins as S
 from sqlscore.session import checkpoint_root, scratch_path
@@ -29,12 +29,20 @@ REQUIRED_DIMS = ["o_custkey", "o_orderpriority"]
 PROMPT = "Question: {question}\nReference SQL: {gold_sql}\nIssues: {issues}"
 PACK_TARGET_CHARS = 1_000_000
 GATE = 15.0
-TEXT_PART_CHARS = 2000  # bound on one joined feedback text (parts keep every text)
+UNANSWERABLE = "unanswerable"
 
 
 def stub_model(q: pd.Series) -> pd.Series:
-    """Deterministic stand-in for a text-to-SQL model (tests and checks)."""
-    return "SELECT " + q.str.len().astype(str) + " AS n"
+    """Deterministic stand-in for a text-to-SQL model (tests and checks): fails on
+    any batch with an unanswerable question, and answers with an index of its own."""
+    if (q == UNANSWERABLE).any():
+        raise ValueError("cannot answer")
+    return pd.Series(["SELECT " + str(len(x)) + " AS n" for x in q])
+
+
+def stub_helper(q: pd.Series) -> pd.Series:
+    """Deterministic stand-in for the helper that answers follow-up questions."""
+    return pd.Series(["answer " + str(len(x)) for x in q])
 
 
 # ---------------------------------------------------------------- results
@@ -84,8 +92,11 @@ def q_eval_replace_terms(spark, sf):
 
 
 def q_eval_split(spark, sf):
-    bucket = F.pmod(F.col("eval_id") * F.lit(2654435761) + F.lit(42), F.lit(1000))
-    return evalset.split(S.eval_set(spark, sf), 0.30, key_expr=bucket).select("eval_id", "split")
+    return evalset.split(S.eval_set(spark, sf), 0.30).select("eval_id", "split")
+
+
+def q_eval_questions(spark, sf):
+    return evalset.questions(S.eval_set(spark, sf))
 
 
 def q_eval_request(spark, sf):
@@ -139,22 +150,23 @@ def _cands(spark, sf):
     return rules.tokenize(S.candidates(spark, sf), "gold_sql", "candidate_sql")
 
 
-def _hist(spark, sf):
-    c = _cands(spark, sf)
-    return c, keywords.keyword_histogram(c, "eval_id", {"gold": "gold_sql", "candidate": "candidate_sql"})
-
-
 def q_keyword_hist(spark, sf):
-    return _hist(spark, sf)[1]
+    return keywords.keyword_histogram(_cands(spark, sf), "eval_id", {"gold": "gold_sql", "candidate": "candidate_sql"})
 
 
 def q_keyword_diff(spark, sf):
-    return keywords.keyword_diff(_hist(spark, sf)[1], "eval_id")
+    return keywords.keyword_diff(_cands(spark, sf), "eval_id")
 
 
 def q_keyword_verdict(spark, sf):
-    c, h = _hist(spark, sf)
-    return keywords.keyword_verdict(c, keywords.keyword_diff(h, "eval_id"), "eval_id").drop("metadata")
+    return keywords.keyword_verdict(_cands(spark, sf), "eval_id").drop("metadata")
+
+
+def q_keyword_metadata(spark, sf):
+    """The verdict's metadata map as long rows (only texts that differ have one)."""
+    v = keywords.keyword_verdict(_cands(spark, sf), "eval_id")
+    return (v.select("eval_id", F.explode_outer("metadata").alias("keyword", "diff"))
+            .filter(F.col("keyword").isNotNull()))
 
 
 def q_rule_count_joins(spark, sf):
@@ -182,29 +194,30 @@ SCORERS = ["sql_clauses_distribution_equivalence", "count_joins", "has_select",
            "required_dims"]
 
 
-def _feedback(spark, sf) -> DataFrame:
-    """All deterministic scorers of a row computed in ONE projection over
-    the tokens (each text split once, no shuffle), then unpivoted to the long
-    feedback form (eval_id, scorer, value)."""
-    c = _cands(spark, sf)
-    gt, ct = F.col("gold_sql__tokens"), F.col("candidate_sql__tokens")
-    tg, tc = rules.tables_used(F.col("gold_sql")), rules.tables_used(F.col("candidate_sql"))
-    wide = c.select(
-        "eval_id",
-        keywords.keywords_equal(gt, ct).alias(SCORERS[0]),
-        (rules.join_count_tokens(gt) == rules.join_count_tokens(ct)).alias(SCORERS[1]),
-        rules.has_select_tokens(gt).alias(SCORERS[2]),
-        ((F.array_join(F.array_except(tg, tc), ",") == "") & (F.array_join(F.array_except(tc, tg), ",") == ""))
-        .alias(SCORERS[3]),
-        (rules.missing_dims(ct, REQUIRED_DIMS) == "").alias(SCORERS[4]))
-    return wide.unpivot("eval_id", SCORERS, "scorer", "value")
-
-
 def q_evaluate_all(spark, sf):
-    m = metrics.metric_means(_feedback(spark, sf).withColumn("run_id", F.lit("r0")), keys=("run_id",))
+    fb = evaluate.evaluate(S.candidates(spark, sf), SCORERS, required_dims=REQUIRED_DIMS)
+    m = metrics.metric_means(fb.withColumn("run_id", F.lit("r0")), keys=("run_id",))
     return m.select("scorer", "metric_name", F.round("mean", R).alias("mean"), "n")
 
 
+def _result_rows(spark, sf):
+    """The executed pairs dealt out over all orders, so each text serves many rows."""
+    register_views(spark, sf, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])
+    names = sorted(P.PAIRS)
+    texts = F.array(*(F.struct(F.lit(n).alias("pair"), F.lit(P.PAIRS[n][0]).alias("gold_sql"),
+                               F.lit(P.PAIRS[n][1]).alias("candidate_sql")) for n in names))
+    return (load(spark, sf, "orders").select(F.col("o_orderkey").alias("eval_id"), F.get(
+        texts, F.pmod("o_orderkey", F.lit(len(names))).cast("int")).alias("t")).select("eval_id", "t.*"))
+
+
+def q_evaluate_results(spark, sf):
+    """J4 with the executed-result scorer: verdict, rationale and number of sample rows of every row."""
+    v = evaluate.score_results(spark, _result_rows(spark, sf), group_size=9)
+    return v.select("eval_id", "pair", "value", "only_in_gold", "only_in_candidate", "error",
+                    F.size("sample_gold").alias("n_sample_gold"), F.size("sample_candidate").alias("n_sample_candidate"),
+                    "rationale")
+
+
 # ---------------------------------------------------------------- metrics
 
 def q_metric_means(spark, sf):
@@ -234,8 +247,13 @@ def q_composite_score(spark, sf):
 
 
 def q_feedback_text(spark, sf):
-    conv = load(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    return metrics.ordered_text(conv, ["conv_id"], "turn", "text", max_chars=TEXT_PART_CHARS)
+    return metrics.ordered_text(load(spark, sf, "conversations"), ["conv_id", "role"], "turn", "text")
+
+
+def _threads(spark, sf):
+    """The texts of one role in a conversation are one thread."""
+    thread = F.concat_ws("/", F.col("conv_id").cast("string"), "role")
+    return load(spark, sf, "conversations").select(thread.alias("thread"), "turn", "text")
 
 
 def q_quality_gate(spark, sf):
@@ -274,13 +292,11 @@ def q_cycle_drift(spark, sf):
 
 
 def q_prompt_token_diff(spark, sf):
-    conv = load(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    return cycles.token_diff(conv, "conv_id", "turn", "text")
+    return cycles.token_diff(_threads(spark, sf), "thread", "turn", "text")
 
 
 def q_latest_instruction(spark, sf):
-    conv = load(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    return cycles.latest(conv, "text", run="conv_id", cycle="turn")
+    return cycles.latest(_threads(spark, sf), "text", run="thread", cycle="turn")
 
 
 def q_best_cycle(spark, sf):
@@ -354,16 +370,43 @@ def q_telemetry_flatten(spark, sf):
 
 
 def q_model_apply(spark, sf):
+    """Some questions are missing and some make the model fail; neither touches its neighbours."""
+    q = (F.when(F.col("eval_id") % 53 == 0, F.lit(None).cast("string"))
+         .when(F.col("eval_id") % 101 == 0, F.lit(UNANSWERABLE)).otherwise(F.col("question")))
+    e = S.eval_set(spark, sf).select("eval_id", q.alias("question"))
+    return model.apply_model(e, "question", stub_model, "output", attempts=1, batch_size=256).select(
+        "eval_id", "output", "error")
+
+
+def q_model_ai_query(spark, sf):
     e = S.eval_set(spark, sf).select("eval_id", "question")
-    return model.apply_model(e, "question", stub_model, "output").select("eval_id", "output", "error")
+    return model.ai_query(e, "question", "Answer briefly: ", stub_model, "answer").select("eval_id", "answer")
 
 
 def q_followup_answers(spark, sf):
-    t = replies.telemetry(S.replies(spark, sf)).select("reply_id", "question", "status", "candidate_sql")
-    a = model.answer_followups(t, S.eval_set(spark, sf), stub_model)
+    t = replies.telemetry(S.replies(spark, sf)).select("reply_id", "question", "status", "candidate_sql", "followup")
+    a = model.answer_followups(t, S.eval_set(spark, sf), stub_helper, stub_model)
     return a.select("reply_id", "status", "candidate_sql")
 
 
+def _traces(spark, sf):
+    """Labels as assessments of traces: two a document, none where the quality is 0."""
+    one = lambda name: F.struct(F.lit(name).alias("scorer"), F.col(name).alias("value"))
+    some = F.when(F.col("quality") == 0, F.array().cast("array<struct<scorer:string,value:int>>")).otherwise(
+        F.array(one("quality"), one("toxic")))
+    return load(spark, sf, "labels").select(F.col("doc_id").alias("trace_id"), some.alias("assessments"))
+
+
+def q_trace_assessments(spark, sf):
+    return metrics.flatten_assessments(_traces(spark, sf))
+
+
+def q_run_feedback(spark, sf):
+    fb = S.feedback_events(spark, sf).select("run_id", "item_id", "scorer", "value")
+    ids = load(spark, sf, "events").filter(F.col("event_type") == "error").select("user_id").distinct()
+    return metrics.run_feedback(fb, ids)
+
+
 # ---------------------------------------------------------------- logs / streams
 
 def _log_rows(spark, sf):
@@ -404,7 +447,9 @@ class _utc:
 def q_stream_dedup(spark, sf):
     checkpoint_root(spark)
     with _utc(spark):
-        s = SM.dedup_stream(_event_stream(spark, sf), "event_id", "ts", "1 hour").select(
+        # every event arrives twice
+        twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        s = SM.dedup_stream(twice, "event_id", "ts", "1 hour").select(
             "event_id", "user_id", "event_type")
         return SM.run_to_parquet(spark, s, scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ckpt"))
 
@@ -428,6 +473,7 @@ QUERIES = {
     "eval_prefix": q_eval_prefix,
     "eval_replace_terms": q_eval_replace_terms,
     "eval_split": q_eval_split,
+    "eval_questions": q_eval_questions,
     "eval_request": q_eval_request,
     "eval_prepare": q_eval_prepare,
     "eval_batches": q_eval_batches,
@@ -437,12 +483,14 @@ QUERIES = {
     "keyword_hist": q_keyword_hist,
     "keyword_diff": q_keyword_diff,
     "keyword_verdict": q_keyword_verdict,
+    "keyword_metadata": q_keyword_metadata,
     "rule_count_joins": q_rule_count_joins,
     "rule_has_select": q_rule_has_select,
     "rule_tables": q_rule_tables,
     "rule_required_dims": q_rule_required_dims,
     "rule_limit_without_order": q_rule_limit_without_order,
     "evaluate_all": q_evaluate_all,
+    "evaluate_results": q_evaluate_results,
     "metric_means": q_metric_means,
     "label_means": q_label_means,
     "quality_score": q_quality_score,
@@ -469,7 +517,10 @@ QUERIES = {
     "reply_status": q_reply_status,
     "telemetry_flatten": q_telemetry_flatten,
     "model_apply": q_model_apply,
+    "model_ai_query": q_model_ai_query,
     "followup_answers": q_followup_answers,
+    "trace_assessments": q_trace_assessments,
+    "run_feedback": q_run_feedback,
     "log_levels": q_log_levels,
     "stream_dedup": q_stream_dedup,
     "stream_scorer_means": q_stream_scorer_means,

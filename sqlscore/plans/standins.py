@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlscore.operators.parallel import spread
+from sqlscore.operators.parallel import asked_partitions, spread
 from sqlscore.sources.tables import load
 
 
@@ -30,9 +30,9 @@ def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     Four question templates (order key mod 4); questions repeat for a customer,
     so gold look-ups must de-duplicate.  Every 97th gold is missing.
     """
-    # spread is a no-op on a wide scan; on a one-file input it lets the text
-    # building and all scoring downstream run on every core
-    o = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    # a one-file input is one partition: a session may ask for more of them, so that
+    # text building and all scoring downstream run on every core
+    o = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), asked_partitions(spark))
     k = F.col("o_custkey").cast("string")
     question = _pick(F.col("o_orderkey"), [
         F.concat(F.lit("How many orders per priority does customer "), k, F.lit(" have?")),
@@ -63,9 +63,11 @@ def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate reply per eval row: eval_id, question, candidate_sql.
 
-    Variant (order key mod 3): 0 = the gold text, 1 = lower-cased with a
+    Variant (order key mod 5): 0 = the gold text, 1 = lower-cased with a
     trailing comment that mentions keywords, 2 = wrapped in a join with a
-    string literal that mentions keywords.
+    string literal that mentions keywords, 3 = back-quoted names, a comma join, an
+    escaped quote and a column that ends in "join", 4 = a CTE with a column
+    list, EXTRACT ... FROM and IS DISTINCT FROM.
     """
     e = eval_set(spark, sf_dir)
     g = F.coalesce(F.col("gold_sql"), F.lit("SELECT 1"))
@@ -75,6 +77,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lower(g), F.lit(" -- group by customer; order by nothing")),
         F.concat(F.lit("SELECT t.* FROM ("), g, F.lit(") t JOIN customer c ON c.c_custkey = "), cust,
                  F.lit(" WHERE c.c_name <> 'GROUP BY x'")),
+        F.concat(F.lit("SELECT `o_custkey`, last_join FROM `db`.`orders` o, customer AS c "
+                       "WHERE c_name = 'it\\'s GROUP BY' AND `o_custkey` = "), F.col("eval_id").cast("string")),
+        F.concat(F.lit("WITH RECURSIVE y (a, b) AS (SELECT EXTRACT(YEAR FROM o_orderdate), o_custkey FROM orders) "
+                       "SELECT * FROM y WHERE a IS DISTINCT FROM b AND b = "), F.col("eval_id").cast("string")),
     ])
     return e.select("eval_id", F.col("original_question").alias("question"), "gold_sql",
                     cand.alias("candidate_sql"))
@@ -84,7 +90,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Service replies as JSON text: reply_id, question, reply.
 
     Shape (eval id mod 5): 0 = no query attached (follow-up), 1 = two
-    attachments, 2 = not JSON, 3 and 4 = one attachment with a query.
+    attachments, 2 = not JSON (of these, every third is valid JSON without the
+    keys, and every third is missing), 3 and 4 = one attachment with a query.
     """
     c = candidates(spark, sf_dir)
     # JSON string literal of the SQL text: to_json of a one-element array minus the brackets
@@ -99,7 +106,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit('", "created_timestamp": 0, "attachments": [{"text": "Which customer do you mean?"}]}')),
         F.concat(F.lit('{"conversation_id": "c'), F.col("eval_id").cast("string"),
                  F.lit('", "created_timestamp": 0, "attachments": [{"query": {"query": "SELECT 1"}}, {"text": "x"}]}')),
-        F.concat(F.lit("service unavailable for "), F.col("eval_id").cast("string")),
+        F.when(F.col("eval_id") % 3 == 0, F.lit("{}")).when(F.col("eval_id") % 3 == 1, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("service unavailable for "), F.col("eval_id").cast("string"))),
         one,
         one,
     ])

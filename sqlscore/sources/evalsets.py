@@ -31,19 +31,19 @@ def is_three_part(name: str) -> bool:
 
 
 def _to_eval(df: DataFrame) -> DataFrame:
-    gold = next((c for c in GOLD_NAMES if c in df.columns), None)
-    cols = {c.lower(): c for c in df.columns}
-    if "question" not in cols:
+    """Typed eval rows; a row's gold is the first non-null of the known gold names."""
+    golds = [F.col(c).cast("string") for c in GOLD_NAMES if c in df.columns]
+    gold = F.coalesce(*golds) if golds else F.lit(None).cast("string")
+    if "question" not in {c.lower() for c in df.columns}:
         raise ValueError(f"eval set needs a question column, got {df.columns}")
-    eid = (F.col("eval_id").cast("string") if "eval_id" in df.columns
-           else F.sha2(F.concat_ws("\u0001", F.col("question"), F.coalesce(F.col(gold), F.lit(""))
-                                   if gold else F.lit("")), 256).substr(1, 16))
+    own = F.sha2(F.concat_ws("\u0001", F.col("question"), F.coalesce(gold, F.lit(""))), 256)
+    first = lambda name, other: (F.coalesce(F.col(name).cast("string"), other)
+                                 if name in df.columns else other)
     return df.select(
-        eid.alias("eval_id"),
+        first("eval_id", own).alias("eval_id"),
         F.col("question").cast("string").alias("question"),
-        (F.col("original_question") if "original_question" in df.columns else F.col("question"))
-        .cast("string").alias("original_question"),
-        (F.col(gold) if gold else F.lit(None)).cast("string").alias("gold_sql"),
+        first("original_question", F.col("question").cast("string")).alias("original_question"),
+        gold.alias("gold_sql"),
         (F.col("issues") if "issues" in df.columns else F.lit(None)).cast("string").alias("issues"),
     )
 
@@ -69,19 +69,39 @@ def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
     return _to_eval(df)
 
 
-def read_eval_json(spark: SparkSession, path: str) -> DataFrame:
-    """A3: a JSON array of objects (multiLine) or JSON lines."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in
-                           ("question", "ground_truth_query", "ground_truth_sql", "gold_sql", "issues")])
-    return _to_eval(spark.read.schema(schema).option("multiLine", True).json(path))
+def read_eval_json(spark: SparkSession, path: str, form: str = "lines") -> DataFrame:
+    """A3: JSON ``lines`` (one object a line) or a JSON ``array`` of objects (its file
+    is one row, so arrays are for files that fit a task).  Text that is not of
+    the stated form fails; nothing after the first record is passed over."""
+    names = ("eval_id", "question", "original_question", *GOLD_NAMES, "issues")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    if form == "lines":
+        return _to_eval(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+    if form != "array":
+        raise ValueError(f"unknown form {form!r}")
+    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    whole = F.when(text.startswith("[") & text.endswith("]"), text).otherwise(
+        F.raise_error(F.lit("not one JSON array")))
+    parsed = F.from_json(whole, T.ArrayType(schema), {"mode": "FAILFAST"})
+    return _to_eval(spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("r")).select("r.*"))
+
+
+_TYPES = {"str": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType()}
+
+
+def _field_type(annotation) -> T.DataType:
+    """Spark type of a dataclass field's annotation; what has no own type becomes text."""
+    name = annotation if isinstance(annotation, str) else getattr(annotation, "__name__", str(annotation))
+    return _TYPES.get(name.replace("Optional[", "").rstrip("]").split("|")[0].strip(), T.StringType())
 
 
 def to_rows(spark: SparkSession, items, schema: T.StructType | None = None) -> DataFrame:
     """Entity objects (dataclasses or dicts) -> one DataFrame, batched."""
     rows = [asdict(x) if is_dataclass(x) else dict(x) for x in items]
     if schema is None and items and is_dataclass(items[0]):
-        schema = T.StructType([T.StructField(f.name, T.StringType()) for f in fields(items[0])])
-        rows = [{k: (None if v is None else str(v)) for k, v in r.items()} for r in rows]
+        schema = T.StructType([T.StructField(f.name, _field_type(f.type)) for f in fields(items[0])])
+        text = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
+        rows = [{k: (str(v) if k in text and v is not None else v) for k, v in r.items()} for r in rows]
     return spark.createDataFrame(rows, schema)
 
 
@@ -107,11 +127,18 @@ def write_table(df: DataFrame, base: str, mode: str = "append", versioned: bool
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """Latest version of a versioned table: ``v`` is a partition column, so
-    the max comes from folder names and the filter prunes the other folders."""
-    df = spark.read.option("mergeSchema", True).parquet(base)
-    latest = df.agg(F.max("v")).first()[0]
-    return df.filter(F.col("v") == latest).drop("v")
+    """Latest finished version of a versioned table.  Versions are folder names,
+    listed through the file system; one without ``_SUCCESS`` is still being
+    written (or was broken off) and is passed over.  Only the chosen folder is read."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted((f.getPath().getName() for f in files.listStatus(root) if f.getPath().getName().startswith("v=")),
+                      reverse=True)
+    for v in versions:
+        if files.exists(jvm.org.apache.hadoop.fs.Path(root, f"{v}/_SUCCESS")):
+            return spark.read.parquet(f"{base.rstrip('/')}/{v}")
+    raise FileNotFoundError(f"no finished version under {base}")
 
 
 def read_table(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:

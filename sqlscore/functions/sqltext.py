@@ -39,7 +39,9 @@ MULTIWORD = [
 LEXICON = KEYWORDS + MULTIWORD
 
 # Literals, quoted names, line and block comments.
-_TEXT_RE = r"'(?:[^'\\]|\\.)*'" + r'|"(?:[^"\\]|\\.)*"' + r"|--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+# No group is repeated in them: Java would recurse for each repetition.
+_ESCAPED_RE = r"\\[\s\S]"
+_TEXT_RE = r"'[^']*'" + '|"[^"]*"' + r"|--[^\n]*|/\*[\s\S]*?\*/"
 LITERALS_RE = _TEXT_RE + "|`[^`]*`"
 # Separator characters: ASCII non-word characters (';' is handled by the
 # statement cut) and the Unicode blanks.  Mapped one-to-one by translate.
@@ -51,9 +53,15 @@ SEP1 = "\u0001"           # token separator (never in the output text)
 SEP = SEP1 + SEP1         # a run becomes two: a fused phrase consumes one, its neighbour keeps one
 
 
+def without_escapes(sql: Column) -> Column:
+    """Drop backslash escapes, which only literals have, so that a quote ends its literal."""
+    return F.when(sql.contains("\\"), F.regexp_replace(sql, _ESCAPED_RE, "")).otherwise(sql)
+
+
 def strip_literals(sql: Column) -> Column:
     """Blank literals and comments; the regex runs only on texts that contain
     a possible opener (cheap literal checks first)."""
+    sql = without_escapes(sql)
     has = None
     for o in LITERAL_OPENERS:
         has = sql.contains(o) if has is None else has | sql.contains(o)
@@ -63,7 +71,7 @@ def strip_literals(sql: Column) -> Column:
 def strip_texts(sql: Column) -> Column:
     """Blank literals and comments but keep quoted names, without their
     back-quotes and with no blanks around the dots between their parts."""
-    kept = F.regexp_replace(sql, f"{_TEXT_RE}|(`[^`]*`)", "$1 ")
+    kept = F.regexp_replace(without_escapes(sql), f"{_TEXT_RE}|(`[^`]*`)", "$1 ")
     return F.translate(F.regexp_replace(kept, r"\s*\.\s*", "."), "`", "")
 
 
@@ -77,15 +85,14 @@ def fused(phrase: str) -> tuple[str, str]:
     return SEP1 + SEP.join(words) + SEP1, SEP1 + " ".join(words) + SEP1
 
 
-def normalised(sql: Column, only_first_statement: bool = True, quoted_names: bool = False) -> Column:
+def normalised(sql: Column, only_first_statement: bool = True) -> Column:
     """Upper-case word stream, words separated by SEP, phrases fused with blanks.
-    ``quoted_names`` keeps the words of back-quoted names (else they are blanked).
 
     Separator characters are mapped by ``translate`` (a per-character table
     lookup); only runs of two or more separators need the regex, which
     therefore matches rarely; a literal replace then doubles every separator
     so that adjacent fused phrases each find their own."""
-    x = strip_texts(sql) if quoted_names else strip_literals(sql)
+    x = strip_literals(sql)
     seps = SEPARATORS
     if only_first_statement:
         x = first_statement(x)
@@ -100,10 +107,10 @@ def normalised(sql: Column, only_first_statement: bool = True, quoted_names: boo
     return x
 
 
-def sql_tokens(sql: Column, only_first_statement: bool = True, quoted_names: bool = False) -> Column:
+def sql_tokens(sql: Column, only_first_statement: bool = True) -> Column:
     """array<string> of upper-case tokens; fused phrases contain blanks.  Empty
     strings between separators are kept (they never match a keyword)."""
-    return F.split(normalised(sql, only_first_statement, quoted_names), SEP1)
+    return F.split(normalised(sql, only_first_statement), SEP1)
 
 
 def sql_keywords(sql: Column, only_first_statement: bool = True) -> Column:

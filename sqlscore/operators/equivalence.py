@@ -18,7 +18,7 @@ import functools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -402,6 +402,7 @@ VERDICT_SCHEMA = T.StructType([
 ])
 
 
+_VERDICT = Row(*VERDICT_SCHEMA.fieldNames())
 _SIMPLE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
@@ -485,7 +486,7 @@ def verdicts(spark: SparkSession, pairs: list[Pair], mode: str = "bag", strict_t
 
 
 def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag", group_size: int = 50,
-                strict_types: bool = False, order_key: str | None = None, views: set[str] | None = None) -> list[tuple]:
+                strict_types: bool = False, order_key: str | None = None, views: set[str] | None = None) -> list[Row]:
     """Verdict rows of ``pairs``, executed in groups of ``group_size`` plans per
     job; a runtime error in a group re-runs that group one pair at a time so one
     bad query cannot fail its neighbours.  One small row per given pair."""
@@ -499,7 +500,7 @@ def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag", group
                 try:
                     rows += pair_verdict(spark, p, mode, strict_types, order_key, views).collect()
                 except Exception as exc:  # noqa: BLE001
-                    rows.append((p.pair_id, None, None, None, None, False, "runtime:" + classify_error(exc)))
+                    rows.append(_VERDICT(p.pair_id, None, None, None, None, False, "runtime:" + classify_error(exc)))
     return rows
 
 
@@ -524,7 +525,7 @@ def _samples(spark: SparkSession, pair: Pair, views: set[str] | None, k: int) ->
     return out
 
 
-def with_rationale(spark: SparkSession, pairs: list[Pair], rows: list[tuple], views: set[str] | None,
+def with_rationale(spark: SparkSession, pairs: list[Pair], rows: list[Row], views: set[str] | None,
                    samples: int) -> DataFrame:
     """Verdict rows with a sentence that says why, and sample rows where results differ."""
     by_id = {p.pair_id: p for p in pairs}

@@ -60,6 +60,7 @@ def tables_used(sql: Column) -> Column:
     """Distinct lower-case names of the tables after FROM (comma lists too) and
     JOIN, minus CTE names."""
     text = F.regexp_replace(F.lower(strip_texts(sql)), _NOT_A_TABLE_RE, " ")
+    text = F.regexp_replace(text, r"\bjoin\b", "; join")  # so that JOIN is no alias
     lists = F.regexp_extract_all(text, F.lit(TABLE_RE), F.lit(1))
     items = F.split(F.array_join(lists, ","), r"\s*,\s*")
     found = F.filter(F.transform(items, lambda x: F.substring_index(F.regexp_replace(x, r"\s", " "), " ", 1)), lambda x: x != "")
@@ -93,8 +94,8 @@ def rule_tables(df: DataFrame, gold: str = "gold_sql", cand: str = "candidate_sq
 
 
 def dims_tokens(sql: Column) -> Column:
-    """Tokens with the words of back-quoted names, of all statements."""
-    return sql_tokens(sql, only_first_statement=False, quoted_names=True)
+    """Upper-case words of all statements, those of back-quoted names too."""
+    return F.split(F.upper(F.regexp_replace(strip_texts(sql), r"[^A-Za-z0-9_]+", " ")), " ")
 
 
 def rule_required_dims(df: DataFrame, dims: list[str], cand: str = "candidate_sql") -> DataFrame:

@@ -185,7 +185,7 @@ def has_select(x: str) -> str:
 
 def tables_used(x: str) -> str:
     """After FROM or JOIN a name, and one after each comma that follows a name and its alias."""
-    no_calls = f"regexp_replace(lower({bare(x)}), 'extract *[(][^()]*[)]|is distinct from', ' ', 'g')"
+    no_calls = f"replace(regexp_replace(lower({bare(x)}), 'extract *[(][^()]*[)]|is distinct from', ' ', 'g'), ' join ', ' ; join ')"
     chains = (f"regexp_extract_all(' ' || {no_calls}, '[^a-z0-9_](from|join) +([a-z_][a-z0-9_.]*"
               "( +as)?( +[a-z_][a-z0-9_]*)?( *, *[a-z_][a-z0-9_.]*( +as)?( +[a-z_][a-z0-9_]*)?)*)', 2)")
     found = f"flatten(list_transform({chains}, lambda c: list_transform(string_split(c, ','), lambda y: split_part(trim(y), ' ', 1))))"

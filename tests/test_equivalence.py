@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from sqlscore.operators.equivalence import (
     Pair, UnsafeQuery, align, dense_index, diff_sample, fingerprint, pair_verdict, results_equal, score_pairs,
-    signed_diff, wrap_query,
+    signed_diff, verdicts, wrap_query,
 )
+from sqlscore.session import scratch_path
 
 
 def verdict(spark, g, c, **kw):
@@ -85,6 +86,8 @@ def test_both_empty_with_different_schemas(spark):
 
 def test_error_paths(spark):
     spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("t_err")
+    path = scratch_path(spark, "unlisted")
+    spark.range(2).write.parquet(path)
     cases = {
         "null_cand": ("SELECT a FROM t_err", None, "candidate:no_query"),
         "unparsable": ("SELECT a FROM t_err", "SELEC a FRM", "candidate:not_a_query_or_unparsable"),
@@ -94,9 +97,17 @@ def test_error_paths(spark):
                            "candidate:not_a_query_or_unparsable"),
         "insert_cte": ("SELECT a FROM t_err", "WITH x AS (SELECT 1) INSERT INTO t_err SELECT * FROM x",
                        "candidate:not_a_query_or_unparsable"),
-        "reflect": ("SELECT a FROM t_err", "SELECT reflect('java.lang.System', 'exit', '0')",
+        "reflect": ("SELECT a FROM t_err", "SELECT reflect('java.lang.Math', 'abs', -1)",
                     "candidate:forbidden_construct"),
-        "path_read": ("SELECT a FROM t_err", "SELECT * FROM parquet.`/tmp/x`", "candidate:forbidden_construct"),
+        "reflect_quoted": ("SELECT a FROM t_err", "SELECT `reflect`('java.lang.Math', 'abs', -1)",
+                           "candidate:forbidden_construct"),
+        "reflect_after_quote": ("SELECT a FROM t_err", "SELECT '\\'' AS a, reflect('java.lang.Math', 'abs', -1) AS b",
+                                "candidate:forbidden_construct"),
+        "reflect_in_subquery": ("SELECT a FROM t_err", "SELECT a FROM t_err WHERE '1' IN (SELECT try_reflect("
+                                "'java.lang.Math', 'abs', -1))", "candidate:forbidden_construct"),
+        "path_read": ("SELECT a FROM t_err", f"SELECT * FROM `parquet`.`{path}`", "candidate:forbidden_relation"),
+        "path_in_cte": ("SELECT a FROM t_err", f"WITH c AS (SELECT * FROM parquet.`{path}`) SELECT 1 FROM c",
+                        "candidate:forbidden_relation"),
         "no_gold": (None, "SELECT 1", "gold:no_gold"),
     }
     for pid, (g, c, err) in cases.items():
@@ -105,6 +116,46 @@ def test_error_paths(spark):
     assert spark.table("t_err").count() == 1  # nothing ran
 
 
+def test_only_listed_views_are_read(spark):
+    for name in ("t_listed", "t_other"):
+        spark.range(2).createOrReplaceTempView(name)
+    ok = Pair("p", "SELECT id FROM t_listed", "SELECT id FROM t_listed WHERE id IN (SELECT id FROM t_listed)")
+    bad = Pair("q", "SELECT id FROM t_listed", "SELECT id FROM t_listed WHERE EXISTS (SELECT 1 FROM t_other)")
+    assert pair_verdict(spark, ok, views={"t_listed"}).first()["value"] is True
+    assert pair_verdict(spark, bad, views={"t_listed"}).first()["error"] == "candidate:forbidden_relation"
+    assert pair_verdict(spark, bad).first()["error"] is None
+
+
+def test_exact_numbers_and_type_mismatch(spark):
+    same = lambda a, b: pair_verdict(spark, Pair("p", f"SELECT {a} AS x", f"SELECT {b} AS x")).first()
+    assert same("9007199254740993L", "CAST(9007199254740992 AS DECIMAL(20,0))")["value"] is False
+    assert same("9007199254740993L", "CAST(9007199254740993 AS DECIMAL(20,0))")["value"] is True
+    big = "CAST('12345678901234567890123.{}' AS DECIMAL({},2))"
+    assert same(big.format("01", 25), big.format("02", 26))["value"] is False
+    assert same(big.format("01", 25), big.format("01", 26))["value"] is True
+    assert same("CAST(1.50 AS DECIMAL(5,2))", "1.5D")["value"] is True
+    assert same("1", "'1'")["error"] == "type_mismatch"
+    assert same("array(1)", "array(1L)")["value"] is True
+    assert same("map('a', map('b', 1))", "map('a', map('b', 1L))")["value"] is True
+    assert same("map('a', map('b', 1))", "map('a', map('b', 2L))")["value"] is False
+
+
+def test_fingerprints_agree_with_the_exact_diff_on_maps(spark):
+    from sqlscore.operators.equivalence import fingerprint_verdicts
+    rows = {r["pair_id"]: r["fp_match"] for r in fingerprint_verdicts(spark, [
+        Pair("width", "SELECT map('a', 1) AS m", "SELECT map('a', 1L) AS m"),
+        Pair("nested", "SELECT map('a', map('b', 1)) AS m", "SELECT map('a', map('b', 1L)) AS m"),
+        Pair("differ", "SELECT map('a', map('b', 1)) AS m", "SELECT map('a', map('b', 2L)) AS m")]).collect()}
+    assert rows == {"width": True, "nested": True, "differ": False}
+
+
+def test_unhashable_type_is_a_verdict(spark):
+    q = "SELECT parse_json('{}') AS v"
+    rows = verdicts(spark, [Pair("variant", q, q), Pair("ok", "SELECT 1", "SELECT 1")])
+    found = {r["pair_id"]: r for r in score_pairs(spark, [Pair("variant", q, q), Pair("ok", "SELECT 1", "SELECT 1")])}
+    assert rows.columns[0] == "pair_id" and found["ok"]["value"] is True and found["variant"]["value"] is False
+
+
 def test_trailing_semicolon_and_comments(spark):
     spark.createDataFrame([(1,), (2,)], "a int").createOrReplaceTempView("t_sc")
     row = pair_verdict(spark, Pair("p", "SELECT a FROM t_sc ORDER BY a;", "SELECT a FROM t_sc -- all rows\n")).first()
@@ -128,12 +179,14 @@ def test_signed_diff_and_sample(spark):
 
 
 def test_ordered_mode(spark):
-    a = spark.range(0, 50, numPartitions=4).select(F.col("id").alias("a")).orderBy("a")
-    b = spark.range(0, 50, numPartitions=3).select(F.col("id").alias("a")).orderBy("a")
-    c = spark.range(0, 50, numPartitions=3).select(F.col("id").alias("a")).orderBy(F.col("a").desc())
-    assert verdict(spark, a, b, mode="ordered")["value"] is True
-    assert verdict(spark, a, c, mode="ordered")["value"] is False
-    assert verdict(spark, a, c, mode="bag")["value"] is True
+    """The key orders a result; its dense rank, not its value, is the row's place."""
+    a = spark.range(0, 50, numPartitions=4).select(F.col("id").alias("place"), (F.col("id") * 2).alias("v"))
+    b = a.select((F.col("place") * 10 + 7).alias("place"), "v").repartition(3)
+    c = a.select((-F.col("place")).alias("place"), "v")
+    assert verdict(spark, a, b, mode="ordered", order_key="_c0")["value"] is True
+    assert verdict(spark, a, c, mode="ordered", order_key="_c0")["value"] is False
+    with pytest.raises(ValueError):
+        verdict(spark, a, b, mode="ordered")
 
 
 def test_dense_index_is_dense(spark):
@@ -154,7 +207,7 @@ def test_score_pairs_isolates_runtime_errors(spark):
     spark.createDataFrame([("1",), ("x",)], "s string").createOrReplaceTempView("t_rt")
     pairs = [Pair("ok", "SELECT s FROM t_rt", "SELECT s FROM t_rt"),
              Pair("boom", "SELECT CAST(s AS INT) FROM t_rt", "SELECT 1")]
-    rows = {r["pair_id"]: r for r in score_pairs(spark, pairs).collect()}
+    rows = {r["pair_id"]: r for r in score_pairs(spark, pairs)}
     assert rows["ok"]["value"] is True
     assert rows["boom"]["value"] is False and rows["boom"]["error"] == "runtime:cast_invalid_input"
 
@@ -188,7 +241,7 @@ def test_fingerprint_verdicts_sql_path(spark):
 
 def test_runtime_error_class_is_reported(spark):
     spark.createDataFrame([(1,), (0,)], "a int").createOrReplaceTempView("t_div")
-    rows = score_pairs(spark, [Pair("div", "SELECT a FROM t_div", "SELECT 10 / a FROM t_div")]).collect()
+    rows = score_pairs(spark, [Pair("div", "SELECT a FROM t_div", "SELECT 10 / a FROM t_div")])
     ansi = spark.conf.get("spark.sql.ansi.enabled") == "true"
     assert rows[0]["value"] is False
     if ansi:

@@ -40,12 +40,36 @@ def test_hot_keyword_counts(spark):
     assert tot["SELECT"] == 900 + 300 and tot["FROM"] == 600 and tot["IN"] == 300 and tot["WHERE"] == 300
 
 
-def test_spread_is_noop_on_wide_input(spark):
-    from sqlscore.operators.parallel import spread
-    wide = spark.range(0, 1000, numPartitions=32)
-    same = spread(wide)
-    plan = same._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" not in plan and same.rdd.getNumPartitions() == 32
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(narrow, keys=("id",)).count() == 1000
+def test_spread_only_when_asked(spark):
+    from sqlscore.operators.parallel import SETTING, asked_partitions, spread
+    df = spark.range(0, 1000, numPartitions=3)
+    assert spread(df) is df and asked_partitions(spark) is None
+    assert spread(df, 5).rdd.getNumPartitions() == 5
+    assert spread(df, 5, keys=("id",)).count() == 1000
+    spark.conf.set(SETTING, "6")
+    try:
+        assert asked_partitions(spark) == 6
+    finally:
+        spark.conf.unset(SETTING)
+
+
+def test_null_keys_and_ties_in_skew_safe_windows(spark):
+    from sqlscore.operators import cycles
+    rows = [(None if i % 2 else "a", i // 2, float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "run_id string, cycle int, value double").repartition(4)
+    plain = cycles.previous_current(df, ["value"]).collect()
+    safe = cycles.previous_current(df, ["value"], skew_safe=True).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, safe))
+    ctx = lambda s: sorted(str((r["run_id"], r["cycle"], r["context"])) for r in
+                           cycles.lookback(df, 3, skew_safe=s).collect())
+    assert ctx(False) == ctx(True)
+    tied = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 5), (None, 7)], "run_id string, started_at int")
+    for safe in (False, True):
+        assert sorted(r["cycle"] for r in cycles.number_cycles(tied, skew_safe=safe).collect()) == [1, 1, 1, 2, 2]
+
+
+def test_token_diff_with_null_run(spark):
+    from sqlscore.operators import cycles
+    df = spark.createDataFrame([(None, 1, "a b"), (None, 2, "a c c")], "run string, cycle int, text string")
+    out = {r["token"]: r["diff"] for r in cycles.token_diff(df, "run", "cycle", "text").collect()}
+    assert out == {"b": -1, "c": 2}

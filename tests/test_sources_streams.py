@@ -18,7 +18,25 @@ def test_csv_multiline_and_alt_gold_name(spark, tmp_path):
 def test_json_array(spark, tmp_path):
     p = tmp_path / "e.jsonl"
     p.write_text('[{"question": "q1", "ground_truth_query": "SELECT 1"},\n {"question": "q2", "ground_truth_query": "SELECT 2"}]')
-    assert evalsets.read_eval_json(spark, str(p)).count() == 2
+    got = {r["question"]: r["gold_sql"] for r in evalsets.read_eval_json(spark, str(p), form="array").collect()}
+    assert got == {"q1": "SELECT 1", "q2": "SELECT 2"}
+
+
+def test_json_lines_and_wrong_forms(spark, tmp_path):
+    import pytest
+    p = tmp_path / "e.jsonl"
+    p.write_text('{"question": "q1", "ground_truth_query": "SELECT 1", "eval_id": "7", "original_question": "o"}\n'
+                 '{"question": "q2", "ground_truth_sql": "SELECT 2"}\n{"question": "q3", "gold_sql": "SELECT 3"}\n')
+    got = {r["question"]: r for r in evalsets.read_eval_json(spark, str(p)).collect()}
+    assert [got[q]["gold_sql"] for q in ("q1", "q2", "q3")] == ["SELECT 1", "SELECT 2", "SELECT 3"]
+    assert (got["q1"]["eval_id"], got["q1"]["original_question"], got["q2"]["original_question"]) == ("7", "o", "q2")
+    with pytest.raises(Exception):
+        evalsets.read_eval_json(spark, str(p), form="array").collect()
+    q = tmp_path / "a.json"
+    q.write_text('[{"question": "q1"},\n {"question": "q2"}] trailing')
+    for form in ("array", "lines"):
+        with pytest.raises(Exception):
+            evalsets.read_eval_json(spark, str(q), form=form).collect()
 
 
 def test_three_part_name():
@@ -30,6 +48,24 @@ def test_versioned_write_never_overwrites(spark):
     v1 = evalsets.write_table(spark.range(3), base, versioned=True)
     v2 = evalsets.write_table(evalsets.read_latest(spark, base).union(spark.range(3, 5)), base, versioned=True)
     assert v1 != v2 and evalsets.read_latest(spark, base).count() == 5
+    import os
+    unfinished = base.removeprefix("file:") + "/v=99999999999999999"
+    os.makedirs(unfinished)
+    assert evalsets.read_latest(spark, base).count() == 5
+
+
+def test_append_merge(spark):
+    out = evalsets.append_merge(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2, "x")], "a int, b string"))
+    assert sorted(map(tuple, out.collect())) == [(1, None), (2, "x")]
+
+
+def test_append_logs(spark):
+    from sqlscore.streaming import logs
+    base = scratch_path(spark, "logs")
+    ev = spark.createDataFrame([("2024-01-01 00:00:00", "svc", 5.0)], "ts string, who string, v double")
+    for _ in range(2):
+        logs.append_logs(logs.log_rows(ev, "ts", "who", F.lit("INFO"), F.lit("hello")), base)
+    assert spark.read.parquet(base).count() == 2
 
 
 def test_schema_snapshot_and_drift(spark):
@@ -73,7 +109,7 @@ def test_stream_dedup_and_late_rows(spark):
 
 
 def test_score_results_dedups_and_joins_back(spark):
-    from sqlscore.operators.evaluate import evaluate, load_scorers, score_results
+    from sqlscore.operators.evaluate import evaluate, load_scorers, registered, score_results
     spark.createDataFrame([(1,), (2,)], "a int").createOrReplaceTempView("t_sr")
     df = spark.createDataFrame([
         (1, "SELECT a FROM t_sr", "SELECT a FROM t_sr ORDER BY a"),
@@ -83,8 +119,16 @@ def test_score_results_dedups_and_joins_back(spark):
     r = {x["eval_id"]: x for x in score_results(spark, df).collect()}
     assert r[1]["value"] and r[2]["value"] and not r[3]["value"]
     assert r[3]["only_in_gold"] == 1 and r[4]["error"] == "gold:no_gold"
+    assert r[3]["sample_gold"] == ['{"_c0":1}'] and r[3]["sample_candidate"] == ['{"_c0":3}']
+    assert r[1]["rationale"] == "Both queries return the same 2 rows." and "no_gold" in r[4]["rationale"]
+    one = score_results(spark, df, group_size=1)
+    assert sorted(str(x["value"]) for x in one.collect()) == ["False", "False", "True", "True"]
     fb = evaluate(df, load_scorers(["count_joins", "has_select"])).collect()
     assert len(fb) == 8
+    every = evaluate(df, registered(), required_dims=["a"])
+    assert every.count() == 4 * len(registered()) and "required_dims" in registered()
+    plan = evaluate(df, ["count_joins", "has_select", "dimension_ambiguity"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_parquet_and_table_readers(spark):
@@ -109,6 +153,7 @@ def test_to_rows_batches_entities(spark):
 
     df = evalsets.to_rows(spark, [Feedback("a", True, None), Feedback("b", False, "x")])
     assert df.count() == 2 and df.columns == ["name", "value", "rationale"]
+    assert dict(df.dtypes) == {"name": "string", "value": "boolean", "rationale": "string"}
 
 
 def test_log_rows_schema(spark):

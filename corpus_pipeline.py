@@ -50,9 +50,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the shard they belong to and their place in it."""
+    """All documents with their ``size``, ``shard`` and ``slot`` (place in the shard),
+    which stand for columns of these names that they had before."""
     placed = shard_by_bytes(docs, n_shards=N_SHARDS, carry=True)
-    return placed.select("row.*", F.col("shard").alias("shard"), F.col("slot").alias("slot"), F.col("size").alias("size"))
+    own = ["size", "shard", "slot"]
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *own)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

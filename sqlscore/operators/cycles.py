@@ -53,16 +53,17 @@ def drift(df: DataFrame, value: str = "value", run: str = "run_id", cycle: str =
 
 
 def lookback(df: DataFrame, k: int, value: str = "value", run: str = "run_id",
-             cycle: str = "cycle", skew_safe: bool = False) -> DataFrame:
+             cycle: str = "cycle", skew_safe: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """The last k cycles (current included) as an ordered array of
-    (cycle, value) plus their mean.  ``skew_safe`` builds the frame from
+    (cycle, value, and the ``carry`` columns: feedback, instructions) plus the
+    mean value.  ``skew_safe`` builds the frame from
     range-partitioned chunks instead of one window per run: the in-chunk frame
     comes from a window over (run, chunk), and the rows missing at a chunk's
     start come from the last k-1 items of the run's previous chunks (a table
     with one row per chunk, at most k-1 items each)."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    item = F.struct(F.col(cycle).alias("cycle"), F.col(value).alias("value"))
+    item = F.struct(F.col(cycle).alias("cycle"), F.col(value).alias("value"), *carry)
     if not skew_safe:
         w = Window.partitionBy(run).orderBy(cycle).rowsBetween(-(k - 1), 0)
         return (df.withColumn("context", F.collect_list(item).over(w))

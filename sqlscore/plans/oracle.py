@@ -348,6 +348,10 @@ def oracle_sql() -> dict[str, str]:
                           "array_to_string(list(CAST(cycle AS VARCHAR)) OVER w, ',') AS context_cycles, "
                           "round(avg(quality) OVER w, {R}) AS context_mean FROM q "
                           "WINDOW w AS (PARTITION BY run_id ORDER BY cycle ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
+        "cycle_lookback_texts": "WITH v AS (SELECT concat_ws('/', conv_id, role) AS thread, turn, text FROM conversations) "
+                                "SELECT thread, turn, array_to_string(list(coalesce(text, '')) OVER w, chr(10)) AS context, "
+                                "round(avg(length(text)) OVER w, {R}) AS context_mean FROM v "
+                                "WINDOW w AS (PARTITION BY thread ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
         "cycle_prev_curr": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality, "
                            "round(lag(quality) OVER (PARTITION BY run_id ORDER BY cycle), {R}) AS prev_quality FROM q",
         "cycle_drift": f"WITH {CM}, d AS (SELECT *, lag(value) OVER (PARTITION BY run_id, metric ORDER BY cycle) AS prev_value FROM cm) "

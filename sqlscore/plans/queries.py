@@ -278,6 +278,13 @@ def q_cycle_lookback(spark, sf):
                      F.round("context_mean", R).alias("context_mean"))
 
 
+def q_cycle_lookback_texts(spark, sf):
+    t = _threads(spark, sf).withColumn("chars", F.length("text"))
+    lb = cycles.lookback(t, 3, value="chars", run="thread", cycle="turn", skew_safe=True, carry=("text",))
+    return lb.select("thread", "turn", F.array_join(F.transform("context", lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+                     .alias("context"), F.round("context_mean", R).alias("context_mean"))
+
+
 def q_cycle_prev_curr(spark, sf):
     pc = cycles.previous_current(_quality(spark, sf), ["quality"], skew_safe=True)
     return pc.select("run_id", "cycle", F.round("quality", R).alias("quality"),
@@ -499,6 +506,7 @@ QUERIES = {
     "quality_gate": q_quality_gate,
     "runs_vs_baseline": q_runs_vs_baseline,
     "cycle_lookback": q_cycle_lookback,
+    "cycle_lookback_texts": q_cycle_lookback_texts,
     "cycle_prev_curr": q_cycle_prev_curr,
     "cycle_drift": q_cycle_drift,
     "prompt_token_diff": q_prompt_token_diff,

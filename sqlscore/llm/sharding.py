@@ -49,11 +49,14 @@ def splitters(rows: DataFrame, wanted: dict[int, int], sizes: dict[int, int], se
     """New boundaries: for each range in ``wanted`` so many quantiles, less one,
     of a size-weighted key sample drawn inside it."""
     rate = {r: n * SAMPLES_PER_RANGE / sizes[r] for r, n in wanted.items()}
-    table = rows.sparkSession.createDataFrame(
-        [(r, rate[r], n) for r, n in wanted.items()], "range int, rate double, pieces long")
+    if len(sizes) == 1:  # all rows are one range: nothing to join by
+        within = rows.withColumn("rate", F.lit(rate[0])).withColumn("pieces", F.lit(wanted[0]).cast("long"))
+    else:
+        within = rows.join(F.broadcast(rows.sparkSession.createDataFrame(
+            [(r, rate[r], n) for r, n in wanted.items()], "range int, rate double, pieces long")), "range")
     draw = F.col("size") * F.col("rate")
     u = F.shiftrightunsigned(F.xxhash64("key", "row_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    sample = (rows.join(F.broadcast(table), "range")
+    sample = (within
               .withColumn("draws", (F.floor(draw) + (u < draw - F.floor(draw)).cast("long")))
               .filter("draws > 0").groupBy("range", "key", "pieces").agg(F.sum("draws").alias("draws")))
     w = Window.partitionBy("range").orderBy("key")

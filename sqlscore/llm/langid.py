@@ -9,8 +9,8 @@ that is no letter; so a text is a set within 64 + 64**2 + 64**3 grams.
 Model: Nystroem landmarks (training texts spread over the languages) span the
 feature map K(x, landmarks) K(landmarks, landmarks)**-1/2, and one-versus-rest
 ridge regression on it gives the dual weights.  Training takes at most
-``per_lang`` texts a language, drawn by a hash of the identifier, and is small
-linear algebra on the driver; the sample's size is the documented bound.
+``per_lang`` texts a language, drawn by a hash of the identifier (of rows that
+share one, the least text), and is small linear algebra on the driver; the sample's size is the documented bound.
 
 Scoring: landmark grams and dual weights fold into one matrix (grams x
 languages), and a batch of texts is scored by a product of its presence matrix
@@ -74,7 +74,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     drawn = (pool.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("row_id"), F.xxhash64(id_col, F.lit(5)).alias("draw"))
              .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("row_id").distinct())
     texts = (pool.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-             .join(F.broadcast(drawn), "row_id", "left_semi"))  # at most languages x per_lang identifiers
+             .join(F.broadcast(drawn), "row_id", "left_semi")  # at most languages x per_lang identifiers
+             .groupBy("row_id", "lang").agg(F.min("text").alias("text")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(GRAMS, dtype=bool)

@@ -15,7 +15,8 @@ largest chi-square are kept, and the model is logistic regression.
 Training rows are about ``per_class`` labelled texts for each combination of
 labels (all of a rarer one), drawn by a hash of the identifier and weighted back to the class's
 true share; the sample's size is the documented bound on what reaches the
-driver (hashed features, not texts).  Scoring reads every whole text.
+driver (hashed features, not texts); of rows that share an identifier the least text
+is learned from.  Scoring reads every whole text.
 
 Defined cases: null and wordless texts have probability 0 in every category;
 a row counts once per label row that it joins; null labels are left out; a
@@ -110,8 +111,9 @@ def labelled_sample(texts: DataFrame, known: DataFrame, categories: list[str], p
     classes = known.sparkSession.createDataFrame(rates, "labels string, rate double")
     u = F.shiftrightunsigned(F.xxhash64("row_id", F.lit(3)), 11) / F.lit(float(1 << 53))
     drawn = pool.join(F.broadcast(classes), "labels").filter(u < F.col("rate")).select("row_id", "labels")
-    # about per_class rows for each class
-    chosen = texts.filter("text IS NOT NULL").join(F.broadcast(drawn.distinct()), "row_id").select("labels", "text")
+    # about per_class rows for each class; of rows that share an identifier the least text
+    chosen = (texts.filter("text IS NOT NULL").join(F.broadcast(drawn.distinct()), "row_id")
+              .groupBy("row_id", "labels").agg(F.min("text").alias("text")).select("labels", "text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,8 +54,8 @@ from sqlscore.session import stash
 GRAM = 32
 SLAB = 1 << 19             # bytes hashed at once
 PLACE_BITS = 21            # of a sort key: place in a slab
-GROUP_CONTEXTS = 512
-SUFFIX_BYTES = 1 << 21     # bytes in one suffix array
+GROUP_CONTEXTS = 4096      # of about 600 bytes
+SUFFIX_BYTES = 1 << 20     # a suffix array is closed at the next anchor after so many bytes
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 BASE_2 = 0xD6E8FEB86659FD93
 
@@ -162,7 +162,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     for j in range(known):
         key[:n - j] |= symbols[j:].astype(np.int64) << (9 * (known - 1 - j))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if known >= depth:
             return order
         inner = key[order]

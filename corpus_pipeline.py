@@ -5,13 +5,18 @@ written as Parquet and read again as the next stage's ``docs``.  All stages but
 the last return the columns they were given.  Rows are told apart by their
 identifier together with their text, so a null or repeated identifier costs no
 other row its place; an empty table passes through as an empty table.
+
+The mix stage hands its order on as the places of the rows it writes: part files
+are in range order.  The shard stage reads these places (file and row number), so
+a shard is a run of the mix.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlscore.llm.decontaminate import decontaminate as contaminated_by
@@ -23,6 +28,9 @@ from sqlscore.llm.toxicity import toxicity_chain
 from sqlscore.session import stash
 from sqlscore.sources.tables import load
 
+PART_FILE = r"/part-(\d+)-[^/]*-c(\d+)[^/]*$"  # Spark's name of a part file: its task, its number in the task
+ROW_BITS = 34  # low bits of a row's place: its number in the file
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
@@ -44,15 +52,38 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in an order in which every source has its target weight."""
+    """All documents, in an order in which every source has its target weight: the
+    order of the rows as they are written."""
     mixed = pfair_mix(docs, MIX_PARTS, rest_parts=MIX_REST_PARTS, block_rows=MIX_BLOCK_ROWS)
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
+def part_files(docs: DataFrame) -> list[tuple[int, int]]:
+    """For a table read from the part files of one write the task and file numbers
+    in their names, in order; for any other frame nothing."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return []
+    found = [re.search(PART_FILE, path) for path in docs.inputFiles()]
+    numbers = sorted((int(m[1]), int(m[2])) for m in found if m)
+    return numbers if len(set(numbers)) == len(found) else []
+
+
+def file_order(docs: DataFrame, files: list[tuple[int, int]]) -> Column:
+    """A number that grows with the row's place: by part file, then by row in the file."""
+    meta = docs.metadataColumn("_metadata")
+    task, file = (F.regexp_extract(F.concat(F.lit("/"), meta["file_name"]), PART_FILE, i).cast("long") for i in (1, 2))
+    per_task = max(c for _, c in files) + 1
+    return F.shiftleft(task * per_task + file, ROW_BITS) + meta["row_index"]
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their ``size``, ``shard`` and ``slot`` (place in the shard),
-    which stand for columns of these names that they had before."""
-    placed = shard_by_bytes(docs, n_shards=N_SHARDS, carry=True)
+    """All documents, cut into shards in the order they were written in, with their
+    ``size``, ``shard`` and ``slot`` (place in the shard), which stand for columns of
+    these names that they had before."""
+    if not (files := part_files(docs)):  # rows without places get them in the order they stand in
+        docs = stash(docs, "pipeline-order")
+        files = part_files(docs)
+    placed = shard_by_bytes(docs, n_shards=N_SHARDS, carry=True, order=file_order(docs, files))
     own = ["size", "shard", "slot"]
     return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in own), *own)
 

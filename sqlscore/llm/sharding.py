@@ -1,7 +1,8 @@
 """Sharding by sampled splitters (DataFrame operations only).
 
 Law ``bytes``: shard sizes are nearly equal.  Records are ordered by a key
-that begins with a hash of the text, so equal texts are neighbours.  Key
+that begins with a hash of the text, so equal texts are neighbours; or by a
+given ``order``, so that a shard is a run of this order and slots follow it.  Key
 samples are drawn with a chance in proportion to record size, their quantiles
 become range boundaries, ranges that turn out overfull are split again at
 quantiles of samples drawn inside them, and a running sum inside each range
@@ -12,8 +13,8 @@ differs from the mean by at most one record at each end.
 What reaches the driver is one number per range; the number of ranges comes
 from the shard count and ``spark.sql.shuffle.partitions``, not from the data.
 
-Defined cases: null text has no bytes and a CRC of 0; equal texts stay in
-one shard unless a shard boundary falls among them; repeated rows get slots
+Defined cases: null text has no bytes and a CRC of 0; without ``order`` equal
+texts stay in one shard unless a shard boundary falls among them; repeated rows get slots
 of their own; a null identifier is a value like any other; an empty table
 gives an empty result; columns beyond the two named ones are not read.
 """
@@ -68,15 +69,18 @@ def splitters(rows: DataFrame, wanted: dict[int, int], sizes: dict[int, int], se
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-                   seed: int = 7, ranges: int | None = None, carry: bool = False) -> DataFrame:
+                   seed: int = 7, ranges: int | None = None, carry: bool = False,
+                   order: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: identifier, ``size``, ``text_crc32``, ``law``,
     ``shard`` (0 to n_shards - 1), ``slot`` (gapless from 0 in each shard) and
     ``grown_shard`` (null under this law).  With ``carry`` a struct ``row`` of all
-    columns of ``docs`` stands for the identifier."""
+    columns of ``docs`` stands for the identifier.  ``order``, a long that is not null,
+    orders the records in place of their text's hash; equal ones are ordered by identifier."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     tie = (1 << TIE_BITS) - 1
     key = F.xxhash64(text).bitwiseAND(F.lit(~tie)).bitwiseOR(F.xxhash64(id_col).bitwiseAND(F.lit(tie)))
+    key = key if order is None else order
     narrow = [F.col(id_col).alias("row_id"), (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
               F.crc32(text.cast("binary")).alias("crc"), key.alias("key")]
     rows = stash(docs.select(*narrow), "shard-rows")

@@ -76,6 +76,45 @@ def test_odd_rows_pass_every_stage(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_shards_are_runs_of_the_mix(spark):
+    """Half of all rows come from src0; while no source has run out, every shard holds each
+    source within the Pfair bound, and shards and slots follow the mixed order to the end."""
+    parts, rest, rows_a_block = P.MIX_PARTS, P.MIX_REST_PARTS, P.MIX_BLOCK_ROWS
+    names = [*parts, None]
+    weight = {s: parts.get(s, rest) for s in names}
+    total = sum(weight.values())
+    counts = {s: w * rows_a_block * 4 for s, w in weight.items()}
+    counts["src0"] += sum(counts.values()) - 2 * counts["src0"]
+    source = [s for s in names for _ in range(counts[s])]
+    docs = spark.createDataFrame([(i, f"text {i:06d} " * 20, "en", s) for i, s in enumerate(source)],
+                                 "doc_id long, text string, lang string, source string").repartition(7)
+    order = [r["doc_id"] for r in P.pfair_mix(docs, parts, rest_parts=rest, block_rows=rows_a_block)
+             .orderBy("slot", "place").select("row.doc_id").collect()]
+    for limit in (0, 100):  # one or several files a task
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", limit)
+        try:
+            mixed = P.stash(P.mix(spark, docs, SF), "test-mixed")
+        finally:
+            spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        placed = P.shard(spark, mixed, SF).select("doc_id", "source", "shard", "slot").collect()
+        placed.sort(key=lambda r: (r["shard"], r["slot"]))
+        assert [r["doc_id"] for r in placed] == order
+        even = {r["shard"] for r in placed[:total * 4 * rows_a_block]} - {placed[total * 4 * rows_a_block]["shard"]}
+        assert len(even) > 8
+        for shard in even:
+            got = Counter(r["source"] for r in placed if r["shard"] == shard)
+            n = sum(got.values())
+            for s in names:
+                # under two blocks off in whole slots, and the shard's first and last block may be cut
+                assert abs(got[s] - n * weight[s] / total) < 4 * rows_a_block, (shard, s)
+
+
+def test_sharding_of_a_frame_that_is_not_written(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.lit(1).alias("_metadata"))
+    placed = P.shard(spark, docs.coalesce(1), SF).orderBy("shard", "slot").collect()
+    assert [r["doc_id"] for r in placed] == list(range(500)) and {r["_metadata"] for r in placed} == {1}
+
+
 def test_registered_names():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in LLM_QUERIES) == 1

@@ -185,6 +185,31 @@ def test_decontamination_finds_every_similar_window(spark, limit):
     assert len(out) == len({(r["doc_id"], r["item_id"]) for r in out}) > 10
 
 
+def test_decontamination_of_passages_that_end_in_one_word(spark):
+    """The first 179 of 200 words, then padding: 175 of 217 shingles are common."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(200))) for i in range(12)]
+    docs = [(i, " ".join([*words_of(text)[:179], *["pad"] * (30 + i)])) for i, text in items]
+    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"),
+                        spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = best_windows(docs, items)
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in out} == want and len(want) == 12
+
+
+def test_simhash_tells_occurrences_apart(spark):
+    """At a weighted similarity of 0.8 bits differ as much with repeats as without."""
+    rng = random.Random(5)
+    fresh = lambda n: [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+    rows = []
+    for i in range(100):
+        common, tail = fresh(176), fresh(1) * 20
+        rows += [(2 * i, common + fresh(20)), (2 * i + 1, tail + common)]
+    df = with_simhash(spark.createDataFrame(rows, "no long, win array<bigint>"), "win")
+    fp = {r["no"]: r["fp"] & 0xFFFFFFFFFFFFFFFF for r in df.collect()}
+    off = [(fp[2 * i] ^ fp[2 * i + 1]).bit_count() for i in range(100)]
+    assert max(off) <= 23 and 8 < np.mean(off) < 11.5
+
+
 def test_decontamination_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")

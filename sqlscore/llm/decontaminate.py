@@ -23,13 +23,14 @@ weights) of at least 0.8.
    and item.
 
 The index is broadcast only while it has at most ``broadcast_rows`` rows
-(of 20 bytes); beyond that the lookup is a shuffle join on the shingle.
+(of some 40 bytes); beyond that the lookup is a shuffle join on the shingle.
 
 Defined cases: words are runs of letters and digits, lower-cased; items of
 fewer than five words match nothing; a text shorter than the item is one
 window; null texts have no words; repeated items and rows give their pair
-once; ties go to the first window; empty tables give an empty result; columns
-beyond the named ones are not read.
+once; texts that share an item identifier, null among them, are compared each
+by itself and give one pair, of the most similar; ties go to the first window;
+empty tables give an empty result; columns beyond the named ones are not read.
 """
 
 from __future__ import annotations
@@ -102,18 +103,20 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def item_table(benchmark: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Items (``item_id``, ``item`` and the indexed ``rare`` hashes) and the index (``h``, ``item_id``, ``m``)."""
-    texts = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    items = stash(with_shingles(texts, "text", "item").filter(F.size("item") > 0).distinct(), "bench-items")
-    each = items.select("item_id", F.explode(F.array_distinct("item")).alias("h"), F.size("item").alias("m"), "item")
+    """Items (``item_key``, ``item`` and the indexed ``rare`` hashes) and the index (``h``, ``item_key``, ``m``)."""
+    texts = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    key = F.struct("id", F.xxhash64("item").alias("hash"))  # a null identifier and each text of a repeated one count
+    items = stash(with_shingles(texts, "text", "item").filter(F.size("item") > 0).distinct()
+                  .select(key.alias("item_key"), "item"), "bench-items")
+    each = items.select("item_key", F.explode(F.array_distinct("item")).alias("h"), F.size("item").alias("m"), "item")
     spread = items.select(F.explode(F.array_distinct("item")).alias("h")).groupBy("h").agg(F.count("*").alias("shared"))
     # all places of a repeated shingle count towards the weight that may be lacking
-    ranked = (each.join(spread, "h").groupBy("item_id", "item")
+    ranked = (each.join(spread, "h").groupBy("item_key", "item")
               .agg(F.array_sort(F.collect_list(F.struct("shared", "h"))).alias("ranked")))
     n_rare = F.floor((1 - threshold) * F.size("item") + 1e-9).cast("int") + 1
-    items = stash(ranked.select("item_id", "item", F.transform(F.slice("ranked", 1, n_rare), lambda x: x["h"]).alias("rare")),
+    items = stash(ranked.select("item_key", "item", F.transform(F.slice("ranked", 1, n_rare), lambda x: x["h"]).alias("rare")),
                   "bench-items")
-    return items, stash(items.select(F.explode("rare").alias("h"), "item_id", F.size("item").alias("m")), "bench-index")
+    return items, stash(items.select(F.explode("rare").alias("h"), "item_key", F.size("item").alias("m")), "bench-index")
 
 
 def region(p: Column, m: Column) -> Column:
@@ -122,7 +125,7 @@ def region(p: Column, m: Column) -> Column:
 
 
 def lookups(docs: DataFrame, index: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Every indexed shingle of every text: ``doc``, ``item_id``, place ``p`` and
+    """Every indexed shingle of every text: ``doc``, ``item_key``, place ``p`` and
     the ``region`` around it, which begins at place ``low``."""
     # the outer form, as for the other Spark would test the array's size before the
     # scan's projection, where its expression stands in full and is worked out again
@@ -130,23 +133,23 @@ def lookups(docs: DataFrame, index: DataFrame, broadcast_rows: int) -> DataFrame
         found = docs.select("doc", "sh", F.posexplode_outer("sh").alias("p", "h")).join(F.broadcast(index), "h")
     else:
         places = docs.select("doc", F.posexplode_outer("sh").alias("p", "h")).join(index, "h")
-        found = (places.groupBy("doc").agg(F.collect_set(F.struct("p", "item_id", "m")).alias("at"))
+        found = (places.groupBy("doc").agg(F.collect_set(F.struct("p", "item_key", "m")).alias("at"))
                  .withColumnRenamed("doc", "of").join(docs, F.col("of").eqNullSafe(F.col("doc")))
                  .select("doc", "sh", F.explode("at").alias("at")).select("doc", "sh", "at.*"))
-    return found.select("doc", "item_id", "p", F.greatest(F.col("p") - F.col("m") + 1, F.lit(0)).alias("low"),
+    return found.select("doc", "item_key", "p", F.greatest(F.col("p") - F.col("m") + 1, F.lit(0)).alias("low"),
                         region(F.col("p"), F.col("m")).alias("region"))
 
 
 def windows(found: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc``, ``item_id``, ``start`` and ``win`` of every window to look at."""
+    """``doc``, ``item_key``, ``start`` and ``win`` of every window to look at."""
     at = F.col("p") - F.col("low")  # place of the indexed shingle in its region
     # a window that holds an earlier indexed shingle belongs to that one
     earlier = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), at), lambda i: (i < at) & F.array_contains(
         F.col("rare"), F.get("region", i)))), F.lit(-1))
     starts = F.filter(F.sequence(F.lit(0), at), lambda i: (i > earlier) & F.array_contains(F.col("item"), F.get("region", i)))
-    return (found.join(items, "item_id").select("doc", "item_id", "low", "region", F.size("item").alias("m"),
+    return (found.join(items, "item_key").select("doc", "item_key", "low", "region", F.size("item").alias("m"),
                                                 F.explode(starts).alias("i"))
-            .select("doc", "item_id", (F.col("low") + F.col("i")).alias("start"),
+            .select("doc", "item_key", (F.col("low") + F.col("i")).alias("start"),
                     F.slice("region", F.col("i") + 1, F.col("m")).alias("win")))
 
 
@@ -159,16 +162,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     read = with_shingles(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", "sh")
     found = stash(windows(lookups(read, index, broadcast_rows), items)
                   .withColumn("key", F.xxhash64("win")).withColumn("key2", F.hash("win")), "bench-windows")
-    contents = found.groupBy("item_id", "key", "key2").agg(F.first("win").alias("win"))
+    contents = found.groupBy("item_key", "key", "key2").agg(F.first("win").alias("win"))
     seen = with_simhash(contents, "win").withColumn("block", F.explode(blocks(F.col("fp"), radius)))
-    wanted = with_simhash(items.select("item_id", "item"), "item").withColumnRenamed("fp", "item_fp")
+    wanted = with_simhash(items.select("item_key", "item"), "item").withColumnRenamed("fp", "item_fp")
     wanted = wanted.withColumn("block", F.explode(blocks(F.col("item_fp"), radius)))
-    near = (seen.join(wanted, ["item_id", "block"])
+    near = (seen.join(wanted, ["item_key", "block"])
             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-            .groupBy("item_id", "key", "key2").agg(F.first("win").alias("win"), F.first("item").alias("item")))
+            .groupBy("item_key", "key", "key2").agg(F.first("win").alias("win"), F.first("item").alias("item")))
     good = stash(near.withColumn("similarity", similarity(F.col("win"), F.col("item")))
-                 .filter(F.col("similarity") >= threshold).select("item_id", "key", "key2", "similarity"), "bench-good")
+                 .filter(F.col("similarity") >= threshold).select("item_key", "key", "key2", "similarity"), "bench-good")
     best = F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start")))
-    return (found.select("doc", "item_id", "start", "key", "key2").join(good, ["item_id", "key", "key2"])
-            .groupBy("doc", "item_id").agg(best.alias("best"))
+    return (found.select("doc", "item_key", "start", "key", "key2").join(good, ["item_key", "key", "key2"])
+            .groupBy("doc", F.col("item_key")["id"].alias("item_id")).agg(best.alias("best"))
             .select(F.col("doc").alias(id_col), F.col("item_id"), "best.similarity", F.col("best.start").alias("start_word")))

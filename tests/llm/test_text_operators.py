@@ -185,6 +185,23 @@ def test_decontamination_finds_every_similar_window(spark, limit):
     assert len(out) == len({(r["doc_id"], r["item_id"]) for r in out}) > 10
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_decontamination_with_shared_and_null_item_ids(spark, limit):
+    """Variants within the radius of each other but under 0.8, copied whole, and items without an identifier."""
+    rng = random.Random(3)
+    items = []
+    for i in range(6):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(60)]
+        items += [(i, " ".join(words)), (i, " ".join(words[:53] + ["x", "y", "z", "u", "v", "s", "t"])), (i, " ".join(words[7:] + ["o"] * 7))]
+    items += [(None, " ".join(f"n{k}" for k in range(20))), (None, " ".join(f"m{k}" for k in range(30)))]
+    docs = [(k, text) for k, (_, text) in enumerate(items)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for rows in (items, items[::-1]):
+        out = decontaminate(d, spark.createDataFrame(rows, "item_id long, text string"), broadcast_rows=limit).collect()
+        got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in out}
+        assert got == best_windows(docs, items) == {(k, i): 1.0 for k, (i, _) in enumerate(items)} and len(out) == len(got)
+
+
 def test_decontamination_of_passages_that_end_in_one_word(spark):
     """The first 179 of 200 words, then padding: 175 of 217 shingles are common."""
     rng = random.Random(12)

@@ -349,13 +349,14 @@ def _side_counts(g: DataFrame, c: DataFrame) -> DataFrame:
                     *[F.max(F.when(F.col(SIGN) < 0, F.col(x))).alias(f"c_{x}") for x in cols])
 
 
-def diff_sample(gold: DataFrame, cand: DataFrame, k: int = 5, mode: str = "bag") -> DataFrame:
+def diff_sample(gold: DataFrame, cand: DataFrame, k: int = 5, mode: str = "bag",
+                order_key: str | None = None) -> DataFrame:
     """At most ``k`` differing rows per side (ordered by the row values), taken
     from the diff only — never from the whole results."""
     pair = align(gold, cand)
     if pair is None:
         raise ValueError("results have different widths")
-    d = signed_diff(*pair, mode=mode)
+    d = signed_diff(*pair, mode=mode, order_key=order_key)
     cols = [c for c in d.columns if c.startswith("_c") or c == IDX]
     parts = [d.filter(F.col("side") == s).orderBy(*cols).limit(k) for s in ("gold", "candidate")]
     return parts[0].unionByName(parts[1])
@@ -509,16 +510,19 @@ VERDICT_TEXT = T.StructType([*VERDICT_SCHEMA.fields, T.StructField("rationale",
                              T.StructField("sample_candidate", T.ArrayType(T.StringType()))])
 
 
-def _samples(spark: SparkSession, pair: Pair, views: set[str] | None, k: int) -> dict[str, list[str]]:
-    """At most ``k`` differing rows of each side, as JSON texts."""
+def _samples(spark: SparkSession, pair: Pair, views: set[str] | None, k: int, mode: str = "bag",
+             order_key: str | None = None) -> dict[str, list[str]]:
+    """At most ``k`` differing rows of each side, as JSON texts.  In ordered mode
+    the row's ``place`` stands for the key's value, as in ``signed_diff``."""
     gold, cand = run_query(spark, pair.gold_sql, views), run_query(spark, pair.cand_sql, views)
     if len(gold.columns) != len(cand.columns):
         sides = [positional(gold).limit(k).select(F.lit("gold").alias("side"), F.to_json(F.struct("*")).alias("row")),
                  positional(cand).limit(k).select(F.lit("candidate").alias("side"), F.to_json(F.struct("*")).alias("row"))]
         found = sides[0].union(sides[1])
     else:
-        d = diff_sample(gold, cand, k)
-        found = d.select("side", F.to_json(F.struct(*[c for c in d.columns if c.startswith("_c")])).alias("row"))
+        d = diff_sample(gold, cand, k, mode, order_key)
+        cells = [F.col(IDX).alias("place")] * (IDX in d.columns) + [F.col(c) for c in d.columns if c.startswith("_c")]
+        found = d.select("side", F.to_json(F.struct(*cells)).alias("row"))
     out: dict[str, list[str]] = {"gold": [], "candidate": []}
     for r in found.collect():  # 2 k rows
         out[r["side"]].append(r["row"])
@@ -526,7 +530,7 @@ def _samples(spark: SparkSession, pair: Pair, views: set[str] | None, k: int) ->
 
 
 def with_rationale(spark: SparkSession, pairs: list[Pair], rows: list[Row], views: set[str] | None,
-                   samples: int) -> DataFrame:
+                   samples: int, mode: str = "bag", order_key: str | None = None) -> DataFrame:
     """Verdict rows with a sentence that says why, and sample rows where results differ."""
     by_id = {p.pair_id: p for p in pairs}
     out = []
@@ -540,7 +544,7 @@ def with_rationale(spark: SparkSession, pairs: list[Pair], rows: list[Row], view
         else:
             why = f"{only_g} of {g} gold rows and {only_c} of {c} candidate rows have no partner."
             if samples:
-                some = _samples(spark, by_id[pair_id], views, samples)
+                some = _samples(spark, by_id[pair_id], views, samples, mode, order_key)
         out.append((pair_id, g, c, only_g, only_c, value, error, why, some["gold"], some["candidate"]))
     return spark.createDataFrame(out, VERDICT_TEXT)
 

@@ -114,7 +114,8 @@ def evaluate(df: DataFrame, names: list[str], **options) -> DataFrame:
 def score_results(spark: SparkSession, df: DataFrame, group_size: int = 50, mode: str = "bag",
                   order_key: str | None = None, views: set[str] | None = None, samples: int = 5) -> DataFrame:
     """Executed-result verdict for every row of an eval set with gold_sql and
-    candidate_sql, with a rationale and up to ``samples`` differing rows a side.
+    candidate_sql, with a rationale and up to ``samples`` differing rows a side,
+    by the rules of ``mode`` (in ordered mode with the row's place for its key).
 
     Equal pairs of texts run once.  The driver (each pair needs a plan of its
     own) holds ``group_size`` pairs at a time; their verdicts are appended to a
@@ -127,7 +128,7 @@ def score_results(spark: SparkSession, df: DataFrame, group_size: int = 50, mode
     while rows := list(islice(distinct, group_size)):
         group = [equivalence.Pair(r["pair_id"], r["gold_sql"], r["candidate_sql"]) for r in rows]
         found = equivalence.score_pairs(spark, group, mode=mode, group_size=group_size, order_key=order_key, views=views)
-        told = equivalence.with_rationale(spark, group, found, views, samples if mode == "bag" else 0)
+        told = equivalence.with_rationale(spark, group, found, views, samples, mode, order_key)
         told.write.mode("append").parquet(path)
     v = spark.read.schema(VERDICT_TEXT).parquet(path)
     return keyed.join(v, "pair_id", "left").select(*df.columns, *[c for c in v.columns if c != "pair_id"])

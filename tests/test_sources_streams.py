@@ -131,6 +131,25 @@ def test_score_results_dedups_and_joins_back(spark):
     assert "Exchange" not in plan
 
 
+def test_score_results_shows_rows_in_every_mode(spark):
+    from sqlscore.operators.evaluate import score_results
+    rows = [(1, "SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, 'c')", "SELECT * FROM VALUES (2, 'a'), (1, 'b'), (3, 'c')"),
+            (2, "SELECT * FROM VALUES (1, 'a')", "SELECT * FROM VALUES (7, 'a')"),
+            (3, "SELECT * FROM VALUES (1, 'a')", "SELECT * FROM VALUES (1, 'a'), (1, 'a'), (4, 'd')"),
+            (4, "SELECT * FROM VALUES (1, 'a')", "SELECT * FROM VALUES (1), (2)")]
+    df = spark.createDataFrame(rows, "eval_id int, gold_sql string, candidate_sql string")
+    shown = lambda **k: {r["eval_id"]: (r["value"], r["sample_gold"], r["sample_candidate"])
+                         for r in score_results(spark, df, **k).collect()}
+    r = shown(mode="ordered", order_key="_c0")
+    place = lambda n, x: f'{{"place":{n},"_c1":"{x}"}}'
+    first = int(r[1][1][0].split(":")[1][0])
+    assert r[1] == (False, [place(first, "a"), place(first + 1, "b")], [place(first + 1, "a"), place(first, "b")])
+    assert r[2] == (True, [], [])
+    r = shown(mode="set", samples=1)
+    assert r[2] == (False, ['{"_c0":1,"_c1":"a"}'], ['{"_c0":7,"_c1":"a"}'])
+    assert r[3] == (False, [], ['{"_c0":4,"_c1":"d"}']) and len(r[4][2]) == 1
+
+
 def test_parquet_and_table_readers(spark):
     base = scratch_path(spark, "ev")
     spark.createDataFrame([("q", "SELECT 1", None)], "question string, ground_truth_query string, issues string") \

@@ -340,6 +340,11 @@ def oracle_sql() -> dict[str, str]:
                            "round(custom_score, {R}) AS custom_score, round(core_score + custom_score, {R}) AS composite FROM s",
         "feedback_text": "SELECT conv_id, role, coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS text, count(*) AS n_items "
                          "FROM conversations GROUP BY conv_id, role",
+        "feedback_text_parts": "WITH a AS (SELECT *, coalesce(length(text), 0) AS l FROM conversations), "
+                               "b AS (SELECT *, CAST(floor((sum(l) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN "
+                               f"UNBOUNDED PRECEDING AND CURRENT ROW) - l) / {Q.TEXT_PART_CHARS}) AS BIGINT) AS part FROM a) "
+                               "SELECT conv_id, role, part, coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS text, "
+                               "count(*) AS n_items FROM b GROUP BY conv_id, role, part",
         "quality_gate": f"WITH {CM}, {QUALITY} SELECT run_id, cycle, round(quality, {R}) AS quality, quality >= {Q.GATE!r} AS passes FROM q",
         "runs_vs_baseline": f"WITH {CM}, b AS (SELECT run_id, metric, arg_min(value, cycle) AS baseline FROM cm GROUP BY ALL) "
                             "SELECT run_id, cycle, metric, round(value, {R}) AS value, round(baseline, {R}) AS baseline, "

@@ -29,6 +29,7 @@ REQUIRED_DIMS = ["o_custkey", "o_orderpriority"]
 PROMPT = "Question: {question}\nReference SQL: {gold_sql}\nIssues: {issues}"
 PACK_TARGET_CHARS = 1_000_000
 GATE = 15.0
+TEXT_PART_CHARS = 2000  # length at which a joined feedback text goes on in a new part
 UNANSWERABLE = "unanswerable"
 
 
@@ -250,6 +251,11 @@ def q_feedback_text(spark, sf):
     return metrics.ordered_text(load(spark, sf, "conversations"), ["conv_id", "role"], "turn", "text")
 
 
+def q_feedback_text_parts(spark, sf):
+    conv = load(spark, sf, "conversations")
+    return metrics.ordered_text(conv, ["conv_id", "role"], "turn", "text", max_chars=TEXT_PART_CHARS)
+
+
 def _threads(spark, sf):
     """The texts of one role in a conversation are one thread."""
     thread = F.concat_ws("/", F.col("conv_id").cast("string"), "role")
@@ -503,6 +509,7 @@ QUERIES = {
     "quality_score": q_quality_score,
     "composite_score": q_composite_score,
     "feedback_text": q_feedback_text,
+    "feedback_text_parts": q_feedback_text_parts,
     "quality_gate": q_quality_gate,
     "runs_vs_baseline": q_runs_vs_baseline,
     "cycle_lookback": q_cycle_lookback,

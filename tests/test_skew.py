@@ -73,3 +73,18 @@ def test_token_diff_with_null_run(spark):
     df = spark.createDataFrame([(None, 1, "a b"), (None, 2, "a c c")], "run string, cycle int, text string")
     out = {r["token"]: r["diff"] for r in cycles.token_diff(df, "run", "cycle", "text").collect()}
     assert out == {"b": -1, "c": 2}
+
+
+def test_feedback_text_parts_of_a_hot_conversation(spark, tmp_path):
+    """A third of all rows in one conversation: bounded parts that make up the one text."""
+    from sqlscore.plans.queries import QUERIES, TEXT_PART_CHARS
+    spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50 + 1).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") % 7 != 0, F.repeat(F.lit("text "), 10)).alias("text")).write.parquet(f"{tmp_path}/conversations.parquet")
+    whole = {(r["conv_id"], r["role"]): (r["text"], r["n_items"]) for r in QUERIES["feedback_text"](spark, str(tmp_path)).collect()}
+    parts = QUERIES["feedback_text_parts"](spark, str(tmp_path)).orderBy("conv_id", "role", "part").collect()
+    for key, (text, n) in whole.items():
+        mine = [r for r in parts if (r["conv_id"], r["role"]) == key]
+        assert "\n".join(r["text"] for r in mine) == text and sum(r["n_items"] for r in mine) == n
+    assert max(len(r["text"]) for r in parts) < TEXT_PART_CHARS + 200 and sum(r["conv_id"] == 0 for r in parts) > 10

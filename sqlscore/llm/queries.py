@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import public_tokenizers
+from sqlscore.llm.bpe import bpe_decode, bpe_encode
 from sqlscore.llm.decontaminate import decontaminate
 from sqlscore.llm.exact_dedup import exact_dedup
 from sqlscore.llm.langid import language_id
@@ -76,6 +78,14 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(load(spark, sf, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe_encode(load(spark, sf, "documents"), vocabulary)
+    return bpe_decode(tokens, vocabulary, out="decoded").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -91,6 +101,7 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_bpe": op11_bpe,
     "pipeline": pipeline,
 }
 

@@ -38,9 +38,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the byte-level pre-tokenizer's
 NO_RANK = np.iinfo(np.int32).max
@@ -227,7 +229,7 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
 def portions_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` bytes (one row at least)."""
     size = batch.column(column)
-    size = np.array(pa.compute.fill_null(pa.compute.binary_length(size), 0))
+    size = np.array(pc.fill_null(pc.binary_length(size), 0))
     cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit)) + 1
     for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
         if b > a:
@@ -258,14 +260,14 @@ def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(ids_col)
-            ids = np.asarray(pa.compute.list_flatten(lists).fill_null(-1))
+            ids = np.asarray(pc.list_flatten(lists).fill_null(-1))
             ids = np.where((ids < 0) | (ids >= len(start) - 1), len(start) - 1, ids)  # no token: no bytes
             size = np.r_[np.diff(start), 0][ids]
             data = vocab.token_bytes[spans(start[ids], size)].tobytes()
-            counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), dtype=np.int64)
+            counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
             ends = np.r_[0, np.cumsum(size)][np.cumsum(counts)]
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     kept = tokens.drop(out)
-    return kept.mapInArrow(run, kept.schema.add(out, "string"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, StringType())]))

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
@@ -47,8 +48,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the byte-level pre-tokenizer's
 NO_RANK = np.iinfo(np.int32).max
 ID_BITS = 24
-SLAB_CHARS = 1 << 22       # of texts whose words are merged together
-PORTION = 1 << 19          # words of a long text taken at a time
+SLAB_CHARS = 1 << 21       # of texts whose words are merged together
+DECODE_ROWS = 256
+PORTION = 1 << 18          # words of a long text taken at a time
 
 
 class Vocabulary(NamedTuple):
@@ -187,8 +189,9 @@ def word_lists(text: str, vocab: Vocabulary) -> Iterator[list]:
 
 def encode_words(words: list, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in order, and the number of ids of each word."""
-    number: dict = {}
-    code = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+    number: dict = defaultdict()
+    number.default_factory = number.__len__
+    code = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
     raw = [w.encode("utf-8", "replace") if type(w) is str else b"\0" for w in number]
     lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     symbols = vocab.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
@@ -236,8 +239,20 @@ def portions_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
             yield batch.slice(int(a), int(b - a))
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: identifier and ``ids``, the tokens of its text."""
+def decode_ids(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary) -> list[str]:
+    """Texts of many lists of ids that stand one after the other."""
+    start = np.r_[0, vocab.token_ends]
+    ids = np.where((ids < 0) | (ids >= len(start) - 1), len(start) - 1, ids)  # no token: no bytes
+    size = np.r_[np.diff(start), 0][ids]
+    data = vocab.token_bytes[spans(start[ids], size)].tobytes()
+    ends = np.r_[0, np.cumsum(size)][np.cumsum(counts)].tolist()
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """One row per row of ``docs``: identifier and ``ids``, the tokens of its text;
+    with ``decode`` also ``decoded``, the text that these tokens give back (a
+    round trip in one worker, without handing the ids to a second one)."""
     vocab = read_vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,29 +260,28 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for part in portions_of(batch, "text", SLAB_CHARS):
                 ids, sizes = encode_texts([t or "" for t in part.column("text").to_pylist()], vocab)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), lists], ["row_id", "ids"])
+                texts = [pa.array(decode_ids(ids, sizes, vocab), pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), lists, *texts], ["row_id", "ids", "decoded"][:2 + decode])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row_id {dict(rows.dtypes)['row_id']}, ids array<int>").withColumnRenamed("row_id", id_col)
+    schema = f"row_id {dict(rows.dtypes)['row_id']}, ids array<int>" + (", decoded string" if decode else "")
+    return rows.mapInArrow(run, schema).withColumnRenamed("row_id", id_col)
 
 
 def bpe_decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """``tokens`` with a column ``out``, the text of the tokens in ``ids_col``
     (null: no tokens; an id that is no token has no bytes)."""
     vocab = read_vocabulary(path)
-    start = np.r_[0, vocab.token_ends]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(ids_col)
-            ids = np.asarray(pc.list_flatten(lists).fill_null(-1))
-            ids = np.where((ids < 0) | (ids >= len(start) - 1), len(start) - 1, ids)  # no token: no bytes
-            size = np.r_[np.diff(start), 0][ids]
-            data = vocab.token_bytes[spans(start[ids], size)].tobytes()
-            counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
-            ends = np.r_[0, np.cumsum(size)][np.cumsum(counts)]
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            for at in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(at, DECODE_ROWS)
+                lists = part.column(ids_col)
+                ids = np.asarray(pc.list_flatten(lists).fill_null(-1))
+                counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+                texts = pa.array(decode_ids(ids, counts, vocab), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out])
 
     kept = tokens.drop(out)
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, StringType())]))

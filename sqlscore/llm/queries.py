@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from sqlscore.llm.bpe import bpe_decode, bpe_encode
+from sqlscore.llm.bpe import bpe_encode
 from sqlscore.llm.decontaminate import decontaminate
 from sqlscore.llm.exact_dedup import exact_dedup
 from sqlscore.llm.langid import language_id
@@ -79,9 +79,8 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = bpe_encode(load(spark, sf, "documents"), vocabulary)
-    return bpe_decode(tokens, vocabulary, out="decoded").select(
+    tokens = bpe_encode(load(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decode=True)
+    return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from sqlscore.llm.bpe import bpe_encode
+from sqlscore.llm.collocations import collocations
 from sqlscore.llm.decontaminate import decontaminate
 from sqlscore.llm.exact_dedup import exact_dedup
 from sqlscore.llm.langid import language_id
@@ -85,6 +86,10 @@ def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(load(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -101,6 +106,7 @@ LLM_QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_bpe": op11_bpe,
+    "op12_collocations": op12_collocations,
     "pipeline": pipeline,
 }
 
@@ -159,4 +165,29 @@ LLM_ORACLE = {
              g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.h AS text_sha256
         FROM t JOIN g USING (h)""",
+    "op12_collocations": r"""
+        WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+             g AS (SELECT lang, list_slice(w, i, i + k - 1) AS g
+                   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                         FROM (SELECT lang, w, unnest(range(1, 6)) AS k FROM w))),
+             f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
+             t AS (SELECT lang, sum(f) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+             c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 100),
+             x AS (SELECT lang, g, max(a) AS longer FROM (
+                     SELECT lang, g[1:len(g) - 1] AS g, a FROM c UNION ALL SELECT lang, g[2:len(g)], a FROM c) GROUP BY lang, g),
+             k AS (SELECT c.lang, c.g, c.a, unnest(range(1, len(c.g))) AS k FROM c LEFT JOIN x ON c.lang = x.lang AND c.g = x.g
+                   WHERE x.longer IS NULL OR 100 * x.longer < 100 * c.a),
+             s AS (SELECT k.lang, k.g, k.a, k.k, fl.f AS l, fr.f AS r, CAST(t.n AS BIGINT) AS n,
+                          CAST((1000::HUGEINT * k.a * t.n) // (fl.f::HUGEINT * fr.f) AS BIGINT) AS score
+                   FROM k JOIN t ON k.lang = t.lang
+                   JOIN f fl ON fl.lang = k.lang AND fl.g = k.g[1:k.k]
+                   JOIN f fr ON fr.lang = k.lang AND fr.g = k.g[k.k + 1:len(k.g)]),
+             m AS (SELECT lang, array_to_string(g, ' ') AS phrase, any_value(a) AS a, min_by(l, (score, k)) AS l, min_by(r, (score, k)) AS r,
+                          any_value(n) AS n, min(score) AS score FROM s GROUP BY lang, g),
+             o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+                          phrase, a, l, r, n, score FROM m)
+        SELECT * FROM o WHERE rank <= 2000""",
 }

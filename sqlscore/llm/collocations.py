@@ -181,6 +181,8 @@ def extend(lo: np.ndarray, other: np.ndarray, n: np.ndarray, index: tuple[np.nda
     and in the other order, occurrences and the place of the phrase extended."""
     symbol, to = index
     rows = spans(lo, n)
+    if not len(rows):
+        return (np.empty(0, dtype=np.int64),) * 4
     parent = np.repeat(np.arange(len(lo)), n)
     key = parent * (int(symbol.max()) + 1) + symbol[rows]
     by = np.argsort(key, kind="stable")

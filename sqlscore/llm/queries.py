@@ -12,6 +12,7 @@ from sqlscore.llm.collocations import collocations
 from sqlscore.llm.decontaminate import decontaminate
 from sqlscore.llm.exact_dedup import exact_dedup
 from sqlscore.llm.langid import language_id
+from sqlscore.llm.lexical_search import lexical_search
 from sqlscore.llm.line_dedup import BLOCK, HIDDEN, HOST, TAG, host_of, html_lines, line_dedup
 from sqlscore.llm.mixing import pfair_mix
 from sqlscore.llm.settings import MIX_BLOCK_ROWS, MIX_PARTS, MIX_REST_PARTS, N_SHARDS, toxicity_categories
@@ -90,6 +91,10 @@ def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations(load(spark, sf, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -107,6 +112,7 @@ LLM_QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_bpe": op11_bpe,
     "op12_collocations": op12_collocations,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
 
@@ -190,4 +196,22 @@ LLM_ORACLE = {
              o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
                           phrase, a, l, r, n, score FROM m)
         SELECT * FROM o WHERE rank <= 2000""",
+    "op13_lexical_search": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             b AS (SELECT item_id, row_number() OVER () AS i, regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             total AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+             m AS (SELECT d, doc_id, 100 - 25 + ((25 * len(w) * n_docs) // n_terms) AS m FROM d, total WHERE len(w) > 0),
+             q AS (SELECT item_id, i, t, count(*) AS times FROM (SELECT item_id, i, unnest(w) AS t FROM b) GROUP BY ALL),
+             tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM d) GROUP BY d, t),
+             wt AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+                    FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+             s AS (SELECT q.item_id, q.i, m.doc_id, tf.d, CAST(sum(q.times * wt.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m))) AS BIGINT) AS score
+                   FROM q JOIN tf ON q.t = tf.t JOIN wt ON wt.t = q.t JOIN m ON m.d = tf.d GROUP BY ALL),
+             r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+                   FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 20""",
 }

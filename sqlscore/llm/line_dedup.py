@@ -2,7 +2,7 @@
 
 Pages are grouped by host.  A line is boilerplate on a host if the pages of
 the host that contain it, divided by all pages of the host, exceed ``ratio``
-and are at least ``min_pages``; such lines are dropped from the host's pages.
+and are at least ``min_pages`` (a line of a single page is none); such lines are dropped from the host's pages.
 
 Lines travel to the count as 16-byte digests, once per page, and partly
 counted before the shuffle.  The boilerplate of a host holds at most (mean
@@ -43,7 +43,7 @@ def html_lines(html: Column) -> Column:
 
 
 def line_dedup(pages: DataFrame, id_col: str, host: Column, lines: Column, ratio: float = 0.3,
-               min_pages: int = 3) -> DataFrame:
+               min_pages: int = 2) -> DataFrame:
     """One row per page: identifier, ``host``, ``n_lines``, ``n_dropped`` and
     ``text`` (the remaining lines, newline between)."""
     rows = stash(pages.select(F.col(id_col).alias("row_id"), host.alias("host"), lines.alias("lines")), "site-lines")

@@ -159,7 +159,7 @@ LLM_ORACLE = {
              totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY host),
              often AS (SELECT host, line, count(*) AS n FROM seen GROUP BY host, line),
              boiler AS (SELECT o.host, list(o.line) AS boiler FROM often o JOIN totals USING (host)
-                        WHERE o.n >= 3 AND o.n / totals.pages > 0.3 GROUP BY o.host),
+                        WHERE o.n >= 2 AND o.n / totals.pages > 0.3 GROUP BY o.host),
              kept AS (SELECT page_id, cut.host, lines, list_filter(lines,
                         lambda x: NOT list_contains(coalesce(boiler, []), x)) AS kept
                       FROM cut LEFT JOIN boiler ON cut.host = boiler.host)

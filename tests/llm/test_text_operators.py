@@ -291,6 +291,7 @@ def test_warc_hot_payload_and_damage(spark, tmp_path):
 
 def test_line_dedup(spark):
     rows = [(i, "http://Big.example:80/x", f"<p>menu</p><p>own {i}</p><br>menu<div> often{i % 2} </div>") for i in range(10)]
+    rows += [(30, "http://two.example/a", "<p>both</p><p>first</p>"), (31, "http://two.example/b", "<p>both</p><p>second</p>")]
     rows += [(20, "http://u@one.example/", "<p>menu</p><p>alone</p>"), (21, None, "<p>menu</p>"), (22, "no host", "<p>menu</p>"),
              (23, "http://big.example/n", None), (24, "http://big.example/e", ""), (9, "http://big.example", "<p>menu</p>"),
              (25, "https://big.example?q", "<script>menu</script><!-- x --><p>rare</p>" + "<p>long</p>" * 50_000)]
@@ -305,8 +306,9 @@ def test_line_dedup(spark):
             seen[host(u), x] += 1
     want = Counter()
     for i, u, h in rows:
-        boiler = {x for x in lines(h) if host(u) and seen[host(u), x] >= 3 and seen[host(u), x] / pages[host(u)] > 0.3}
+        boiler = {x for x in lines(h) if host(u) and seen[host(u), x] >= 2 and seen[host(u), x] / pages[host(u)] > 0.3}
         kept = [x for x in lines(h) if x not in boiler]
         want[i, host(u), len(lines(h)), len(lines(h)) - len(kept), "\n".join(kept)] += 1
     assert Counter(map(tuple, out)) == want and any(k[3] for k in want)
+    assert {r["text"] for r in out if r["host"] == "two.example"} == {"first", "second"}
     assert line_dedup(df.limit(0), "page_id", host_of(F.col("url")), html_lines(F.col("html"))).count() == 0

@@ -1,7 +1,7 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
 Every task turns its rows into a run: digests in order, one entry each with
-the smallest identifier and a count.  The tasks then exchange runs in
+the smallest identifier (with its row's number) and a count.  The tasks then exchange runs in
 binomial rounds over a hypercube of 2**b slots: in each round ``radix_bits``
 bits of the slot number are replaced by the same bits of the digest, so a
 slot swaps parts of its run with the 2**radix_bits - 1 slots that differ from
@@ -16,7 +16,7 @@ byte length and an independent 64-bit hash of the normalised text all agree.
 Defined cases: null text counts as empty; texts are processed whole; a null
 identifier is larger than any other and stays only if its group has no
 other; repeated rows are members like any other, so a group's size counts
-rows; columns beyond the two named ones are not read, so clashing names don't
+rows, and of rows that share the smallest identifier the first read stays; columns beyond the two named ones are not read, so clashing names don't
 matter; an empty table gives an empty result.
 """
 
@@ -61,12 +61,12 @@ def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merge_runs(entries: DataFrame) -> DataFrame:
     """One sorted run per partition (Spark's sort merges the fetched pieces and spills)."""
-    ordered = entries.sortWithinPartitions(*KEY, F.col("keep_id").asc_nulls_last())
+    ordered = entries.sortWithinPartitions(*KEY, F.col("keep_id").asc_nulls_last(), "keep_no")
     return ordered.mapInArrow(merge_sorted, entries.schema)
 
 
 def tree_merge(entries: DataFrame, slots_log2: int, radix_bits: int = 3) -> DataFrame:
-    """Merge ``digest, n_bytes, check, keep_id, n`` in ceil(slots_log2 / radix_bits) rounds."""
+    """Merge ``digest, n_bytes, check, keep_id, keep_no, n`` in ceil(slots_log2 / radix_bits) rounds."""
     slots = 1 << slots_log2
     prefix = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
     runs = merge_runs(entries)
@@ -85,12 +85,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITESPACE, " ")
     rows = stash(docs.select(F.col(id_col), text.alias("text"))
                  .select(F.col(id_col).alias("row_id"), F.unhex(F.sha2("text", 256)).alias("digest"),
-                         F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("check")),
-                 "exact-rows")
+                         F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("check"),
+                         F.monotonically_increasing_id().alias("row_no")), "exact-rows")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = rows.select(*KEY, F.col("row_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    entries = rows.select(*KEY, F.col("row_id").alias("keep_id"), F.col("row_no").alias("keep_no"), F.lit(1).cast("long").alias("n"))
     groups = stash(tree_merge(entries, max(1, (partitions - 1).bit_length()), radix_bits)
                    .withColumnRenamed("n", "group_size"), "exact-groups")
     return rows.join(groups, KEY).select(
         F.col("row_id").alias(id_col), "keep_id", "group_size",
-        F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        (F.col("row_no") == F.col("keep_no")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

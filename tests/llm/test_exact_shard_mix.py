@@ -39,6 +39,12 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup(table(spark, [])).count() == 0
 
 
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "x y")] * 5 + [(2, "x  y")] + [(None, "lone")] * 3
+    got = exact_dedup(table(spark, rows).repartition(4)).collect()
+    assert Counter((r["doc_id"], r["kept"]) for r in got) == {(1, True): 1, (1, False): 4, (2, False): 1, (None, True): 1, (None, False): 2}
+
+
 def test_exact_dedup_hot_group(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(
         F.col("id").cast("string")).alias("text")).repartition(16)

@@ -17,11 +17,17 @@ Shards work length by length and sums across shards decide between.  A phrase
 of k + 1 words is counted in a shard only if it comes up as left extension of a
 phrase of k words and as right extension of another, both of which occur
 ``min_count`` times in all shards together: no rarer part can be in a wanted phrase.
-A shard reports (phrase before its last word, phrase after its first word,
-count); phrases are numbered by the first (shard, interval) that reports them, so equality
-is exact, without hashes.  Only phrases that pass go back to the shards that have
-them.  What a key collects is one row per shard, however often a phrase occurs, and
-no table of phrases is broadcast.
+
+Sums are made twice.  First a shard reports the hashes of its phrases, sorted and
+as differences of some 2 bytes each, with counts up to ``min_count``; ranges of the hash are added up
+over all shards, and a shard gets back one bit a phrase: whether the sum can reach
+``min_count``.  The hash has 128 values for each word of the input, so few others
+pass.  What passes is reported exactly: (number of the phrase before its last word,
+number of the phrase after its first word, count), and phrases are numbered by the
+first (shard, place) that reports them, so that the result does not depend on
+hashes.  Phrases that occur ``min_count`` times go back to the shards that have them.  A
+key collects one row per shard, however often a phrase occurs; no table of phrases is
+broadcast, and the shards stay where they are (a table bucketed by shard).
 
 Counts of first and last parts come along from the shorter phrases, products are
 DECIMAL(38,0).  A phrase is dropped if an extension by one word has at least
@@ -38,28 +44,34 @@ ones are not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqlscore.session import materialize, stash
+from sqlscore.llm.arrays import spans
+from sqlscore.session import scratch_path, stash
 
 BETWEEN_PIECES = b".,;:!?\n\x0b\x0c\r"
-TO_PIECES = bytes.maketrans(BETWEEN_PIECES + b"\t", b"\n" * len(BETWEEN_PIECES) + b" ")
+TO_PIECES = bytes.maketrans(BETWEEN_PIECES + b"\t", b"." * len(BETWEEN_PIECES) + b" ")  # no other white space is left
 SHARD_WORDS = 1 << 20
 HELD_WORDS = 3 * SHARD_WORDS  # of all languages that a task is filling shards of
 PORTION = 1 << 22             # bytes of a long text taken at a time
 NUMBER_BITS = 24              # of a phrase number: place in the shard (pieces make a shard at most twice its words)
 TASK_BITS = 16                # of a shard number: shard in the task
-SHARDS_A_TASK = 4
+SPARE_BITS = 7                # hash values for each word of the input, as a power of two
+RANGE_BITS = 6                # ranges of the hash at least, as a power of two
+RANGE_WORDS = 21              # words of the input for each range, as a power of two
 
 SHARDS = "shard bigint, lang string, size bigint, words array<binary>, counts array<bigint>, numbers binary"
-FOUND = "shard bigint, lo int, back int, n bigint, prefix bigint, suffix bigint"
+WORDS = "shard bigint, place bigint, n bigint, word binary"
+PHRASES = "shard bigint, place bigint, back bigint, n bigint, prefix bigint, suffix bigint"
 
 
 # ---------------------------------------------------------------- shards
@@ -68,7 +80,7 @@ def portions(data: bytes) -> Iterator[bytes]:
     """A text in portions that end between pieces."""
     start = 0
     while len(data) - start > PORTION:
-        cut = data.find(b"\n", start + PORTION)
+        cut = data.find(b".", start + PORTION)
         if cut < 0:
             break
         yield data[start:cut]
@@ -82,11 +94,11 @@ class Filling:
     def __init__(self):
         self.words: dict[bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
-        self.words[b"\n"]  # 0 stands between pieces
+        self.words[b"."]  # 0 stands between pieces
         self.numbers, self.size = [np.zeros(1, dtype=np.int32)], 0
 
     def add(self, portion: bytes) -> int:
-        words = [w for w in portion.replace(b"\n", b" \n ").split(b" ") if w]
+        words = portion.replace(b".", b" . ").split()
         got = np.fromiter(map(self.words.__getitem__, words), dtype=np.int32, count=len(words))
         kept = (got != 0) | np.r_[False, got[:-1] != 0]  # one 0 is enough
         self.numbers += [got[kept], np.zeros(1, dtype=np.int32)]
@@ -143,11 +155,6 @@ class Intervals(NamedTuple):
     number: np.ndarray
 
 
-def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of many spans, one after the other."""
-    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
-
-
 def word_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Places in order of the first ``depth`` symbols from there (cyclic), by prefix doubling."""
     n, bits = len(symbols), int(symbols.max()).bit_length() + 1
@@ -212,43 +219,151 @@ def longer_phrases(symbols: np.ndarray, numbers: np.ndarray, phrases: Intervals
     return left_lo[a], left_back[a], n[a], phrases.number[before[b]], phrases.number[after[a]]
 
 
-def count_longer(shards: DataFrame, depth: int) -> DataFrame:
-    """Rows of ``FOUND`` for shards with ``known`` words (struct of local number and
-    phrase number) and, beyond two words, ``phrases`` (struct of lo, back, n, number)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                column = {name: batch.column(name)[i] for name in batch.schema.names}
-                known = column["known"].values
-                local, numbers = (np.asarray(known.field(f)) for f in ("local", "number"))
-                order = np.argsort(local)
-                text = np.frombuffer(column["numbers"].as_buffer(), dtype=np.int32)
-                recode = np.zeros(max(int(text.max()), int(local.max())) + 1, dtype=np.int64)
-                recode[local[order]] = np.arange(1, len(local) + 1)
-                symbols = recode[text]
-                symbols = symbols[(symbols != 0) | np.r_[True, symbols[:-1] != 0]]
-                phrases = None
-                if "phrases" in column:
-                    given = column["phrases"].values
-                    phrases = Intervals(*(np.asarray(given.field(f)).astype(np.int64) for f in Intervals._fields))
-                lo, back, n, prefix, suffix = longer_phrases(symbols, numbers[order], phrases, depth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(lo), column["shard"].as_py())), pa.array(lo.astype(np.int32)), pa.array(back.astype(np.int32)),
-                     pa.array(n.astype(np.int64)), pa.array(prefix), pa.array(suffix)],
-                    ["shard", "lo", "back", "n", "prefix", "suffix"])
-
-    return shards.mapInArrow(run, FOUND)
+def longer_of(cell: dict, depth: int) -> dict[str, np.ndarray]:
+    """Columns of ``PHRASES`` but the shard for a shard with ``known`` words (place and
+    number) and, beyond two words, ``given`` phrases (place, back, n, number), in a fixed order."""
+    known = cell["known"].values
+    local, numbers = (np.asarray(known.field(f)) for f in ("place", "number"))
+    order = np.argsort(local)
+    text = np.frombuffer(cell["numbers"].as_buffer(), dtype=np.int32)
+    recode = np.zeros(max(int(text.max()), int(local.max())) + 1, dtype=np.int64)
+    recode[local[order]] = np.arange(1, len(local) + 1)
+    symbols = recode[text]
+    symbols = symbols[(symbols != 0) | np.r_[True, symbols[:-1] != 0]]
+    phrases = None
+    if "given" in cell:
+        given = cell["given"].values
+        phrases = Intervals(*(np.asarray(given.field(f)) for f in ("place", "back", "n", "number")))
+    lo, back, n, prefix, suffix = longer_phrases(symbols, numbers[order], phrases, depth)
+    return {"place": lo, "back": back, "n": n.astype(np.int64), "prefix": prefix, "suffix": suffix}
+
+
+def words_of(cell: dict) -> dict[str, np.ndarray]:
+    """Columns of ``WORDS`` but the shard."""
+    n = np.asarray(cell["counts"].values)
+    return {"place": np.arange(1, len(n) + 1), "n": n, "word": cell["words"].values}
+
+
+def hash_words(cell: dict, found: dict) -> np.ndarray:
+    lang = cell["lang"].as_py().encode() + b" "
+    return np.fromiter((xxhash.xxh3_64_intdigest(lang + w) for w in found["word"].to_pylist()), dtype=np.uint64, count=len(found["n"]))
+
+
+def hash_phrases(cell: dict, found: dict) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = found["prefix"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + found["suffix"].astype(np.uint64)
+        for _ in range(2):
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
 
 
 # ---------------------------------------------------------------- sums across shards
 
-def often(found: DataFrame, key: list[str], place: str, min_count: int, name: str) -> DataFrame:
-    """The rows of shards whose ``n`` sums up to ``min_count`` by key, with this sum
+class Sums(NamedTuple):
+    """How shards report what they find: ``find`` gives columns of ``schema``, ``hashes`` their keys."""
+    find: Callable[[dict], dict]
+    hashes: Callable[[dict, dict], np.ndarray]
+    schema: str
+    min_count: int
+    bits: int        # of a hash
+    range_bits: int
+
+    def sorted_hashes(self, cell: dict, found: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order, the order, and where each range begins and the last ends."""
+        h = self.hashes(cell, found) >> np.uint64(64 - self.bits)
+        order = np.argsort(h, kind="stable")
+        edges = np.arange((1 << self.range_bits) + 1, dtype=np.uint64) << np.uint64(self.bits - self.range_bits)
+        return h[order], order, np.searchsorted(h[order], edges)
+
+
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i] for name in batch.schema.names}
+
+
+def may_be_often(shards: DataFrame, sums: Sums) -> DataFrame:
+    """For each shard and range of the hash the bits of what can reach ``min_count``: ``shard``, ``range``, ``bits``."""
+    width = 2 * -(-(sums.bits - sums.range_bits) // 16)  # bytes of a difference, in planes of two
+    kind = np.min_scalar_type(sums.min_count)
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells_of(batches):
+            found = sums.find(cell)
+            h, order, edges = sums.sorted_hashes(cell, found)
+            count = np.minimum(found["n"], sums.min_count).astype(kind)[order]
+            rows = np.flatnonzero(np.diff(edges))
+            packed = []
+            for r in rows:
+                step = np.diff(h[edges[r]:edges[r + 1]], prepend=np.uint64(int(r) << (sums.bits - sums.range_bits)))
+                packed.append(b"".join((step >> np.uint64(16 * j)).astype(np.uint16).tobytes() for j in range(width // 2))
+                              + count[edges[r]:edges[r + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), cell["shard"].as_py(), dtype=np.int64)), pa.array(rows.astype(np.int32)),
+                                              pa.array(packed, pa.binary())], ["shard", "range", "packed"])
+
+    def add(held: list[dict]) -> pa.RecordBatch:
+        size = [len(x["packed"]) // (width + kind.itemsize) for x in held]
+        hashes, counts = [], []
+        for x, n in zip(held, size, strict=True):
+            planes = np.frombuffer(x["packed"], dtype=np.uint16, count=n * width // 2).reshape(-1, n).astype(np.uint64)
+            hashes.append(np.cumsum(sum(p << np.uint64(16 * j) for j, p in enumerate(planes)), dtype=np.uint64))
+            counts.append(np.frombuffer(x["packed"], dtype=kind, offset=n * width))
+        _, group = np.unique(np.concatenate(hashes), return_inverse=True)
+        often = np.bincount(group, weights=np.concatenate(counts)) >= sums.min_count
+        bits = [np.packbits(b).tobytes() for b in np.split(often[group], np.cumsum(size)[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array([x["shard"] for x in held], pa.int64()), pa.array([x["range"] for x in held], pa.int32()),
+                                           pa.array(bits, pa.binary())], ["shard", "range", "bits"])
+
+    def add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for cell in cells_of(batches):
+            row = {k: v.as_py() for k, v in cell.items()}
+            if held and held[-1]["range"] != row["range"]:
+                yield add(held)
+                held = []
+            held.append(row)
+        if held:
+            yield add(held)
+
+    reported = shards.mapInArrow(report, "shard bigint, range int, packed binary")
+    dealt = reported.repartition(1 << sums.range_bits, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(add_ranges, "shard bigint, range int, bits binary")
+
+
+def often(shards: DataFrame, sums: Sums, key: list[str], name: str) -> DataFrame:
+    """Rows of ``sums.schema`` whose ``n`` sums up to ``min_count`` by key, with this sum
     ``a``, the ``number`` of the key and whether the row is the one that ``counts`` for it."""
-    own = F.shiftleft(F.col("shard"), NUMBER_BITS) + F.col(place)
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells_of(batches):
+            found = sums.find(cell)
+            _, order, edges = sums.sorted_hashes(cell, found)
+            passed = np.zeros(len(order), dtype=bool)
+            for m in cell["masks"].as_py():
+                a, b = edges[m["range"]], edges[m["range"] + 1]
+                passed[order[a:b]] = np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), count=b - a)
+            at = np.flatnonzero(passed)
+            columns = [c.take(pa.array(at)) if isinstance(c, pa.Array) else pa.array(c[at]) for c in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell["shard"].as_py(), dtype=np.int64)), *columns],
+                                             ["shard", *found])
+
+    masks = may_be_often(shards, sums).groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("masks"))
+    rows = shards.join(masks, "shard").mapInArrow(report, sums.schema)
+    if "lang" in key:
+        rows = rows.join(shards.select("shard", "lang"), "shard")
+    own = F.shiftleft(F.col("shard"), NUMBER_BITS) + F.col("place")
     by = Window.partitionBy(*key)  # a row per shard
-    summed = found.withColumn("own", own).withColumn("a", F.sum("n").over(by)).withColumn("number", F.min("own").over(by))
-    return stash(summed.filter(F.col("a") >= min_count).withColumn("counts", F.col("own") == F.col("number")).drop("own"), name)
+    summed = rows.withColumn("own", own).withColumn("a", F.sum("n").over(by)).withColumn("number", F.min("own").over(by))
+    return stash(summed.filter(F.col("a") >= sums.min_count).withColumn("counts", F.col("own") == F.col("number")).drop("own"), name)
+
+
+def by_shard(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """Write a table bucketed by shard: joins by shard then leave it where it is."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.write.bucketBy(buckets, "shard").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def phrase_tables(words: DataFrame, longer: list[DataFrame]) -> list[DataFrame]:
@@ -277,21 +392,23 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                         F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).filter(F.col("text").isNotNull())
-    shards = stash(make_shards(texts, shard_words), "phrase-shards")
-    each = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    words = often(each.select("shard", "lang", (F.col("at") + 1).alias("local"), F.col("w.words").alias("word"),
-                              F.col("w.counts").alias("n")), ["lang", "word"], "local", min_count, "phrases-1")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards.count() // SHARDS_A_TASK + 1)
-    known = words.groupBy("shard").agg(F.collect_list(F.struct("local", "number")).alias("known"))
-    # one partitioning by shard serves all lengths: only phrases that pass are shuffled to it
-    indexed = materialize(shards.select("shard", "numbers").repartition(partitions, "shard").join(known, "shard"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = by_shard(make_shards(texts, shard_words), buckets, "phrase-shards")
+    total = shards.agg(F.sum("size")).first()[0] or 0
+    bits = max(32, int(total).bit_length() + SPARE_BITS)
+    range_bits = max(RANGE_BITS, int(total).bit_length() - RANGE_WORDS)
+    words = often(shards.select("shard", "lang", "words", "counts"),
+                  Sums(words_of, hash_words, WORDS, min_count, bits, range_bits), ["lang", "word"], "phrases-1")
+    known = by_shard(words.groupBy("shard").agg(F.collect_list(F.struct("place", "number")).alias("known")), buckets, "phrase-words")
+    indexed = shards.select("shard", "numbers").join(known, "shard")
     longer: list[DataFrame] = []
     for size in range(2, max_words + 1):
         given = indexed
         if longer:
             given = indexed.join(longer[-1].groupBy("shard").agg(
-                F.collect_list(F.struct("lo", "back", "n", "number")).alias("phrases")), "shard")
-        longer.append(often(count_longer(given, max_words), ["prefix", "suffix"], "lo", min_count, f"phrase-rows-{size}"))
+                F.collect_list(F.struct("place", "back", "n", "number")).alias("given")), "shard")
+        sums = Sums(partial(longer_of, depth=size), hash_phrases, PHRASES, min_count, bits, range_bits)
+        longer.append(often(given, sums, ["prefix", "suffix"], f"phrases-rows-{size}"))
     tables = phrase_tables(words, longer)[1:]
     pairs = [t.select(F.explode(F.array("prefix", "suffix")).alias("number"), F.col("a").alias("longer")) for t in tables[1:]]
     found = None

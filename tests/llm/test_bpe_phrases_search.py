@@ -113,6 +113,11 @@ def phrases_by_brute_force(rows, min_count, top=2000, max_words=5):
             for lang, found in out.items() for i, (s, a, p, left, right) in enumerate(sorted(found)[:top])}
 
 
+@pytest.fixture(autouse=True)
+def few_ranges(monkeypatch):
+    monkeypatch.setattr(collocations, "RANGE_BITS", 2)
+
+
 def phrases(spark, rows, **args):
     return {tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, DOCS), **args).collect()}
 

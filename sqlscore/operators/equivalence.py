@@ -9,7 +9,12 @@ join, so a hot row value is collapsed before it moves.
 
 ``fingerprint`` reduces a result to (row count, order-free 64-bit hash
 sum); different fingerprints prove a difference without a shuffle of the
-rows, equal ones are confirmed by the exact diff when asked.
+rows.  ``bucket_fingerprints`` do so for each bucket of the hash range, and
+``confirm_diff`` sends only rows of buckets that differ through the exact diff.
+
+Ordered mode compares bags of (place, row).  The place is the dense rank by the
+keys of the result's own top-level ORDER BY, in its directions, so rows among
+ties may stand in any order.  See ``places`` for results without one.
 """
 
 from __future__ import annotations
@@ -103,9 +108,17 @@ def check_plan(df: DataFrame, views: set[str] | None = None) -> None:
             exprs += _elements(e.children())
 
 
+def parse_alone(spark: SparkSession, text: str) -> None:
+    """Refuse a text that is no query by itself, whatever it is between the
+    brackets it is pasted into (``SELECT 1 AS a) t, (SELECT 2 AS b``)."""
+    spark._jsparkSession.sessionState().sqlParser().parseQuery(_body(text))
+
+
 def run_query(spark: SparkSession, text: str | None, views: set[str] | None = None) -> DataFrame:
     """Analyse a query text (eagerly, on the driver); raises on any error."""
-    df = spark.sql(wrap_query(text))
+    wrapped = wrap_query(text)
+    parse_alone(spark, text)
+    df = spark.sql(wrapped)
     check_plan(df, views)
     return df
 
@@ -170,9 +183,35 @@ def _comparable_type(dt: T.DataType) -> T.DataType:
 _DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}  # decimal digits of integral types
 
 
+def _split_type(scale: int) -> T.StructType:
+    """Sign, whole part and fraction of a number, where 38 digits don't hold both parts."""
+    return T.StructType([T.StructField("negative", T.BooleanType()), T.StructField("whole", T.DecimalType(38, 0)),
+                         T.StructField("fraction", T.DecimalType(38, scale))])
+
+
+def _is_split(dt: T.DataType) -> bool:
+    return isinstance(dt, T.StructType) and dt.names == ["negative", "whole", "fraction"]
+
+
+def _to_type(c: Column, given: T.DataType, wanted: T.DataType) -> Column:
+    """The column in the common type; whole part and fraction are exact for every decimal."""
+    if given == wanted:
+        return c
+    if not (_is_split(wanted) and isinstance(given, _INTEGRAL + (T.DecimalType,))):
+        return c.cast(wanted)
+    scale = given.scale if isinstance(given, T.DecimalType) else 0
+    size = F.abs(c if scale or isinstance(given, T.DecimalType) else c.cast(T.DecimalType(19, 0)))
+    fraction = size % F.lit(1).cast(T.DecimalType(1, 0)) if scale < 38 else size  # DECIMAL(38,38) has no whole part
+    fields = wanted.fields
+    return F.when(c.isNotNull(), F.struct(
+        (c < 0).alias("negative"), F.floor(size).cast(fields[1].dataType).alias("whole"),
+        fraction.cast(fields[2].dataType).alias("fraction")))
+
+
 def common_type(a: T.DataType, b: T.DataType, strict: bool = False) -> T.DataType | None:
-    """The type both columns are compared in.  Exact numbers widen exactly; only
-    where a side is a float is it DOUBLE.  None: no such type (or ``strict``)."""
+    """The type both columns are compared in.  Exact numbers widen exactly, decimals
+    too wide for one type to sign, whole part and fraction; only where a side is a
+    float is it DOUBLE.  None: no such type (or ``strict``)."""
     if a == b:
         return a
     if strict:
@@ -187,7 +226,7 @@ def common_type(a: T.DataType, b: T.DataType, strict: bool = False) -> T.DataTyp
         (wa, sa), (wb, sb) = ((x.precision - x.scale, x.scale) if isinstance(x, T.DecimalType)
                               else (_DIGITS[type(x)], 0) for x in (a, b))
         whole, scale = max(wa, wb), max(sa, sb)
-        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else _split_type(scale)
     times = (T.TimestampType, T.TimestampNTZType, T.DateType)
     if isinstance(a, times) and isinstance(b, times):
         return T.TimestampNTZType()
@@ -195,10 +234,10 @@ def common_type(a: T.DataType, b: T.DataType, strict: bool = False) -> T.DataTyp
         return T.StringType()
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
         inner = common_type(a.elementType, b.elementType)
-        return inner and T.ArrayType(inner)
+        return inner and not _is_split(inner) and T.ArrayType(inner) or None
     if isinstance(a, T.StructType) and isinstance(b, T.StructType) and len(a.fields) == len(b.fields):
         inner = [common_type(x.dataType, y.dataType) for x, y in zip(a.fields, b.fields)]
-        if all(inner):
+        if all(inner) and not any(map(_is_split, inner)):
             return T.StructType([T.StructField(f.name, t) for f, t in zip(a.fields, inner)])
     return None
 
@@ -230,8 +269,8 @@ def _aligned(gold: DataFrame, cand: DataFrame, strict_types: bool = False):
             return None
         if dt is None:
             raise TypeMismatch(f"column {i}: {gdt.simpleString()} and {cdt.simpleString()}")
-        gexprs.append((gcol if gdt == dt else gcol.cast(dt)).alias(f"_c{i}"))
-        cexprs.append((ccol if cdt == dt else ccol.cast(dt)).alias(f"_c{i}"))
+        gexprs.append(_to_type(gcol, gdt, dt).alias(f"_c{i}"))
+        cexprs.append(_to_type(ccol, cdt, dt).alias(f"_c{i}"))
     return gsrc, gexprs, csrc, cexprs
 
 
@@ -267,55 +306,132 @@ def dense_index(df: DataFrame, name: str = IDX) -> DataFrame:
             .drop("__pid", "__mid", "__base", "__off"))
 
 
-def _by_mode(gold: DataFrame, cand: DataFrame, mode: str, order_key: str | None):
+@dataclass(frozen=True)
+class Order:
+    """What a result is ordered by: ``keys`` as (column number, ascending, nulls
+    first), or no keys where it is ordered by something that is no column of it."""
+    keys: tuple[tuple[int, bool, bool], ...] = ()
+
+
+def sort_order(df: DataFrame) -> Order | None:
+    """The order that a query asks for with its top-level ORDER BY, from the
+    analysed plan; None if it asks for none.  An ORDER BY in a sub-query is none."""
+    plan = df._jdf.queryExecution().analyzed()
+    ids = [a.exprId().id() for a in _elements(plan.output())]
+    while (kind := plan.getClass().getSimpleName()) != "Sort":
+        if kind == "Project":
+            named = {}
+            for e in _elements(plan.projectList()):
+                if e.getClass().getSimpleName() == "Alias" and e.child().getClass().getSimpleName() == "AttributeReference":
+                    named[e.exprId().id()] = e.child().exprId().id()
+            ids = [named.get(i, i) for i in ids]
+        elif kind == "WithCTE":
+            plan = plan.plan()
+            continue
+        elif kind not in ("GlobalLimit", "LocalLimit", "Offset") and not (kind == "SubqueryAlias" and plan.alias() == "__q"):
+            return None
+        plan = plan.child()
+    keys = []
+    for o in _elements(plan.order()):
+        by = o.child()
+        if by.getClass().getSimpleName() != "AttributeReference" or by.exprId().id() not in ids:
+            return Order()
+        keys.append((ids.index(by.exprId().id()), o.direction().sql() == "ASC", o.nullOrdering().sql() == "NULLS FIRST"))
+    return Order(tuple(keys))
+
+
+def orders_of(gold: DataFrame, cand: DataFrame, order_key: str | None = None) -> tuple[Order | None, Order | None]:
+    """The orders two results are compared in.  ``order_key`` (``_c0``, ...) sets an
+    ascending one for both.  A candidate that is ordered by the gold's keys and further
+    ones only settles the gold's ties, so it is compared by the gold's."""
+    if order_key is not None:
+        own = Order(((int(order_key.removeprefix("_c")), True, True),))
+        return own, own
+    g, c = sort_order(gold), sort_order(cand)
+    if g is None:
+        return None, None
+    if c is not None and g.keys and c.keys[:len(g.keys)] == g.keys:
+        c = g
+    return g, c
+
+
+def places(df: DataFrame, order: Order | None) -> DataFrame:
+    """Add each row's place: the dense rank by the order's keys.  Without an order
+    all rows share a place (one big tie); by something that is no column it is the
+    row's position in the result.
+
+    Ranks are found for the distinct keys only, by a range-partitioned sort, and
+    come back by a join on the keys."""
+    if order is None:
+        return df.withColumn(IDX, F.lit(0).cast("long"))
+    if not order.keys:
+        return dense_index(df)
+    names = [f"_c{i}" for i in dict.fromkeys(i for i, _, _ in order.keys)]
+    by = []
+    for i, up, nulls_first in order.keys:
+        c = F.col(f"_c{i}")
+        by.append((c.asc_nulls_first() if nulls_first else c.asc_nulls_last()) if up
+                  else (c.desc_nulls_first() if nulls_first else c.desc_nulls_last()))
+    ranks = dense_index(df.select(*names).distinct().orderBy(*by))
+    ranks = ranks.select(*(F.col(n).alias(f"__k{n}") for n in names), IDX)
+    same = functools.reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"__k{n}")) for n in names])
+    return df.join(ranks, same).drop(*(f"__k{n}" for n in names))
+
+
+Orders = tuple[Order | None, Order | None]
+
+
+def _by_mode(gold: DataFrame, cand: DataFrame, mode: str, orders: Orders | None):
     """Both sides and the columns that make up a row in ``mode``."""
     if mode == "set":
         gold, cand = gold.distinct(), cand.distinct()
     elif mode == "ordered":
-        if order_key is None:
-            raise ValueError("ordered mode needs an order_key")
-        sides = []
-        for df in (gold, cand):  # rows with equal keys share a place
-            keys = dense_index(df.select(order_key).distinct().orderBy(order_key)).withColumnRenamed(order_key, "__key")
-            sides.append(df.join(keys, df[order_key].eqNullSafe(keys["__key"])).drop("__key", order_key))
-        gold, cand = sides
+        if orders is None:
+            raise ValueError("ordered mode needs the orders of both results")
+        gold, cand = places(gold, orders[0]), places(cand, orders[1])
     elif mode != "bag":
         raise ValueError(f"unknown mode {mode!r}")
     return gold, cand, list(gold.columns)
 
 
-def signed_diff(gold: DataFrame, cand: DataFrame, mode: str = "bag", order_key: str | None = None) -> DataFrame:
+def _signed(gold: DataFrame, cand: DataFrame, mode: str, orders: Orders | None) -> tuple[DataFrame, list[str]]:
+    """All rows of both sides with their sign, and the columns that make up a row."""
+    gold, cand, cols = _by_mode(gold, cand, mode, orders)
+    return gold.select(*cols, F.lit(1).alias(SIGN)).union(cand.select(*cols, F.lit(-1).alias(SIGN))), cols
+
+
+def signed_diff(gold: DataFrame, cand: DataFrame, mode: str = "bag", orders: Orders | None = None) -> DataFrame:
     """Rows whose multiplicity differs: columns _c*, ``n`` (>0 gold has more)
     and ``side``.  Inputs must already be aligned (same width and types).
 
-    mode: ``bag`` (duplicates count), ``set`` (distinct rows), ``ordered`` (a
-    row's place is part of it).  In ordered mode ``order_key`` names the column
-    (``_c0``, ...) that orders both results; the place is its dense rank and
-    stands for the key's own value."""
-    gold, cand, cols = _by_mode(gold, cand, mode, order_key)
-    both = gold.withColumn(SIGN, F.lit(1)).unionByName(cand.withColumn(SIGN, F.lit(-1)))
+    mode: ``bag`` (duplicates count), ``set`` (distinct rows), ``ordered`` (a row's
+    place is part of it; ``orders`` from ``orders_of`` the results before alignment)."""
+    both, cols = _signed(gold, cand, mode, orders)
     return (both.groupBy(*cols).agg(F.sum(SIGN).alias("n"))
             .filter(F.col("n") != 0)
             .withColumn("side", F.when(F.col("n") > 0, F.lit("gold")).otherwise(F.lit("candidate"))))
 
 
-def diff_counts(gold: DataFrame, cand: DataFrame, mode: str = "bag", order_key: str | None = None) -> DataFrame:
+def diff_counts(gold: DataFrame, cand: DataFrame, mode: str = "bag", orders: Orders | None = None) -> DataFrame:
     """One row: gold_rows, cand_rows, only_in_gold, only_in_candidate.
 
     Counts ride along the same grouping as the diff, so a pair costs one shuffle.
     """
-    gold, cand, cols = _by_mode(gold, cand, mode, order_key)
-    both = gold.select(*cols, F.lit(1).alias(SIGN)).union(cand.select(*cols, F.lit(-1).alias(SIGN)))
-    return _count_columns(both, cols)
+    return _count_columns(*_signed(gold, cand, mode, orders))
 
 
 def _count_columns(both: DataFrame, cols: list[str]) -> DataFrame:
     """Signed rows grouped by every column -> one row of counts.  Partial sums
     collapse repeated rows on the map side before the shuffle."""
-    grouped = both.groupBy(*cols).agg(
-        F.sum(SIGN).alias("n"),
-        F.count_if(F.col(SIGN) > 0).alias("g"),
-        F.count_if(F.col(SIGN) < 0).alias("c"))
+    return _counts(_grouped(both, cols))
+
+
+def _grouped(both: DataFrame, cols: list[str]) -> DataFrame:
+    return both.groupBy(*cols).agg(F.sum(SIGN).alias("n"), F.count_if(F.col(SIGN) > 0).alias("g"),
+                                   F.count_if(F.col(SIGN) < 0).alias("c"))
+
+
+def _counts(grouped: DataFrame) -> DataFrame:
     return grouped.agg(
         F.coalesce(F.sum("g"), F.lit(0)).cast("long").alias("gold_rows"),
         F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("cand_rows"),
@@ -337,7 +453,8 @@ def results_equal(gold: DataFrame, cand: DataFrame, mode: str = "bag",
         both = gsrc.select(*gexprs, F.lit(1).alias(SIGN)).union(csrc.select(*cexprs, F.lit(-1).alias(SIGN)))
         counts = _count_columns(both, [f"_c{i}" for i in range(len(gexprs))])
     else:
-        counts = diff_counts(*align(gold, cand, strict_types), mode=mode, order_key=order_key)
+        orders = orders_of(gold, cand, order_key) if mode == "ordered" else None
+        counts = diff_counts(*align(gold, cand, strict_types), mode=mode, orders=orders)
     return counts.select("*", ((F.col("only_in_gold") == 0) & (F.col("only_in_candidate") == 0)).alias("value"))
 
 
@@ -356,7 +473,7 @@ def diff_sample(gold: DataFrame, cand: DataFrame, k: int = 5, mode: str = "bag",
     pair = align(gold, cand)
     if pair is None:
         raise ValueError("results have different widths")
-    d = signed_diff(*pair, mode=mode, order_key=order_key)
+    d = signed_diff(*pair, mode=mode, orders=orders_of(gold, cand, order_key) if mode == "ordered" else None)
     cols = [c for c in d.columns if c.startswith("_c") or c == IDX]
     parts = [d.filter(F.col("side") == s).orderBy(*cols).limit(k) for s in ("gold", "candidate")]
     return parts[0].unionByName(parts[1])
@@ -383,6 +500,34 @@ def fingerprint(df: DataFrame) -> DataFrame:
                   .alias("hash_sum"))
 
 
+def bucket_fingerprints(gold: DataFrame, cand: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Buckets of the row hash in which two aligned results differ: ``bucket`` and
+    ``rows``, the number of rows of both sides in it.  Each task sends at most one
+    row a bucket.  Sums of 64-bit hashes: unequal sums prove a difference."""
+    sides = []
+    for df, sign in ((gold, 1), (cand, -1)):
+        h = row_hash(df)
+        sides.append(df.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.lit(sign).alias(SIGN),
+                               (h.cast("decimal(38,0)") * sign).cast("decimal(38,0)").alias("h")))
+    sums = sides[0].union(sides[1]).groupBy("bucket").agg(
+        F.sum(SIGN).alias("n"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("rows"))
+    return sums.filter((F.col("n") != 0) | (F.col("h") != 0)).select("bucket", "rows")
+
+
+def confirm_diff(gold: DataFrame, cand: DataFrame, buckets: int = 1024) -> DataFrame:
+    """The exact bag difference (as ``signed_diff``) of two results that are mostly
+    equal: only rows of buckets with unequal fingerprints are shuffled.  Choose
+    ``buckets`` well above the number of rows expected to differ."""
+    pair = align(gold, cand)
+    if pair is None:
+        raise ValueError("results have different widths")
+    unequal = F.broadcast(bucket_fingerprints(*pair, buckets).select("bucket"))  # at most ``buckets`` rows
+    own = "__bucket"
+    sides = [df.withColumn(own, F.pmod(row_hash(df), F.lit(buckets)).cast("int"))
+             .join(unequal, F.col(own) == F.col("bucket"), "left_semi").drop(own) for df in pair]
+    return signed_diff(*sides)
+
+
 # ------------------------------------------------------------ pair scoring
 
 @dataclass
@@ -404,15 +549,20 @@ VERDICT_SCHEMA = T.StructType([
 
 
 _VERDICT = Row(*VERDICT_SCHEMA.fieldNames())
+REPORT_SCHEMA = T.StructType([*VERDICT_SCHEMA.fields, T.StructField("side", T.StringType()), T.StructField("row", T.StringType())])
 _SIMPLE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 
-def _verdict_sql(pair: Pair, gold: DataFrame, cand: DataFrame, strict_types: bool) -> str | None:
+def _verdict_sql(pair: Pair, gold: DataFrame, cand: DataFrame, strict_types: bool, samples: int | None = None) -> str | None:
     """One statement computing a bag verdict for two analysed texts, or None
     when the DataFrame path is needed (widths or strict types differ, or a
     column is not of an atomic or map-of-atomic type).  Composing the pair as
-    one SQL statement costs one analysis instead of one per API call."""
+    one SQL statement costs one analysis instead of one per API call.
+
+    With ``samples`` the statement also gives that many differing rows a side
+    (``REPORT_SCHEMA``); they read the very grouping that is counted, whose shuffle
+    Spark runs once."""
     gf, cf = gold.schema.fields, cand.schema.fields
     if len(gf) != len(cf):
         return None
@@ -429,7 +579,7 @@ def _verdict_sql(pair: Pair, gold: DataFrame, cand: DataFrame, strict_types: boo
                 return None
         (ge, gdt), (ce, cdt) = exprs
         dt = common_type(gdt, cdt, strict_types)
-        if dt is None:  # the DataFrame path tells why
+        if dt is None or _is_split(dt):  # the DataFrame path splits, or tells why not
             return None
         gsel.append(ge if gdt == dt else f"CAST({ge} AS {dt.simpleString()})")
         csel.append(ce if cdt == dt else f"CAST({ce} AS {dt.simpleString()})")
@@ -438,23 +588,44 @@ def _verdict_sql(pair: Pair, gold: DataFrame, cand: DataFrame, strict_types: boo
     pid = pair.pair_id.replace("'", "''")
     gs = ", ".join(f"{e} AS _c{i}" for i, e in enumerate(gsel))
     cs = ", ".join(f"{e} AS _c{i}" for i, e in enumerate(csel))
+    more, tail = "", ""
+    if samples is not None:
+        cells = ", ".join(f"'_c{i}', _c{i}" for i in range(len(gf)))
+        none = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in VERDICT_SCHEMA.fields[1:])
+        more = ", CAST(NULL AS STRING) AS side, CAST(NULL AS STRING) AS row"
+        tail = "".join(f"""
+UNION ALL SELECT '{pid}', {none}, '{side}', to_json(named_struct({cells}))
+FROM (SELECT * FROM grp WHERE n {sign} 0 AND g + c > 0 ORDER BY {keys} LIMIT {samples})"""
+                       for side, sign in (("gold", ">"), ("candidate", "<")))
     return f"""WITH g AS (SELECT * FROM (
 {_body(pair.gold_sql)}
 ) AS __g({cols})), c AS (SELECT * FROM (
 {_body(pair.cand_sql)}
 ) AS __c({cols})),
 s AS (SELECT {gs}, 1 AS {SIGN} FROM g UNION ALL SELECT {cs}, -1 AS {SIGN} FROM c),
-grp AS (SELECT sum({SIGN}) AS n, count_if({SIGN} > 0) AS g, count_if({SIGN} < 0) AS c FROM s GROUP BY {keys}),
+grp AS (SELECT {keys}, sum({SIGN}) AS n, count_if({SIGN} > 0) AS g, count_if({SIGN} < 0) AS c FROM s GROUP BY {keys}),
 tot AS (SELECT CAST(coalesce(sum(g), 0) AS BIGINT) AS gold_rows, CAST(coalesce(sum(c), 0) AS BIGINT) AS cand_rows,
   CAST(coalesce(sum(CASE WHEN n > 0 THEN n END), 0) AS BIGINT) AS only_in_gold,
   CAST(coalesce(sum(CASE WHEN n < 0 THEN -n END), 0) AS BIGINT) AS only_in_candidate FROM grp)
 SELECT '{pid}' AS pair_id, gold_rows, cand_rows, only_in_gold, only_in_candidate,
-  (only_in_gold = 0 AND only_in_candidate = 0) AS value, CAST(NULL AS STRING) AS error FROM tot"""
+  (only_in_gold = 0 AND only_in_candidate = 0) AS value, CAST(NULL AS STRING) AS error{more} FROM tot{tail}"""
 
 
 def pair_verdict(spark: SparkSession, pair: Pair, mode: str = "bag", strict_types: bool = False,
                  order_key: str | None = None, views: set[str] | None = None) -> DataFrame:
     """Lazy one-row verdict for a pair; analysis errors become ``error`` rows."""
+    return _pair(spark, pair, mode, strict_types, order_key, views, None)
+
+
+def pair_report(spark: SparkSession, pair: Pair, mode: str = "bag", strict_types: bool = False,
+                order_key: str | None = None, views: set[str] | None = None, samples: int = 5) -> DataFrame:
+    """The verdict row of a pair and, in the same plan, up to ``samples`` differing
+    rows a side as JSON texts (rows of ``REPORT_SCHEMA`` with a ``side``)."""
+    return _pair(spark, pair, mode, strict_types, order_key, views, samples)
+
+
+def _pair(spark: SparkSession, pair: Pair, mode: str, strict_types: bool, order_key: str | None,
+          views: set[str] | None, samples: int | None) -> DataFrame:
     side = "gold:"
     try:
         if pair.gold_sql is None:
@@ -463,18 +634,45 @@ def pair_verdict(spark: SparkSession, pair: Pair, mode: str = "bag", strict_type
         side = "candidate:"
         cand = run_query(spark, pair.cand_sql, views)
         side = ""  # from here on it is about both
-        sql = _verdict_sql(pair, gold, cand, strict_types) if mode == "bag" else None
+        sql = _verdict_sql(pair, gold, cand, strict_types, samples) if mode == "bag" else None
         if sql is not None:
             return spark.sql(sql)
-        v = results_equal(gold, cand, mode=mode, strict_types=strict_types, order_key=order_key)
-        return v.select(F.lit(pair.pair_id).alias("pair_id"), "gold_rows", "cand_rows", "only_in_gold",
-                        "only_in_candidate", "value", F.lit(None).cast("string").alias("error"))
+        head = [F.lit(pair.pair_id).alias("pair_id"), "gold_rows", "cand_rows", "only_in_gold", "only_in_candidate",
+                "value", F.lit(None).cast("string").alias("error")]
+        if samples is None:
+            v = results_equal(gold, cand, mode=mode, strict_types=strict_types, order_key=order_key)
+            return v.select(*head)
+        return _report(pair, gold, cand, mode, strict_types, order_key, samples, head)
     except Exception as exc:  # noqa: BLE001 - any failure is a verdict
-        return _error_row(spark, pair.pair_id, side + classify_error(exc))
+        return _error_row(spark, pair.pair_id, side + classify_error(exc), VERDICT_SCHEMA if samples is None else REPORT_SCHEMA)
 
 
-def _error_row(spark: SparkSession, pair_id: str, error: str) -> DataFrame:
-    return spark.createDataFrame([(pair_id, None, None, None, None, False, error)], VERDICT_SCHEMA)
+def _report(pair: Pair, gold: DataFrame, cand: DataFrame, mode: str, strict_types: bool, order_key: str | None,
+            samples: int, head: list) -> DataFrame:
+    """``pair_report`` by the DataFrame API, from one grouping."""
+    if (aligned := align(gold, cand, strict_types)) is None:
+        counts = results_equal(gold, cand, strict_types=strict_types)
+        some = [(side, positional(df).limit(samples).select(F.to_json(F.struct("*")).alias("row")))
+                for side, df in (("gold", gold), ("candidate", cand))]
+    else:
+        both, cols = _signed(*aligned, mode, orders_of(gold, cand, order_key) if mode == "ordered" else None)
+        grouped = _grouped(both, cols)
+        counts = _counts(grouped).select("*", ((F.col("only_in_gold") == 0) & (F.col("only_in_candidate") == 0)).alias("value"))
+        cells = F.struct(*([F.col(IDX).alias("place")] if IDX in cols else []), *(F.col(c) for c in cols if c != IDX))
+        seen = (F.col("g") + F.col("c") > 0)  # keeps the grouping as it is counted, so that its shuffle is shared
+        first = [IDX] * (IDX in cols) + [c for c in cols if c != IDX]
+        some = [(side, grouped.filter(which & seen).orderBy(*first).limit(samples).select(F.to_json(cells).alias("row")))
+                for side, which in (("gold", F.col("n") > 0), ("candidate", F.col("n") < 0))]
+    out = counts.select(*head, F.lit(None).cast("string").alias("side"), F.lit(None).cast("string").alias("row"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in VERDICT_SCHEMA.fields[1:]]
+    for side, rows in some:
+        out = out.union(rows.select(F.lit(pair.pair_id).alias("pair_id"), *none, F.lit(side).alias("side"), "row"))
+    return out
+
+
+def _error_row(spark: SparkSession, pair_id: str, error: str, schema: T.StructType = VERDICT_SCHEMA) -> DataFrame:
+    row = (pair_id, None, None, None, None, False, error)
+    return spark.createDataFrame([row + (None,) * (len(schema) - len(row))], schema)
 
 
 def verdicts(spark: SparkSession, pairs: list[Pair], mode: str = "bag", strict_types: bool = False,
@@ -486,67 +684,66 @@ def verdicts(spark: SparkSession, pairs: list[Pair], mode: str = "bag", strict_t
     return functools.reduce(DataFrame.union, parts)  # same column order in every part
 
 
-def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag", group_size: int = 50,
-                strict_types: bool = False, order_key: str | None = None, views: set[str] | None = None) -> list[Row]:
-    """Verdict rows of ``pairs``, executed in groups of ``group_size`` plans per
-    job; a runtime error in a group re-runs that group one pair at a time so one
-    bad query cannot fail its neighbours.  One small row per given pair."""
+def _in_groups(pairs: list[Pair], group_size: int, plan, failed) -> list[Row]:
+    """Rows of ``plan(pair)`` for all pairs, so many plans a job; a runtime error in a
+    group runs that group again pair by pair, so that one bad query cannot fail its neighbours."""
     rows = []
     for i in range(0, len(pairs), group_size):
         group = pairs[i:i + group_size]
         try:
-            rows += verdicts(spark, group, mode, strict_types, order_key, views).collect()
+            rows += functools.reduce(DataFrame.union, [plan(p) for p in group]).collect()
         except Exception:  # noqa: BLE001 - fall back to singles
             for p in group:
                 try:
-                    rows += pair_verdict(spark, p, mode, strict_types, order_key, views).collect()
+                    rows += plan(p).collect()
                 except Exception as exc:  # noqa: BLE001
-                    rows.append(_VERDICT(p.pair_id, None, None, None, None, False, "runtime:" + classify_error(exc)))
+                    rows.append(failed(p, "runtime:" + classify_error(exc)))
     return rows
 
 
+def score_pairs(spark: SparkSession, pairs: list[Pair], mode: str = "bag", group_size: int = 50,
+                strict_types: bool = False, order_key: str | None = None, views: set[str] | None = None) -> list[Row]:
+    """Verdict rows of ``pairs``, executed in groups of ``group_size`` plans per
+    job.  One small row per given pair."""
+    return _in_groups(pairs, group_size, lambda p: pair_verdict(spark, p, mode, strict_types, order_key, views),
+                      lambda p, error: _VERDICT(p.pair_id, None, None, None, None, False, error))
+
+
 VERDICT_TEXT = T.StructType([*VERDICT_SCHEMA.fields, T.StructField("rationale", T.StringType()),
                              T.StructField("sample_gold", T.ArrayType(T.StringType())),
                              T.StructField("sample_candidate", T.ArrayType(T.StringType()))])
 
 
-def _samples(spark: SparkSession, pair: Pair, views: set[str] | None, k: int, mode: str = "bag",
-             order_key: str | None = None) -> dict[str, list[str]]:
-    """At most ``k`` differing rows of each side, as JSON texts.  In ordered mode
-    the row's ``place`` stands for the key's value, as in ``signed_diff``."""
-    gold, cand = run_query(spark, pair.gold_sql, views), run_query(spark, pair.cand_sql, views)
-    if len(gold.columns) != len(cand.columns):
-        sides = [positional(gold).limit(k).select(F.lit("gold").alias("side"), F.to_json(F.struct("*")).alias("row")),
-                 positional(cand).limit(k).select(F.lit("candidate").alias("side"), F.to_json(F.struct("*")).alias("row"))]
-        found = sides[0].union(sides[1])
-    else:
-        d = diff_sample(gold, cand, k, mode, order_key)
-        cells = [F.col(IDX).alias("place")] * (IDX in d.columns) + [F.col(c) for c in d.columns if c.startswith("_c")]
-        found = d.select("side", F.to_json(F.struct(*cells)).alias("row"))
-    out: dict[str, list[str]] = {"gold": [], "candidate": []}
-    for r in found.collect():  # 2 k rows
-        out[r["side"]].append(r["row"])
-    return out
+def report_pairs(spark: SparkSession, pairs: list[Pair], samples: int = 5, mode: str = "bag", group_size: int = 50,
+                 strict_types: bool = False, order_key: str | None = None, views: set[str] | None = None) -> list[tuple]:
+    """Rows of ``VERDICT_TEXT``: verdicts with a sentence that says why, and sample rows
+    where results differ.  A group's verdicts and samples are one job."""
+    report = Row(*REPORT_SCHEMA.fieldNames())
 
+    def failed(p: Pair, error: str) -> Row:
+        # a plan of several branches fails in several stages at once; the verdict alone says why
+        v = score_pairs(spark, [p], mode, 1, strict_types, order_key, views)[0]
+        return report(p.pair_id, None, None, None, None, False, v["error"] or error, None, None)
 
-def with_rationale(spark: SparkSession, pairs: list[Pair], rows: list[Row], views: set[str] | None,
-                   samples: int, mode: str = "bag", order_key: str | None = None) -> DataFrame:
-    """Verdict rows with a sentence that says why, and sample rows where results differ."""
-    by_id = {p.pair_id: p for p in pairs}
+    found = _in_groups(pairs, group_size, lambda p: pair_report(spark, p, mode, strict_types, order_key, views, samples), failed)
+    some: dict[tuple[str, str], list[str]] = {}
+    for r in found:
+        if r["side"]:
+            some.setdefault((r["pair_id"], r["side"]), []).append(r["row"])
     out = []
-    for r in rows:
-        pair_id, g, c, only_g, only_c, value, error = tuple(r)
-        some = {"gold": [], "candidate": []}
+    for r in found:
+        if r["side"]:
+            continue
+        pair_id, g, c, only_g, only_c, value, error = tuple(r)[:7]
         if error:
             why = f"Not compared: {error}."
         elif value:
             why = f"Both queries return the same {g} rows."
         else:
             why = f"{only_g} of {g} gold rows and {only_c} of {c} candidate rows have no partner."
-            if samples:
-                some = _samples(spark, by_id[pair_id], views, samples, mode, order_key)
-        out.append((pair_id, g, c, only_g, only_c, value, error, why, some["gold"], some["candidate"]))
-    return spark.createDataFrame(out, VERDICT_TEXT)
+        out.append((pair_id, g, c, only_g, only_c, value, error, why,
+                    some.get((pair_id, "gold"), []), some.get((pair_id, "candidate"), [])))
+    return out
 
 
 def _fingerprint_sql(pair: Pair, gold: DataFrame, cand: DataFrame) -> str | None:
@@ -562,7 +759,7 @@ def _fingerprint_sql(pair: Pair, gold: DataFrame, cand: DataFrame) -> str | None
                 and isinstance(f.dataType.valueType, _SIMPLE)) for f in (a, b)):
             return None
         dt = common_type(_comparable_type(a.dataType), _comparable_type(b.dataType))
-        if dt is None:
+        if dt is None or _is_split(dt):
             return None
         for side, f in (("g", a), ("c", b)):
             e = f"array_sort(map_entries(c{i}))" if isinstance(f.dataType, T.MapType) else f"c{i}"

@@ -10,8 +10,9 @@ rows with jobs of its own; ``evaluate`` unions both kinds by name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import islice
+from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from itertools import count, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def required_dims_scorer(options: dict):
 
 @scorer("sql_results_equivalence", frame=True)
 def results_scorer(df: DataFrame, options: dict) -> DataFrame:
-    keep = {k: options[k] for k in ("group_size", "mode", "order_key", "views", "samples") if k in options}
+    keep = {k: options[k] for k in ("group_size", "mode", "order_key", "views", "samples", "threads") if k in options}
     return score_results(df.sparkSession, df, **keep).select("eval_id", "value", "rationale")
 
 
@@ -111,27 +112,47 @@ def evaluate(df: DataFrame, names: list[str], **options) -> DataFrame:
     return metrics.union_feedback(*outs)
 
 
-def score_results(spark: SparkSession, df: DataFrame, group_size: int = 50, mode: str = "bag",
-                  order_key: str | None = None, views: set[str] | None = None, samples: int = 5) -> DataFrame:
+def score_results(spark: SparkSession, df: DataFrame, group_size: int = 25, mode: str = "bag",
+                  order_key: str | None = None, views: set[str] | None = None, samples: int = 5,
+                  threads: int = 4) -> DataFrame:
     """Executed-result verdict for every row of an eval set with gold_sql and
     candidate_sql, with a rationale and up to ``samples`` differing rows a side,
-    by the rules of ``mode`` (in ordered mode with the row's place for its key).
+    by the rules of ``mode`` (in ordered mode with the row's place).
 
-    Equal pairs of texts run once.  The driver (each pair needs a plan of its
-    own) holds ``group_size`` pairs at a time; their verdicts are appended to a
-    table in the shared folder and joined back to the rows."""
+    Equal pairs of texts run once.  Each pair needs a plan of its own, made on the
+    driver, so ``threads`` driver threads plan and run groups of ``group_size`` pairs at once, each group
+    as one job in a scheduler pool of its own (shared out fairly where the session has
+    ``spark.scheduler.mode=FAIR``).  The driver holds these groups and no more; a
+    group's verdicts are a table in the shared folder, and the tables are joined back to the rows."""
     text = lambda c: F.coalesce(F.sha2(F.col(c), 256), F.lit("-"))
     keyed = stash(df.withColumn("pair_id", F.sha2(F.concat_ws(":", text("gold_sql"), text("candidate_sql")), 256)), "pairs")
     distinct = keyed.select("pair_id", "gold_sql", "candidate_sql").dropDuplicates(["pair_id"]).toLocalIterator()
     path = scratch_path(spark, "verdicts")
-    spark.createDataFrame([], VERDICT_TEXT).write.parquet(path)
-    while rows := list(islice(distinct, group_size)):
-        group = [equivalence.Pair(r["pair_id"], r["gold_sql"], r["candidate_sql"]) for r in rows]
-        found = equivalence.score_pairs(spark, group, mode=mode, group_size=group_size, order_key=order_key, views=views)
-        told = equivalence.with_rationale(spark, group, found, views, samples, mode, order_key)
-        told.write.mode("append").parquet(path)
-    v = spark.read.schema(VERDICT_TEXT).parquet(path)
+    spark.createDataFrame([], VERDICT_TEXT).write.parquet(f"{path}/group=-1")
+
+    def score(nth: int, group: list[equivalence.Pair]) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"verdicts-{nth % threads}")
+        rows = equivalence.report_pairs(spark, group, samples, mode, group_size, order_key=order_key, views=views)
+        spark.createDataFrame(rows, VERDICT_TEXT).coalesce(1).write.parquet(f"{path}/group={nth}")
+
+    _run_threads(threads, score, iter(lambda: [equivalence.Pair(r["pair_id"], r["gold_sql"], r["candidate_sql"])
+                                               for r in islice(distinct, group_size)], []))
+    v = spark.read.schema(VERDICT_TEXT).parquet(path).drop("group")
     return keyed.join(v, "pair_id", "left").select(*df.columns, *[c for c in v.columns if c != "pair_id"])
 
 
+def _run_threads(threads: int, work: Callable[[int, list], None], groups: Iterator[list]) -> None:
+    """``work(number, group)`` for all groups, ``threads`` at a time; a group is drawn when a thread is free."""
+    with ThreadPoolExecutor(threads) as pool:
+        running = set()
+        for nth, group in zip(count(), groups):
+            running.add(pool.submit(work, nth, group))
+            if len(running) == threads:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                for d in done:
+                    d.result()
+        for d in running:
+            d.result()
+
+
 VERDICT_TEXT = equivalence.VERDICT_TEXT

@@ -254,6 +254,50 @@ def _result_scores() -> str:
             "|| ' candidate rows have no partner.' END AS rationale FROM p JOIN v ON p.pair = v.pair_id")
 
 
+def _ordered_rows() -> str:
+    parts = []
+    for pid, (g, c, g_place, c_place) in P.ORDERED_PAIRS.items():
+        sides = []
+        for text, place in ((g, g_place), (c, c_place)):
+            n = 1 if "MAX(" in text or "s_name" in text or "LIMIT 1" in text else 2
+            cols = ", ".join(f"c{i}" for i in range(n))
+            sides.append(f"SELECT {cols}, {place} AS place FROM ({text}) t({cols})")
+        parts.append(f"SELECT * FROM (WITH g AS ({sides[0]}), c AS ({sides[1]}), s AS (SELECT (SELECT count(*) FROM g) AS gr, "
+                     "(SELECT count(*) FROM c) AS cr, (SELECT count(*) FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM c) x) AS og, "
+                     "(SELECT count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM g) y) AS oc) "
+                     f"SELECT {lit(pid)} AS pair_id, gr AS gold_rows, cr AS cand_rows, og AS only_in_gold, oc AS only_in_candidate, "
+                     "(og = 0 AND oc = 0) AS value, CAST(NULL AS VARCHAR) AS error FROM s)")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _confirmed() -> str:
+    cols = "l_orderkey AS _c0, l_linenumber AS _c1, l_partkey AS _c2, l_quantity AS _c3"
+    sides = [f"SELECT {cols}, {lit(side)} AS side, count(*) AS mult FROM (SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b}) GROUP BY ALL"
+             for side, a, b in (("gold", "g", "c"), ("candidate", "c", "g"))]
+    return f"WITH g AS ({P.ALTERED_GOLD}), c AS ({P.ALTERED_CAND}) " + " UNION ALL ".join(sides)
+
+
+def _many() -> str:
+    """The verdicts by plain counts per nation: the second candidate leaves customers
+    without a positive balance out, the third is about suppliers, the fourth has no GROUP BY."""
+    return """
+        WITH g AS (SELECT c_nationkey AS k, c_mktsegment AS v, count(*) AS n, count(*) FILTER (c_acctbal > 0) AS m FROM customer GROUP BY ALL),
+             s AS (SELECT s_nationkey AS k, s_name AS v, count(*) AS n FROM supplier GROUP BY ALL),
+             t AS (SELECT n_nationkey, unnest([0, 1, 2, 3]) AS variant FROM nation),
+             a AS (SELECT k, count(*) AS gr, count(*) FILTER (m > 0) AS cr, count(*) FILTER (m <> n) AS og,
+                          count(*) FILTER (m <> n AND m > 0) AS oc FROM g GROUP BY k),
+             b AS (SELECT k, count(*) AS sr FROM s GROUP BY k),
+             r AS (SELECT n_nationkey, variant, coalesce(gr, 0) AS gold_rows,
+                     CASE variant WHEN 0 THEN coalesce(gr, 0) WHEN 1 THEN coalesce(cr, 0) ELSE coalesce(sr, 0) END AS cand_rows,
+                     CASE variant WHEN 0 THEN 0 WHEN 1 THEN coalesce(og, 0) ELSE coalesce(gr, 0) END AS only_in_gold,
+                     CASE variant WHEN 0 THEN 0 WHEN 1 THEN coalesce(oc, 0) ELSE coalesce(sr, 0) END AS only_in_candidate
+                   FROM t LEFT JOIN a ON a.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey WHERE variant < 3)
+        SELECT n_nationkey, CAST(variant AS INTEGER) AS variant, only_in_gold = 0 AND only_in_candidate = 0 AS value, gold_rows, cand_rows,
+               only_in_gold, only_in_candidate, CAST(NULL AS VARCHAR) AS error,
+               CAST(least(5, only_in_gold) AS INTEGER) AS n_sample_gold, CAST(least(5, only_in_candidate) AS INTEGER) AS n_sample_candidate FROM r
+        UNION ALL SELECT n_nationkey, 3, false, NULL, NULL, NULL, NULL, 'candidate:missing_group_by', 0, 0 FROM nation"""
+
+
 def _diff_rows(sample: bool) -> str:
     sides = []
     for side, a, b in (("gold", "g", "c"), ("candidate", "c", "g")):
@@ -276,6 +320,9 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "result_equiv": _pair_rows("verdict"),
         "result_fingerprint": _pair_rows("fingerprint"),
+        "result_equiv_ordered": _ordered_rows(),
+        "result_confirm_diff": _confirmed(),
+        "evaluate_many": _many(),
         "result_diff_rows": _diff_rows(False),
         "result_diff_sample": _diff_rows(True),
         "eval_set": f"{W} SELECT * FROM evals",

@@ -154,3 +154,74 @@ EXPECTED_ERRORS = {
     "m16_no_gold": "gold:no_gold",
     "m17_not_a_query": "candidate:not_a_query_or_unparsable",
 }
+
+# Ordered comparison: pair_id -> (gold, candidate, place of a gold row, place of a candidate row).  The places
+# are DuckDB expressions over the result columns (c0, c1, ...), for the oracle only; Spark takes them from the plan.
+ORDERED_PAIRS: dict[str, tuple[str, str, str, str]] = {
+    # the same keys and directions in other words
+    "o1_same_order": (
+        "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey",
+        "WITH c AS (SELECT c_custkey AS k, c_acctbal AS b FROM customer) SELECT k, b FROM c ORDER BY 2 DESC NULLS LAST, k",
+        "dense_rank() OVER (ORDER BY c1 DESC NULLS LAST, c0)", "dense_rank() OVER (ORDER BY c1 DESC NULLS LAST, c0)"),
+    # only the direction differs
+    "o2_direction": (
+        "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey",
+        "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC",
+        "dense_rank() OVER (ORDER BY c0)", "dense_rank() OVER (ORDER BY c0 DESC)"),
+    # only the values of the key differ
+    "o3_key_values": (
+        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey",
+        "SELECT o_orderkey + 1000000 AS o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey",
+        "dense_rank() OVER (ORDER BY c0)", "dense_rank() OVER (ORDER BY c0)"),
+    # only the order among ties differs (settled by a further key)
+    "o4_ties": (
+        "SELECT c_nationkey, c_name FROM customer ORDER BY c_nationkey",
+        "SELECT c_nationkey, c_name FROM customer ORDER BY c_nationkey, c_name DESC",
+        "dense_rank() OVER (ORDER BY c0)", "dense_rank() OVER (ORDER BY c0)"),
+    # the candidate leaves open what the gold settles
+    "o5_left_open": (
+        "SELECT c_nationkey, c_name FROM customer ORDER BY c_nationkey, c_name",
+        "SELECT c_nationkey, c_name FROM customer ORDER BY c_nationkey",
+        "dense_rank() OVER (ORDER BY c0, c1)", "dense_rank() OVER (ORDER BY c0)"),
+    # the candidate asks for no order
+    "o6_unordered": (
+        "SELECT n_nationkey, n_name FROM nation ORDER BY n_name",
+        "SELECT n_nationkey, n_name FROM nation",
+        "dense_rank() OVER (ORDER BY c1)", "1"),
+    # the gold asks for none, so any order will do
+    "o7_any_order": (
+        "SELECT n_nationkey, n_name FROM nation",
+        "SELECT n_nationkey, n_name FROM nation ORDER BY n_name DESC",
+        "1", "1"),
+    # the gold is ordered by a column it does not return: its rows stand at fixed positions
+    "o8_hidden_key": (
+        "SELECT s_name FROM supplier ORDER BY s_suppkey",
+        "SELECT s_name FROM supplier ORDER BY s_name",
+        "dense_rank() OVER (ORDER BY c0)", "dense_rank() OVER (ORDER BY c0)"),
+    # one row needs no order
+    "o9_single_row": (
+        "SELECT MAX(o_totalprice) AS m FROM orders ORDER BY m",
+        "SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1",
+        "1", "1"),
+}
+
+
+def ordered_pairs() -> list[Pair]:
+    return [Pair(k, v[0], v[1]) for k, v in ORDERED_PAIRS.items()]
+
+
+# A result and its copy with one altered row (for the bucketed diff).
+ALTERED_GOLD = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem"
+ALTERED_CAND = (
+    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey = (SELECT MAX(l_orderkey) FROM lineitem) "
+    "AND l_linenumber = 1 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem"
+)
+
+# Four texts for each nation (``{nation}``); the third reads the supplier table instead and the fourth is no query.
+NATION_GOLD = "SELECT c_mktsegment, COUNT(*) AS n FROM customer WHERE c_nationkey = {nation} GROUP BY c_mktsegment"
+NATION_CANDS = (
+    "SELECT c_mktsegment AS s, SUM(1) AS n FROM customer WHERE c_nationkey = {nation} GROUP BY 1",
+    "SELECT c_mktsegment, COUNT(*) FROM customer WHERE c_nationkey = {nation} AND c_acctbal > 0 GROUP BY c_mktsegment",
+    "SELECT s_name, COUNT(*) FROM supplier WHERE s_nationkey = {nation} GROUP BY s_name",
+    "SELECT c_mktsegment, COUNT(*) FROM customer WHERE c_nationkey = {nation}",
+)

@@ -58,6 +58,19 @@ def q_result_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return equivalence.fingerprint_verdicts(spark, P.pairs())
 
 
+def q_result_equiv_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 with row order: places by the keys of each query's own ORDER BY."""
+    register_views(spark, sf, ["nation", "customer", "supplier", "orders"])
+    return equivalence.verdicts(spark, P.ordered_pairs(), mode="ordered")
+
+
+def q_result_confirm_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Only rows of buckets with unequal fingerprints go through the exact diff."""
+    register_views(spark, sf, ["lineitem"])
+    d = equivalence.confirm_diff(equivalence.run_query(spark, P.ALTERED_GOLD), equivalence.run_query(spark, P.ALTERED_CAND))
+    return d.select("_c0", "_c1", "_c2", "_c3", "side", F.abs("n").alias("mult"))
+
+
 def _diff_pair(spark: SparkSession, sf: str):
     register_views(spark, sf, ["lineitem"])
     return equivalence.align(equivalence.run_query(spark, P.DIFF_GOLD), equivalence.run_query(spark, P.DIFF_CAND))
@@ -219,6 +232,18 @@ def q_evaluate_results(spark, sf):
                     "rationale")
 
 
+def q_evaluate_many(spark, sf):
+    """J4 with as many distinct pairs as nations times candidate texts, in groups run at once."""
+    register_views(spark, sf, ["customer", "supplier"])
+    n = F.col("n_nationkey").cast("string")
+    fill = lambda t: F.replace(F.lit(t), F.lit("{nation}"), n)
+    rows = load(spark, sf, "nation").select("n_nationkey", fill(P.NATION_GOLD).alias("gold_sql"), F.posexplode(
+        F.array(*map(fill, P.NATION_CANDS))).alias("variant", "candidate_sql"))
+    v = evaluate.score_results(spark, rows, group_size=20, views={"customer", "supplier"})
+    return v.select("n_nationkey", "variant", "value", "gold_rows", "cand_rows", "only_in_gold", "only_in_candidate", "error",
+                    F.size("sample_gold").alias("n_sample_gold"), F.size("sample_candidate").alias("n_sample_candidate"))
+
+
 # ---------------------------------------------------------------- metrics
 
 def q_metric_means(spark, sf):
@@ -479,6 +504,8 @@ def q_stream_scorer_means(spark, sf):
 QUERIES = {
     "result_equiv": q_result_equiv,
     "result_fingerprint": q_result_fingerprint,
+    "result_equiv_ordered": q_result_equiv_ordered,
+    "result_confirm_diff": q_result_confirm_diff,
     "result_diff_rows": q_result_diff_rows,
     "result_diff_sample": q_result_diff_sample,
     "eval_set": q_eval_set,
@@ -504,6 +531,7 @@ QUERIES = {
     "rule_limit_without_order": q_rule_limit_without_order,
     "evaluate_all": q_evaluate_all,
     "evaluate_results": q_evaluate_results,
+    "evaluate_many": q_evaluate_many,
     "metric_means": q_metric_means,
     "label_means": q_label_means,
     "quality_score": q_quality_score,

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlscore.operators.equivalence import (
-    Pair, UnsafeQuery, align, dense_index, diff_sample, fingerprint, pair_verdict, results_equal, score_pairs,
+    Pair, UnsafeQuery, align, bucket_fingerprints, confirm_diff, dense_index, diff_sample, fingerprint, pair_verdict,
+    report_pairs, results_equal, score_pairs,
     signed_diff, verdicts, wrap_query,
 )
 from sqlscore.session import scratch_path
@@ -179,14 +180,87 @@ def test_signed_diff_and_sample(spark):
 
 
 def test_ordered_mode(spark):
-    """The key orders a result; its dense rank, not its value, is the row's place."""
+    """All columns and the dense rank by the key make up a row."""
     a = spark.range(0, 50, numPartitions=4).select(F.col("id").alias("place"), (F.col("id") * 2).alias("v"))
-    b = a.select((F.col("place") * 10 + 7).alias("place"), "v").repartition(3)
-    c = a.select((-F.col("place")).alias("place"), "v")
+    b = a.repartition(3)
+    c = a.select((F.col("place") * 10 + 7).alias("place"), "v")
     assert verdict(spark, a, b, mode="ordered", order_key="_c0")["value"] is True
     assert verdict(spark, a, c, mode="ordered", order_key="_c0")["value"] is False
-    with pytest.raises(ValueError):
-        verdict(spark, a, b, mode="ordered")
+    up, down = a.orderBy("place"), a.orderBy(F.desc("place"))
+    assert verdict(spark, up, up.repartition(3).orderBy("place"), mode="ordered")["value"] is True
+    assert verdict(spark, up, down, mode="ordered")["value"] is False
+    assert verdict(spark, a, down, mode="ordered")["value"] is True  # no order asked for
+
+
+ORDERED = [
+    ("SELECT k, n FROM t_ord ORDER BY k", "SELECT k, n FROM t_ord ORDER BY k DESC", False),
+    ("SELECT k, n FROM t_ord ORDER BY k", "SELECT k + 1, n FROM t_ord ORDER BY 1", False),
+    ("SELECT n, v FROM t_ord ORDER BY v", "SELECT n, v FROM t_ord ORDER BY v, n DESC", True),
+    ("SELECT n, v FROM t_ord ORDER BY v", "SELECT n, v FROM t_ord ORDER BY 2", True),
+    ("SELECT n, v FROM t_ord ORDER BY v, n", "SELECT n, v FROM t_ord ORDER BY v", False),
+    ("WITH c AS (SELECT * FROM t_ord) SELECT n, v FROM c ORDER BY v, n LIMIT 3", "SELECT n, v FROM t_ord ORDER BY v, n LIMIT 3;", True),
+    ("SELECT n FROM t_ord ORDER BY k", "SELECT n FROM t_ord ORDER BY n", True),
+    ("SELECT n FROM t_ord ORDER BY k DESC", "SELECT n FROM t_ord ORDER BY n", False),
+    ("SELECT n FROM t_ord ORDER BY k", "SELECT n FROM t_ord", False),
+    ("SELECT n FROM t_ord", "SELECT n FROM t_ord ORDER BY n DESC", True),
+    ("SELECT n FROM (SELECT * FROM t_ord ORDER BY k) s", "SELECT n FROM t_ord ORDER BY n DESC", True),
+    ("SELECT max(k) AS m FROM t_ord ORDER BY 1", "SELECT 5", True),
+    ("SELECT v, count(*) FROM t_ord GROUP BY v ORDER BY count(*) DESC, v NULLS LAST",
+     "SELECT v, count(1) AS c FROM t_ord GROUP BY v ORDER BY c DESC, v NULLS LAST", True),
+    ("SELECT v FROM t_ord ORDER BY v NULLS LAST", "SELECT v FROM t_ord ORDER BY v NULLS FIRST", False),
+]
+
+
+@pytest.mark.parametrize(("gold", "cand", "want"), ORDERED)
+def test_ordered_texts(spark, gold, cand, want):
+    spark.sql("SELECT * FROM VALUES (1, 'a', 10), (2, 'b', 10), (3, 'c', 20), (4, 'd', 20), (5, 'e', NULL) AS t(k, n, v)"
+              ).createOrReplaceTempView("t_ord")
+    assert pair_verdict(spark, Pair("p", gold, cand), mode="ordered").first()["value"] is want
+    (row,) = report_pairs(spark, [Pair("p", gold, cand)], mode="ordered")
+    assert row[5] is want and bool(row[8] or row[9]) is not want
+
+
+@pytest.mark.parametrize(("gold", "cand"), [("SELECT array(1)", "SELECT array(1)) t left semi join (select 1"),
+                                            ("SELECT 1 AS a, 2 AS b", "SELECT 1 AS a) t, (SELECT 2 AS b")])
+def test_text_that_is_no_query_by_itself(spark, gold, cand):
+    row = pair_verdict(spark, Pair("p", gold, cand)).first()
+    assert (row["value"], row["error"]) == (False, "candidate:not_a_query_or_unparsable")
+
+
+@pytest.mark.parametrize(("gold", "cand", "want"), [
+    ("sum(CAST(id AS DECIMAL(38,18)))", "sum(id) * 1.0", True), ("max(CAST(1 AS DECIMAL(38,0)))", "max(CAST(1 AS DECIMAL(38,10)))", True),
+    ("max(CAST(-1.5 AS DECIMAL(38,18)))", "max(CAST(-1.5 AS DECIMAL(38,30)))", True), ("max(CAST(-1.5 AS DECIMAL(38,18)))", "max(CAST(1.5 AS DECIMAL(38,30)))", False),
+    ("max(CAST(0.25 AS DECIMAL(38,38)))", "max(CAST(0.25 AS DECIMAL(38,2)))", True), ("max(9223372036854775807)", "max(CAST(9223372036854775807 AS DECIMAL(38,19)))", True),
+    ("max(CAST(NULL AS DECIMAL(38,0)))", "max(CAST(NULL AS DECIMAL(38,20)))", True), ("max(CAST(NULL AS DECIMAL(38,0)))", "max(CAST(0 AS DECIMAL(38,20)))", False),
+    ("max(CAST('99999999999999999999999999999999999999' AS DECIMAL(38,0)))", "max(CAST(0.5 AS DECIMAL(38,30)))", False)])
+def test_wide_decimals(spark, gold, cand, want):
+    spark.range(5).createOrReplaceTempView("t_ids")
+    row = pair_verdict(spark, Pair("p", f"SELECT {gold} FROM t_ids", f"SELECT {cand} FROM t_ids")).first()
+    assert (row["value"], row["error"]) == (want, None)
+
+
+@pytest.mark.parametrize("mode", ["bag", "set"])
+def test_report_is_verdict_and_samples(spark, mode):
+    spark.range(40).createOrReplaceTempView("t_rep")
+    pairs = [Pair("same", "SELECT id FROM t_rep", "SELECT id AS x FROM t_rep"), Pair("it's", "SELECT id FROM t_rep", "SELECT id + 3 FROM t_rep"),
+             Pair("width", "SELECT id FROM t_rep", "SELECT id, id FROM t_rep"), Pair("bad", "SELECT id FROM t_rep", "SELECT nope FROM t_rep"),
+             Pair("boom", "SELECT id FROM t_rep", "SELECT 1 / (id - id) FROM t_rep")]
+    rows = {r[0]: r for r in report_pairs(spark, pairs, samples=2, mode=mode, group_size=2)}
+    assert rows["same"][5] is True and rows["same"][8:] == ([], [])
+    assert rows["it's"][1:6] == (40, 40, 3, 3, False)
+    assert rows["it's"][8:] == (['{"_c0":0}', '{"_c0":1}'], ['{"_c0":40}', '{"_c0":41}'])
+    assert rows["width"][5] is False and len(rows["width"][8]) == len(rows["width"][9]) == 2
+    assert rows["bad"][6] == "candidate:unresolved" and rows["boom"][6] == "runtime:divide_by_zero"
+
+
+def test_one_changed_row_is_one_bucket(spark):
+    a = spark.range(20_000).select("id", (F.col("id") % 7).alias("v"))
+    b = a.withColumn("v", F.when(F.col("id") == 777, 99).otherwise(F.col("v")))
+    buckets = bucket_fingerprints(*align(a, b), buckets=512).collect()
+    assert 1 <= len(buckets) <= 2 and sum(r["rows"] for r in buckets) < 300
+    assert sorted((r["_c0"], r["_c1"], r["side"]) for r in confirm_diff(a, b, 512).collect()) == [(777, 0, "gold"), (777, 99, "candidate")]
+    assert confirm_diff(a, a.repartition(3), 512).count() == 0
+    assert confirm_diff(a, a.union(a.filter("id < 5")), 512).count() == 5
 
 
 def test_dense_index_is_dense(spark):

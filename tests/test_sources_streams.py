@@ -141,10 +141,9 @@ def test_score_results_shows_rows_in_every_mode(spark):
     shown = lambda **k: {r["eval_id"]: (r["value"], r["sample_gold"], r["sample_candidate"])
                          for r in score_results(spark, df, **k).collect()}
     r = shown(mode="ordered", order_key="_c0")
-    place = lambda n, x: f'{{"place":{n},"_c1":"{x}"}}'
-    first = int(r[1][1][0].split(":")[1][0])
-    assert r[1] == (False, [place(first, "a"), place(first + 1, "b")], [place(first + 1, "a"), place(first, "b")])
-    assert r[2] == (True, [], [])
+    cells = lambda n, k, x: f'{{"place":{n},"_c0":{k},"_c1":"{x}"}}'
+    assert r[1] == (False, [cells(0, 1, "a"), cells(1, 2, "b")], [cells(0, 1, "b"), cells(1, 2, "a")])
+    assert r[2] == (False, [cells(0, 1, "a")], [cells(0, 7, "a")])
     r = shown(mode="set", samples=1)
     assert r[2] == (False, ['{"_c0":1,"_c1":"a"}'], ['{"_c0":7,"_c1":"a"}'])
     assert r[3] == (False, [], ['{"_c0":4,"_c1":"d"}']) and len(r[4][2]) == 1

@@ -58,6 +58,41 @@ def without_escapes(sql: Column) -> Column:
     return F.when(sql.contains("\\"), F.regexp_replace(sql, _ESCAPED_RE, "")).otherwise(sql)
 
 
+# What can open or close a text, and everything between.
+_LEXEMES_RE = r"""/\*|\*/|--|\n|['"`]|[^'"`/*\n-]+|[\s\S]"""
+
+
+def nests_comments(sql: Column) -> Column:
+    return F.length(sql) - F.length(F.replace(sql, F.lit("/*"), F.lit(""))) >= 4
+
+
+def strip_nested(sql: Column, keep_names: bool = False) -> Column:
+    """Literals and comments out of texts whose block comments may nest, as Spark's
+    do: one pass over all openers and closers with the depth of comments and the open
+    quote (``-`` for a line comment); a text that is never closed goes to its end."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit("").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth, quote, out = s["depth"], s["quote"], s["out"]
+        to = lambda d, q, o: F.struct(d.alias("depth"), q.alias("quote"), o.alias("out"))
+        no, plain = F.lit(0), F.lit("")
+        said = F.concat(out, t)
+        name = F.when(F.lit(keep_names) & (quote == "`"), said).otherwise(out)
+        return (F.when((depth > 0) & (t == "/*"), to(depth + 1, quote, out))
+                .when((depth > 0) & (t == "*/"), to(depth - 1, quote, F.when(depth == 1, F.concat(out, F.lit(" "))).otherwise(out)))
+                .when(depth > 0, s)
+                .when((quote == "-") & (t == "\n"), to(no, plain, said))
+                .when(quote == "-", s)
+                .when((quote != "") & (t == quote), to(no, plain, F.concat(name, F.lit(" "))))
+                .when(quote != "", to(no, quote, name))
+                .when(t == "/*", to(no + 1, plain, out))
+                .when(t == "--", to(no, F.lit("-"), out))
+                .when(t.isin("'", '"', "`"), to(no, t, F.when(F.lit(keep_names) & (t == "`"), said).otherwise(F.concat(out, F.lit(" ")))))
+                .otherwise(to(no, plain, said)))
+
+    return F.aggregate(F.regexp_extract_all(sql, F.lit(_LEXEMES_RE), F.lit(0)), state, step, lambda s: s["out"])
+
+
 def strip_literals(sql: Column) -> Column:
     """Blank literals and comments; the regex runs only on texts that contain
     a possible opener (cheap literal checks first)."""
@@ -65,14 +100,21 @@ def strip_literals(sql: Column) -> Column:
     has = None
     for o in LITERAL_OPENERS:
         has = sql.contains(o) if has is None else has | sql.contains(o)
-    return F.when(has, F.regexp_replace(sql, LITERALS_RE, " ")).otherwise(sql)
+    return (F.when(nests_comments(sql), strip_nested(sql)).when(has, F.regexp_replace(sql, LITERALS_RE, " "))
+            .otherwise(sql))
+
+
+def strip_to_names(sql: Column) -> Column:
+    """Blank literals and comments but keep quoted names with their back-quotes."""
+    sql = without_escapes(sql)
+    return F.when(nests_comments(sql), strip_nested(sql, keep_names=True)).otherwise(
+        F.regexp_replace(sql, f"{_TEXT_RE}|(`[^`]*`)", "$1 "))
 
 
 def strip_texts(sql: Column) -> Column:
     """Blank literals and comments but keep quoted names, without their
     back-quotes and with no blanks around the dots between their parts."""
-    kept = F.regexp_replace(without_escapes(sql), f"{_TEXT_RE}|(`[^`]*`)", "$1 ")
-    return F.translate(F.regexp_replace(kept, r"\s*\.\s*", "."), "`", "")
+    return F.translate(F.regexp_replace(strip_to_names(sql), r"\s*\.\s*", "."), "`", "")
 
 
 def first_statement(sql: Column) -> Column:

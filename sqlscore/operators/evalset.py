@@ -3,10 +3,11 @@ limit, request shaping and gold look-up.  All lazy DataFrame transforms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlscore.functions.sqltext import escape_replacement
+from sqlscore.session import materialize
 
 
 def keep_original(df: DataFrame) -> DataFrame:
@@ -63,6 +64,46 @@ def split(df: DataFrame, test_fraction: float = 0.30, seed: int = 42, key: str =
                          .otherwise(F.lit("train")))
 
 
+HASH_BUCKETS = 4096
+
+
+def split_stratified(df: DataFrame, label: str, test_fraction: float = 0.30, seed: int = 42, key: str = "eval_id") -> DataFrame:
+    """I2 with label coverage: of the n rows of each label round(n * test_fraction) are
+    ``test``, but at least one and at most n - 1 where n is two or more; a single row is
+    ``train``.  Within a label the rows with the least hashes of the key are taken.
+
+    Rows are counted by label and part of the hash range, so the place where a label's quota ends
+    is known without sorting the label: only rows of the part it ends in are ranked, a
+    ``HASH_BUCKETS``-th of a label, however large it is.  A null label is a label; rows that share a key
+    are told apart by their other columns."""
+    if not 0.0 <= test_fraction <= 1.0:
+        raise ValueError("test_fraction must be in [0, 1]")
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8)
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*cells).alias("row"), F.col(label).alias("label"), F.conv(digits, 16, 10).cast("long").alias("h"))
+    rows = rows.withColumn("part", F.expr(f"h div {(1 << 32) // HASH_BUCKETS}"))
+    counts = rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("label")  # at most HASH_BUCKETS rows
+    total = F.sum("n").over(own)
+    quota = F.floor(total * F.lit(test_fraction) + F.lit(0.5)).cast("long")
+    quota = F.when(total == 1, F.lit(0).cast("long")).otherwise(F.least(F.greatest(quota, F.lit(1)), total - 1))
+    wanted = quota - (F.sum("n").over(own.orderBy("part")) - F.col("n"))  # of this part, if the parts before are full
+    parts = counts.select(F.col("label").alias("of"), F.col("part").alias("at"), "n", wanted.alias("wanted"))
+    joined = rows.join(parts, F.col("label").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    whole = (F.col("wanted") <= 0) | (F.col("wanted") >= F.col("n"))
+    sure = joined.filter(whole).select("row", (F.col("wanted") > 0).alias("test"))
+    order = Window.partitionBy("label", "part").orderBy("h", F.col(f"row.`{key}`"), F.xxhash64("row"))
+    cut = joined.filter(~whole).select("row", (F.row_number().over(order) <= F.col("wanted")).alias("test"))
+    return sure.union(cut).select("row.*", F.when(F.col("test"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+
+
+def materialise(df: DataFrame) -> tuple[DataFrame, int]:
+    """The frame cut off from its plan by a checkpoint in the shared folder, so that
+    several actions reuse it and survive lost executors, and its number of rows."""
+    kept = materialize(df)
+    return kept, kept.count()
+
+
 def limit(df: DataFrame, n: int | None, order_by: str = "eval_id") -> DataFrame:
     """first n by a stable key; None or 0 means no limit.  Top-k, not a sort."""
     if not n:

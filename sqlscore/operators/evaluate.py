@@ -46,6 +46,9 @@ def load_scorers(names: list[str]) -> list[str]:
     return list(names)
 
 
+ALL = "__all"  # tokens of all statements; those of the first have the suffix of ``rules``
+
+
 def _gold(suffix: str = rules.SUFFIX) -> Column:
     return F.col("gold_sql" + suffix)
 
@@ -57,20 +60,22 @@ def _cand(suffix: str = rules.SUFFIX) -> Column:
 @scorer("sql_clauses_distribution_equivalence")
 def keyword_scorer(options: dict):
     same = F.col("same_keywords")
-    return ({"same_keywords": keywords.keywords_equal(_gold(), _cand())}, same,
-            F.when(same, F.lit(keywords.PASS)).otherwise(F.lit(keywords.FAIL)))
+    return ({"same_keywords": keywords.keywords_equal(_gold(), _cand()),
+             "no_candidate": F.col("gold_sql").isNotNull() & F.col("candidate_sql").isNull()}, same,
+            F.when(same, F.lit(keywords.PASS)).when(~same, F.lit(keywords.FAIL))
+            .when(F.col("no_candidate"), F.lit(keywords.NO_CANDIDATE)).otherwise(F.lit(keywords.NO_GOLD)))
 
 
 @scorer("count_joins")
 def count_joins_scorer(options: dict):
     g, c = F.col("gold_joins"), F.col("cand_joins")
-    return ({"gold_joins": rules.join_count_tokens(_gold()), "cand_joins": rules.join_count_tokens(_cand())}, g == c,
+    return ({"gold_joins": rules.join_count_tokens(_gold(ALL)), "cand_joins": rules.join_count_tokens(_cand(ALL))}, g == c,
             F.concat_ws(" ", F.lit("joins:"), g.cast("string"), F.lit("and"), c.cast("string")))
 
 
 @scorer("has_select")
 def has_select_scorer(options: dict):
-    return {"gold_has_select": rules.has_select_tokens(_gold())}, F.col("gold_has_select"), F.lit(None).cast("string")
+    return {"gold_has_select": rules.has_select_tokens(_gold(ALL))}, F.col("gold_has_select"), F.lit(None).cast("string")
 
 
 @scorer("dimension_ambiguity")
@@ -102,7 +107,11 @@ def evaluate(df: DataFrame, names: list[str], **options) -> DataFrame:
     columns = [n for n in names if n in _COLUMNS]
     if columns:
         made = [(n, *_COLUMNS[n](options)) for n in columns]
-        parts = rules.tokenize(df, "gold_sql", "candidate_sql").select(
+        texts = ("gold_sql", "candidate_sql")
+        first = rules.tokenize(df, *texts)
+        every = [F.when(F.col(c).contains(";"), rules.sql_tokens(F.col(c), only_first_statement=False))
+                 .otherwise(F.col(c + rules.SUFFIX)).alias(c + ALL) for c in texts]
+        parts = first.select("*", *every).select(
             "eval_id", *(c.alias(name) for _, own, _, _ in made for name, c in own.items()))
         wide = parts.select("eval_id", F.array(*(
             F.struct(F.lit(n).alias("scorer"), v.alias("value"), r.alias("rationale")) for n, _, v, r in made)).alias("f"))

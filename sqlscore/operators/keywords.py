@@ -15,6 +15,8 @@ from sqlscore.functions.sqltext import LEXICON, count_map, sql_tokens
 
 PASS = "Keyword counts of the candidate and the gold query are equal."
 FAIL = "Keyword counts differ; see metadata (gold minus candidate, per keyword)."
+NO_GOLD = "Not compared: there is no gold query."
+NO_CANDIDATE = "Not compared: there is no candidate query."
 
 
 def _counts(df: DataFrame, col: str) -> Column:
@@ -30,11 +32,17 @@ def keyword_histogram(df: DataFrame, id_col: str, text_cols: dict[str, str]) ->
             .filter(F.col("keyword").isNotNull()).withColumn("n", F.col("n").cast("long")))
 
 
+def missing_text(gold: Column, cand: Column) -> Column:
+    """Why a pair cannot be compared; null if both texts are there."""
+    return F.when(gold.isNull(), F.lit(NO_GOLD)).when(cand.isNull(), F.lit(NO_CANDIDATE))
+
+
 def keyword_differences(df: DataFrame, id_col: str, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
-    """Row form: id and ``d``, a map keyword -> (gold_n, cand_n) over the union of keys."""
+    """Row form: id, ``missing`` and ``d``, a map keyword -> (gold_n, cand_n) over the union of keys."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    counted = df.select(id_col, _counts(df, gold).alias("g"), _counts(df, cand).alias("c"))
-    return counted.select(id_col, F.map_zip_with("g", "c", lambda _, g, c: F.struct(
+    counted = df.select(id_col, missing_text(F.col(gold), F.col(cand)).alias("missing"),
+                        _counts(df, gold).alias("g"), _counts(df, cand).alias("c"))
+    return counted.select(id_col, "missing", F.map_zip_with("g", "c", lambda _, g, c: F.struct(
         zero(g).alias("gold_n"), zero(c).alias("cand_n"))).alias("d"))
 
 
@@ -48,19 +56,20 @@ def keyword_diff(df: DataFrame, id_col: str, gold: str = "gold_sql", cand: str =
 def keyword_verdict(df: DataFrame, id_col: str, gold: str = "gold_sql", cand: str = "candidate_sql") -> DataFrame:
     """(id, value, n_diff_keywords, metadata, rationale) for every eval row
     (texts with no keywords at all are equal).  The metadata map keeps all
-    keys, zeros included, only when the verdict is false."""
+    keys, zeros included, only when the verdict is false.  A row without a gold or a
+    candidate text has a null verdict and the reason as its rationale."""
     diffs = keyword_differences(df, id_col, gold, cand).select(
-        id_col, F.transform_values("d", lambda _, n: (n["gold_n"] - n["cand_n"]).cast("int")).alias("difference"))
+        id_col, "missing", F.transform_values("d", lambda _, n: (n["gold_n"] - n["cand_n"]).cast("int")).alias("difference"))
     n = F.size(F.filter(F.map_values("difference"), lambda x: x != 0)).cast("long")
     value = F.col("n_diff_keywords") == 0
-    return diffs.withColumn("n_diff_keywords", n).select(
+    return diffs.withColumn("n_diff_keywords", F.when(F.col("missing").isNull(), n)).select(
         id_col, value.alias("value"), "n_diff_keywords",
-        F.when(value, F.lit(None)).otherwise(F.col("difference")).alias("metadata"),
-        F.when(value, F.lit(PASS)).otherwise(F.lit(FAIL)).alias("rationale"))
+        F.when(~value, F.col("difference")).alias("metadata"),
+        F.coalesce("missing", F.when(value, F.lit(PASS)).otherwise(F.lit(FAIL))).alias("rationale"))
 
 
 def keywords_equal(gold_tokens: Column, cand_tokens: Column) -> Column:
-    """Row form of the verdict: equal histograms <=> equal sorted keyword lists."""
+    """Row form of the verdict: equal histograms <=> equal sorted keyword lists; null without one of the texts."""
     kg = F.array_sort(F.filter(gold_tokens, lambda t: t.isin(LEXICON)))
     kc = F.array_sort(F.filter(cand_tokens, lambda t: t.isin(LEXICON)))
-    return F.coalesce(kg, F.array()) == F.coalesce(kc, F.array())
+    return kg == kc

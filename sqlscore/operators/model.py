@@ -5,6 +5,9 @@
 batch by batch.  Answers are taken by position and their number is checked.
 A call that still fails after its attempts is halved, down to single rows, so
 only the rows that fail on their own get a null output and an ``error``.
+
+``ask_stored`` keeps answers in a table, so that a job that fails late does not ask
+everything again.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +66,59 @@ def apply_model(df: DataFrame, input_col: str, fn: Callable[[pd.Series], pd.Seri
     return (df.repartition(partitions) if partitions else df).mapInPandas(run, schema)
 
 
+ANSWERS = "digest string, answer string, error string, asked_at timestamp"
+
+
+def prompt_digest(prompt: Column, model: str) -> Column:
+    """Key of an answer: the model's name and the whole prompt."""
+    return F.sha2(F.concat(F.lit(model), F.lit("\n"), prompt), 256)
+
+
+def stored_answers(spark: SparkSession, store: str) -> DataFrame:
+    """All calls recorded in a store (an empty table before the first)."""
+    try:
+        return spark.read.schema(ANSWERS).parquet(store)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ANSWERS)
+
+
+def ask_missing(df: DataFrame, input_col: str, fn: Callable[[pd.Series], pd.Series], store: str, model: str,
+                portions: int = 8, max_portions: int | None = None, attempts: int = 3, delay: float = 0.0,
+                partitions: int | None = None, batch_size: int | None = None) -> None:
+    """Ask what the store has no answer for, each different prompt once, and append
+    the calls to the store.
+
+    Prompts are cut into ``portions`` by their digest, one job each; a portion is in the
+    store as a whole or not at all.  After a crash, or a stop after ``max_portions``,
+    another call goes on with what an anti join finds unanswered.  Failed calls are
+    recorded with their error and asked again next time."""
+    prompts = df.select(F.col(input_col).alias("prompt")).filter(F.col("prompt").isNotNull()).distinct()
+    prompts = prompts.withColumn("digest", prompt_digest(F.col("prompt"), model))
+    for portion in range(portions if max_portions is None else min(portions, max_portions)):
+        have = stored_answers(df.sparkSession, store).filter(F.col("error").isNull()).select("digest")
+        mine = prompts.filter(F.pmod(F.xxhash64("digest"), F.lit(portions)) == portion).join(have, "digest", "left_anti")
+        asked = apply_model(mine, "prompt", fn, "answer", attempts, delay, partitions, batch_size)
+        asked.select("digest", "answer", "error", F.current_timestamp().alias("asked_at")).write.mode("append").parquet(store)
+
+
+def ask_stored(df: DataFrame, input_col: str, fn: Callable[[pd.Series], pd.Series], store: str, model: str,
+               output_col: str = "output", **how) -> DataFrame:
+    """``apply_model`` with a store of answers (a folder): ``output_col`` and ``error``
+    for each row, asked before or now (``how``: options of ``ask_missing``).  Rows without a
+    prompt and rows not yet asked have neither."""
+    ask_missing(df, input_col, fn, store, model, **how)
+    # two jobs that ask at once may both record a prompt: the least answer counts for all rows alike
+    calls = stored_answers(df.sparkSession, store).groupBy("digest").agg(
+        F.min(F.when(F.col("error").isNull(), F.struct(F.lit(1), F.col("answer").alias("answer")))).alias("good"),
+        F.max_by("error", "asked_at").alias("failed"))
+    answers = calls.select(F.col("digest").alias("__digest"), F.col("good.answer").alias(output_col),
+                           F.when(F.col("good").isNull(), F.col("failed")).alias("error"))
+    keyed = df.withColumn("__digest", prompt_digest(F.col(input_col), model))
+    return keyed.join(answers, "__digest", "left").drop("__digest")
+
+
 def ai_query(df: DataFrame, column: str, instruction: str, fn: Callable[[pd.Series], pd.Series],
              output_col: str) -> DataFrame:
     """Model call on ``instruction + column`` as a new column."""

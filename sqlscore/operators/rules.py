@@ -11,16 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscore.functions.sqltext import SEP1, normalised, sql_tokens, strip_texts
-
-# Lexical, over lower-cased text without literals, comments and back-quotes.
-# FROM inside a function call or a comparison names no table.
-_NOT_A_TABLE_RE = r"\b(?:extract|trim|substring|substr|overlay)\s*\([^()]*\)|\bdistinct\s+from\b"
-_ITEM_RE = r"[a-z_][\w.]*(?:\s+(?:as\s+)?[a-z_]\w*)?"
-TABLE_RE = rf"\b(?:from|join)\s+({_ITEM_RE}(?:\s*,\s*{_ITEM_RE})*)"
-CTE_RE = r"(?:\bwith(?:\s+recursive)?|,)\s*([a-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*\("
-# words that can stand after FROM, JOIN or a comma and name no table
-_NO_TABLES = ["lateral", "unnest", "values", "select", "explode", "table"]
+from sqlscore.functions.sqltext import SEP1, normalised, sql_tokens, strip_texts, strip_to_names
+
+# Lexical, over lower-cased text without literals and comments: names (with the dots and quotes
+# between their parts), brackets, commas and statement ends.
+_NAME_RE = r"(?:`[^`]*`|[a-z_]\w*)(?:\s*\.\s*(?:`[^`]*`|[a-z_]\w*))*"
+_LEXEME_RE = _NAME_RE + r"|[(),;]"
+_CTE_RE = rf"(?:\bwith(?:\s+recursive)?|,)\s*({_NAME_RE})\s*(?:\([^()]*\)\s*)?as\s*\("
+# words before a bracket that is no call's
+_NO_CALLS = ["", "(", ")", ",", ";", "from", "join", "in", "as", "exists", "and", "or", "not", "where", "select", "on", "using", "union",
+             "all", "any", "some", "when", "then", "else", "by", "having", "over", "values", "intersect", "except", "minus", "between",
+             "is", "like", "with", "lateral", "filter", "distinct", "recursive"]
+# words that end a list of tables
+_CLAUSES = ["where", "group", "order", "having", "limit", "union", "intersect", "except", "minus", "on", "using", "window", "qualify",
+            "cluster", "distribute", "sort", "offset", "fetch", "tablesample", "pivot", "unpivot", ";"]
+# words between two tables
+_JOINING = ["left", "right", "full", "inner", "outer", "cross", "natural", "semi", "anti", "as"]
+# words that can stand where a table does and name none
+_NO_TABLES = ["lateral", "unnest", "values", "explode", "table", "only"]
 
 SUFFIX = "__tokens"
 
@@ -58,14 +66,47 @@ def has_select(sql: Column) -> Column:
 
 def tables_used(sql: Column) -> Column:
     """Distinct lower-case names of the tables after FROM (comma lists too) and
-    JOIN, minus CTE names."""
-    text = F.regexp_replace(F.lower(strip_texts(sql)), _NOT_A_TABLE_RE, " ")
-    text = F.regexp_replace(text, r"\bjoin\b", "; join")  # so that JOIN is no alias
-    lists = F.regexp_extract_all(text, F.lit(TABLE_RE), F.lit(1))
-    items = F.split(F.array_join(lists, ","), r"\s*,\s*")
-    found = F.filter(F.transform(items, lambda x: F.substring_index(F.regexp_replace(x, r"\s", " "), " ", 1)), lambda x: x != "")
-    ctes = F.regexp_extract_all(text, F.lit(CTE_RE), F.lit(1))
-    return F.array_sort(F.array_distinct(F.array_except(found, F.concat(ctes, F.array(*map(F.lit, _NO_TABLES))))))
+    JOIN, minus CTE names.
+
+    One pass over the lexemes with a stack of the open brackets: each knows the word
+    before it, whether a SELECT stood in it and what was expected outside.  So a FROM in a call
+    (``extract(year FROM cast(d AS date))``) names no table however deep it is nested, and a
+    list goes on after a sub-query."""
+    text = F.lower(strip_to_names(sql))
+    bracket = "array<struct<opener:string,select:boolean,outside:int>>"
+    # wanted: 0 no table, 1 a table, 2 an alias or the comma before the next table
+    state = F.struct(F.array().cast(bracket).alias("open"), F.lit(0).alias("wanted"), F.lit("").alias("last"),
+                     F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        opened, wanted, last, found = s["open"], s["wanted"], s["last"], s["found"]
+        top = F.try_element_at(opened, F.lit(-1))
+        outer = F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0)))
+        to = lambda o, w, f=found: F.struct(o.alias("open"), w.alias("wanted"), t.alias("last"), f.alias("found"))
+        no, one, two = F.lit(0), F.lit(1), F.lit(2)
+        in_call = F.coalesce(~top["select"] & ~top["opener"].isin(_NO_CALLS), F.lit(False))
+        is_call = ~last.isin(_NO_CALLS)
+        push = lambda outside: F.array_append(opened, F.struct(
+            last.alias("opener"), F.lit(False).alias("select"), outside.alias("outside")))
+        selected = F.array_append(outer, F.struct(top["opener"].alias("opener"), F.lit(True).alias("select"), top["outside"].alias("outside")))
+        # a name and a bracket are a function that gives a table; after its alias they are column names
+        function = (wanted == 2) & (F.try_element_at(found, F.lit(-1)) == last)
+        return (F.when((t == "(") & function, to(push(two), no, F.slice(found, 1, F.size(found) - 1)))
+                .when(t == "(", to(push(wanted), F.when(is_call, no).otherwise(F.when(wanted == 1, one).otherwise(no))))
+                .when(t == ")", to(outer, F.coalesce(F.when(top["outside"] == 1, two).otherwise(top["outside"]), no)))
+                .when(t.isin("select", "with"), to(F.when(F.size(opened) > 0, selected).otherwise(opened), no))
+                .when(t == "from", to(opened, F.when(in_call | (last == "distinct"), no).otherwise(one)))
+                .when(t == "join", to(opened, one))
+                .when(t == ",", to(opened, F.when(wanted == 2, one).otherwise(wanted)))
+                .when(t.isin(_CLAUSES), to(opened, no))
+                .when(t.isin(_JOINING), to(opened, wanted))
+                .when((wanted == 1) & ~t.isin(_NO_TABLES), to(opened, two, F.array_append(found, t)))
+                .otherwise(to(opened, wanted)))
+
+    plain = lambda names: F.transform(names, lambda x: F.translate(F.regexp_replace(x, r"\s*\.\s*", "."), "`", ""))
+    found = F.aggregate(F.regexp_extract_all(text, F.lit(_LEXEME_RE), F.lit(0)), state, step, lambda s: s["found"])
+    ctes = F.regexp_extract_all(text, F.lit(_CTE_RE), F.lit(1))
+    return F.array_sort(F.array_distinct(F.array_except(plain(found), plain(ctes))))
 
 
 def missing_dims(tokens: Column, dims: list[str]) -> Column:

@@ -10,7 +10,8 @@ literal answers for fixed texts are in the tests.
 from __future__ import annotations
 
 from sqlscore.functions.sqltext import LEXICON, MULTIWORD, SEP1, SEPARATORS, fused
-from sqlscore.operators.keywords import FAIL, PASS
+from sqlscore.operators.keywords import FAIL, NO_GOLD, PASS
+from sqlscore.operators.metrics import CORE_SHARE, CORE_WEIGHTS, CUSTOM_SHARE
 from sqlscore.plans import pairs as P
 from sqlscore.plans import queries as Q
 
@@ -169,8 +170,9 @@ DIFF = """diff AS (
   FROM hist GROUP BY ALL)"""
 
 VERDICT = f"""kverdict AS (
-  SELECT c.eval_id, coalesce(p.nd, 0) = 0 AS value, CAST(coalesce(p.nd, 0) AS BIGINT) AS n_diff_keywords,
-    CASE WHEN coalesce(p.nd, 0) = 0 THEN {lit(PASS)} ELSE {lit(FAIL)} END AS rationale
+  SELECT c.eval_id, CASE WHEN gold_sql IS NOT NULL THEN coalesce(p.nd, 0) = 0 END AS value,
+    CASE WHEN gold_sql IS NOT NULL THEN CAST(coalesce(p.nd, 0) AS BIGINT) END AS n_diff_keywords,
+    CASE WHEN gold_sql IS NULL THEN {lit(NO_GOLD)} WHEN coalesce(p.nd, 0) = 0 THEN {lit(PASS)} ELSE {lit(FAIL)} END AS rationale
   FROM cands c LEFT JOIN (SELECT eval_id, count(*) FILTER (WHERE gold_n <> cand_n) AS nd FROM diff GROUP BY 1) p
   USING (eval_id))"""
 
@@ -298,6 +300,45 @@ def _many() -> str:
         UNION ALL SELECT n_nationkey, 3, false, NULL, NULL, NULL, NULL, 'candidate:missing_group_by', 0, 0 FROM nation"""
 
 
+def _judged() -> str:
+    """Feedback per pair of texts, dealt out over the orders as the rows are."""
+    names = sorted(P.PAIRS)
+    text = lambda t: "CAST(NULL AS VARCHAR)" if t is None else lit(t)
+    cands = " UNION ALL ".join(f"SELECT {i} AS eval_id, {lit(n)} AS pair, {text(P.PAIRS[n][0])} AS gold_sql, {text(P.PAIRS[n][1])} AS candidate_sql"
+                               for i, n in enumerate(names))
+    guidelines = ", ".join(f"({lit('judged_' + k)}, {lit(v)})" for k, v in Q.GUIDELINES.items())
+    weights = " ".join(f"WHEN {lit(k)} THEN {v!r}" for k, v in CORE_WEIGHTS.items())
+    return f"""WITH v AS ({_pair_rows('verdict')}), cands AS ({cands}), {HIST}, {DIFF}, {VERDICT},
+        j AS (SELECT eval_id, scorer, length(request) AS n FROM (SELECT eval_id, scorer, 'Guideline: ' || guideline || chr(10) || 'Expected SQL: '
+                || coalesce(gold_sql, '') || chr(10) || 'Candidate SQL: ' || coalesce(candidate_sql, '') AS request
+              FROM cands, (VALUES {guidelines}) g(scorer, guideline))),
+        fb AS (SELECT eval_id, 'count_joins' AS scorer, CAST({join_count('gold_sql')} = {join_count('candidate_sql')} AS DOUBLE) AS x,
+                 concat_ws(' ', 'joins:', {join_count('gold_sql')}, 'and', {join_count('candidate_sql')}) AS line FROM cands
+               UNION ALL SELECT eval_id, 'sql_clauses_distribution_equivalence', CAST(value AS DOUBLE), rationale FROM kverdict
+               UNION ALL SELECT eval_id, 'sql_results_equivalence', CAST(value AS DOUBLE), CASE WHEN error IS NOT NULL THEN 'Not compared: ' || error || '.'
+                 WHEN value THEN 'Both queries return the same ' || gold_rows || ' rows.' ELSE only_in_gold || ' of ' || gold_rows
+                 || ' gold rows and ' || only_in_candidate || ' of ' || cand_rows || ' candidate rows have no partner.' END
+                 FROM v JOIN cands ON pair = pair_id
+               UNION ALL SELECT eval_id, scorer, CASE WHEN n % 7 < 2 THEN NULL WHEN n % 7 = 2 THEN CAST(n % 2 AS DOUBLE) ELSE (n % 5) / 4.0 END,
+                 CASE n % 7 WHEN 0 THEN 'parse' WHEN 1 THEN 'score' ELSE 'length ' || n END FROM j),
+        m AS (SELECT eval_id, x, CASE scorer || '/mean' {weights} END AS w FROM fb WHERE x IS NOT NULL),
+        s AS (SELECT eval_id, count(*) AS n_metrics, coalesce(sum(x * w), 0.0) AS core, count(*) FILTER (w IS NULL) AS n_custom,
+                coalesce(sum(x) FILTER (w IS NULL), 0.0) AS custom FROM m GROUP BY 1),
+        t AS (SELECT eval_id, string_agg(scorer || ': ' || line, chr(10) ORDER BY scorer) AS feedback, count(*) AS n_feedback FROM fb GROUP BY 1)
+        SELECT o_orderkey AS eval_id, feedback, n_feedback, coalesce(n_metrics, 0) AS n_metrics,
+               round({CORE_SHARE!r} * core / n_metrics + {CUSTOM_SHARE!r} * CASE WHEN n_custom = 0 THEN 0.0 ELSE custom / n_custom / n_metrics END, {R}) AS composite
+        FROM orders JOIN t ON t.eval_id = o_orderkey % {len(names)} LEFT JOIN s ON s.eval_id = t.eval_id"""
+
+
+_LATE = """WITH e AS (SELECT *, least(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 6, 4) AS step FROM events),
+        a AS (SELECT *, event_id % 40 = 7 AND step < 4 AS late FROM e),
+        w AS (SELECT max(ts) FILTER (NOT late AND step < 4 AND event_id % 40 <> 7) - INTERVAL 1 HOUR AS before_last, max(ts) - INTERVAL 1 HOUR AS at_end FROM a),
+        k AS (SELECT *, NOT late OR date_trunc('day', ts) + INTERVAL 1 DAY > before_last AS kept FROM a, w
+              WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= at_end)
+        SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, round(avg(value) FILTER (kept), {R}) AS mean,
+               count(*) FILTER (kept) AS n, count(*) FILTER (NOT kept) AS n_late FROM k GROUP BY ALL HAVING count(*) FILTER (kept) > 0"""
+
+
 def _diff_rows(sample: bool) -> str:
     sides = []
     for side, a, b in (("gold", "g", "c"), ("candidate", "c", "g")):
@@ -323,6 +364,18 @@ def oracle_sql() -> dict[str, str]:
         "result_equiv_ordered": _ordered_rows(),
         "result_confirm_diff": _confirmed(),
         "evaluate_many": _many(),
+        "evaluate_judged": _judged(),
+        "row_context": f"{WC}, {RULES} SELECT c.eval_id, question, 2 AS n, 'count_joins,has_select' AS scorers, "
+                       "CAST(coalesce(gold_joins = cand_joins, false) AS INTEGER) + CAST(gold_has_select AS INTEGER) AS n_true "
+                       "FROM cands c JOIN r_joins j ON c.eval_id = j.eval_id JOIN r_select s ON c.eval_id = s.eval_id",
+        "model_resume": f"{W} SELECT eval_id, question, 'SELECT ' || length(question) || ' AS n' AS answer, CAST(NULL AS VARCHAR) AS error, "
+                        "CAST(1 AS BIGINT) AS n_calls FROM evals",
+        "eval_null_issues": f"{W} SELECT eval_id, question, CAST(NULL AS VARCHAR) AS issues, count(*) OVER () AS n_rows FROM evals",
+        "eval_split_stratified": f"{W}, l AS (SELECT eval_id, CASE WHEN eval_id % 3 = 0 THEN 'hot' ELSE 'l' || (eval_id % 211) END AS label FROM evals), "
+                                 "r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5(CAST(eval_id AS VARCHAR) || ':42'), 1, 8) AS BIGINT), "
+                                 "eval_id) AS nth, count(*) OVER (PARTITION BY label) AS n FROM l) SELECT eval_id, label, CASE WHEN nth <= "
+                                 "CASE WHEN n = 1 THEN 0 ELSE least(greatest(floor(n * 0.3 + 0.5), 1), n - 1) END THEN 'test' ELSE 'train' END AS split FROM r",
+        "stream_late_means": _LATE,
         "result_diff_rows": _diff_rows(False),
         "result_diff_sample": _diff_rows(True),
         "eval_set": f"{W} SELECT * FROM evals",
@@ -350,14 +403,21 @@ def oracle_sql() -> dict[str, str]:
                           "FROM conversations WHERE role = 'user' AND text IS NOT NULL AND trim(text) <> ''",
         "keyword_hist": f"{WC}, {HIST} SELECT * FROM hist",
         "keyword_diff": f"{WC}, {HIST}, {DIFF} SELECT eval_id, keyword, gold_n, cand_n, gold_n - cand_n AS diff FROM diff",
-        "keyword_metadata": f"{WC}, {HIST}, {DIFF} SELECT eval_id, keyword, CAST(gold_n - cand_n AS INTEGER) AS diff FROM diff "
-                            "WHERE eval_id IN (SELECT eval_id FROM diff WHERE gold_n <> cand_n)",
+        "keyword_metadata": f"{WC}, {HIST.replace('FROM cands', 'FROM cands WHERE gold_sql IS NOT NULL')}, {DIFF}, "
+                            "d AS (SELECT *, max(CAST(gold_n <> cand_n AS INTEGER)) OVER (PARTITION BY eval_id) AS differs FROM diff) "
+                            "SELECT eval_id, keyword, CAST(gold_n - cand_n AS INTEGER) AS diff FROM d WHERE differs = 1",
         "keyword_verdict": f"{WC}, {HIST}, {DIFF}, {VERDICT} SELECT * FROM kverdict",
         "rule_count_joins": f"{WC}, {RULES} SELECT eval_id, gold_joins, cand_joins, gold_joins = cand_joins AS value FROM r_joins",
         "rule_has_select": f"{WC}, {RULES} SELECT eval_id, gold_has_select, cand_has_select, gold_has_select AS value FROM r_select",
         "rule_tables": f"{WC}, {RULES} SELECT eval_id, missing_tables, extra_tables, "
                        "(missing_tables = '') AND (extra_tables = '') AS value FROM r_tables",
         "rule_required_dims": f"{WC}, {RULES} SELECT eval_id, missing_dims, missing_dims = '' AS value FROM r_dims",
+        # literal answers by construction of the texts
+        "rule_tables_nested": "SELECT o_orderkey AS eval_id, CASE o_orderkey % 6 WHEN 0 THEN 'orders' WHEN 1 THEN 'customer,orders' "
+                              "WHEN 2 THEN 'my db.my table,orders' WHEN 3 THEN 'customer,nation,orders' WHEN 4 THEN 'orders' "
+                              "ELSE 'nation,orders' END AS tables FROM orders",
+        "keyword_nested": "SELECT o_orderkey AS eval_id, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['FROM', 'SELECT'] "
+                          "WHEN 1 THEN ['FROM', 'SELECT', 'WHERE'] ELSE ['AND', 'FROM', 'SELECT', 'WHERE'] END) AS keyword, CAST(1 AS BIGINT) AS n FROM orders",
         "rule_limit_without_order": f"{WC} SELECT eval_id, "
                                     f"list_contains({tokens('gold_sql')}, 'LIMIT') AND NOT list_contains({tokens('gold_sql')}, 'ORDER BY') "
                                     "AS gold_sql_unordered_limit, "
@@ -428,8 +488,11 @@ def oracle_sql() -> dict[str, str]:
                              "ORDER BY quality DESC, run_id, cycle LIMIT 10",
         "cycle_numbering": f"WITH {RUNS} SELECT run_id, root_run_id, CAST(dense_rank() OVER (PARTITION BY root_run_id "
                            "ORDER BY substr(run_name, 7, 8)) AS INTEGER) AS cycle FROM runs WHERE mode = 'cycle'",
-        "runs_parent_name": f"WITH {RUNS} SELECT r.run_id, r.parent_run_id, r.run_name, p.run_name AS parent_run_name "
-                            "FROM runs r LEFT JOIN runs p ON r.parent_run_id = p.run_id",
+        # a parent's name follows from the event's user and day, so no join is needed here
+        "runs_parent_name": f"SELECT 'r' || CAST(event_id AS VARCHAR) AS run_id, {_U} || '-d' || {_D} AS parent_run_id, "
+                            f"event_type || ' run ' || CAST(event_id AS VARCHAR) AS run_name, 'cycle ' || {_D} AS parent_run_name FROM events "
+                            f"UNION ALL SELECT DISTINCT {_U} || '-d' || {_D}, {_U}, 'cycle ' || {_D}, 'experiment ' || {_U} FROM events "
+                            f"UNION ALL SELECT DISTINCT {_U}, CAST(NULL AS VARCHAR), 'experiment ' || {_U}, CAST(NULL AS VARCHAR) FROM events",
         "runs_under_roots": f"WITH {RUNS} SELECT run_id, root_run_id, mode FROM runs WHERE root_run_id IN "
                             "(SELECT 'u' || CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error')",
         "runs_clean_columns": f"WITH {RUNS} SELECT run_id, run_name, mode AS run_mode, CAST(length(run_name) AS INTEGER) AS name_length FROM runs",

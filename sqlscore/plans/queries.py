@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlscore.operators import corpus, cycles, equivalence, evalset, evaluate, keywords, metrics, model, replies, rules, runs
+from sqlscore.operators import corpus, cycles, equivalence, evalset, evaluate, judge, keywords, metrics, model, replies, rules, runs
 from sqlscore.plans import pairs as P
 from sqlscore.plans import standins as S
-from sqlscore.session import checkpoint_root, scratch_path
+from sqlscore.session import checkpoint_root, scratch_path, stash
 from sqlscore.sources.tables import load, register_views
 from sqlscore.streaming import logs as L
 from sqlscore.streaming import means as SM
@@ -109,6 +109,23 @@ def q_eval_split(spark, sf):
     return evalset.split(S.eval_set(spark, sf), 0.30).select("eval_id", "split")
 
 
+def _labelled(spark, sf):
+    """Rows with a hot label (a third of all) and 211 small ones."""
+    key = F.col("eval_id")
+    return S.eval_set(spark, sf).select("eval_id", F.when(key % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("l"), (key % 211).cast("string"))).alias("label"))
+
+
+def q_eval_split_stratified(spark, sf):
+    return evalset.split_stratified(_labelled(spark, sf), "label", 0.30)
+
+
+def q_eval_null_issues(spark, sf):
+    """Rows without issues get a typed null column; the set is materialised and counted."""
+    kept, n = evalset.materialise(evalset.with_null_issues(S.eval_set(spark, sf).select("eval_id", "question")))
+    return kept.select("eval_id", "question", "issues", F.lit(n).cast("long").alias("n_rows"))
+
+
 def q_eval_questions(spark, sf):
     return evalset.questions(S.eval_set(spark, sf))
 
@@ -164,6 +181,11 @@ def _cands(spark, sf):
     return rules.tokenize(S.candidates(spark, sf), "gold_sql", "candidate_sql")
 
 
+def _cands_whole(spark, sf):
+    """The same with the tokens of all statements, which rules are about."""
+    return rules.tokenize(S.candidates(spark, sf), "gold_sql", "candidate_sql", only_first_statement=False)
+
+
 def q_keyword_hist(spark, sf):
     return keywords.keyword_histogram(_cands(spark, sf), "eval_id", {"gold": "gold_sql", "candidate": "candidate_sql"})
 
@@ -184,23 +206,52 @@ def q_keyword_metadata(spark, sf):
 
 
 def q_rule_count_joins(spark, sf):
-    return rules.rule_count_joins(_cands(spark, sf)).select("eval_id", "gold_joins", "cand_joins", "value")
+    return rules.rule_count_joins(_cands_whole(spark, sf)).select("eval_id", "gold_joins", "cand_joins", "value")
 
 
 def q_rule_has_select(spark, sf):
-    return rules.rule_has_select(_cands(spark, sf)).select("eval_id", "gold_has_select", "cand_has_select", "value")
+    return rules.rule_has_select(_cands_whole(spark, sf)).select("eval_id", "gold_has_select", "cand_has_select", "value")
 
 
 def q_rule_tables(spark, sf):
     return rules.rule_tables(S.candidates(spark, sf)).select("eval_id", "missing_tables", "extra_tables", "value")
 
 
+NESTED_TABLES = [  # FROM inside calls, quoted names with blanks, lists after sub-queries, brackets around joins
+    "SELECT extract(year FROM cast(o_orderdate AS date)), trim(both 'x' FROM upper(c)) FROM orders WHERE o_orderkey = {k}",
+    "SELECT substring(c_name FROM position('a' IN c_name)) FROM (SELECT * FROM customer) t, orders o WHERE o_orderkey = {k}",
+    "SELECT * FROM `my db`.`my table` m JOIN orders ON m.a IS DISTINCT FROM orders.b AND o_orderkey = {k}",
+    "SELECT array(SELECT max(n_name) FROM nation) FROM (customer c JOIN orders o ON c.c_custkey = o.o_custkey) WHERE o_orderkey = {k}",
+    "WITH y (a, b) AS (SELECT overlay(x PLACING '_' FROM length(trim(leading ' ' FROM x))), 1 FROM orders) SELECT * FROM y, explode(array({k}))",
+    "SELECT /* FROM a /* JOIN b */ , c */ n_name FROM nation, LATERAL (SELECT {k} FROM orders) l",
+]
+NESTED_COMMENTS = [
+    "select /* a /* join */ where */ {k} from t", "select /* ' /* \" */ */ {k} from t where x -- /* /* group by",
+    "select '/* /*' , {k} from t where `a /* b` and /**/ /* /* or */ not */ 1",
+]
+
+
+def _texts(spark, sf, templates):
+    key = F.col("o_orderkey").cast("string")
+    made = F.array(*(F.replace(F.lit(t), F.lit("{k}"), key) for t in templates))
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("eval_id"), F.get(
+        made, F.pmod("o_orderkey", F.lit(len(templates))).cast("int")).alias("sql"))
+
+
+def q_rule_tables_nested(spark, sf):
+    return _texts(spark, sf, NESTED_TABLES).select("eval_id", F.array_join(rules.tables_used(F.col("sql")), ",").alias("tables"))
+
+
+def q_keyword_nested(spark, sf):
+    return keywords.keyword_histogram(_texts(spark, sf, NESTED_COMMENTS), "eval_id", {"gold": "sql"}).drop("side")
+
+
 def q_rule_required_dims(spark, sf):
     return rules.rule_required_dims(_cands(spark, sf), REQUIRED_DIMS).select("eval_id", "missing_dims", "value")
 
 
 def q_rule_limit_without_order(spark, sf):
-    r = rules.rule_limit_without_order(_cands(spark, sf))
+    r = rules.rule_limit_without_order(_cands_whole(spark, sf))
     return r.select("eval_id", "gold_sql_unordered_limit", "candidate_sql_unordered_limit")
 
 
@@ -244,6 +295,40 @@ def q_evaluate_many(spark, sf):
                     F.size("sample_gold").alias("n_sample_gold"), F.size("sample_candidate").alias("n_sample_candidate"))
 
 
+def stub_judge(q: pd.Series) -> pd.Series:
+    """Deterministic stand-in for a judging model: some replies are no JSON, some out of range, some lack a score."""
+    def reply(x: str) -> str:
+        n = len(x)
+        if n % 7 == 0:
+            return "no comment"
+        if n % 7 == 1:
+            return '{"score": 1.5}'
+        value = '"value": "' + ("yes" if n % 2 else "no") + '"'
+        return "{" + value + ("" if n % 7 == 2 else f', "score": {n % 5 / 4}') + f', "rationale": "length {n}"' + "}"
+    return pd.Series([reply(x) for x in q])
+
+
+def q_evaluate_judged(spark, sf):
+    """Lexical scorers, executed results and judged guidelines in one feedback
+    table; per row the composite score and the joined feedback."""
+    rows = _result_rows(spark, sf).repartition(8)
+    lexical = evaluate.evaluate(rows, ["count_joins", "sql_clauses_distribution_equivalence"])
+    executed = evaluate.evaluate(rows, ["sql_results_equivalence"], group_size=9)
+    judged = judge.judge(rows, {f"judged_{k}": v for k, v in GUIDELINES.items()}, stub_judge, store=scratch_path(spark, "judgements"), portions=1)
+    scored = judge.row_scores(metrics.union_feedback(lexical, executed, judged))
+    return scored.select("eval_id", "feedback", F.col("n_items").alias("n_feedback"), F.coalesce("n_metrics", F.lit(0)).alias("n_metrics"),
+                         F.round("composite", R).alias("composite"))
+
+
+def q_row_context(spark, sf):
+    """The optimiser's view: question, candidate and list of feedback for each row."""
+    c = S.candidates(spark, sf).select("eval_id", "question", "gold_sql", "candidate_sql")
+    view = judge.row_context(c, evaluate.evaluate(c, ["count_joins", "has_select"]))
+    return view.select("eval_id", "question", F.size("assessments").alias("n"), F.array_join(
+        F.transform("assessments", lambda a: a["scorer"]), ",").alias("scorers"),
+        F.size(F.filter("assessments", lambda a: a["value"])).alias("n_true"))
+
+
 # ---------------------------------------------------------------- metrics
 
 def q_metric_means(spark, sf):
@@ -492,6 +577,26 @@ def q_stream_dedup(spark, sf):
         return SM.run_to_parquet(spark, s, scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ckpt"))
 
 
+ARRIVALS, ARRIVAL_DAYS = 5, 6
+
+
+def q_stream_late_means(spark, sf):
+    """L2 with late rows: events arrive in five parts, with a stop and a restart after each; some of the
+    first four come with the last, long after the watermark has passed them."""
+    checkpoint_root(spark)
+    with _utc(spark):
+        ev = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+        step = F.least(F.floor(F.date_diff("ts", F.lit("2024-01-01")) / ARRIVAL_DAYS), F.lit(ARRIVALS - 1))
+        step = F.when(F.col("event_id") % 40 == 7, F.lit(ARRIVALS - 1)).otherwise(step)
+        day = F.date_format(F.col("window_start"), "yyyy-MM-dd").alias("day")
+        out = SM.replay(spark, [ev.filter(step == i) for i in range(ARRIVALS)], scratch_path(spark, "late-in"),
+                        scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt"),
+                        lambda s: SM.running_means(s, "ts", "event_type", "value", "1 day", "1 hour").select(day, "event_type", "mean", "n"))
+        came = ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("came"))
+        late = out.join(came, ["day", "event_type"])
+        return stash(late.select("day", "event_type", F.round("mean", R).alias("mean"), "n", (F.col("came") - F.col("n")).alias("n_late")), "late-means")
+
+
 def q_stream_scorer_means(spark, sf):
     checkpoint_root(spark)
     with _utc(spark):
@@ -501,6 +606,18 @@ def q_stream_scorer_means(spark, sf):
         return SM.run_to_parquet(spark, s, scratch_path(spark, "means-out"), scratch_path(spark, "means-ckpt"))
 
 
+def q_model_resume(spark, sf):
+    """A run that stops after half of its portions and another that asks what is left;
+    ``n_calls`` counts the recorded calls of a row's prompt."""
+    rows = S.eval_set(spark, sf).select("eval_id", "question")
+    store = scratch_path(spark, "answers")
+    model.ask_missing(rows, "question", stub_model, store, "stub", portions=4, max_portions=2)
+    out = model.ask_stored(rows, "question", stub_model, store, "stub", "answer", portions=4)
+    calls = model.stored_answers(spark, store).groupBy("digest").agg(F.count(F.lit(1)).alias("n_calls"))
+    return (out.withColumn("digest", model.prompt_digest(F.col("question"), "stub")).join(calls, "digest", "left")
+            .select("eval_id", "question", "answer", "error", "n_calls"))
+
+
 QUERIES = {
     "result_equiv": q_result_equiv,
     "result_fingerprint": q_result_fingerprint,
@@ -528,6 +645,8 @@ QUERIES = {
     "rule_has_select": q_rule_has_select,
     "rule_tables": q_rule_tables,
     "rule_required_dims": q_rule_required_dims,
+    "rule_tables_nested": q_rule_tables_nested,
+    "keyword_nested": q_keyword_nested,
     "rule_limit_without_order": q_rule_limit_without_order,
     "evaluate_all": q_evaluate_all,
     "evaluate_results": q_evaluate_results,
@@ -567,4 +686,10 @@ QUERIES = {
     "log_levels": q_log_levels,
     "stream_dedup": q_stream_dedup,
     "stream_scorer_means": q_stream_scorer_means,
+    "stream_late_means": q_stream_late_means,
+    "eval_split_stratified": q_eval_split_stratified,
+    "eval_null_issues": q_eval_null_issues,
+    "evaluate_judged": q_evaluate_judged,
+    "row_context": q_row_context,
+    "model_resume": q_model_resume,
 }

@@ -8,8 +8,11 @@ array), with explicit schemas (no inference pass over the data).
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import asdict, fields, is_dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,6 +144,96 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame:
     raise FileNotFoundError(f"no finished version under {base}")
 
 
+class VersionConflict(RuntimeError):
+    """Another writer has made the version first."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not exist yet; False if it does."""
+    jvm = spark.sparkContext._jvm
+    fs, at = _file_system(spark, path)
+    try:
+        fs.mkdirs(at(path).getParent())
+        local = fs.getScheme() == "file"  # whose own create is not exclusive
+        if local and not jvm.java.io.File(at(path).toUri().getPath()).createNewFile():
+            return False
+        stream = fs.create(at(path), local)
+    except Py4JJavaError as exc:
+        if "AlreadyExists" in exc.java_exception.getClass().getName():
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def _read_small(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file; None if there is none."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)):
+        return None
+    stream = fs.open(at(path))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _pointer(base: str, version: int) -> str:
+    return f"{base.rstrip('/')}/_versions/{version:010d}"
+
+
+def current_version(spark: SparkSession, base: str) -> int:
+    """Number of the latest finished version, 0 before the first.  Pointers are
+    found by their numbers (doubling, then halving), not by listing."""
+    low, step = 0, 1
+    there = lambda n: bool(_read_small(spark, _pointer(base, n)))
+    while there(low + step):
+        low, step = low + step, step * 2
+    while step > 1:
+        step //= 2
+        if there(low + step):
+            low += step
+    return low
+
+
+def write_version(df: DataFrame, base: str, expected: int | None = None) -> int:
+    """A5 for several writers: the rows go to a folder of their own, then a pointer file that
+    names the folder's files is created under the next number.  Creating it is the commit: of two
+    writers one gets the number, the other a ``VersionConflict`` and may try again on what is
+    current then.  ``expected``: the version that the rows were made from."""
+    spark = df.sparkSession
+    base = base.rstrip("/")
+    version = (current_version(spark, base) if expected is None else expected) + 1
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{folder}")
+    fs, at = _file_system(spark, base)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at(f"{base}/{folder}")) if f.getPath().getName().startswith("part-"))
+    text = json.dumps({"files": [f"{folder}/{n}" for n in names], "schema": df.schema.json()})
+    if not _create_new(spark, _pointer(base, version), text):
+        raise VersionConflict(f"version {version} of {base} is another writer's")
+    return version
+
+
+def read_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    """A version's rows (the current one's by default): exactly the files that its pointer names."""
+    version = version or current_version(spark, base)
+    text = _read_small(spark, _pointer(base, version)) if version else None
+    if not text:
+        raise FileNotFoundError(f"no version {version} under {base}")
+    found = json.loads(text)
+    schema = T.StructType.fromJson(json.loads(found["schema"]))
+    if not found["files"]:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{base.rstrip('/')}/{f}" for f in found["files"]))
+
+
 def read_table(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
     return spark.read.option("mergeSchema", merge_schema).parquet(path)
 

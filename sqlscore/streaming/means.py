@@ -6,6 +6,8 @@ restart resumes from the checkpoint after a lost executor or driver."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def running_means(stream: DataFrame, ts: str, group: str, value: str, window: st
                     group, "mean", "n"))
 
 
+def replay(spark: SparkSession, arrivals: list[DataFrame], source: str, out_path: str, checkpoint: str,
+           plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Let ``arrivals`` come in one after the other: each is added to the source folder and the
+    stream ``plan`` is started anew on the same checkpoint, so state, watermark and offsets
+    outlive every stop.  Rows older than the watermark of the runs before are late."""
+    for rows in arrivals:
+        rows.write.mode("append").parquet(source)
+        run_to_parquet(spark, plan(spark.readStream.schema(rows.schema).parquet(source)), out_path, checkpoint)
+    return spark.read.parquet(out_path)
+
+
 def run_to_parquet(spark: SparkSession, df: DataFrame, out_path: str, checkpoint: str,
                    mode: str = "append") -> DataFrame:
     """Drain everything available into a parquet folder and read it back."""

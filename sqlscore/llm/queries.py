@@ -73,7 +73,8 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = suffix_dedup(load(spark, sf, "documents"), length=400)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      (F.size("spans") > 0).alias("removed"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,6 +166,21 @@ LLM_ORACLE = {
                       FROM cut LEFT JOIN boiler ON cut.host = boiler.host)
         SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped,
                array_to_string(kept, chr(10)) AS text FROM kept""",
+    # every string of 400 bytes by its MD5
+    "op9_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+             w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM t)),
+             r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+             s AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (
+                     SELECT doc_id, i, CAST(i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -401) + 400 AS INTEGER) AS starts FROM r)),
+             c AS (SELECT doc_id, span, min(i) AS lo, max(i) + 400 AS hi FROM s GROUP BY doc_id, span),
+             p AS (SELECT doc_id, lo AS upto, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM (
+                     SELECT doc_id, lo, hi FROM c UNION ALL SELECT doc_id, n, n FROM t)),
+             k AS (SELECT p.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since, upto) AS kept FROM p JOIN t USING (doc_id) GROUP BY p.doc_id),
+             m AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM c GROUP BY doc_id)
+        SELECT t.doc_id, t.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(kept)) AS kept_sha256, coalesce(n_spans, 0) > 0 AS removed, decode(unhex(kept)) AS kept_text
+        FROM t JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
                    FROM documents),

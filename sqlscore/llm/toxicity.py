@@ -104,8 +104,9 @@ def labelled_sample(texts: DataFrame, known: DataFrame, categories: list[str], p
     """Feature rows, labels and weights of the training sample; only identifiers
     and labels are shuffled, texts are hashed where they are read."""
     labels = F.concat_ws(",", *(F.col(c).cast("string") for c in categories))
-    pool = (known.dropna(subset=categories).withColumn("labels", labels)
-            .join(texts.filter("text IS NOT NULL").select("row_id"), "row_id").select("row_id", "labels"))
+    # an identifier counts once on either side, however many rows share it
+    pool = (known.dropna(subset=categories).select("row_id", labels.alias("labels")).distinct()
+            .join(texts.filter("text IS NOT NULL").select("row_id").distinct(), "row_id").select("row_id", "labels"))
     shares = {r["labels"]: r["n"] for r in pool.groupBy("labels").agg(F.count("*").alias("n")).collect()}
     rates = [(k, min(1.0, per_class / n)) for k, n in sorted(shares.items())]  # at most 2 ** categories
     classes = known.sparkSession.createDataFrame(rates, "labels string, rate double")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame operations only).
 
-The rows of a source, in an order drawn from a hash of the identifier, form
+The rows of a source, in an order drawn from a hash, form
 blocks of ``block_rows`` rows.  Block k of a source of weight w is released
 at slot floor(k/w) and has its deadline at ceil((k+1)/w); every slot goes to
 the released block with the earliest deadline.  On one sequence this meets
@@ -14,14 +14,16 @@ the others go on in proportion to their parts (a new phase with a period of
 its own); there are at most as many phases as sources, and no row is dropped.
 
 Blocks need each row's number within its source.  A source is cut at fixed
-places of the hash range into chunks of about ``CHUNK_ROWS`` rows; rows are
+places of the hash range into chunks of at most about ``CHUNK_ROWS`` rows; rows are
 numbered inside chunks and chunk sizes are summed up, so a source that holds a
-third of all rows is spread like the others.
+third of all rows is spread like the others.  The hash is of the identifier and the
+whole row, so rows that share an identifier are spread, too.
 
 Defined cases: sources that are not named in ``parts``, null among them, share
-``rest_parts``; the last block of a source may be short; repeated rows are
-rows like any other; null identifiers sort first; an empty table gives an
-empty result; texts play no part.
+``rest_parts``; the last block of a source may be short; rows that share an
+identifier, null among them, come in an order drawn from their other columns, and
+rows that are equal in all columns share a chunk, in any order; an empty table gives
+an empty result; a text only counts as part of its row.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sqlscore.session import stash
 
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 1024
 
 
 def period(parts: dict[int, int]) -> dict[int, list[int]]:
@@ -89,10 +91,12 @@ def pfair_mix(rows: DataFrame, parts: dict[str, int], rest_parts: int = 1, block
         raise ValueError("parts are whole numbers from 1")
     own = spark.createDataFrame([*enumerate(names)], "mix_source int, name string")
     columns = [F.col(f"`{c}`") for c in rows.columns]
+    content = [F.to_json(F.struct(*columns))] if "map<" in rows.schema.simpleString() else columns  # maps have no hash
     base = (rows.select(F.struct(*columns).alias("row"), F.col(source_col).cast("string").alias("name"),
-                        F.xxhash64(F.col(id_col), F.lit(seed)).alias("u"), F.col(id_col).alias("mix_id"))
+                        F.xxhash64(F.col(id_col), *content, F.lit(seed)).alias("u"),
+                        F.xxhash64(*content, F.lit(seed + 1)).alias("tie"), F.col(id_col).alias("mix_id"))
             .join(F.broadcast(own), "name", "left")  # as long as the parameter
-            .select("row", "mix_id", "u", F.coalesce("mix_source", F.lit(len(names))).alias("mix_source")))
+            .select("row", "mix_id", "u", "tie", F.coalesce("mix_source", F.lit(len(names))).alias("mix_source")))
     n_chunks = rows.count() // CHUNK_ROWS + 1
     chunk = F.shiftright(F.shiftrightunsigned(F.col("u").bitwiseXOR(F.lit(-1 << 63)), 33) * n_chunks, 31)
     base = base.withColumn("chunk", chunk)
@@ -101,7 +105,7 @@ def pfair_mix(rows: DataFrame, parts: dict[str, int], rest_parts: int = 1, block
     plan, layout = phases(weights, {s: -(-n // block_rows) for s, n in counts.items()})
     before = sizes.select("mix_source", "chunk", (F.sum("n").over(
         Window.partitionBy("mix_source").orderBy("chunk")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("mix_source", "chunk").orderBy("u", "mix_id")) - 1
+    nth = F.row_number().over(Window.partitionBy("mix_source", "chunk").orderBy("u", "mix_id", "tie")) - 1
     numbered = (base.join(before, ["mix_source", "chunk"]).withColumn("nth", F.col("before") + nth)
                 .select("row", "mix_source", F.expr(f"nth div {block_rows}").alias("block"),
                         (F.col("nth") % block_rows).cast("int").alias("place")))

@@ -7,20 +7,28 @@ samples are drawn with a chance in proportion to record size, their quantiles
 become range boundaries, ranges that turn out overfull are split again at
 quantiles of samples drawn inside them, and a running sum inside each range
 plus the sizes of the ranges before it gives every record its exact place in
-the byte sequence.  The record's middle byte decides the shard, so a shard
-differs from the mean by at most one record at each end.
+the byte sequence.  Equal texts are a group, and the middle byte of a group
+decides the shard of all its records: a boundary that would fall inside moves to the
+group's edge.  Only a group of more than a whole shard is cut, by the middle bytes of
+its records.  So a shard differs from the mean by at most half a group (or one record
+of a group that is cut) at each end.
 
 What reaches the driver is one number per range; the number of ranges comes
 from the shard count and ``spark.sql.shuffle.partitions``, not from the data.
 
+Ranges are cut between groups as long as that helps.  A range that is still
+overfull begins with a large group; this gets ranges of its own, cut at places of the identifier's
+hash, and the driver, which knows the sizes of all ranges, adds up its size.
+
 Defined cases: null text has no bytes and a CRC of 0; without ``order`` equal
-texts stay in one shard unless a shard boundary falls among them; repeated rows get slots
-of their own; a null identifier is a value like any other; an empty table
+texts stay in one shard if they fit one (texts whose hashes agree in 40 bits count as
+equal here); with ``order`` every record is a group; repeated rows get slots of their own; a null identifier is a value like any other; an empty table
 gives an empty result; columns beyond the two named ones are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +76,33 @@ def splitters(rows: DataFrame, wanted: dict[int, int], sizes: dict[int, int], se
     return sorted({r["key"] for r in cuts.collect()})
 
 
+def _between_groups(cuts: list[int], bounds: list[int], tie: int) -> set[int]:
+    """Cuts moved down to the edges of their groups.  Where all cuts of a range fall on its
+    lower bound, its first group is a large one: it gets the cuts as they are, and a bound at its end."""
+    by_range: dict[int, list[int]] = {}
+    for c in cuts:
+        by_range.setdefault(bisect.bisect_right(bounds, c), []).append(c)
+    new: set[int] = set()
+    for own in by_range.values():
+        edges = {c & ~tie for c in own}
+        if edges <= set(bounds):
+            end = (max(edges) | tie) + 1
+            edges = {*own, end} if end < 1 << 63 else set(own)
+        new |= edges
+    return new
+
+
+def _split_groups(before: list[tuple[int, int]], sizes: dict[int, int], bounds: list[int], tie: int) -> dict[int, tuple[int, int]]:
+    """Start and size of the group, for each range that holds a part of a group with several ranges."""
+    large = {b & ~tie for b in bounds if b & tie}
+    parts: dict[int, list[tuple[int, int]]] = {}
+    for r, start in before:
+        low = bounds[r - 1] if r else None  # range r begins at bound r - 1
+        if low is not None and low & ~tie in large:
+            parts.setdefault(low & ~tie, []).append((r, start))
+    return {r: (own[0][1], sum(sizes[x] for x, _ in own)) for own in parts.values() for r, _ in own}
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
                    seed: int = 7, ranges: int | None = None, carry: bool = False,
                    order: Column | None = None) -> DataFrame:
@@ -81,8 +116,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     tie = (1 << TIE_BITS) - 1
     key = F.xxhash64(text).bitwiseAND(F.lit(~tie)).bitwiseOR(F.xxhash64(id_col).bitwiseAND(F.lit(tie)))
     key = key if order is None else order
+    group = key.bitwiseAND(F.lit(~tie)) if order is None else key
     narrow = [F.col(id_col).alias("row_id"), (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
-              F.crc32(text.cast("binary")).alias("crc"), key.alias("key")]
+              F.crc32(text.cast("binary")).alias("crc"), key.alias("key"), group.alias("group")]
     rows = stash(docs.select(*narrow), "shard-rows")
     whole = docs.select(*narrow, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")) if carry else rows
     own = "row" if carry else "row_id"
@@ -93,21 +129,30 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     wanted = {0: n_ranges} if total else {}
     while wanted:
         cuts = splitters(rows.withColumn("range", range_of(F.col("key"), bounds)), wanted, sizes, seed + len(bounds))
-        if not set(cuts) - set(bounds):
+        new = _between_groups(cuts, bounds, tie) if order is None else set(cuts)
+        if not new - set(bounds):
             break  # what is still overfull holds a single key
-        bounds = sorted({*bounds, *cuts})
+        bounds = sorted({*bounds, *new})
         sizes = dict(rows.groupBy(range_of(F.col("key"), bounds).alias("range")).agg(F.sum("size")).collect())
         wanted = {r: math.ceil(s * n_ranges / total) for r, s in sizes.items() if s * n_ranges > OVERFULL * total}
     before, at = [], 0
     for r in sorted(sizes):
         before.append((r, at))
         at += sizes[r]
-    offsets = spark.createDataFrame(before, "range int, before long")
-    w = Window.partitionBy("range").orderBy("key", "row_id", "crc", "size")
+    split = _split_groups(before, sizes, bounds, tie) if order is None else {}
+    offsets = spark.createDataFrame([(r, start, *split.get(r, (None, None))) for r, start in before],
+                                    "range int, before long, first long, group_size long")
+    w = Window.partitionBy("range").orderBy("group", "key", "row_id", "crc", "size")
     end = F.col("before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    place = F.floor((2 * end - F.col("size")) * n_shards / F.lit(2 * max(total, 1)))
-    placed = stash(whole.withColumn("range", range_of(F.col("key"), bounds)).join(F.broadcast(offsets), "range")
-                   .select(own, "size", "crc", "range", F.least(place, F.lit(n_shards - 1)).cast("int").alias("shard"),
+    same = Window.partitionBy("range", "group")
+    start = F.coalesce("first", F.min("start").over(same)) if order is None else F.col("start")
+    size = F.coalesce("group_size", F.sum("size").over(same)) if order is None else F.col("size")
+    fits = F.col("whole") * n_shards <= F.lit(total)
+    middle = F.when(fits, 2 * F.col("begin") + F.col("whole")).otherwise(2 * F.col("start") + F.col("size"))
+    place = F.floor(middle * n_shards / F.lit(2 * max(total, 1)))
+    ranged = whole.withColumn("range", range_of(F.col("key"), bounds)).join(F.broadcast(offsets), "range")
+    ranged = ranged.withColumn("start", end - F.col("size")).withColumn("begin", start).withColumn("whole", size)
+    placed = stash(ranged.select(own, "size", "crc", "range", F.least(place, F.lit(n_shards - 1)).cast("int").alias("shard"),
                            F.row_number().over(w).cast("long").alias("nth")), "shard-placed")
     # at most one row per range and shard that meet: ranges + shards rows
     meet = placed.groupBy("range", "shard").agg(F.count("*").alias("n"), F.min("nth").alias("first"))

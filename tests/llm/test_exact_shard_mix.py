@@ -66,10 +66,70 @@ def test_shards_are_whole_gapless_and_even(spark, rows):
         by[r["shard"]].append(r)
     for members in by.values():
         assert sorted(m["slot"] for m in members) == list(range(len(members)))
-    mean, largest = sum(r["size"] for r in out) / 6, max(r["size"] for r in out)
+    mean, groups, homes = sum(r["size"] for r in out) / 6, defaultdict(int), defaultdict(set)
+    text_of = {i: t for i, t in rows if i is not None}
+    for r in out:
+        if r["doc_id"] in text_of:
+            groups[r["text_crc32"], r["size"]] += r["size"]
+            homes[r["text_crc32"], r["size"]].add(r["shard"])
+    assert all(len(homes[g]) == 1 for g in groups if groups[g] <= mean * 0.9)  # whole unless larger than a shard
+    largest = max([r["size"] for r in out] + [n for n in groups.values() if n <= mean])
     assert all(abs(sum(m["size"] for m in by[s]) - mean) <= largest for s in range(6))
 
 
+@pytest.mark.parametrize("copies", [40, 150, 700])
+def test_groups_of_copies_stay_whole(spark, copies):
+    rows = [(i, f"text number {i}") for i in range(1000)] + [(5000 + i, "many copies of this") for i in range(copies)]
+    rows += [(9000 + i, f"pair {i // 2}") for i in range(200)]
+    for ranges in (None, 64):
+        out = shard_by_bytes(table(spark, rows).repartition(5), n_shards=8, ranges=ranges).collect()
+        text, homes, sizes = dict(rows), defaultdict(set), defaultdict(int)
+        for r in out:
+            homes[text[r["doc_id"]]].add(r["shard"])
+            sizes[text[r["doc_id"]]] += r["size"]
+        mean = sum(sizes.values()) / 8
+        assert len(out) == len(rows) and all(len(homes[t]) == 1 for t in homes if sizes[t] <= mean)
+        assert (len(homes["many copies of this"]) > 1) == (sizes["many copies of this"] > mean)
+        for s in range(8):
+            assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+def schedule_by_brute_force(sizes, parts, block_rows):
+    """Earliest deadline first, slot by slot; when a source has no block left the others start anew."""
+    left = {s: -(-n // block_rows) for s, n in sizes.items() if n}
+    done, out, slot = dict.fromkeys(left, 0), {}, 0
+    while left:
+        total, k, t = sum(parts[s] for s in left), dict.fromkeys(left, 0), 0
+        ended = False
+        while not ended:
+            ready = [(-(-(k[s] + 1) * total // parts[s]), s) for s in left if k[s] * total // parts[s] <= t]
+            _, s = min(ready)
+            out[s, done[s]] = slot
+            done[s], k[s], left[s], t, slot = done[s] + 1, k[s] + 1, left[s] - 1, t + 1, slot + 1
+            ended = not left[s]
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_mixing_against_a_plain_scheduler(spark):
+    rows = [(i, "a" if i < 100 else "b" if i < 500 else "c") for i in range(1100)] + [(None, "b")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("x", F.xxhash64(F.rand(3)))
+    parts = {"a": 3, "b": 2, "c": 2}
+    out = pfair_mix(df.repartition(5), parts, rest_parts=1, block_rows=8).select("row.source", "block", "slot", "place").collect()
+    sizes = Counter(s for _, s in rows)
+    want = schedule_by_brute_force({i: sizes[s] for i, s in enumerate("abc")}, {0: 3, 1: 2, 2: 2}, 8)
+    got = {("abc".index(r["source"]), r["block"]): r["slot"] for r in out}
+    assert got == want and len(want) == sum(-(-n // 8) for n in sizes.values())
+    assert Counter((r["source"], r["block"] * 8 + r["place"]) for r in out) == Counter((s, i) for s, n in sizes.items() for i in range(n))
+
+
+def test_mixing_order_of_shared_identifiers_is_fixed(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").alias("x"))
+    orders = [[r["x"] for r in pfair_mix(df.repartition(n), {"a": 1}).select("row.x", "slot", "place").orderBy("slot", "place").collect()]
+              for n in (2, 7)]
+    assert orders[0] == orders[1] and sorted(orders[0]) == list(range(3000))
+
+
 def test_sharding_empty_carry_and_overfull(spark):
     assert shard_by_bytes(table(spark, []), n_shards=6).count() == 0
     rows = [(i, f"t{i}") for i in range(50)]

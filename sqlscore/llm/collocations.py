@@ -18,11 +18,12 @@ of k + 1 words is counted in a shard only if it comes up as left extension of a
 phrase of k words and as right extension of another, both of which occur
 ``min_count`` times in all shards together: no rarer part can be in a wanted phrase.
 
-Sums are made twice.  First a shard reports the hashes of its phrases, sorted and
+Up to ``HASHED_WORDS`` words sums are made twice.  First a shard reports the hashes of its phrases, sorted and
 as differences of some 2 bytes each, with counts up to ``min_count``; ranges of the hash are added up
 over all shards, and a shard gets back one bit a phrase: whether the sum can reach
 ``min_count``.  The hash has 128 values for each word of the input, so few others
-pass.  What passes is reported exactly: (number of the phrase before its last word,
+pass.  (What may be a longer phrase is already little more than what is one.)
+What passes is reported exactly: (number of the phrase before its last word,
 number of the phrase after its first word, count), and phrases are numbered by the
 first (shard, place) that reports them, so that the result does not depend on
 hashes.  Phrases that occur ``min_count`` times go back to the shards that have them.  A
@@ -67,6 +68,7 @@ NUMBER_BITS = 24              # of a phrase number: place in the shard (pieces m
 TASK_BITS = 16                # of a shard number: shard in the task
 SPARE_BITS = 7                # hash values for each word of the input, as a power of two
 RANGE_BITS = 6                # ranges of the hash at least, as a power of two
+HASHED_WORDS = 3              # longer phrases are reported without hashes first
 RANGE_WORDS = 21              # words of the input for each range, as a power of two
 
 SHARDS = "shard bigint, lang string, size bigint, words array<binary>, counts array<bigint>, numbers binary"
@@ -331,24 +333,28 @@ def may_be_often(shards: DataFrame, sums: Sums) -> DataFrame:
     return dealt.mapInArrow(add_ranges, "shard bigint, range int, bits binary")
 
 
-def often(shards: DataFrame, sums: Sums, key: list[str], name: str) -> DataFrame:
+def often(shards: DataFrame, sums: Sums, key: list[str], name: str, hashed: bool = True) -> DataFrame:
     """Rows of ``sums.schema`` whose ``n`` sums up to ``min_count`` by key, with this sum
     ``a``, the ``number`` of the key and whether the row is the one that ``counts`` for it."""
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells_of(batches):
             found = sums.find(cell)
-            _, order, edges = sums.sorted_hashes(cell, found)
-            passed = np.zeros(len(order), dtype=bool)
-            for m in cell["masks"].as_py():
-                a, b = edges[m["range"]], edges[m["range"] + 1]
-                passed[order[a:b]] = np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), count=b - a)
+            passed = np.full(len(found["n"]), not hashed)
+            if hashed:
+                _, order, edges = sums.sorted_hashes(cell, found)
+                for m in cell["masks"].as_py():
+                    a, b = edges[m["range"]], edges[m["range"] + 1]
+                    passed[order[a:b]] = np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), count=b - a)
             at = np.flatnonzero(passed)
             columns = [c.take(pa.array(at)) if isinstance(c, pa.Array) else pa.array(c[at]) for c in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell["shard"].as_py(), dtype=np.int64)), *columns],
                                              ["shard", *found])
 
-    masks = may_be_often(shards, sums).groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("masks"))
-    rows = shards.join(masks, "shard").mapInArrow(report, sums.schema)
+    asked = shards
+    if hashed:
+        masks = may_be_often(shards, sums).groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("masks"))
+        asked = shards.join(masks, "shard")
+    rows = asked.mapInArrow(report, sums.schema)
     if "lang" in key:
         rows = rows.join(shards.select("shard", "lang"), "shard")
     own = F.shiftleft(F.col("shard"), NUMBER_BITS) + F.col("place")
@@ -408,7 +414,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             given = indexed.join(longer[-1].groupBy("shard").agg(
                 F.collect_list(F.struct("place", "back", "n", "number")).alias("given")), "shard")
         sums = Sums(partial(longer_of, depth=size), hash_phrases, PHRASES, min_count, bits, range_bits)
-        longer.append(often(given, sums, ["prefix", "suffix"], f"phrases-rows-{size}"))
+        longer.append(often(given, sums, ["prefix", "suffix"], f"phrases-rows-{size}", size <= HASHED_WORDS))
     tables = phrase_tables(words, longer)[1:]
     pairs = [t.select(F.explode(F.array("prefix", "suffix")).alias("number"), F.col("a").alias("longer")) for t in tables[1:]]
     found = None

@@ -1,6 +1,7 @@
 """Ranked lexical search over bit-sliced Bloom signatures.
 
-Index.  Documents are packed into blocks of similar length, one row each.  A
+Index.  Documents are packed into blocks, one row each; of a block's documents the
+longest has at most twice the words of the shortest (or 64), so that a signature is never much larger than its texts.  A
 block holds its word list with document frequencies, its documents' words
 with counts, and a signature: a matrix of bits with a column per document.  A
 (word, level) pair sets ``HASHES`` bits of a document's column; level j says that
@@ -131,7 +132,8 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 order = sorted((r for r in range(len(found)) if len(found[r][0])), key=lambda r: len(found[r][0]))
                 rows, held = [], 0
                 for r in order:
-                    if rows and (len(rows) == BLOCK_DOCS or held + size[r] > BLOCK_BYTES):
+                    longest = max(64, 2 * len(found[rows[0]][0])) if rows else 0
+                    if rows and (len(rows) == BLOCK_DOCS or held + size[r] > BLOCK_BYTES or len(found[r][0]) > longest):
                         yield block(part.column("doc"), rows, found, words)
                         rows, held = [], 0
                     rows.append(r)

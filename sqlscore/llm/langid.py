@@ -97,16 +97,17 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int, ridge: float):
     langs = sorted({lang for lang, _ in sample})
     y = np.array([[float(lang == x) for x in langs] for lang, _ in sample])
     grams = np.unique(np.concatenate([g for _, g in sample]))
-    x = np.zeros((len(sample), len(grams)), dtype=np.float32)
-    for i, (_, g) in enumerate(sample):
-        x[i, np.searchsorted(grams, g)] = 1 / np.sqrt(len(g))
+    at = [np.searchsorted(grams, g) for _, g in sample]
     per_lang = -(-landmarks // len(langs))
     which = np.concatenate([np.flatnonzero(y[:, i])[:per_lang] for i in range(len(langs))])
-    z = x[which]
+    z = np.zeros((len(which), len(grams)), dtype=np.float32)  # only landmarks have a row of all grams
+    for i, row in enumerate(which):
+        z[i, at[row]] = 1 / np.sqrt(len(at[row]))
+    kernel = np.stack([z[:, own].sum(axis=1) / np.sqrt(len(own)) for own in at])
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # K(landmarks, landmarks) ** -1/2, up to a rotation
-    phi = (x @ z.T) @ root
+    phi = kernel @ root
     offset = y.mean(axis=0)
     mean = phi.mean(axis=0)
     balance = 1 / (y.sum(axis=0)[y.argmax(axis=1)] * len(langs))  # languages weigh the same

@@ -46,8 +46,8 @@ from sqlscore.session import stash
 
 ALNUM = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 BLOCK_DOCS = 1024
-SLAB_BYTES = 1 << 24      # of text that a task cuts into blocks at once
-BLOCK_BYTES = 1 << 23     # of text in a block (one document at least)
+SLAB_BYTES = 1 << 23      # of text that a task cuts into blocks at once
+BLOCK_BYTES = 1 << 22     # of text in a block (one document at least)
 HASHES = 3                # bits of a (word, level) pair
 BITS_A_PAIR = 8
 ITEM_BYTES = 1 << 20      # of item texts searched together
@@ -56,7 +56,7 @@ MIX = 0x9E3779B97F4A7C15
 
 def terms_of(text: bytes | None) -> list[bytes]:
     """Runs of ASCII letters, digits and other characters beyond ASCII; A-Z lower-cased."""
-    return (text or b"").translate(ALNUM).lower().split(b" ") if text else []
+    return (text or b"").translate(ALNUM).lower().split()  # no white space but blanks is left
 
 
 def levels_of(count: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 found, size = [], []
                 for text in part.column("text"):
                     text = text.as_py()
-                    terms = [t for t in terms_of(text) if t]
+                    terms = terms_of(text)
                     got = np.fromiter(map(number.__getitem__, terms), dtype=np.int64, count=len(terms))
                     found.append(np.unique(got, return_counts=True))
                     size.append(len(text or b""))
@@ -242,7 +242,7 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
     block, size = [], 0
     for row in items.toLocalIterator():
         text = bytes(row["text"] or b"")
-        block.append((row["item"], Counter(t for t in terms_of(text) if t)))
+        block.append((row["item"], Counter(terms_of(text))))
         size += len(text)
         if size >= ITEM_BYTES:
             yield block

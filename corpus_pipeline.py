@@ -25,7 +25,7 @@ from sqlscore.llm.settings import MIX_BLOCK_ROWS, MIX_PARTS, MIX_REST_PARTS, N_S
 from sqlscore.llm.sharding import shard_by_bytes
 from sqlscore.llm.simhash import keep_one, simhash_dedup
 from sqlscore.llm.toxicity import toxicity_chain
-from sqlscore.session import stash
+from sqlscore.session import drop_scratch, scratch_folder, scratch_path, stash
 from sqlscore.sources.tables import load
 
 PART_FILE = r"/part-(\d+)-[^/]*-c(\d+)[^/]*$"  # Spark's name of a part file: its task, its number in the task
@@ -100,7 +100,14 @@ ORACLE_SQL = None  # a trained classifier decides in the first stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """All stages, one after the other.  What a stage wrote on its way goes when its
+    result is written, and that goes when the next stage's is: the last one stays."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_folder(spark, f"pipeline-{name}-work"):
+            docs = stash(stage(spark, docs, sf_dir), name, path)
+        if before:
+            drop_scratch(spark, before)
+        before = path
     return docs

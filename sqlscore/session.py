@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -51,26 +54,53 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not path:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="sqlscore-ckpt-")
-    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sqlscore-ckpt-"))
+        path = sc.getCheckpointDir()  # the same on every call
+    elif not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_folder: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, not yet existing path under the checkpoint root for one job's
-    output or stream checkpoint (unique name, so reruns never collide)."""
+    """A fresh, not yet existing path under the checkpoint root (in a
+    ``scratch_folder`` under that folder) for one job's output or stream
+    checkpoint (unique name, so reruns never collide)."""
     import uuid
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df, name: str):
-    """Cut lineage with a table written once into the shared folder and read
-    back: several jobs then reuse the stored rows, and a lost executor costs a
-    re-read.  Unlike ``checkpoint()`` the file is columnar, so later steps read
-    only the columns they need."""
-    spark = df.sparkSession
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a path that ``scratch_path`` gave out."""
+    if not path.startswith(f"{checkpoint_root(spark)}/"):
+        raise ValueError(f"{path} is not below the checkpoint folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[None]:
+    """Scratch paths that this thread asks for inside lie in one folder, which is
+    deleted at the end: write what is still needed to a path from outside.  After a
+    failure the folder stays."""
     path = scratch_path(spark, name)
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+    drop_scratch(spark, path)
+
+
+def stash(df, name: str, path: str | None = None):
+    """Cut lineage with a table written once into the shared folder (to a fresh
+    path unless one is given) and read back: several jobs then reuse the stored
+    rows, and a lost executor costs a re-read.  Unlike ``checkpoint()`` the file is
+    columnar, so later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

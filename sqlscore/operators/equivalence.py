@@ -31,6 +31,8 @@ from sqlscore.session import materialize
 
 SIGN = "__sign"
 IDX = "__pos"
+FEW_KEYS = 10_000     # order keys that are broadcast
+PLACE_ROWS = 1 << 18  # rows a task joins with their places
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -361,7 +363,7 @@ def places(df: DataFrame, order: Order | None) -> DataFrame:
     row's position in the result.
 
     Ranks are found for the distinct keys only, by a range-partitioned sort, and
-    come back by a join on the keys."""
+    come back by a join on the keys, in as many partitions as the counted rows need."""
     if order is None:
         return df.withColumn(IDX, F.lit(0).cast("long"))
     if not order.keys:
@@ -372,10 +374,33 @@ def places(df: DataFrame, order: Order | None) -> DataFrame:
         c = F.col(f"_c{i}")
         by.append((c.asc_nulls_first() if nulls_first else c.asc_nulls_last()) if up
                   else (c.desc_nulls_first() if nulls_first else c.desc_nulls_last()))
-    ranks = dense_index(df.select(*names).distinct().orderBy(*by))
-    ranks = ranks.select(*(F.col(n).alias(f"__k{n}") for n in names), IDX)
+    ranks = dense_index(df.groupBy(*names).agg(F.count(F.lit(1)).alias("__rows")).orderBy(*by))
+    ranks = ranks.select(*(F.col(n).alias(f"__k{n}") for n in names), "__rows", IDX)
+    return _join_ranks(df, ranks, names).select(*(f"`{c}`" for c in df.columns), IDX)
+
+
+def _join_ranks(df: DataFrame, ranks: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with the rank of their key.  Few keys are broadcast, and so are those with more
+    rows than a task is to take; the others are dealt out by a hash of the key to tasks of
+    about ``PLACE_ROWS`` rows, however large the result is."""
     same = functools.reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"__k{n}")) for n in names])
-    return df.join(ranks, same).drop(*(f"__k{n}" for n in names))
+    keys, rows, hot = ranks.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0)),
+                                F.count_if(F.col("__rows") > PLACE_ROWS)).first()
+    if keys <= FEW_KEYS:
+        return df.join(F.broadcast(ranks), same)
+    if not all(isinstance(t, _SIMPLE) and "collate" not in t.simpleString() for t in (df.schema[n].dataType for n in names)):
+        return df.join(ranks, same)  # equal keys may have other hashes
+    parts = rows // PLACE_ROWS + 1
+    often = F.broadcast(ranks.filter(F.col("__rows") > PLACE_ROWS))  # fewer than there are parts
+    rest = df.join(often, same, "left_anti") if hot else df
+    # no equality but that of the hash, so that the join takes the partitions as they are dealt
+    alike = functools.reduce(Column.__and__, [
+        ((F.col(n) <= F.col(f"__k{n}")) & (F.col(n) >= F.col(f"__k{n}"))) | (F.col(n).isNull() & F.col(f"__k{n}").isNull())
+        for n in names])
+    dealt = rest.withColumn("__h", F.xxhash64(*names)).repartition(parts, "__h")
+    own = ranks.filter(F.col("__rows") <= PLACE_ROWS).withColumn("__kh", F.xxhash64(*(f"__k{n}" for n in names))).repartition(parts, "__kh")
+    found = dealt.join(own, (F.col("__h") == F.col("__kh")) & alike).drop("__h", "__kh")
+    return df.join(often, same).unionByName(found) if hot else found
 
 
 Orders = tuple[Order | None, Order | None]

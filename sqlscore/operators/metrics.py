@@ -66,22 +66,32 @@ def composite_score(metrics: DataFrame, core_weights: dict[str, float] | None =
     """core_share * quality(core weights) + custom_share * quality(1/n over
     the other metrics), both divided by the number of all metrics.  No custom
     metric -> the custom term is 0."""
+    sums = composite_sums(F.lit(True), F.col(metric), F.col(value), core_weights)
+    return metrics.groupBy(*keys).agg(*sums).select(*keys, *composite_columns(core_share, custom_share))
+
+
+def composite_sums(is_metric: Column, metric: Column, value: Column, core_weights: dict[str, float] | None = None) -> list[Column]:
+    """Aggregates of a group's rows (those that are a metric) for ``composite_columns``."""
     core_weights = CORE_WEIGHTS if core_weights is None else core_weights
     check_weights(core_weights)
-    w = weight_of(F.col(metric), core_weights)
+    w = weight_of(metric, core_weights)
     is_core = w.isNotNull()
-    agg = metrics.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_metrics"),
-        F.count_if(~is_core).alias("n_custom"),
-        F.sum(F.col(value) * F.coalesce(w, F.lit(0.0))).alias("core_sum"),
-        F.coalesce(F.sum(F.when(~is_core, F.col(value))), F.lit(0.0)).alias("custom_sum"))
+    return [F.count_if(is_metric).alias("n_metrics"),
+            F.count_if(is_metric & ~is_core).alias("n_custom"),
+            F.sum(F.when(is_metric, value * F.coalesce(w, F.lit(0.0)))).alias("core_sum"),
+            F.coalesce(F.sum(F.when(is_metric & ~is_core, value)), F.lit(0.0)).alias("custom_sum")]
+
+
+def composite_columns(core_share: float = CORE_SHARE, custom_share: float = CUSTOM_SHARE) -> list[Column]:
+    """The scores of a group with ``composite_sums``; null without any metric."""
     core_q = F.col("core_sum") / F.col("n_metrics")
     custom_q = F.when(F.col("n_custom") == 0, F.lit(0.0)).otherwise(
         F.col("custom_sum") / F.col("n_custom") / F.col("n_metrics"))
-    return agg.select(*keys, "n_metrics", "n_custom",
-                      (F.lit(core_share) * core_q).alias("core_score"),
-                      (F.lit(custom_share) * custom_q).alias("custom_score"),
-                      (F.lit(core_share) * core_q + F.lit(custom_share) * custom_q).alias("composite"))
+    given = lambda c: F.when(F.col("n_metrics") > 0, c)
+    return [given(F.col("n_metrics")).alias("n_metrics"), given(F.col("n_custom")).alias("n_custom"),
+            given(F.lit(core_share) * core_q).alias("core_score"),
+            given(F.lit(custom_share) * custom_q).alias("custom_score"),
+            given(F.lit(core_share) * core_q + F.lit(custom_share) * custom_q).alias("composite")]
 
 
 def ordered_text(df: DataFrame, keys, order: str, text: str, sep: str = "\n",
@@ -103,11 +113,13 @@ def ordered_text(df: DataFrame, keys, order: str, text: str, sep: str = "\n",
         df = cumsum_safe(sized, key, order, "__len", "__cum").withColumn(
             "part", F.floor((F.col("__cum") - F.col("__len")) / F.lit(max_chars)).cast("long"))
         keys = keys + ["part"]
-    return df.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
-                                                                       F.col(text).alias("t")))),
-                                 lambda x: x["t"]), sep).alias(out),
-        F.count(F.lit(1)).alias("n_items"))
+    return df.groupBy(*keys).agg(joined_text(F.col(order), F.col(text), sep).alias(out), F.count(F.lit(1)).alias("n_items"))
+
+
+def joined_text(order: Column, text: Column, sep: str = "\n") -> Column:
+    """Aggregate: a group's texts in order, joined."""
+    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
+    return F.array_join(F.transform(pairs, lambda x: x["t"]), sep)
 
 
 def quality_gate(df: DataFrame, threshold: float, score: str = "quality") -> DataFrame:

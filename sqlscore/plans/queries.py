@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlscore.operators import corpus, cycles, equivalence, evalset, evaluate, judge, keywords, metrics, model, replies, rules, runs
+from sqlscore.operators.parallel import partitions, spread
 from sqlscore.plans import pairs as P
 from sqlscore.plans import standins as S
 from sqlscore.session import checkpoint_root, scratch_path, stash
@@ -260,18 +261,19 @@ SCORERS = ["sql_clauses_distribution_equivalence", "count_joins", "has_select",
 
 
 def q_evaluate_all(spark, sf):
-    fb = evaluate.evaluate(S.candidates(spark, sf), SCORERS, required_dims=REQUIRED_DIMS)
+    fb = evaluate.evaluate(S.candidates(spark, sf, partitions(spark)), SCORERS, required_dims=REQUIRED_DIMS)
     m = metrics.metric_means(fb.withColumn("run_id", F.lit("r0")), keys=("run_id",))
     return m.select("scorer", "metric_name", F.round("mean", R).alias("mean"), "n")
 
 
-def _result_rows(spark, sf):
-    """The executed pairs dealt out over all orders, so each text serves many rows."""
+def _result_rows(spark, sf, partitions=None):
+    """The executed pairs dealt out over all orders, so each text serves many rows.  Rows are
+    spread over ``partitions`` by their keys, before they have texts."""
     register_views(spark, sf, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])
     names = sorted(P.PAIRS)
     texts = F.array(*(F.struct(F.lit(n).alias("pair"), F.lit(P.PAIRS[n][0]).alias("gold_sql"),
                                F.lit(P.PAIRS[n][1]).alias("candidate_sql")) for n in names))
-    return (load(spark, sf, "orders").select(F.col("o_orderkey").alias("eval_id"), F.get(
+    return (spread(load(spark, sf, "orders").select("o_orderkey"), partitions).select(F.col("o_orderkey").alias("eval_id"), F.get(
         texts, F.pmod("o_orderkey", F.lit(len(names))).cast("int")).alias("t")).select("eval_id", "t.*"))
 
 
@@ -311,7 +313,7 @@ def stub_judge(q: pd.Series) -> pd.Series:
 def q_evaluate_judged(spark, sf):
     """Lexical scorers, executed results and judged guidelines in one feedback
     table; per row the composite score and the joined feedback."""
-    rows = _result_rows(spark, sf).repartition(8)
+    rows = _result_rows(spark, sf, partitions(spark))
     lexical = evaluate.evaluate(rows, ["count_joins", "sql_clauses_distribution_equivalence"])
     executed = evaluate.evaluate(rows, ["sql_results_equivalence"], group_size=9)
     judged = judge.judge(rows, {f"judged_{k}": v for k, v in GUIDELINES.items()}, stub_judge, store=scratch_path(spark, "judgements"), portions=1)

@@ -24,7 +24,7 @@ def _pick(key: Column, options: list[Column]) -> Column:
     return out
 
 
-def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eval_set(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """One question per order: eval_id, question, original_question, gold_sql, issues.
 
     Four question templates (order key mod 4); questions repeat for a customer,
@@ -32,7 +32,7 @@ def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     # a one-file input is one partition: a session may ask for more of them, so that
     # text building and all scoring downstream run on every core
-    o = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), asked_partitions(spark))
+    o = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), partitions or asked_partitions(spark))
     k = F.col("o_custkey").cast("string")
     question = _pick(F.col("o_orderkey"), [
         F.concat(F.lit("How many orders per priority does customer "), k, F.lit(" have?")),
@@ -60,7 +60,7 @@ def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """One candidate reply per eval row: eval_id, question, candidate_sql.
 
     Variant (order key mod 5): 0 = the gold text, 1 = lower-cased with a
@@ -69,7 +69,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped quote and a column that ends in "join", 4 = a CTE with a column
     list, EXTRACT ... FROM and IS DISTINCT FROM.
     """
-    e = eval_set(spark, sf_dir)
+    e = eval_set(spark, sf_dir, partitions)
     g = F.coalesce(F.col("gold_sql"), F.lit("SELECT 1"))
     cust = F.regexp_extract(g, r"o_custkey = ([0-9]+)", 1)
     cand = _pick(F.col("eval_id"), [

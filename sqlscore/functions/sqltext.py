@@ -97,24 +97,23 @@ def strip_literals(sql: Column) -> Column:
     """Blank literals and comments; the regex runs only on texts that contain
     a possible opener (cheap literal checks first)."""
     sql = without_escapes(sql)
-    has = None
-    for o in LITERAL_OPENERS:
-        has = sql.contains(o) if has is None else has | sql.contains(o)
-    return (F.when(nests_comments(sql), strip_nested(sql)).when(has, F.regexp_replace(sql, LITERALS_RE, " "))
+    return (F.when(nests_comments(sql), strip_nested(sql)).when(has_opener(sql), F.regexp_replace(sql, LITERALS_RE, " "))
             .otherwise(sql))
 
 
+def has_opener(sql: Column) -> Column:
+    """Whether a literal, quoted name or comment may begin in a text."""
+    has = sql.contains(LITERAL_OPENERS[0])
+    for o in LITERAL_OPENERS[1:]:
+        has = has | sql.contains(o)
+    return has
+
+
 def strip_to_names(sql: Column) -> Column:
     """Blank literals and comments but keep quoted names with their back-quotes."""
     sql = without_escapes(sql)
-    return F.when(nests_comments(sql), strip_nested(sql, keep_names=True)).otherwise(
-        F.regexp_replace(sql, f"{_TEXT_RE}|(`[^`]*`)", "$1 "))
-
-
-def strip_texts(sql: Column) -> Column:
-    """Blank literals and comments but keep quoted names, without their
-    back-quotes and with no blanks around the dots between their parts."""
-    return F.translate(F.regexp_replace(strip_to_names(sql), r"\s*\.\s*", "."), "`", "")
+    return (F.when(nests_comments(sql), strip_nested(sql, keep_names=True))
+            .when(has_opener(sql), F.regexp_replace(sql, f"{_TEXT_RE}|(`[^`]*`)", "$1 ")).otherwise(sql))
 
 
 def first_statement(sql: Column) -> Column:

@@ -17,6 +17,7 @@ from itertools import count, islice
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlscore.functions.sqltext import strip_to_names
 from sqlscore.operators import equivalence, keywords, metrics, rules
 from sqlscore.session import scratch_path, stash
 
@@ -46,6 +47,7 @@ def load_scorers(names: list[str]) -> list[str]:
     return list(names)
 
 
+NAMES = "__names"  # texts without literals and comments, names kept
 ALL = "__all"  # tokens of all statements; those of the first have the suffix of ``rules``
 
 
@@ -80,7 +82,7 @@ def has_select_scorer(options: dict):
 
 @scorer("dimension_ambiguity")
 def tables_scorer(options: dict):
-    parts = {"gold_tables": rules.tables_used(F.col("gold_sql")), "cand_tables": rules.tables_used(F.col("candidate_sql"))}
+    parts = {"gold_tables": rules.tables_named(_gold(NAMES)), "cand_tables": rules.tables_named(_cand(NAMES))}
     less = lambda a, b: F.array_join(F.array_except(a, b), ",")
     missing, extra = less("gold_tables", "cand_tables"), less("cand_tables", "gold_tables")
     return (parts, (missing == "") & (extra == ""),
@@ -90,7 +92,7 @@ def tables_scorer(options: dict):
 @scorer("required_dims")
 def required_dims_scorer(options: dict):
     missing = F.col("missing_dims")
-    return ({"missing_dims": rules.missing_dims(rules.dims_tokens(F.col("candidate_sql")), options.get("required_dims", []))},
+    return ({"missing_dims": rules.missing_dims(rules.dims_named(_cand(NAMES)), options.get("required_dims", []))},
             missing == "", F.when(missing != "", F.concat(F.lit("missing: "), missing)))
 
 
@@ -111,6 +113,7 @@ def evaluate(df: DataFrame, names: list[str], **options) -> DataFrame:
         first = rules.tokenize(df, *texts)
         every = [F.when(F.col(c).contains(";"), rules.sql_tokens(F.col(c), only_first_statement=False))
                  .otherwise(F.col(c + rules.SUFFIX)).alias(c + ALL) for c in texts]
+        every += [strip_to_names(F.col(c)).alias(c + NAMES) for c in texts]
         parts = first.select("*", *every).select(
             "eval_id", *(c.alias(name) for _, own, _, _ in made for name, c in own.items()))
         wide = parts.select("eval_id", F.array(*(

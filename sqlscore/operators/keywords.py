@@ -70,6 +70,6 @@ def keyword_verdict(df: DataFrame, id_col: str, gold: str = "gold_sql", cand: st
 
 def keywords_equal(gold_tokens: Column, cand_tokens: Column) -> Column:
     """Row form of the verdict: equal histograms <=> equal sorted keyword lists; null without one of the texts."""
-    kg = F.array_sort(F.filter(gold_tokens, lambda t: t.isin(LEXICON)))
-    kc = F.array_sort(F.filter(cand_tokens, lambda t: t.isin(LEXICON)))
+    kg = F.sort_array(F.filter(gold_tokens, lambda t: t.isin(LEXICON)))
+    kc = F.sort_array(F.filter(cand_tokens, lambda t: t.isin(LEXICON)))
     return kg == kc

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlscore.functions.sqltext import SEP1, normalised, sql_tokens, strip_texts, strip_to_names
+from sqlscore.functions.sqltext import SEP1, normalised, sql_tokens, strip_to_names
 
 # Lexical, over lower-cased text without literals and comments: names (with the dots and quotes
 # between their parts), brackets, commas and statement ends.
@@ -30,6 +30,9 @@ _JOINING = ["left", "right", "full", "inner", "outer", "cross", "natural", "semi
 # words that can stand where a table does and name none
 _NO_TABLES = ["lateral", "unnest", "values", "explode", "table", "only"]
 
+_BLANKS = " \t\n\x0b\f\r"
+_NO_WORD = "".join(chr(i) for i in range(128) if not (chr(i).isalnum() or chr(i) in "_`"))
+
 SUFFIX = "__tokens"
 
 
@@ -65,14 +68,19 @@ def has_select(sql: Column) -> Column:
 
 
 def tables_used(sql: Column) -> Column:
+    """``tables_named`` of a whole text."""
+    return tables_named(strip_to_names(sql))
+
+
+def tables_named(stripped: Column) -> Column:
     """Distinct lower-case names of the tables after FROM (comma lists too) and
-    JOIN, minus CTE names.
+    JOIN, minus CTE names, in a text by ``strip_to_names``.
 
     One pass over the lexemes with a stack of the open brackets: each knows the word
     before it, whether a SELECT stood in it and what was expected outside.  So a FROM in a call
     (``extract(year FROM cast(d AS date))``) names no table however deep it is nested, and a
     list goes on after a sub-query."""
-    text = F.lower(strip_to_names(sql))
+    text = F.lower(stripped)
     bracket = "array<struct<opener:string,select:boolean,outside:int>>"
     # wanted: 0 no table, 1 a table, 2 an alias or the comma before the next table
     state = F.struct(F.array().cast(bracket).alias("open"), F.lit(0).alias("wanted"), F.lit("").alias("last"),
@@ -105,7 +113,9 @@ def tables_used(sql: Column) -> Column:
 
     plain = lambda names: F.transform(names, lambda x: F.translate(F.regexp_replace(x, r"\s*\.\s*", "."), "`", ""))
     found = F.aggregate(F.regexp_extract_all(text, F.lit(_LEXEME_RE), F.lit(0)), state, step, lambda s: s["found"])
-    ctes = F.regexp_extract_all(text, F.lit(_CTE_RE), F.lit(1))
+    # the costly pattern only where its end can be found
+    ctes = F.when(F.translate(text, _BLANKS, "").contains("as("), F.regexp_extract_all(text, F.lit(_CTE_RE), F.lit(1))).otherwise(
+        F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.array_except(plain(found), plain(ctes))))
 
 
@@ -136,7 +146,14 @@ def rule_tables(df: DataFrame, gold: str = "gold_sql", cand: str = "candidate_sq
 
 def dims_tokens(sql: Column) -> Column:
     """Upper-case words of all statements, those of back-quoted names too."""
-    return F.split(F.upper(F.regexp_replace(strip_texts(sql), r"[^A-Za-z0-9_]+", " ")), " ")
+    return dims_named(strip_to_names(sql))
+
+
+def dims_named(stripped: Column) -> Column:
+    """``dims_tokens`` of a text by ``strip_to_names``.  Only characters beyond ASCII need a pattern."""
+    words = F.translate(stripped, _NO_WORD + "`", " " * len(_NO_WORD))
+    words = F.when(F.octet_length(words) == F.length(words), words).otherwise(F.regexp_replace(words, "[^A-Za-z0-9_]+", " "))
+    return F.split(F.upper(words), " ")
 
 
 def rule_required_dims(df: DataFrame, dims: list[str], cand: str = "candidate_sql") -> DataFrame:
@@ -156,5 +173,5 @@ def rule_limit_without_order(df: DataFrame, cols=("gold_sql", "candidate_sql"))
     return out
 
 
-__all__ = ["rule_limit_without_order", "tokenize", "tokens_of", "join_count", "has_select", "tables_used", "dims_tokens", "normalised",
+__all__ = ["rule_limit_without_order", "tokenize", "tokens_of", "join_count", "has_select", "tables_used", "tables_named", "dims_tokens", "dims_named", "normalised",
            "rule_count_joins", "rule_has_select", "rule_tables", "rule_required_dims"]

@@ -18,17 +18,16 @@ of k + 1 words is counted in a shard only if it comes up as left extension of a
 phrase of k words and as right extension of another, both of which occur
 ``min_count`` times in all shards together: no rarer part can be in a wanted phrase.
 
-Up to ``HASHED_WORDS`` words sums are made twice.  First a shard reports the hashes of its phrases, sorted and
-as differences of some 2 bytes each, with counts up to ``min_count``; ranges of the hash are added up
-over all shards, and a shard gets back one bit a phrase: whether the sum can reach
-``min_count``.  The hash has 128 values for each word of the input, so few others
-pass.  (What may be a longer phrase is already little more than what is one.)
-What passes is reported exactly: (number of the phrase before its last word,
-number of the phrase after its first word, count), and phrases are numbered by the
-first (shard, place) that reports them, so that the result does not depend on
-hashes.  Phrases that occur ``min_count`` times go back to the shards that have them.  A
-key collects one row per shard, however often a phrase occurs; no table of phrases is
-broadcast, and the shards stay where they are (a table bucketed by shard).
+Words and phrases that occur ``min_count`` times have numbers, per length and nearly
+without gaps.  A longer phrase is the pair of the numbers of what is before its last
+and after its first word: one number of twice the bits, mixed one to one (no two
+phrases share one), so that ranges of it are of one size.  A shard reports its phrases
+in order, as differences of some 3 bytes each with counts; ranges are added up over
+all shards, which is exact.  A shard gets back one bit a phrase and some 2 bytes for
+the number of each that passes, and finds its phrases a second time to keep those.  A
+phrase as such is one row, whatever the number of shards that have it, and no row
+per shard and phrase is dealt out.  No table of phrases is broadcast, and the shards
+stay where they are (a table bucketed by shard).
 
 Counts of first and last parts come along from the shorter phrases, products are
 DECIMAL(38,0).  A phrase is dropped if an extension by one word has at least
@@ -64,16 +63,28 @@ TO_PIECES = bytes.maketrans(BETWEEN_PIECES + b"\t", b"." * len(BETWEEN_PIECES) +
 SHARD_WORDS = 1 << 20
 HELD_WORDS = 3 * SHARD_WORDS  # of all languages that a task is filling shards of
 PORTION = 1 << 22             # bytes of a long text taken at a time
-NUMBER_BITS = 24              # of a phrase number: place in the shard (pieces make a shard at most twice its words)
 TASK_BITS = 16                # of a shard number: shard in the task
-SPARE_BITS = 7                # hash values for each word of the input, as a power of two
-RANGE_BITS = 6                # ranges of the hash at least, as a power of two
-HASHED_WORDS = 3              # longer phrases are reported without hashes first
+RANGE_BITS = 6                # ranges of the keys at least, as a power of two
 RANGE_WORDS = 21              # words of the input for each range, as a power of two
+MANY = 255                    # counts from here on stand apart
+MIXERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)  # odd
 
 SHARDS = "shard bigint, lang string, size bigint, words array<binary>, counts array<bigint>, numbers binary"
-WORDS = "shard bigint, place bigint, n bigint, word binary"
-PHRASES = "shard bigint, place bigint, back bigint, n bigint, prefix bigint, suffix bigint"
+GIVEN = "shard bigint, place binary, back binary, n binary, number binary"  # in planes
+
+
+# ---------------------------------------------------------------- numbers as bytes
+
+def to_planes(numbers: np.ndarray, width: int) -> bytes:
+    """All first bytes, then all second ones and so on: small numbers then compress."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int, n: int | None = None) -> np.ndarray:
+    n = len(data) // width if n is None else n
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
 
 
 # ---------------------------------------------------------------- shards
@@ -222,10 +233,10 @@ def longer_phrases(symbols: np.ndarray, numbers: np.ndarray, phrases: Intervals
 
 
 def longer_of(cell: dict, depth: int) -> dict[str, np.ndarray]:
-    """Columns of ``PHRASES`` but the shard for a shard with ``known`` words (place and
-    number) and, beyond two words, ``given`` phrases (place, back, n, number), in a fixed order."""
-    known = cell["known"].values
-    local, numbers = (np.asarray(known.field(f)) for f in ("place", "number"))
+    """The longer phrases of a shard with ``known`` words (place and number) and, beyond
+    two words, given phrases (as in ``GIVEN``), in a fixed order."""
+    known = cell["known"].as_py()
+    local, numbers = (np.concatenate([from_planes(k[f], w) for k in known]).astype(np.int64) for f, w in (("place", 4), ("number", 8)))
     order = np.argsort(local)
     text = np.frombuffer(cell["numbers"].as_buffer(), dtype=np.int32)
     recode = np.zeros(max(int(text.max()), int(local.max())) + 1, dtype=np.int64)
@@ -233,50 +244,55 @@ def longer_of(cell: dict, depth: int) -> dict[str, np.ndarray]:
     symbols = recode[text]
     symbols = symbols[(symbols != 0) | np.r_[True, symbols[:-1] != 0]]
     phrases = None
-    if "given" in cell:
-        given = cell["given"].values
-        phrases = Intervals(*(np.asarray(given.field(f)) for f in ("place", "back", "n", "number")))
+    if "place" in cell:
+        place, back, n = (from_planes(cell[f].as_py(), 4).astype(np.int64) for f in ("place", "back", "n"))
+        phrases = Intervals(np.cumsum(place), back, n, from_planes(cell["number"].as_py(), 8).astype(np.int64))
     lo, back, n, prefix, suffix = longer_phrases(symbols, numbers[order], phrases, depth)
     return {"place": lo, "back": back, "n": n.astype(np.int64), "prefix": prefix, "suffix": suffix}
 
 
-def words_of(cell: dict) -> dict[str, np.ndarray]:
-    """Columns of ``WORDS`` but the shard."""
-    n = np.asarray(cell["counts"].values)
-    return {"place": np.arange(1, len(n) + 1), "n": n, "word": cell["words"].values}
-
-
-def hash_words(cell: dict, found: dict) -> np.ndarray:
-    lang = cell["lang"].as_py().encode() + b" "
-    return np.fromiter((xxhash.xxh3_64_intdigest(lang + w) for w in found["word"].to_pylist()), dtype=np.uint64, count=len(found["n"]))
-
-
-def hash_phrases(cell: dict, found: dict) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = found["prefix"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + found["suffix"].astype(np.uint64)
-        for _ in range(2):
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
-
-
 # ---------------------------------------------------------------- sums across shards
 
-class Sums(NamedTuple):
-    """How shards report what they find: ``find`` gives columns of ``schema``, ``hashes`` their keys."""
-    find: Callable[[dict], dict]
-    hashes: Callable[[dict, dict], np.ndarray]
-    schema: str
-    min_count: int
-    bits: int        # of a hash
+class Keys(NamedTuple):
+    """Phrases as numbers: those of both parts, of ``half`` bits each, mixed one to one."""
+    half: int
     range_bits: int
 
-    def sorted_hashes(self, cell: dict, found: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes in order, the order, and where each range begins and the last ends."""
-        h = self.hashes(cell, found) >> np.uint64(64 - self.bits)
-        order = np.argsort(h, kind="stable")
+    @property
+    def bits(self) -> int:
+        return max(2 * self.half, self.range_bits + 8)
+
+    @property
+    def width(self) -> int:
+        """Bytes of a difference within a range."""
+        return -(-(self.bits - self.range_bits) // 8)
+
+    def of(self, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        key = (prefix.astype(np.uint64) << np.uint64(self.half)) | suffix.astype(np.uint64)
+        mask, shift = np.uint64((1 << self.bits) - 1), np.uint64(-(-self.bits // 2))
+        with np.errstate(over="ignore"):
+            for odd in MIXERS:
+                key = (key * np.uint64(odd)) & mask
+                key ^= key >> shift
+        return key
+
+    def parts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask, shift = np.uint64((1 << self.bits) - 1), np.uint64(-(-self.bits // 2))
+        with np.errstate(over="ignore"):
+            for odd in MIXERS[::-1]:
+                key = key ^ (key >> shift)
+                key = (key * np.uint64(pow(odd, -1, 1 << 64))) & mask
+        return (key >> np.uint64(self.half)).astype(np.int64), (key & np.uint64((1 << self.half) - 1)).astype(np.int64)
+
+    def start(self, r: int) -> np.uint64:
+        return np.uint64(r << (self.bits - self.range_bits))
+
+    def in_order(self, found: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, the order, and where each range begins and the last ends."""
+        key = self.of(found["prefix"], found["suffix"])
+        order = np.argsort(key)
         edges = np.arange((1 << self.range_bits) + 1, dtype=np.uint64) << np.uint64(self.bits - self.range_bits)
-        return h[order], order, np.searchsorted(h[order], edges)
+        return key[order], order, np.searchsorted(key[order], edges)
 
 
 def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -285,82 +301,141 @@ def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i] for name in batch.schema.names}
 
 
-def may_be_often(shards: DataFrame, sums: Sums) -> DataFrame:
-    """For each shard and range of the hash the bits of what can reach ``min_count``: ``shard``, ``range``, ``bits``."""
-    width = 2 * -(-(sums.bits - sums.range_bits) // 16)  # bytes of a difference, in planes of two
-    kind = np.min_scalar_type(sums.min_count)
+def by_range(reported: DataFrame, range_bits: int, add: Callable[[list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``add`` gets all rows of one range at a time, in order of the shards."""
+    def add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for cell in cells_of(batches):
+            if held and held[-1]["range"] != cell["range"].as_py():
+                yield add(held)
+                held = []
+            held.append({k: v if k == "words" else v.as_py() for k, v in cell.items()})
+        if held:
+            yield add(held)
 
+    dealt = reported.repartition(1 << range_bits, "range").sortWithinPartitions("range", "shard")
+    return dealt.mapInArrow(add_ranges, schema)
+
+
+def often_words(shards: DataFrame, min_count: int, range_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Words that occur ``min_count`` times: one row each (``number``, ``lang``, ``a``, ``word``), and
+    for each shard with some of them a row of ``known`` (``place`` and ``number`` in planes)."""
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells_of(batches):
-            found = sums.find(cell)
-            h, order, edges = sums.sorted_hashes(cell, found)
-            count = np.minimum(found["n"], sums.min_count).astype(kind)[order]
+            lang, n = cell["lang"].as_py().encode() + b" ", np.asarray(cell["counts"].values)
+            words = [lang + w for w in cell["words"].values.to_pylist()]
+            of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) >> np.uint64(64 - range_bits)
+            order = np.argsort(of, kind="stable")
+            edges = np.searchsorted(of[order], np.arange((1 << range_bits) + 1, dtype=np.uint64))
+            rows = np.flatnonzero(np.diff(edges))
+            offsets = pa.array(np.r_[edges[rows], len(words)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rows), cell["shard"].as_py(), dtype=np.int64)), pa.array(rows.astype(np.int32)),
+                 pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary()).take(pa.array(order))),
+                 pa.array([to_planes(n[order[edges[r]:edges[r + 1]]], 8) for r in rows], pa.binary()),
+                 pa.array([to_planes(order[edges[r]:edges[r + 1]] + 1, 4) for r in rows], pa.binary())],
+                ["shard", "range", "words", "n", "place"])
+
+    def add(held: list[dict]) -> pa.RecordBatch:
+        coded = pa.concat_arrays([x["words"].values for x in held]).dictionary_encode()
+        group = np.asarray(coded.indices)
+        total = np.bincount(group, weights=np.concatenate([from_planes(x["n"], 8) for x in held])).astype(np.int64)
+        often = total >= min_count
+        number = ((np.cumsum(often) - 1) << range_bits) + held[0]["range"]
+        shard, places, numbers = [], [], []
+        for x, own in zip(held, np.split(group, np.cumsum([len(x["words"]) for x in held])[:-1]), strict=True):
+            if (passed := often[own]).any():
+                shard.append(x["shard"])
+                places.append(to_planes(from_planes(x["place"], 4)[passed], 4))
+                numbers.append(to_planes(number[own[passed]], 8))
+        found = [w.rsplit(b" ", 1) for w in coded.dictionary.take(pa.array(np.flatnonzero(often))).to_pylist()]
+        none = [None] * len(shard)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*shard, None], pa.int64()), pa.array([*places, None], pa.binary()), pa.array([*numbers, None], pa.binary()),
+             pa.array([*none, [{"number": i, "lang": lang.decode(), "a": a, "word": word} for i, a, (lang, word)
+                               in zip(number[often].tolist(), total[often].tolist(), found, strict=True)]],
+                      pa.list_(pa.struct([("number", pa.int64()), ("lang", pa.string()), ("a", pa.int64()), ("word", pa.binary())])))],
+            ["shard", "place", "number", "found"])
+
+    reported = shards.mapInArrow(report, "shard bigint, range int, words array<binary>, n binary, place binary")
+    summed = stash(by_range(reported, range_bits, add, "shard bigint, place binary, number binary, "
+                            "found array<struct<number:bigint,lang:string,a:bigint,word:binary>>"), "phrases-1")
+    known = summed.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("place", "number")).alias("known"))
+    return summed.filter("shard IS NULL").select(F.inline("found")), known
+
+
+def often_phrases(shards: DataFrame, find: Callable[[dict], dict], keys: Keys, min_count: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Phrases that ``find`` finds in shards and that occur ``min_count`` times in all: one row each (``number``,
+    ``a``, ``prefix``, ``suffix``), and for each shard with some of them a row of ``GIVEN``."""
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells_of(batches):
+            found = find(cell)
+            key, order, edges = keys.in_order(found)
+            n = found["n"][order]
             rows = np.flatnonzero(np.diff(edges))
             packed = []
             for r in rows:
-                step = np.diff(h[edges[r]:edges[r + 1]], prepend=np.uint64(int(r) << (sums.bits - sums.range_bits)))
-                packed.append(b"".join((step >> np.uint64(16 * j)).astype(np.uint16).tobytes() for j in range(width // 2))
-                              + count[edges[r]:edges[r + 1]].tobytes())
+                a, b = edges[r], edges[r + 1]
+                packed.append(to_planes(np.diff(key[a:b], prepend=keys.start(int(r))), keys.width) + np.minimum(n[a:b], MANY).astype(np.uint8).tobytes()
+                              + n[a:b][n[a:b] >= MANY].astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), cell["shard"].as_py(), dtype=np.int64)), pa.array(rows.astype(np.int32)),
-                                              pa.array(packed, pa.binary())], ["shard", "range", "packed"])
+                                              pa.array(np.diff(edges)[rows].astype(np.int32)), pa.array(packed, pa.binary())],
+                                             ["shard", "range", "size", "packed"])
 
     def add(held: list[dict]) -> pa.RecordBatch:
-        size = [len(x["packed"]) // (width + kind.itemsize) for x in held]
-        hashes, counts = [], []
-        for x, n in zip(held, size, strict=True):
-            planes = np.frombuffer(x["packed"], dtype=np.uint16, count=n * width // 2).reshape(-1, n).astype(np.uint64)
-            hashes.append(np.cumsum(sum(p << np.uint64(16 * j) for j, p in enumerate(planes)), dtype=np.uint64))
-            counts.append(np.frombuffer(x["packed"], dtype=kind, offset=n * width))
-        _, group = np.unique(np.concatenate(hashes), return_inverse=True)
-        often = np.bincount(group, weights=np.concatenate(counts)) >= sums.min_count
-        bits = [np.packbits(b).tobytes() for b in np.split(often[group], np.cumsum(size)[:-1])]
-        return pa.RecordBatch.from_arrays([pa.array([x["shard"] for x in held], pa.int64()), pa.array([x["range"] for x in held], pa.int32()),
-                                           pa.array(bits, pa.binary())], ["shard", "range", "bits"])
+        all_keys, counts = [], []
+        for x in held:
+            all_keys.append(np.cumsum(from_planes(x["packed"], keys.width, x["size"])))
+            n = np.frombuffer(x["packed"], dtype=np.uint8, count=x["size"], offset=x["size"] * keys.width).astype(np.int64)
+            n[n == MANY] = np.frombuffer(x["packed"][x["size"] * (keys.width + 1):], dtype="<i4")
+            counts.append(n)
+        key, group = np.unique(np.concatenate(all_keys), return_inverse=True)
+        total = np.bincount(group, weights=np.concatenate(counts)).astype(np.int64)
+        often = total >= min_count
+        rank = np.cumsum(often) - 1
+        shard, bits, ranks = [], [], []
+        for x, own in zip(held, np.split(group, np.cumsum([x["size"] for x in held])[:-1]), strict=True):
+            if (passed := often[own]).any():
+                shard.append(x["shard"])
+                bits.append(np.packbits(passed).tobytes())
+                ranks.append(to_planes(np.diff(rank[own[passed]], prepend=0), 4))
+        none = [None] * len(shard)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*shard, None], pa.int64()), pa.array([held[0]["range"]] * (len(shard) + 1), pa.int32()),
+             pa.array([*bits, None], pa.binary()), pa.array([*ranks, None], pa.binary()),
+             pa.array([*none, to_planes(key[often] + keys.start(held[0]["range"]), 8)], pa.binary()), pa.array([*none, to_planes(total[often], 8)], pa.binary())],
+            ["shard", "range", "bits", "ranks", "key", "a"])
 
-    def add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells_of(batches):
-            row = {k: v.as_py() for k, v in cell.items()}
-            if held and held[-1]["range"] != row["range"]:
-                yield add(held)
-                held = []
-            held.append(row)
-        if held:
-            yield add(held)
-
-    reported = shards.mapInArrow(report, "shard bigint, range int, packed binary")
-    dealt = reported.repartition(1 << sums.range_bits, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(add_ranges, "shard bigint, range int, bits binary")
+            prefix, suffix = keys.parts(from_planes(cell["key"].as_py(), 8))
+            number = (np.arange(len(prefix)) << keys.range_bits) + cell["range"].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(from_planes(cell["a"].as_py(), 8).astype(np.int64)), pa.array(prefix),
+                                              pa.array(suffix)], ["number", "a", "prefix", "suffix"])
 
-
-def often(shards: DataFrame, sums: Sums, key: list[str], name: str, hashed: bool = True) -> DataFrame:
-    """Rows of ``sums.schema`` whose ``n`` sums up to ``min_count`` by key, with this sum
-    ``a``, the ``number`` of the key and whether the row is the one that ``counts`` for it."""
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells_of(batches):
-            found = sums.find(cell)
-            passed = np.full(len(found["n"]), not hashed)
-            if hashed:
-                _, order, edges = sums.sorted_hashes(cell, found)
-                for m in cell["masks"].as_py():
-                    a, b = edges[m["range"]], edges[m["range"] + 1]
-                    passed[order[a:b]] = np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), count=b - a)
-            at = np.flatnonzero(passed)
-            columns = [c.take(pa.array(at)) if isinstance(c, pa.Array) else pa.array(c[at]) for c in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell["shard"].as_py(), dtype=np.int64)), *columns],
-                                             ["shard", *found])
-
-    asked = shards
-    if hashed:
-        masks = may_be_often(shards, sums).groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("masks"))
-        asked = shards.join(masks, "shard")
-    rows = asked.mapInArrow(report, sums.schema)
-    if "lang" in key:
-        rows = rows.join(shards.select("shard", "lang"), "shard")
-    own = F.shiftleft(F.col("shard"), NUMBER_BITS) + F.col("place")
-    by = Window.partitionBy(*key)  # a row per shard
-    summed = rows.withColumn("own", own).withColumn("a", F.sum("n").over(by)).withColumn("number", F.min("own").over(by))
-    return stash(summed.filter(F.col("a") >= sums.min_count).withColumn("counts", F.col("own") == F.col("number")).drop("own"), name)
+            found = find(cell)
+            _, order, edges = keys.in_order(found)
+            at, number = [], []
+            for m in cell["masks"].as_py():
+                a, b = edges[m["range"]], edges[m["range"] + 1]
+                at.append(order[a:b][np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), count=b - a).astype(bool)])
+                number.append((np.cumsum(from_planes(m["ranks"], 4)).astype(np.int64) << keys.range_bits) + m["range"])
+            at, number = np.concatenate(at), np.concatenate(number)
+            by = np.argsort(at)  # in order of places
+            at = at[by]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([cell["shard"].as_py()], pa.int64())] + [pa.array([x], pa.binary()) for x in (
+                    to_planes(np.diff(found["place"][at], prepend=0), 4), to_planes(found["back"][at], 4),
+                    to_planes(found["n"][at], 4), to_planes(number[by], 8))], ["shard", "place", "back", "n", "number"])
+
+    reported = shards.mapInArrow(report, "shard bigint, range int, size int, packed binary")
+    summed = stash(by_range(reported, keys.range_bits, add, "shard bigint, range int, bits binary, ranks binary, key binary, a binary"), name)
+    masks = summed.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("range", "bits", "ranks")).alias("masks"))
+    return (summed.filter("shard IS NULL").select("range", "key", "a")
+            .mapInArrow(phrases, "number bigint, a bigint, prefix bigint, suffix bigint"),
+            shards.join(masks, "shard").mapInArrow(keep, GIVEN))
 
 
 def by_shard(rows: DataFrame, buckets: int, name: str) -> DataFrame:
@@ -376,7 +451,7 @@ def phrase_tables(words: DataFrame, longer: list[DataFrame]) -> list[DataFrame]:
     """For each length a table of ``number``, ``lang``, ``a``, ``words`` and the counts
     ``heads`` of the first 1, 2, ... words and ``tails`` of what is left after them."""
     none = F.array().cast("array<bigint>")
-    tables = [words.filter("counts").select("number", "lang", "a", F.array(F.col("word").cast("string")).alias("words"),
+    tables = [words.select("number", "lang", "a", F.array(F.col("word").cast("string")).alias("words"),
                                             none.alias("heads"), none.alias("tails"))]
     for level, rows in enumerate(longer):
         shorter = tables[-1]
@@ -384,7 +459,7 @@ def phrase_tables(words: DataFrame, longer: list[DataFrame]) -> list[DataFrame]:
                               F.concat("heads", F.array("a")).alias("heads"))
         tail = shorter.select(F.col("number").alias("suffix"), F.element_at("words", -1).alias("last_word"),
                               F.concat(F.array("a"), "tails").alias("tails"))
-        table = (rows.filter("counts").select("number", "a", "prefix", "suffix").join(head, "prefix").join(tail, "suffix")
+        table = (rows.join(head, "prefix").join(tail, "suffix")
                  .select("number", "lang", "a", F.concat("first_words", F.array("last_word")).alias("words"),
                          "heads", "tails", "prefix", "suffix"))
         tables.append(stash(table, f"phrases-{level + 2}"))
@@ -401,20 +476,19 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = by_shard(make_shards(texts, shard_words), buckets, "phrase-shards")
     total = shards.agg(F.sum("size")).first()[0] or 0
-    bits = max(32, int(total).bit_length() + SPARE_BITS)
     range_bits = max(RANGE_BITS, int(total).bit_length() - RANGE_WORDS)
-    words = often(shards.select("shard", "lang", "words", "counts"),
-                  Sums(words_of, hash_words, WORDS, min_count, bits, range_bits), ["lang", "word"], "phrases-1")
-    known = by_shard(words.groupBy("shard").agg(F.collect_list(F.struct("place", "number")).alias("known")), buckets, "phrase-words")
-    indexed = shards.select("shard", "numbers").join(known, "shard")
+    words, known = often_words(shards.select("shard", "lang", "words", "counts"), min_count, range_bits)
+    indexed = shards.select("shard", "numbers").join(by_shard(known, buckets, "phrase-words"), "shard")
     longer: list[DataFrame] = []
+    given, shorter = indexed, words
     for size in range(2, max_words + 1):
-        given = indexed
-        if longer:
-            given = indexed.join(longer[-1].groupBy("shard").agg(
-                F.collect_list(F.struct("place", "back", "n", "number")).alias("given")), "shard")
-        sums = Sums(partial(longer_of, depth=size), hash_phrases, PHRASES, min_count, bits, range_bits)
-        longer.append(often(given, sums, ["prefix", "suffix"], f"phrases-rows-{size}", size <= HASHED_WORDS))
+        half = max(1, int(shorter.agg(F.max("number")).first()[0] or 0).bit_length())
+        if half > 31:
+            raise ValueError("more than 2**31 phrases of one length occur min_count times")
+        shorter, kept = often_phrases(given, partial(longer_of, depth=size), Keys(half, range_bits), min_count, f"phrases-sums-{size}")
+        longer.append(shorter)
+        if size < max_words:
+            given = indexed.join(by_shard(kept, buckets, f"phrase-rows-{size}"), "shard")
     tables = phrase_tables(words, longer)[1:]
     pairs = [t.select(F.explode(F.array("prefix", "suffix")).alias("number"), F.col("a").alias("longer")) for t in tables[1:]]
     found = None

@@ -165,6 +165,34 @@ def test_index_counts(symbols):
     assert Counter({(*name[p], name[s][1]): k for p, s, k in zip(before.tolist(), after.tolist(), n3.tolist())}) == triples
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 31), st.integers(2, 12), st.data())
+def test_keys_of_phrases_are_one_to_one(half, range_bits, data):
+    keys = collocations.Keys(half, range_bits)
+    numbers = st.lists(st.integers(0, 2 ** half - 1), min_size=20, max_size=20)
+    prefix, suffix = np.array(data.draw(numbers)), np.array(data.draw(numbers))
+    key = keys.of(prefix, suffix)
+    assert int(key.max()) < 1 << keys.bits
+    assert [x.tolist() for x in keys.parts(key)] == [prefix.tolist(), suffix.tolist()]
+    assert collocations.from_planes(collocations.to_planes(key, 8), 8).tolist() == key.tolist()
+
+
+def test_no_table_has_a_row_per_shard_and_phrase(spark, monkeypatch):
+    written = {}
+
+    def counted(df, name, path=None, stash=collocations.stash):
+        out = stash(df, name, path)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "stash", counted)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], 2000)), "en") for i in range(40)]
+    assert phrases(spark, rows, min_count=20, max_words=2, shard_words=2000) == phrases_by_brute_force(rows, 20, max_words=2)
+    n_phrases, shards, ranges = 26 * 26, 40, 4
+    assert all(n <= max(n_phrases, ranges * (shards + 1)) for n in written.values()), written
+
+
 # ---------------------------------------------------------------- search
 
 def search_by_brute_force(docs, items, top=20):
